@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from odolith.llm import decontam, packing, secret_scan, simhash, sql, token_store
+from odolith.llm import decontam, packing, pii, secret_scan, simhash, sql, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +35,16 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_versions(table(spark, sf_dir, "documents")))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_decontaminate": op2_decontaminate,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op7_best_fit": op7_best_fit,
+    "op9_pii": op9_pii,
 }
 ORACLES: dict[str, str] = {"op2_decontaminate": sql.OP2, "op4_secrets": sql.OP4}
