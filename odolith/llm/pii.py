@@ -136,6 +136,10 @@ def context_vote(kind: str, text: Column, lo: Column) -> Column:
     return vote(before.rlike(rf"\b(?:{CUES[kind]})"), before.rlike(r"version|page|figure|isbn|serial|invoice|order no"))
 
 
+def outside(base: Column, span: Column) -> Column:
+    return ~F.exists(base, lambda b: (b["lo"] < span["hi"]) & (span["lo"] < b["hi"]))
+
+
 def candidates(text: Column) -> Column:
     """All candidate spans of a text: kind, lo, hi and the votes, one letter for each labeler."""
 
@@ -146,7 +150,9 @@ def candidates(text: Column) -> Column:
             F.concat(regex_vote(kind, x["m"]), gazetteer_vote(kind, x["m"]), context_vote(kind, text, x["lo"])).alias("votes"),
         ))
 
-    return F.flatten(F.array(*[of(k) for k in KINDS]))
+    base, further = (F.flatten(F.array(*[of(k) for k in KINDS if (k in BASE) == b])) for b in (True, False))
+    # what lies in a base span is that span already
+    return let(F.struct(base.alias("b"), further.alias("f")), lambda x: F.concat(x["b"], F.filter(x["f"], partial(outside, x["b"]))))
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from odolith.llm import decontam, packing, pii, secret_scan, simhash, sql, token_store
+from odolith.llm import decontam, langid, packing, pii, secret_scan, simhash, sql, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~langid.held_out(docs.doc_id)))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", langid.held_out(found.doc_id).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_decontaminate": op2_decontaminate,
@@ -46,5 +53,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op7_best_fit": op7_best_fit,
     "op9_pii": op9_pii,
+    "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {"op2_decontaminate": sql.OP2, "op4_secrets": sql.OP4}
