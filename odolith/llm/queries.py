@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from odolith.llm import decontam, langid, packing, pii, secret_scan, simhash, sql, token_store
+from odolith.llm import decontam, embed_dedup, langid, packing, pii, secret_scan, simhash, sql, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_versions(table(spark, sf_dir, "documents")))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", F.coalesce(found.vec_id == found.component_id, F.lit(False)).alias("kept"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -52,7 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op7_best_fit": op7_best_fit,
+    "op8_embeddings": op8_embeddings,
     "op9_pii": op9_pii,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {"op2_decontaminate": sql.OP2, "op4_secrets": sql.OP4}
+ORACLES: dict[str, str] = {"op2_decontaminate": sql.OP2, "op4_secrets": sql.OP4, "op8_embeddings": sql.OP8}
