@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odolith.llm import decontam, embed_dedup, langid, packing, pii, secret_scan, simhash, sql, token_store
+from odolith.llm import decontam, embed_dedup, langid, language_model, packing, pii, secret_scan, simhash, sql, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_versions(table(spark, sf_dir, "documents")))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_model.score(docs, ~language_model.held_out(docs.doc_id))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", F.coalesce(found.vec_id == found.component_id, F.lit(False)).alias("kept"))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
+    "op6_language_model": op6_language_model,
     "op7_best_fit": op7_best_fit,
     "op8_embeddings": op8_embeddings,
     "op9_pii": op9_pii,
