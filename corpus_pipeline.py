@@ -1,12 +1,59 @@
-"""A training corpus from raw documents in five stages."""
+"""A training corpus from raw documents in five stages, each of which applies one operator and acts on its decisions."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from odolith.llm import decontam, langid, packing, pii, simhash
+from odolith.session import cut
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification does not reject."""
+    docs = docs.select(*COLUMNS)
+    model = langid.fit(docs.filter(~langid.held_out(docs.doc_id)))
+    return langid.predict(docs, model, keep=COLUMNS).filter(~F.col("rejected")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that with the smallest doc_id."""
+    return simhash.one_of_each(docs.select(*COLUMNS))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window with a benchmark item."""
+    docs = docs.select(*COLUMNS)
+    found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct()
+    return docs.join(hit, docs.doc_id.eqNullSafe(hit.hit_id), "left_anti").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their personal data masked; n_chars follows the text."""
+    docs = docs.select(*COLUMNS)
+    model = pii.fit(pii.annotate(docs.select("doc_id", "text")))
+    text = pii.masked(F.col("text"), F.col("spans"))
+    masked = pii.decide(pii.annotate(docs), model).withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return masked.select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences: every piece of every document and its place."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("personal_data", personal_data), ("pack", pack)]
+
+#: Fingerprints, the fitted models and tokenisation have no SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

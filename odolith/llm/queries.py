@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odolith.llm import decontam, embed_dedup, langid, language_model, packing, pii, secret_scan, simhash, sql, token_store
+from odolith.llm import decontam, embed_dedup, langid, language_model, licences, packing, pii, secret_scan, simhash, sql, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_versions(table(spark, sf_dir, "documents")))
 
@@ -60,6 +64,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_decontaminate": op2_decontaminate,
+    "op3_licences": op3_licences,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op6_language_model": op6_language_model,
@@ -68,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {"op2_decontaminate": sql.OP2, "op4_secrets": sql.OP4, "op8_embeddings": sql.OP8}
+ORACLES: dict[str, str] = {"op2_decontaminate": sql.OP2, "op3_licences": sql.op3(), "op4_secrets": sql.OP4, "op8_embeddings": sql.OP8}

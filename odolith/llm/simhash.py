@@ -72,16 +72,18 @@ def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` and fp (the fingerprint as a signed long) of every row."""
     ship(docs.sparkSession)
+    columns = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema if f.name in keep), "fp long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fp = fingerprints_of(batch.column("text"), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(fp.view(np.int64))], names=[*keep, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return columns.mapInArrow(run, schema)
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -145,14 +147,31 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return simple.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable by links) of every row."""
-    marked = cut(fingerprints(docs, shingle), "fingerprints")
+def grouped(marked: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """fp, root, component_id (the smallest doc_id of the component) of every distinct fingerprint of marked (doc_id, fp)."""
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), radius, tile), "simhash")
     of_fp = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(of_fp.join(of_root, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return of_fp.join(of_fp.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable by links) of every row."""
+    marked = cut(fingerprints(docs, shingle), "fingerprints")
+    return marked.join(grouped(marked, radius, tile), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of docs for each component: that of its smallest doc_id, or of rows without one the least by their columns. Of rows that share the id, the least as well."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    marked = cut(fingerprints(docs, shingle), "fingerprints")
+    groups = cut(grouped(marked, radius, tile), "groups")
+    named = groups.filter(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
+    kept = docs.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r"))
+    # rows without an id stand for a component only if no other row does
+    bare = fingerprints(docs.filter(F.col("doc_id").isNull()), shingle, tuple(docs.columns)).join(groups.filter(F.col("component_id").isNull()), "fp")
+    kept_bare = bare.groupBy("root").agg(F.min(F.struct(*rest)).alias("r")).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "r")
+    return kept.unionByName(kept_bare).select("doc_id", "r.*").select(*docs.columns)
 
 
 def hex_of(fp: Column) -> Column:

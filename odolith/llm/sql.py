@@ -68,3 +68,28 @@ n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
 FROM comp c LEFT JOIN n ON n.a = c.vec_id
 """
+
+
+def _canonical(text: str) -> str:
+    from odolith.llm import licences
+
+    out = f"regexp_replace(lower({text}), '{licences.COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for other, plain in licences.EQUIVALENT:
+        out = f"replace({out}, ' {other} ', ' {plain} ')"
+    return f"trim({out})"
+
+
+def op3() -> str:
+    from odolith.llm import licences
+
+    known = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licences.KNOWN)
+    return f"""
+WITH {TEXTS},
+known AS (SELECT DISTINCT licence, {_canonical('text')} AS form FROM (VALUES {known}) AS k(licence, text)),
+whole AS (SELECT t.doc_id, min(k.licence) AS licence FROM texts t JOIN known k ON k.form <> '' AND {_canonical('t.text')} = k.form GROUP BY t.doc_id),
+lines AS (SELECT DISTINCT l.doc_id, k.licence FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts) l JOIN known k ON k.form <> '' AND {_canonical('l.line')} = k.form
+  WHERE regexp_matches(l.line, '(?i)licen[cs]e|\\bCC0\\b|SPDX')),
+per AS (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS notices FROM lines GROUP BY doc_id)
+SELECT t.doc_id, w.licence, coalesce(p.notices, '') AS notices FROM texts t LEFT JOIN whole w USING (doc_id) LEFT JOIN per p USING (doc_id)
+"""
