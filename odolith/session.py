@@ -29,7 +29,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once as a Parquet table in the shared folder and read it back: lineage ends here, whichever executors are lost."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
