@@ -17,6 +17,7 @@ is none); repeated rows are kept; an empty table gives no rows; further columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,8 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(own) - own, own)
     left = first[owner] + inside
     right = left + np.minimum(counts[owner], shingle) - 1
-    h = np.fromiter(map(xxhash.xxh64_intdigest, [data[a:b] for a, b in zip(begins[left].tolist(), (begins[right] + sizes[right]).tolist())], [SEED] * len(left)), np.uint64, len(left))
+    shingles = map(data.__getitem__, map(slice, begins[left].tolist(), (begins[right] + sizes[right]).tolist()))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(left))
     return majority(h, own)
 
 

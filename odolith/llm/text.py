@@ -13,7 +13,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The same, and every ASCII byte that is not a digit or letter becomes a space.
 LOWER_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isdigit() or 97 <= b <= 122 else 32 for b in range(256))
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -28,6 +28,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+            pa.default_memory_pool().release_unused()
 
 
 def translated(texts: pa.Array, table: bytes) -> pa.LargeStringArray:
@@ -48,9 +49,11 @@ def words(texts: pa.Array, table: bytes) -> tuple[pa.LargeStringArray, np.ndarra
     """The words of all texts in order, split at ASCII white space after `table` is applied, and the number of words in each text."""
     lists = pc.ascii_split_whitespace(translated(texts, table))
     flat = lists.flatten()
-    docs = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-    keep = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    return flat.filter(pa.array(keep)), np.bincount(docs[keep], minlength=len(lists))
+    offsets = np.asarray(lists.offsets)
+    keep = pc.greater(pc.binary_length(flat), 0)
+    kept = np.zeros(len(flat) + 1, np.int32)
+    np.cumsum(keep.to_numpy(zero_copy_only=False), out=kept[1:])
+    return flat.filter(keep), np.diff(kept[offsets - offsets[0]]).astype(np.int64)
 
 
 def byte_view(strings: pa.LargeStringArray) -> tuple[memoryview, np.ndarray]:
