@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -34,8 +35,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's own modules to the executors, once for each application."""
+    """Send the package's own modules to the executors, once for each application, and keep their Arrow batches small."""
     sc = spark.sparkContext
+    # a batch of 10,000 long texts would fill a worker; a limit that the user has lowered stays
+    if spark.conf.get(BATCH_BYTES, None) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(BATCH_BYTES, "16m")
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parent
