@@ -171,8 +171,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, t
     named = groups.filter(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
     kept = docs.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r"))
     # rows without an id stand for a component only if no other row does
-    bare = fingerprints(docs.filter(F.col("doc_id").isNull()), shingle, tuple(docs.columns)).join(groups.filter(F.col("component_id").isNull()), "fp")
-    kept_bare = bare.groupBy("root").agg(F.min(F.struct(*rest)).alias("r")).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "r")
+    bare = fingerprints(docs.filter(F.col("doc_id").isNull()).select("text", F.struct(*rest).alias("r")), shingle, ("r",)).join(groups.filter(F.col("component_id").isNull()), "fp")
+    kept_bare = bare.groupBy("root").agg(F.min("r").alias("r")).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "r")
     return kept.unionByName(kept_bare).select("doc_id", "r.*").select(*docs.columns)
 
 
