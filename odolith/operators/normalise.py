@@ -250,7 +250,7 @@ def validation(now: Column, max_future_s: float = 300.0, max_age_s: float = 7 *
     return F.coalesce(*steps)
 
 
-def normalise(raw: DataFrame, registry: DataFrame, now: Column, order: str = "offset", width: int = 1024, dedup: bool = True) -> DataFrame:
+def normalise(raw: DataFrame, registry: DataFrame, now: Column, order: str = "offset", width: int = 1024, dedup: bool = True, max_future_s: float = 300.0, max_age_s: float = 7 * 86_400.0) -> DataFrame:
     """Every raw row (value, oem, schema, order) with `outcome` canonical, dlq or duplicate, `reason`, `detail`, the canonical columns and `late`.
 
     registry: vin, vehicle_id, tenant_id, registered_oem. With dedup=False (in a stream) the verdict is left to a stateful operator.
@@ -263,7 +263,7 @@ def normalise(raw: DataFrame, registry: DataFrame, now: Column, order: str = "of
     own = F.when(F.col("vehicle_id").isNull(), F.struct(F.lit("unknown_vehicle").alias("reason"), F.col("vin").alias("detail"))).when(F.col("registered_oem") != F.col("oem"), F.struct(F.lit("oem_mismatch").alias("reason"), F.col("vin").alias("detail")))
     parse = F.when(F.col("reason_parse").isNotNull(), F.struct(F.col("reason_parse").alias("reason"), F.lit("").alias("detail")))
     # validation only applies to rows that came through an adapter
-    failed = F.coalesce(parse, F.col("bad"), validation(now), own)
+    failed = F.coalesce(parse, F.col("bad"), validation(now, max_future_s, max_age_s), own)
     rows = rows.withColumn("failed", failed).withColumn("reason", F.col("failed.reason")).withColumn("detail", F.substring(F.col("failed.detail"), 1, 200))
     rows = rows.withColumn("dtc_codes", vehicle.dtc_clean(F.col("dtc_raw"))).withColumn("schema_version", F.lit(1)).withColumn("ingest_ts", now)
     rows = rows.withColumn("event_id", F.when(F.col("reason").isNull(), vehicle.stable_id(F.col("vehicle_id"), F.col("seq"))))

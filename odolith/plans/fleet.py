@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odolith.functions import catalog, vehicle
-from odolith.operators import evaluate, plan, quality, radar, rollup, serve, windows
+from odolith.operators import evaluate, normalise, plan, quality, radar, rollup, serve, windows
 from odolith.plans.bindings import Bound, prelude, rounded
 from odolith.sources import sinks
 
@@ -527,3 +527,87 @@ def current_alerts(b: Bound) -> DataFrame:
     cur = a.filter("alert_id % 2 = 0").select("fingerprint", "status", F.col("ts").alias("detected_at"), F.when(F.col("status") == "resolved", F.col("ts")).alias("resolved_at"))
     moves = a.select("fingerprint", F.lit("open").alias("status"), F.col("ts").alias("detected_at")).unionByName(a.filter("alert_id % 3 = 0").select((F.col("fingerprint").cast("bigint") + 5).cast("string").alias("fingerprint"), F.lit("cleared").alias("status"), F.col("ts").alias("detected_at")))
     return sinks.current_alerts(cur, moves)
+
+
+# Normaliser: telemetry written as raw payloads of each format, some of them broken, and read back
+
+_STEM = {"ORION": "PG1CT1A5", "VEGA": "PG2TR4D2", "LYRA": "PG3EV7V4"}
+
+
+def _raw(b: Bound, oem: str, body: Callable[[DataFrame], Column]) -> tuple[DataFrame, DataFrame]:
+    """Raw messages of all telemetry, and the registry of its vehicles; vehicles of a multiple of 13 are not registered."""
+    tail = F.concat(F.lit("T"), F.lpad(F.col("vehicle_id").cast("string"), 7, "0"))
+    digit = vehicle.vin_check_digit(F.concat(F.lit(f"{_STEM[oem]}0"), tail))
+    rows = b.telemetry.withColumn("vin", F.concat(F.lit(_STEM[oem]), digit, tail)).withColumn("iso", F.date_format(F.timestamp_micros((F.col("ts") * 1000000).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
+    registry = rows.filter("vehicle_id % 13 <> 0").select("vin", F.col("vehicle_id").cast("string").alias("vehicle_id"), F.col("tenant_id").cast("string").alias("tenant_id"), F.lit(oem).alias("registered_oem")).distinct()
+    value = F.when(F.col("k") == 50, "{broken").otherwise(F.to_json(body(rows), {"ignoreNullFields": "true"}))
+    return rows.select("arrival", value.alias("value"), F.lit(oem).alias("oem"), F.lit(None).cast("string").alias("schema")), registry
+
+
+def _expected(speed: str, odometer: str, fl: str, rr: str, pack: str, cell: str) -> str:
+    return prelude("telemetry") + f""", j AS (SELECT *, CASE WHEN k = 50 THEN 'malformed_json' WHEN k = 51 THEN 'invalid_type' WHEN k = 52 THEN 'missing_required_field' WHEN k = 53 THEN 'out_of_range' WHEN vehicle_id % 13 = 0 THEN 'unknown_vehicle' END AS reason FROM telemetry),
+v AS (SELECT *, max(CASE WHEN reason IS NULL THEN seq END) OVER (PARTITION BY vehicle_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h, row_number() OVER (PARTITION BY vehicle_id, seq, reason IS NULL ORDER BY arrival) AS rn FROM j),
+o AS (SELECT *, CASE WHEN reason IS NOT NULL THEN NULL WHEN h IS NULL OR seq > h THEN 'NEW' WHEN h - seq >= 3 THEN 'TOO_OLD' WHEN rn > 1 THEN 'DUPLICATE' ELSE 'NEW_LATE' END AS verdict FROM v),
+f AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'dlq' WHEN verdict = 'DUPLICATE' THEN 'duplicate' ELSE 'canonical' END AS outcome FROM o)
+SELECT arrival, outcome, reason, coalesce(verdict IN ('NEW_LATE', 'TOO_OLD'), false) AS late, CASE WHEN outcome = 'canonical' THEN CAST(seq AS DOUBLE) END AS seq, CASE WHEN outcome = 'canonical' THEN round({speed}, 6) + 0.0 END AS speed_kmh, CASE WHEN outcome = 'canonical' THEN round({odometer}, 6) + 0.0 END AS odometer_km,
+  CASE WHEN outcome = 'canonical' THEN round({fl}, 6) + 0.0 END AS tyre_fl_kpa, CASE WHEN outcome = 'canonical' THEN round({rr}, 6) + 0.0 END AS tyre_rr_kpa, CASE WHEN outcome = 'canonical' THEN round({pack}, 6) + 0.0 END AS hv_pack_temp_c,
+  CASE WHEN outcome = 'canonical' THEN CAST({cell} AS DOUBLE) END AS hv_cell_delta_mv, CASE WHEN outcome = 'canonical' THEN round(latitude, 6) + 0.0 END AS latitude, CASE WHEN outcome = 'canonical' THEN array_to_string(dtc_codes, ',') END AS codes FROM f"""
+
+
+def _marked(number: str, plain: Column) -> list[Column]:
+    """A field that is text in one broken case and a number else: the two never occur together in a row."""
+    return [F.when(F.col("k") != 51, plain).alias(number), F.when(F.col("k") == 51, F.lit("fast")).alias(f"{number}_text")]
+
+
+def _text_in_place(value: Column, field: str) -> Column:
+    return F.regexp_replace(value, f'"{field}_text":', f'"{field}":')
+
+
+@query(_expected("speed_kmh", "odometer_km", "tyre_fl_kpa", "tyre_rr_kpa", "hv_pack_temp_c", "round_even(hv_cell_delta_mv, 0)"))
+def normalise_flat(b: Bound) -> DataFrame:
+    def body(rows: DataFrame) -> Column:
+        tyres = F.array("tyre_fl_kpa", "tyre_fr_kpa", "tyre_rl_kpa", "tyre_rr_kpa")
+        return F.struct("vin", F.col("iso").alias("ts"), F.when(F.col("k") != 52, F.col("seq")).alias("seq"), F.when(F.col("k") == 53, 999.0).otherwise(F.col("latitude")).alias("lat"), F.col("longitude").alias("lon"), *_marked("speed_kmh", F.col("speed_kmh")), F.col("odometer_km").alias("odo_km"), tyres.alias("tpms_kpa"), F.col("hv_pack_temp_c").alias("pack_temp_c"), F.col("hv_cell_delta_mv").alias("cell_delta_mv"), F.col("dtc_codes").alias("dtc"))
+
+    return _with_text(b, "ORION", body, "speed_kmh")
+
+
+def _with_text(b: Bound, oem: str, body: Callable[[DataFrame], Column], field: str) -> DataFrame:
+    raw, registry = _raw(b, oem, body)
+    raw = raw.withColumn("value", _text_in_place(F.col("value"), field))
+    rows = normalise.normalise(raw, registry, F.timestamp_seconds(F.lit(1706745600)), order="arrival", width=3, max_age_s=1e9)
+    ok = F.col("outcome") == "canonical"
+    values = [F.when(ok, F.col(c)).cast("double").alias(c) for c in ("seq", "speed_kmh", "odometer_km", "tyre_fl_kpa", "tyre_rr_kpa", "hv_pack_temp_c", "hv_cell_delta_mv", "latitude")]
+    return rows.select("arrival", "outcome", "reason", "late", *values, F.when(ok, F.array_join("dtc_codes", ",")).alias("codes"))
+
+
+@query(_expected("round_even(speed_kmh / 0.621371, 2)", "round_even(odometer_km / 0.621371, 2)", "round_even(tyre_fl_kpa / 7 / 0.145038, 2)", "round_even(tyre_rr_kpa / 7 / 0.145038, 2)", "round_even((hv_pack_temp_c + 33.7 - 32) / 1.8, 2)", "round_even(hv_cell_delta_mv, 0)"))
+def normalise_nested(b: Bound) -> DataFrame:
+    def body(rows: DataFrame) -> Column:
+        header = F.struct(F.col("vin").alias("vehicleIdentifier"), F.col("iso").alias("timestamp"), F.when(F.col("k") != 52, F.col("seq")).alias("sequence"))
+        location = F.struct(F.when(F.col("k") == 53, 999.0).otherwise(F.col("latitude")).alias("latitude"), "longitude")
+        motion = F.struct(*_marked("speedMph", F.col("speed_kmh")), F.col("odometer_km").alias("odometerMiles"))
+        tires = F.struct((F.col("tyre_fl_kpa") / 7).alias("frontLeftPsi"), (F.col("tyre_rr_kpa") / 7).alias("rearRightPsi"))
+        hybrid = F.struct((F.col("hv_pack_temp_c") + 33.7).alias("packTempF"), F.col("hv_cell_delta_mv").alias("cellDeltaMv"))
+        return F.struct(header.alias("header"), location.alias("location"), motion.alias("motion"), tires.alias("tires"), hybrid.alias("hybrid"), F.struct(F.lower(F.array_join("dtc_codes", ";")).alias("activeCodes")).alias("diagnostics"))
+
+    return _with_text(b, "VEGA", body, "speedMph")
+
+
+@query(_expected("round_even(speed_kmh / 5 * 3.6, 2)", "round_even(odometer_km * 0.001, 2)", "round_even(tyre_fl_kpa / 130 * 100, 2)", "tyre_rr_kpa", "hv_pack_temp_c", "round_even(hv_cell_delta_mv, 0)"))
+def normalise_list(b: Bound) -> DataFrame:
+    def body(rows: DataFrame) -> Column:
+        item = lambda name, value, unit: F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(unit).alias("unit"), F.lit(None).cast("string").alias("value_text"))
+        speed = F.struct(F.lit("vehicle.speed").alias("name"), F.when(F.col("k") != 51, F.col("speed_kmh") / 5).alias("value"), F.lit("m/s").alias("unit"), F.when(F.col("k") == 51, F.lit("fast")).alias("value_text"))
+        signals = F.array(
+            item("position.lat", F.lit(0.5), "deg"), item("position.lat", F.when(F.col("k") == 53, 999.0).otherwise(F.col("latitude")), "deg"), item("position.lon", F.col("longitude"), "deg"), speed, item("vehicle.odometer", F.col("odometer_km"), "m"), item("tyre.fl.pressure", F.col("tyre_fl_kpa") / 130, "bar"),
+            item("tyre.rr.pressure", F.col("tyre_rr_kpa"), "kPa"), item("hv.packTemp", F.col("hv_pack_temp_c"), "degC"), item("hv.cellDelta", F.col("hv_cell_delta_mv"), "mV"), item("something.else", F.lit(1.0), "?"),
+        )
+        return F.struct("vin", F.when(F.col("k") != 52, F.col("seq")).alias("counter"), (F.col("ts") * 1000).cast("bigint").alias("timestampMs"), signals.alias("signals"), F.transform("dtc_codes", lambda c: F.struct(c.alias("code"))).alias("faults"))
+
+    return _with_text(b, "LYRA", body, "value")
+
+
+@query(prelude("telemetry") + """, j AS (SELECT CASE WHEN k = 50 THEN 'malformed_json' WHEN k = 51 THEN 'invalid_type' WHEN k = 52 THEN 'missing_required_field' WHEN k = 53 THEN 'out_of_range' WHEN vehicle_id % 13 = 0 THEN 'unknown_vehicle' END AS reason FROM telemetry) SELECT reason, CAST(count(*) AS BIGINT) AS n FROM j WHERE reason IS NOT NULL GROUP BY 1""")
+def reject_reason(b: Bound) -> DataFrame:
+    return normalise_flat(b).filter("outcome = 'dlq'").groupBy("reason").agg(F.count("*").alias("n"))
