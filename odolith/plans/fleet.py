@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from odolith.functions import catalog, vehicle
 from odolith.operators import evaluate, normalise, plan, quality, radar, rollup, serve, windows
 from odolith.plans.bindings import Bound, prelude, rounded
+from odolith.session import ship
 from odolith.sources import sinks
+from odolith.streaming import processors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -611,3 +613,123 @@ def normalise_list(b: Bound) -> DataFrame:
 @query(prelude("telemetry") + """, j AS (SELECT CASE WHEN k = 50 THEN 'malformed_json' WHEN k = 51 THEN 'invalid_type' WHEN k = 52 THEN 'missing_required_field' WHEN k = 53 THEN 'out_of_range' WHEN vehicle_id % 13 = 0 THEN 'unknown_vehicle' END AS reason FROM telemetry) SELECT reason, CAST(count(*) AS BIGINT) AS n FROM j WHERE reason IS NOT NULL GROUP BY 1""")
 def reject_reason(b: Bound) -> DataFrame:
     return normalise_flat(b).filter("outcome = 'dlq'").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+# Further reads, sinks and audits
+
+
+@query(prelude("alerts", "failures") + f""", {_PER_RULE}, fit AS (SELECT rule_code, CASE rule_code WHEN 'COOLANT_DRIFT' THEN 0.4 WHEN 'LV_BATTERY_WEAK' THEN 0.5 ELSE 0.38 END::DOUBLE AS p FROM per),
+ci AS (SELECT *, round(greatest(0, (followed / eligible + 1.96 * 1.96 / (2 * eligible) - 1.96 * sqrt(followed / eligible * (1 - followed / eligible) / eligible + 1.96 * 1.96 / (4 * eligible * eligible))) / (1 + 1.96 * 1.96 / eligible)), 3) AS lo,
+  round(least(1, (followed / eligible + 1.96 * 1.96 / (2 * eligible) + 1.96 * sqrt(followed / eligible * (1 - followed / eligible) / eligible + 1.96 * 1.96 / (4 * eligible * eligible))) / (1 + 1.96 * 1.96 / eligible)), 3) AS hi FROM per)
+SELECT CAST(sum(eligible) AS BIGINT) AS alerts, round(sum(followed * power(1 - fit.p, 2) + (eligible - followed) * power(fit.p, 2)) / sum(eligible), 6) + 0.0 AS brier, round(sum(followed) / sum(eligible) * (1 - sum(followed) / sum(eligible)), 6) + 0.0 AS no_skill,
+  CAST(count(*) FILTER (fit.p BETWEEN lo AND hi) AS BIGINT) AS inside, CAST(count(*) AS BIGINT) AS rules FROM ci JOIN fit USING (rule_code)""")
+def holdout_brier(b: Bound) -> DataFrame:
+    held = evaluate.rule_calibration(evaluate.outcomes(b.alerts.filter("price > 350000"), b.failures, 31557600.0))
+    p = F.when(F.col("rule_code") == "COOLANT_DRIFT", 0.4).when(F.col("rule_code") == "LV_BATTERY_WEAK", 0.5).otherwise(0.38)
+    return evaluate.holdout_brier(held.select("rule_code", p.alias("p")), held)
+
+
+@query("SELECT round(coalesce(avg(CASE WHEN l_linenumber > 3 THEN CAST(l_returnflag = 'R' AS INT) END), 0), 6) + 0.0 AS no_alert_rate FROM lineitem")
+def no_alert_rate(b: Bound) -> DataFrame:
+    rows = b.table("lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), F.when(F.col("l_linenumber") > 3, 0).otherwise(1).alias("rules_open"))
+    return evaluate.no_alert_rate(rows)
+
+
+@query("SELECT s AS vehicle_id, x AS best FROM (SELECT l_suppkey AS s, max(l_extendedprice) AS x FROM lineitem GROUP BY 1) ORDER BY x DESC, s LIMIT 5")
+def best_row_of_each(b: Bound) -> DataFrame:
+    rows = b.table("lineitem").select(F.col("l_suppkey").alias("vehicle_id"), F.col("l_extendedprice").alias("best"))
+    return evaluate.best_row_of_each(rows, "vehicle_id", "best", 5)
+
+
+@query(prelude("telemetry", "vehicles") + ", c AS (SELECT * FROM vehicles WHERE vehicle_id % 4 <> 1) SELECT CAST(count(*) AS BIGINT) AS n FROM telemetry t WHERE len(dtc_codes) > 0 AND NOT EXISTS (SELECT 1 FROM c WHERE c.vehicle_id = t.vehicle_id)")
+def unknown_vehicle_count(b: Bound) -> DataFrame:
+    events = b.telemetry.select("vehicle_id", "ts", F.col("dtc_codes").alias("dtcs"))
+    return radar.unknown_vehicles(events, b.vehicles.filter("vehicle_id % 4 <> 1"))
+
+
+@query(prelude("alerts", "work_orders") + """, s AS (SELECT vehicle_id FROM alerts WHERE severity = 'critical' GROUP BY 1), a AS (SELECT vehicle_id, min(ts) AS ts FROM alerts GROUP BY 1), w AS (SELECT vehicle_id, min(scheduled_s) AS ts FROM work_orders GROUP BY 1)
+SELECT vehicle_id, 'alert' AS kind, round((ts - 788918400) / 3600, 6) + 0.0 AS hours FROM a JOIN s USING (vehicle_id) UNION ALL SELECT vehicle_id, 'order', round((ts - 788918400) / 3600, 6) + 0.0 FROM w JOIN s USING (vehicle_id)""")
+def timeline(b: Bound) -> DataFrame:
+    subjects = b.alerts.filter("severity = 'critical'").select("vehicle_id").distinct()
+    return serve.timeline(subjects, b.alerts, b.work_orders.withColumnRenamed("scheduled_s", "ts"), 788918400.0)
+
+
+@query(prelude("telemetry") + " SELECT arrival, round(CASE WHEN tenant_id = 3 THEN latitude ELSE round(latitude, 0) END, 6) + 0.0 AS latitude, round(CASE WHEN tenant_id = 3 THEN longitude ELSE round(longitude, 0) END, 6) + 0.0 AS longitude, CASE WHEN tenant_id = 3 THEN 'exact' ELSE 'approximate' END AS precision FROM telemetry")
+def masked_positions(b: Bound) -> DataFrame:
+    return serve.masked_positions(b.telemetry, F.col("tenant_id") == 3, 0).select("arrival", "latitude", "longitude", "precision")
+
+
+@query(prelude("telemetry") + ", l AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts DESC) AS rn FROM telemetry) SELECT vehicle_id, arrival, round(ts, 6) + 0.0 AS ts FROM l WHERE rn = 1 AND ts >= 1706486400")
+def latest_state(b: Bound) -> DataFrame:
+    states = b.telemetry.withColumn("as_of", F.timestamp_micros((F.col("ts") * 1000000).cast("bigint")))
+    return sinks.latest_state(states, F.timestamp_seconds(F.lit(1706572800)), 86400).select("vehicle_id", "arrival", "ts")
+
+
+@query(prelude("work_orders") + " SELECT work_order_id FROM work_orders WHERE scheduled_for >= DATE '2001-06-01' - INTERVAL 400 DAY")
+def retained_rows(b: Bound) -> DataFrame:
+    return sinks.retained(b.work_orders, "rollup", F.lit("2001-06-01").cast("date"), "scheduled_for").select("work_order_id")
+
+
+@query("SELECT k, coalesce(n.v, o.v) AS v, o.w FROM (SELECT c_custkey AS k, c_acctbal AS v, c_mktsegment AS w FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 <> 0 THEN -c_acctbal END AS v FROM customer WHERE c_custkey % 2 = 0) n USING (k)")
+def dimension_upsert(b: Bound) -> DataFrame:
+    c = b.table("customer")
+    old = c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").alias("w"))
+    new = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 5 != 0, -F.col("c_acctbal")).alias("v"))
+    return sinks.upsert(old, new, ["k"], ["v"])
+
+
+@query(prelude("telemetry") + f", l AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id, floor(ts / {DAY}) ORDER BY ts DESC, arrival DESC) AS rn FROM telemetry) SELECT vehicle_id, arrival FROM l WHERE rn = 1")
+def last_of_each_day(b: Bound) -> DataFrame:
+    return windows.last_of_each(b.telemetry, "vehicle_id", "ts", float(DAY), "arrival").select("vehicle_id", "arrival")
+
+
+@query(prelude("telemetry") + """, g AS (SELECT vehicle_id, arrival, seq, 'COOLANT_OVERHEAT' AS rule_code, CASE WHEN coolant_temp_c > 112 THEN 1 WHEN coolant_temp_c < 105 THEN 0 END AS b FROM telemetry UNION ALL SELECT vehicle_id, arrival, seq, 'LV_BATTERY_WEAK', CASE WHEN lv_battery_v < 12.25 THEN 1 WHEN lv_battery_v > 12.45 THEN 0 END FROM telemetry
+  UNION ALL SELECT vehicle_id, arrival, seq, 'HV_CELL_IMBALANCE', CASE WHEN hv_cell_delta_mv > 40 THEN 1 WHEN hv_cell_delta_mv < 25 THEN 0 END FROM telemetry WHERE hv_cell_delta_mv IS NOT NULL),
+h AS (SELECT *, coalesce(last_value(b IGNORE NULLS) OVER (PARTITION BY vehicle_id, rule_code ORDER BY arrival ROWS UNBOUNDED PRECEDING), 0) AS s FROM g), e AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY vehicle_id, rule_code ORDER BY arrival), 0) AS was FROM h),
+o AS (SELECT *, last_value(CASE WHEN s = 1 AND was = 0 THEN seq END IGNORE NULLS) OVER (PARTITION BY vehicle_id, rule_code ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS os FROM e)
+SELECT vehicle_id, arrival, rule_code, CASE s WHEN 1 THEN 'open' ELSE 'cleared' END AS status, os AS opened_seq FROM o WHERE s <> was""")
+def rule_transitions(b: Bound) -> DataFrame:
+    t = b.telemetry.select("vehicle_id", "arrival", "seq", F.col("coolant_temp_c").alias("COOLANT_OVERHEAT"), F.col("lv_battery_v").alias("LV_BATTERY_WEAK"), F.col("hv_cell_delta_mv").alias("HV_CELL_IMBALANCE"))
+    found = windows.rule_transitions(t, catalog.rules(b.spark), "vehicle_id", "arrival", "seq", ["COOLANT_OVERHEAT", "LV_BATTERY_WEAK", "HV_CELL_IMBALANCE"])
+    return found.select("vehicle_id", "arrival", "rule_code", "status", "opened_seq")
+
+
+@query(prelude("vehicles", "work_orders") + " SELECT w.work_order_id FROM work_orders w LEFT JOIN (SELECT vehicle_id, CASE WHEN vehicle_id % 9 = 0 THEN -1 ELSE tenant_id END AS t FROM vehicles) v USING (vehicle_id) WHERE v.t IS NULL OR v.t <> w.tenant_id")
+def foreign_tenant(b: Bound) -> DataFrame:
+    parents = b.vehicles.select("vehicle_id", F.when(F.col("vehicle_id") % 9 == 0, -1).otherwise(F.col("tenant_id")).alias("tenant_id"))
+    return quality.foreign_tenant(b.work_orders, parents, "vehicle_id").select("work_order_id")
+
+
+@query(prelude("telemetry", "work_orders") + """, s AS (SELECT DISTINCT vehicle_id FROM telemetry WHERE vehicle_id % 7 = 3) SELECT s.vehicle_id, CAST((SELECT count(*) FROM telemetry t WHERE t.vehicle_id = s.vehicle_id) AS BIGINT) AS rows_masked, CAST((SELECT count(*) FROM work_orders w WHERE w.vehicle_id = s.vehicle_id) AS BIGINT) AS links_deleted, 'completed' AS status FROM s""")
+def erasure_report(b: Bound) -> DataFrame:
+    return quality.erasure_report(b.telemetry, b.work_orders, b.telemetry.filter("vehicle_id % 7 = 3").select("vehicle_id"), "vehicle_id")
+
+
+@query(prelude("alerts", "work_orders") + f""", {_CANDIDATES}, f AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM work_orders w WHERE w.vehicle_id = c.vehicle_id AND w.failure_mode = c.failure_mode AND w.status IN {_ACTIVE})) SELECT vehicle_id, failure_mode, source_alert_id, round(value, 6) + 0.0 AS value FROM f""")
+def new_proposals(b: Bound) -> DataFrame:
+    planned = _candidates(b).withColumn("workshop_id", F.lit(1))
+    return plan.new_proposals(planned, b.work_orders).select("vehicle_id", "failure_mode", "source_alert_id", "value")
+
+
+@query(prelude("alerts", "vehicles") + " SELECT DISTINCT model_code FROM vehicles WHERE tenant_id = 4")
+def tenant_models(b: Bound) -> DataFrame:
+    return serve.tenant_scope(b.vehicles, 4).select("model_code").distinct()
+
+
+@query(prelude("vehicles", "alerts") + """, pg AS (SELECT alert_id, vehicle_id, ts FROM alerts WHERE tenant_id = 7 ORDER BY ts DESC, alert_id DESC LIMIT 15) SELECT pg.alert_id, pg.vehicle_id, pg.ts, v.model_code FROM pg LEFT JOIN vehicles v USING (vehicle_id)""")
+def named_page(b: Bound) -> DataFrame:
+    page = serve.keyset_page(serve.tenant_scope(b.alerts, 7), ["ts", "alert_id"], 15).select("alert_id", "vehicle_id", "ts")
+    return serve.named_page(page, [(b.vehicles.select("vehicle_id", "model_code"), "vehicle_id")])
+
+
+@query(prelude("alerts") + " SELECT severity, CAST(count(*) FILTER (status = 'open') AS BIGINT) AS open, CAST(count(*) FILTER (status <> 'open') AS BIGINT) AS other FROM alerts GROUP BY 1")
+def severity_counts(b: Bound) -> DataFrame:
+    return serve.conditional_counts(b.alerts, {"open": F.col("status") == "open", "other": F.col("status") != "open"}, ["severity"])
+
+
+@query()
+def detector(b: Bound) -> DataFrame:
+    """The stateful fold over a table; tests compare it with its stream and with the window operators."""
+    ship(b.spark)
+    t = b.telemetry.withColumn("vehicle_id", F.col("vehicle_id").cast("string")).withColumn("hv_cell_delta_mv", F.col("hv_cell_delta_mv").cast("int"))
+    return processors.detections_batch(t)
