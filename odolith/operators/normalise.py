@@ -224,13 +224,15 @@ def parsed(raw: DataFrame) -> DataFrame:
 
 
 def adapted(rows: DataFrame) -> DataFrame:
-    """Rows of parsed() sent through their adapters; rejected ones keep null fields."""
-    out = []
-    base = rows.columns
-    for (oem, schema), adapter in ADAPTERS.items():
-        out.append(adapter(rows.filter(F.col("reason_parse").isNull() & (F.col("oem") == oem) & (F.col("format") == schema))))
-    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
-    return whole.unionByName(rows.filter(F.col("reason_parse").isNotNull()).select(*base), allowMissingColumns=True)
+    """Rows of parsed() with the fields of their format's adapter; those of no format have nulls. One pass: a row's other adapters are not evaluated."""
+    base, found = rows, []
+    for i, ((oem, schema), adapter) in enumerate(ADAPTERS.items()):
+        out = adapter(base)
+        added = sorted(set(out.columns) - set(base.columns))
+        own = F.col("reason_parse").isNull() & (F.col("oem") == oem) & (F.col("format") == schema)
+        base = out.withColumn(f"_a{i}", F.when(own, F.struct(*added))).drop(*added)
+        found.append(f"_a{i}")
+    return base.withColumn("_a", F.coalesce(*found)).select(*rows.columns, "_a.*")
 
 
 def validation(now: Column, max_future_s: float = 300.0, max_age_s: float = 7 * 86_400.0) -> Column:
@@ -269,11 +271,12 @@ def normalise(raw: DataFrame, registry: DataFrame, now: Column, order: str = "of
     rows = rows.withColumn("event_id", F.when(F.col("reason").isNull(), vehicle.stable_id(F.col("vehicle_id"), F.col("seq"))))
     if not dedup:
         return rows.withColumn("outcome", F.when(F.col("reason").isNotNull(), "dlq").otherwise("canonical")).withColumn("late", F.lit(False)).drop("failed", "bad", "p", "dtc_raw", "reason_parse", "format", "check_digit")
-    good = dedup_verdict(rows.filter("reason IS NULL"), "vehicle_id", order, "seq", width)
-    bad = rows.filter("reason IS NOT NULL").withColumn("verdict", F.lit(None).cast("string"))
-    both = good.unionByName(bad)
+    # rejected rows take no part in the verdicts; they are spread over keys of their own
+    spread = F.concat(F.lit("-"), F.pmod(F.xxhash64(order, "value"), F.lit(1 << 20)).cast("string"))
+    keyed = rows.withColumn("_key", F.when(F.col("reason").isNull(), F.concat(F.lit("+"), F.col("vehicle_id").cast("string"))).otherwise(spread))
+    both = dedup_verdict(keyed, "_key", order, "seq", width).drop("_key")
     outcome = F.when(F.col("reason").isNotNull(), "dlq").when(F.col("verdict") == "DUPLICATE", "duplicate").otherwise("canonical")
-    return both.withColumn("outcome", outcome).withColumn("late", F.coalesce(F.col("verdict").isin("NEW_LATE", "TOO_OLD"), F.lit(False))).drop("failed", "bad", "p", "dtc_raw", "reason_parse", "format", "check_digit")
+    return both.withColumn("outcome", outcome).withColumn("late", F.coalesce(F.col("reason").isNull() & F.col("verdict").isin("NEW_LATE", "TOO_OLD"), F.lit(False))).drop("failed", "bad", "p", "dtc_raw", "reason_parse", "format", "check_digit")
 
 
 def canonical(rows: DataFrame) -> DataFrame:
