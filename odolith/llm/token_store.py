@@ -6,8 +6,8 @@ each document begins in the block, `first_id` the number of ids in the shard bef
 begin at bit i * width, so any document or id range is unpacked with numpy from its own bytes alone. Shards follow one
 another in ascending doc_id order, and the manifest has each shard's number of ids.
 
-Nulls and edges: a null text is an empty one; a null doc_id sorts first; equal doc_ids are ordered by text, repeated
-rows are each kept; an empty table gives an empty store; further columns are ignored.
+Nulls and edges: a null text is an empty one; a null doc_id sorts first; equal doc_ids are ordered by a hash of the text,
+repeated rows are each kept; an empty table gives an empty store; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def unpack_bits(payload: bytes, width: int, start: int, count: int) -> np.ndarra
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, shards: int | None = None, block_ids: int = BLOCK_IDS) -> None:
     """Encode every text of docs (doc_id, text) and write the packed table to path/blocks.
 
-    Rows are range-partitioned by doc_id, so a key that repeats stays whole; all work after that is within a partition.
+    Rows are range-partitioned by doc_id and a hash of the text, so a doc_id with very many texts is split; all work after that is within a partition.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -91,8 +91,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shards, "doc_id") if shards else rows.repartitionByRange("doc_id")
-    rows.sortWithinPartitions("doc_id", "text").mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange(shards, "doc_id", "h") if shards else rows.repartitionByRange("doc_id", "h")
+    rows.sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 BLOCK_SCHEMA = pa.schema([
