@@ -15,6 +15,13 @@ def without_active_order(alerts: DataFrame, orders: DataFrame, active: tuple[str
     return alerts.join(held, ["vehicle_id", "failure_mode"], "left_anti")
 
 
+def planner_alerts(alerts: DataFrame, now) -> DataFrame:
+    """Open alerts with a failure mode: their age in hours, and the hours to critical that their details (JSON) name, if any."""
+    opened = alerts.filter((F.col("status") == "open") & F.col("failure_mode").isNotNull())
+    hours = F.get_json_object("details", "$.estimated_hours_to_critical").try_cast("double")
+    return opened.withColumn("age_hours", vehicle.age_hours(now, F.col("event_ts"))).withColumn("estimated_hours_to_critical", hours)
+
+
 def booked_slots(orders: DataFrame, today: str, active: tuple[str, ...] = ("scheduled", "in_progress")) -> DataFrame:
     """Orders of each workshop and day from today on."""
     day = F.datediff("scheduled_for", F.lit(today).cast("date"))
