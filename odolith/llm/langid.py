@@ -4,7 +4,8 @@ A text is a vector of hashed n-grams of 2 to 4 bytes of its lower-cased letters,
 document frequency over all training rows, and unit length. Each language has a few centroids, found by spherical
 k-means on a bounded sample of its training rows (`sample_per_language`, a fit parameter); the nearest centroid by
 cosine names the language. A text is rejected if it is farther from that centroid than the language's training texts
-allow: its cosine is below `slack` times the `tail` quantile of theirs.
+allow: its cosine is below `slack` times the `tail` quantile of theirs. A text of fewer than `MIN_GRAMS` n-grams is too
+short to be far from anything and is not rejected by distance.
 
 Document frequencies come from all training rows, as one count for each n-gram slot and task. k-means runs in one task
 for each language, on that language's bounded sample. Only centroids (languages x clusters x slots) reach the driver.
@@ -35,7 +36,7 @@ LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 SIZES = (2, 3, 4)
 CLUSTERS, SAMPLE_PER_LANGUAGE, TAIL, SLACK = 4, 400, 0.01, 0.25
 UNKNOWN = "und"
-BATCH = 256
+BATCH, MIN_GRAMS = 256, 60
 
 
 def counts_of(texts: pa.Array, slots: int = SLOTS) -> np.ndarray:
@@ -84,10 +85,11 @@ class Model:
         letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        near = vectors(counts_of(texts), self.idf) @ self.centroids.T
+        counts = counts_of(texts)
+        near = vectors(counts, self.idf) @ self.centroids.T
         best = near.argmax(axis=1)
         score = np.where(letters, np.clip(near[np.arange(len(near)), best], 0, 1), 0.0)
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)], score, ~letters | (score < self.least[best])
+        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)], score, ~letters | ((score < self.least[best]) & (counts.sum(axis=1) >= MIN_GRAMS))
 
 
 def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
