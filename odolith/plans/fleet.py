@@ -733,3 +733,32 @@ def detector(b: Bound) -> DataFrame:
     ship(b.spark)
     t = b.telemetry.withColumn("vehicle_id", F.col("vehicle_id").cast("string")).withColumn("hv_cell_delta_mv", F.col("hv_cell_delta_mv").cast("int"))
     return processors.detections_batch(t)
+
+
+_SIGNALS = """, t AS (SELECT *, count(*) OVER (PARTITION BY window_start) AS nt, (base_k + 0.5) / (base_n + 1) AS p0 FROM tests WHERE base_n > 0), c AS (SELECT *, n * p0 AS lam FROM t WHERE k >= 2 AND k / n >= 1.2 * p0),
+sig AS (SELECT window_start, dtc, level, model_code, firmware_version FROM (SELECT *, 1 - list_sum(list_transform(range(0, CAST(k AS BIGINT)), lambda i: exp(-lam + i * ln(lam) - lgamma(CAST(i + 1 AS DOUBLE))))) AS pv FROM c) WHERE least(1, pv * nt) < 2)"""
+
+
+def _found_signals(b: Bound) -> DataFrame:
+    return radar.signals(_tests(b), 604800.0, min_vehicles=2, min_ratio=1.2, alpha=2.0)
+
+
+@query(prelude("telemetry", "vehicles") + f", {_COHORTS}, {_AFFECTED}, {_TESTS}{_SIGNALS} SELECT window_start, dtc, level, model_code, firmware_version FROM sig WHERE window_start + 604800 >= 1706745600 - 340 * 3600")
+def recent_signals(b: Bound) -> DataFrame:
+    return serve.recent_signals(_found_signals(b), 1706745600.0, 340.0, 100_000).select("window_start", "dtc", "level", "model_code", "firmware_version")
+
+
+@query(prelude("telemetry", "vehicles") + f", {_COHORTS}, {_AFFECTED}, {_TESTS}{_SIGNALS} SELECT window_start, dtc, level, model_code, firmware_version FROM sig WHERE model_code IN (SELECT model_code FROM vehicles WHERE tenant_id = 4 AND vehicle_id % 5 = 0)")
+def signals_of_tenant(b: Bound) -> DataFrame:
+    own = serve.tenant_scope(b.vehicles, 4).filter("vehicle_id % 5 = 0")
+    return serve.signals_of_tenant(_found_signals(b), own).select("window_start", "dtc", "level", "model_code", "firmware_version")
+
+
+@query()
+def failure_model(b: Bound) -> DataFrame:
+    """Boosted trees on window features, trained on some vehicles and scored on all with the data gate."""
+    numeric = ["coolant_mean_long", "coolant_resid_long", "lv_min_long", "tyre_ratio_long", "cell_delta_long", "dtc_rate_long", "pack_temp_max_long"]
+    features = rollup.window_features(_snapshots(b), rollup.minute_buckets(b.telemetry, width_s=DAY), 604800.0, 172800.0).join(b.vehicles.select("vehicle_id", "model_code"), "vehicle_id")
+    rows = evaluate.split(features.withColumn("label", (F.col("coolant_max_long") > 115).cast("int")), 0.75).withColumn("is_validation", ~F.col("is_train"))
+    model = evaluate.train_failure_model(rows, numeric, ["model_code"], rounds=5, depth=3)
+    return evaluate.score_fleet(rows, model, numeric, min_events=10, min_minutes=5).select("vehicle_id", "t", "label", "sufficient", "probability")
