@@ -13,7 +13,8 @@ is the only thing that is sent to the tasks. No shuffle carries text or postings
 
 Nulls and edges: a null or empty text has no words; items without words never match; a null doc_id is kept as it is;
 repeated documents are each answered; an empty benchmark or document table gives zero counts or no rows; item ids
-are compared as strings, and items that share an id count once; further columns of either table are ignored.
+are compared as strings, and items that share an id count once; items with a null id count like one item, a null entry
+of `items` that has no part in the joined ids; further columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -42,32 +43,32 @@ INDEX = "segment long, doc_ids array<bigint>, n_words array<bigint>, terms array
 class Phrases:
     """One block of test items: its dictionary of terms and its distinct windows."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         flat, counts = words(pa.array([text for _, text in items], pa.string()), LOWER_WORDS)
         coded = flat.dictionary_encode()
         self.terms: list[str] = coded.dictionary.to_pylist()
         codes, at = np.asarray(coded.indices).astype(np.int32), 0
-        found: dict[tuple[int, ...], set[str]] = {}
+        found: dict[tuple[int, ...], set[str | None]] = {}
         for (item, _), n in zip(items, counts.tolist()):
             own = codes[at : at + n].tolist()
             for i in range(max(1, n - window + 1) if n else 0):
                 found.setdefault(tuple(own[i : i + window]), set()).add(item)
             at += n
-        self.windows, self.items = list(found), [sorted(x) for x in found.values()]
+        self.windows, self.items = list(found), [in_order(x) for x in found.values()]
 
     def order_by(self, frequency: dict[int, int]) -> None:
         """Put the rarest term of each window first: orders[w] are offsets in the window."""
         self.orders = [sorted(range(len(w)), key=lambda i, w=w: (frequency.get(w[i], 0), i)) for w in self.windows]
 
 
-def blocks_of(benchmark: DataFrame, item_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def blocks_of(benchmark: DataFrame, item_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """The test items, block by block; each has about item_bytes of text."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // item_bytes) + 1
     for k in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r.item, r.text) for r in part.collect() if r.item is not None]
+        yield [(r.item, r.text) for r in part.collect()]
 
 
 def build_index(docs: DataFrame, terms: list[str], path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
@@ -153,7 +154,7 @@ def matches(spark, path: str, phrases: Phrases, slop: int = 0) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": row["doc_ids"], "n_words": row["n_words"], "segment": [row["segment"]] * len(out), "nth": list(range(len(out))),
                     "runs": [[{"lo": a - f, "hi": b - f} for a, b in h] for h, f in zip(out, first.tolist())],
-                    "items": [sorted(x) for x in items], "near_items": [sorted(x - y) for x, y in zip(close, items)],
+                    "items": [in_order(x) for x in items], "near_items": [in_order(x - y) for x, y in zip(close, items)],
                 }, schema=MATCH_SCHEMA)
 
     return spark.read.schema(INDEX).parquet(path).mapInArrow(answer, "doc_id long, n_words long, segment long, nth int, runs array<struct<lo:bigint,hi:bigint>>, items array<string>, near_items array<string>")
@@ -165,6 +166,11 @@ MATCH_SCHEMA = pa.schema([
 ])
 
 
+def in_order(ids: set[str | None]) -> list[str | None]:
+    """Sorted, a null last."""
+    return sorted(ids, key=lambda x: (x is None, x or ""))
+
+
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(runs):

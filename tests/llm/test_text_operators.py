@@ -99,6 +99,15 @@ def test_decontamination(spark, docs, odd_texts, item_bytes):
     assert decontam.find_contamination(docs([]), bench).count() == 0
 
 
+@pytest.mark.parametrize("item_bytes", [1 << 20, 20])
+def test_items_without_an_id_count(spark, docs, item_bytes):
+    bench = spark.createDataFrame([(None, "one two three"), (None, "four five"), (7, "four five")], "item_id long, text string")
+    rows = [(1, "zero one two three"), (2, "four five six"), (3, "six seven")]
+    got = {r.doc_id: r for r in decontam.digest(decontam.find_contamination(docs(rows), bench, item_bytes=item_bytes)).collect()}
+    of = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    assert {i: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in got.items()} == {1: (3, 1, of(""), True), 2: (2, 2, of("7"), True), 3: (0, 0, of(""), False)}
+
+
 def test_licences(spark, docs):
     rows = [
         (1, "MIT License\n"), (2, "Copyright (c) 2020 Someone\n\n" + licences.MIT.replace("\n", " ").upper()), (3, "text\nLicenced under the apache LICENCE - version 2.0!\nmore"), (4, None), (5, ""), (None, "SPDX-License-Identifier: MIT"),
