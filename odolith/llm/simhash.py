@@ -164,16 +164,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row of docs for each component: that of its smallest doc_id, or of rows without one the least by their columns. Of rows that share the id, the least as well."""
+    """One row of docs for each component: the least by its columns among those with the component's smallest doc_id, or among all if none has one."""
     rest = [c for c in docs.columns if c != "doc_id"]
-    marked = cut(fingerprints(docs, shingle), "fingerprints")
+    # an id may be that of several texts, each in a component of its own: id and digest name a text
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    marked = cut(fingerprints(docs.select("doc_id", "text", digest.alias("digest")), shingle, ("doc_id", "digest")), "fingerprints")
     groups = cut(grouped(marked, radius, tile), "groups")
-    named = groups.filter(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r"))
-    # rows without an id stand for a component only if no other row does
-    bare = fingerprints(docs.filter(F.col("doc_id").isNull()).select("text", F.struct(*rest).alias("r")), shingle, ("r",)).join(groups.filter(F.col("component_id").isNull()), "fp")
-    kept_bare = bare.groupBy("root").agg(F.min("r").alias("r")).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "r")
-    return kept.unionByName(kept_bare).select("doc_id", "r.*").select(*docs.columns)
+    first = marked.join(groups, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id"), F.col("digest").alias("first_digest"), "root").distinct()
+    rows = docs.select("doc_id", digest.alias("digest"), F.struct(*rest).alias("r"))
+    kept = rows.join(first, rows.doc_id.eqNullSafe(first.first_id) & (rows.digest == first.first_digest)).groupBy("root").agg(F.min(F.struct("doc_id", "r")).alias("k"))
+    return kept.select("k.doc_id", "k.r.*").select(*docs.columns)
 
 
 def hex_of(fp: Column) -> Column:

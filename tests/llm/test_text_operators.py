@@ -211,6 +211,14 @@ def test_simhash(spark, docs, odd_texts):
     assert simhash.near_duplicates(docs([])).count() == 0 and simhash.one_of_each(docs([])).count() == 0
 
 
+def test_each_component_keeps_a_row_when_ids_repeat(docs):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    # 5 has a copy of 3 and a text of its own; 8 has two texts of its own, one of them twice; two rows have no id
+    rows = [(3, text(1)), (5, text(1)), (5, text(2)), (8, text(3)), (8, text(4)), (8, text(4)), (None, text(4)), (None, text(5)), (None, text(5))]
+    kept = simhash.one_of_each(docs(rows).select("doc_id", "text", "source")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(3, text(1)), (5, text(2)), (8, text(3)), (8, text(4)), (None, text(5))], key=str)
+
+
 def test_language_model_counts(spark, docs, odd_texts):
     import math
 
