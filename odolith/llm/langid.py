@@ -3,12 +3,14 @@
 A text is a vector of hashed n-grams of 2 to 4 bytes of its lower-cased letters, with log term frequency, inverse
 document frequency over all training rows, and unit length. Each language has a few centroids, found by spherical
 k-means on a bounded sample of its training rows (`sample_per_language`, a fit parameter); the nearest centroid by
-cosine names the language. A text is rejected if it is farther from that centroid than the language's training texts
-allow: its cosine is below `slack` times the `tail` quantile of theirs. A text of fewer than `MIN_GRAMS` n-grams is too
-short to be far from anything and is not rejected by distance.
+cosine names the language. A text is rejected if it is farther from that centroid than the language's training texts of
+its length allow: its cosine is below `slack` times the `tail` quantile of theirs. Cosines rise with the number of distinct
+n-grams, which is the length here: one word said a thousand times is a short text. Bounds are found for each doubling of
+that number and interpolated. Each training row counts whole and as one prefix of it, so short lengths have bounds too.
 
-Document frequencies come from all training rows, as one count for each n-gram slot and task. k-means runs in one task
-for each language, on that language's bounded sample. Only centroids (languages x clusters x slots) reach the driver.
+Document frequencies and the distributions of cosines come from all training rows, as one count for each n-gram slot, or
+each language, length and bin of cosines, and task. k-means runs in one task for each language, on that language's bounded
+sample. Only centroids (languages x clusters x slots) and those counts reach the driver.
 
 Nulls and edges: a text that is null or has no letter is `und` with score 0 and rejected; rows with a null language
 teach nothing; a null doc_id is kept, and such rows teach; with nothing to learn from, all rows are `und`; repeated
@@ -17,6 +19,7 @@ rows are each answered; an empty table gives no rows; further columns are ignore
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,9 +37,9 @@ SLOTS = 1 << 12
 #: All ASCII bytes but letters become spaces.
 LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 SIZES = (2, 3, 4)
-CLUSTERS, SAMPLE_PER_LANGUAGE, TAIL, SLACK = 4, 400, 0.01, 0.25
+CLUSTERS, SAMPLE_PER_LANGUAGE, TAIL, SLACK = 4, 400, 0.01, 0.9
 UNKNOWN = "und"
-BATCH, MIN_GRAMS = 256, 60
+BATCH, BANDS, BINS = 256, SLOTS.bit_length(), 1000
 
 
 def counts_of(texts: pa.Array, slots: int = SLOTS) -> np.ndarray:
@@ -73,12 +76,17 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.where(norm > 0, norm, 1)
 
 
+def lengths(counts: np.ndarray) -> np.ndarray:
+    """Logarithm to base 2 of the number of distinct n-grams; its whole part is the band."""
+    return np.log2(np.maximum((counts > 0).sum(axis=1), 1))
+
+
 @dataclass
 class Model:
     idf: np.ndarray
     languages: list[str]
     centroids: np.ndarray
-    least: np.ndarray
+    least: np.ndarray  # for each centroid and band
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether the distance is too great."""
@@ -89,7 +97,13 @@ class Model:
         near = vectors(counts, self.idf) @ self.centroids.T
         best = near.argmax(axis=1)
         score = np.where(letters, np.clip(near[np.arange(len(near)), best], 0, 1), 0.0)
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)], score, ~letters | ((score < self.least[best]) & (counts.sum(axis=1) >= MIN_GRAMS))
+        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)], score, ~letters | (score < self.bound(best, lengths(counts)))
+
+    def bound(self, best: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The least cosine allowed: that of a band in its middle, between the bands of two middles elsewhere."""
+        at = np.clip(length - 0.5, 0, BANDS - 1)
+        low = np.minimum(at.astype(int), BANDS - 2)
+        return self.least[best, low] * (1 - (at - low)) + self.least[best, low + 1] * (at - low)
 
 
 def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
@@ -137,7 +151,7 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample_per_language: int
     # about sample_per_language rows of each language, by a hash of the row
     size = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not size:
-        return Model(idf, [], np.zeros((0, SLOTS)), np.zeros(0))
+        return Model(idf, [], np.zeros((0, SLOTS)), np.zeros((0, BANDS)))
     share = F.create_map(*[F.lit(v) for lang, m in size.items() for v in (lang, min(1.0, sample_per_language / m))])
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.filter(chance < share[F.col("lang")])
@@ -151,12 +165,60 @@ def fit(labelled: DataFrame, clusters: int = CLUSTERS, sample_per_language: int
         # in an order that does not depend on arrival
         x = np.stack([np.frombuffer(v, np.float32) for v in sorted(rows["v"])]).astype(np.float64)
         c = cluster(x, clusters)
-        least = slack * float(np.quantile((x @ c.T).max(axis=1), tail))
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "c": [v.tobytes() for v in c], "least": least})
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "c": [v.tobytes() for v in c]})
 
-    found = sample.select("lang", "text").mapInArrow(embed, "lang string, v binary").groupBy("lang").applyInPandas(centre, "lang string, c binary, least double").collect()
+    found = sample.select("lang", "text").mapInArrow(embed, "lang string, v binary").groupBy("lang").applyInPandas(centre, "lang string, c binary").collect()
     found.sort(key=lambda r: (r.lang, bytes(r.c)))
-    return Model(idf, [r.lang for r in found], np.stack([np.frombuffer(r.c, np.float64) for r in found]) if found else np.zeros((0, SLOTS)), np.array([r.least for r in found]))
+    languages, centroids = [r.lang for r in found], np.stack([np.frombuffer(r.c, np.float64) for r in found]) if found else np.zeros((0, SLOTS))
+    least = bounds(labelled, idf, languages, centroids, tail, slack)
+    return Model(idf, languages, centroids, np.array([least[lang] for lang in languages]).reshape(-1, BANDS))
+
+
+def prefixes(texts: pa.Array) -> pa.Array:
+    """A prefix of each text that is longer; its length, a power of two, depends on the text."""
+    cuts = ((t, 2 << zlib.crc32(t.encode()) % 11) for t in texts.to_pylist())
+    return pa.array([t[:n] if len(t) > n else None for t, n in cuts], pa.large_string())
+
+
+def bounds(labelled: DataFrame, idf: np.ndarray, languages: list[str], centroids: np.ndarray, tail: float, slack: float) -> dict[str, np.ndarray]:
+    """For each language and band: `slack` times the `tail` quantile of the cosines of all its training rows."""
+    names = sorted(set(languages))
+    owner, place = np.array([names.index(x) for x in languages]), pa.array(names, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(names) * BANDS * BINS, np.int64)
+        for batch in small(batches):
+            lang = pc.fill_null(pc.index_in(batch.column("lang").cast(pa.string()), place), -1).to_numpy(zero_copy_only=False)
+            whole = batch.column("text").cast(pa.large_string())
+            for texts in (whole, prefixes(whole)):
+                own = (lang >= 0) & pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
+                if own.any():
+                    counts, of = counts_of(texts.filter(pa.array(own))), lang[own]
+                    near = np.where(owner == of[:, None], vectors(counts, idf) @ centroids.T, 0).max(axis=1)
+                    key = (of * BANDS + lengths(counts).astype(int)) * BINS + np.clip(near * BINS, 0, BINS - 1).astype(int)
+                    seen += np.bincount(key, minlength=len(seen))
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["key", "n"])
+
+    seen = np.zeros((len(names), BANDS, BINS), np.int64)
+    for r in labelled.select("text", "lang").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
+        seen.reshape(-1)[r.key] = r.n
+    return {lang: slack * tails(h, tail) for lang, h in zip(names, seen)}
+
+
+def tails(seen: np.ndarray, tail: float) -> np.ndarray:
+    """The `tail` quantile of each band's histogram. A band with too few rows for one has their least, or the bound of the band below if that is less."""
+    out, n = np.zeros(len(seen)), seen.sum(axis=1)
+    some = np.flatnonzero(n)
+    for b in some.tolist():
+        out[b] = (seen[b].cumsum() >= max(1, tail * n[b])).argmax() / BINS
+    for b in range(len(seen)):
+        if not n[b]:
+            # nothing so short was seen: cosines fall with the root of the length; nothing so long: as the band below
+            out[b] = out[some[0]] * 2 ** ((b - some[0]) / 2) if len(some) and b < some[0] else out[b - 1] if b else 0
+        elif n[b] * tail < 1 and b > some[0]:
+            out[b] = min(out[b], out[b - 1])
+    return out
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

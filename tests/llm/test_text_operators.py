@@ -360,3 +360,19 @@ def test_language(spark, docs):
     none = langid.fit(df.filter("false"))
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
     assert langid.predict(df.filter("false"), model).count() == 0
+
+
+def test_far_texts_are_rejected(spark):
+    rng = np.random.default_rng(4)
+    kinds = {"aa": ["thon", "ing", "wh", "er", "and", "ous"], "bb": ["cion", "que", "los", "mi", "ar", "ente"], "cc": ["lich", "sch", "und", "keit", "ge", "zu"]}
+    text = lambda v, n: " ".join("".join(rng.choice(v, 3)) for _ in range(n))
+    rows = [(k, text(kinds[lang], int(rng.integers(2, 60))), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 300)]
+    junk = [(1000 + k, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), 8 * n)), None) for k, n in enumerate([10, 30, 100] * 20)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    model = langid.fit(df.filter((df.lang != "cc") & ~langid.held_out(df.doc_id)))
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    assert all(got[i].rejected for i, _, _ in junk)
+    left_out = [got[i].rejected for i, t, lang in rows if lang == "cc" and len(t) > 60]
+    assert np.mean(left_out) > 0.95
+    clean = [got[i] for i, _, lang in rows if lang != "cc" and zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(clean) > 80 and np.mean([r.rejected for r in clean]) < 0.03
