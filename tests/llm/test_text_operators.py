@@ -118,6 +118,19 @@ def test_licences(spark, docs):
     assert licences.scan(docs([])).count() == 0
 
 
+def test_whole_licence_files(docs):
+    mine = "Copyright (c) 2020 Someone"
+    rows = [
+        (1, f"MIT License\n\n{mine}\n\n{licences.MIT}\n"), (2, f"ISC License\n\n{mine}\n\n{licences.ISC}"), (3, f"BSD 2-Clause License\n\n{mine}\nAll rights reserved.\n\n{licences.BSD2}"),
+        (4, f"{mine}\nAll rights reserved.\n\n{licences.BSD3}"), (5, licences.APACHE2.replace("[yyyy] [name of copyright owner]", "2021 Someone")), (6, licences.APACHE2.split("   END OF")[0]),
+        (7, licences.GPL3), (8, licences.GPL2), (9, licences.CC0), (10, licences.GPL3 + "\nextra words"),
+    ]
+    got = {r.doc_id: r.licence for r in licences.scan(docs(rows)).collect()}
+    assert got == {1: "MIT", 2: "ISC", 3: "BSD-2-Clause", 4: "BSD-3-Clause", 5: "Apache-2.0", 6: "Apache-2.0", 7: "GPL-3.0", 8: "GPL-2.0", 9: "CC0-1.0", 10: None}
+    own = licences.scan(docs([(1, "text\nDo what you want.\nmore")]), (("WTFPL", "Do what you want"),)).first()
+    assert own.licence is None and own.notices == "WTFPL"
+
+
 def secrets(text):
     out = []
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
