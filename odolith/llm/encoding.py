@@ -2,7 +2,9 @@
 
 A text is cut where the tokenizer's own pre-tokenisation cuts it in any case, equal pieces are found by
 dictionary encoding, and the library encodes those that this worker has not met before. A text whose white
-space does not follow the plain rule is encoded whole. The ids equal those of encode(text, add_special_tokens=False).
+space does not follow the plain rule, or that spells one of the vocabulary's added tokens, is encoded whole. The ids
+equal those of encode(text, add_special_tokens=False) of the library as it loads the file. Pieces are known by their
+128-bit digests alone: two pieces with one digest, which no one has seen, would share their ids.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.mode, self.cache_pieces = cut_rule(json.loads(self.tokenizer.to_str())), cache_pieces
+        spec = json.loads(self.tokenizer.to_str())
+        self.mode, self.whole, self.cache_pieces = cut_rule(spec), whole_rule(spec), cache_pieces
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.forget()
 
@@ -118,17 +121,18 @@ class PieceEncoder:
         """Pieces of all texts, their number in each text, and which texts have one piece that stands for the whole."""
         if self.mode == "whole":
             return pa.array([""] * len(texts), pa.large_string()), np.ones(len(texts), np.int64), np.arange(len(texts))
+        whole = np.flatnonzero(pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)) if self.whole else np.zeros(0, np.int64)
+        if len(whole):
+            odd = np.zeros(len(texts), bool)
+            odd[whole] = True
+            # one piece stands for the text until the ids of the whole take its place
+            texts = pc.if_else(pa.array(odd), pa.scalar("a", pa.large_string()), texts)
         if self.mode == "blank":
             lists = pc.ascii_split_whitespace(texts)
             flat, counts = lists.flatten(), np.diff(np.asarray(lists.offsets))
             keep = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(texts)), counts)[keep]
-            return flat.filter(pa.array(keep)), np.bincount(owner, minlength=len(texts)), np.zeros(0, np.int64)
-        whole = np.flatnonzero(pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False))
-        if len(whole):
-            odd = np.zeros(len(texts), bool)
-            odd[whole] = True
-            texts = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts)
+            return flat.filter(pa.array(keep)), np.bincount(owner, minlength=len(texts)), whole
         lists = pc.split_pattern(texts, " ")
         return lists.flatten(), np.diff(np.asarray(lists.offsets)), whole
 
@@ -145,6 +149,12 @@ def cut_rule(spec: dict) -> str:
     return "whole"
 
 
+def whole_rule(spec: dict) -> str:
+    """Matches a text that must be encoded whole: one that may hold an added token, in whatever case a normalizer makes of it, or odd white space."""
+    added = [f"(?i:{re.escape(t['content'])})" for t in spec.get("added_tokens") or []]
+    return "|".join([*added, *([ODD_SPACE] if cut_rule(spec) == "space" else [])])
+
+
 def grown(a: np.ndarray, used: int, need: int) -> np.ndarray:
     if need <= len(a):
         return a

@@ -1,8 +1,9 @@
 """Best-fit packing of documents into sequences of fixed length by exact-complement hashing.
 
 Only the histogram of piece lengths decides the plan, and it has at most `capacity` entries whatever the corpus holds.
-From the longest length down, the gap left by a piece is looked up in tables of single lengths, of pair sums and of
-triple sums; a combination that fills the gap exactly is consumed as many times as all its lengths are available.
+An index of the sums of one, two and three lengths is built once. From the longest length down, the gap left by a piece
+is looked up there; a combination that fills it exactly is consumed as often as all its lengths are available, and
+entries whose lengths have run out leave the index.
 What no combination fills is placed by best fit: into the open sequence whose gap is the smallest that is wide enough.
 The plan is a list of patterns with repeat counts. Pieces get ranks within their length by counts for each task and
 length, and a rank names its pattern, repeat and place, so no task sees more than its own rows.
@@ -75,20 +76,29 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
         left[length] = n
     out: list[tuple[tuple[int, ...], int]] = []
 
-    def consume(pattern: tuple[int, ...]) -> None:
+    def consume(pattern: tuple[int, ...]) -> int:
         need = np.bincount(pattern, minlength=capacity + 1)
         times = int((left[need > 0] // need[need > 0]).min())
         left[need > 0] -= times * need[need > 0]
         out.append((pattern, times))
+        return times
 
     if left[capacity]:
         consume((capacity,))
+    sums = Sums(left)
     for length in range(capacity - 1, 0, -1):
         while left[length]:
-            fill = complement(left, length, capacity - length)
+            sums.take(length)
+            fill = sums.find(capacity - length)
             if fill is None:
+                # nothing fills its gap now, so it fills no other's later
+                sums.drop(length)
                 break
-            consume((length, *fill))
+            pattern = (length, *fill)
+            times = consume(pattern)
+            sums.take(length, -1)
+            for x in pattern:
+                sums.take(x, times)
     # best fit of the rest, with equal sequences taken together: gap -> {contents: how many}
     open_: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)
     for length in range(capacity, 0, -1):
@@ -120,33 +130,67 @@ def add(open_: dict, out: list, held: tuple[int, ...], many: int, capacity: int)
         open_[gap][held] = open_[gap].get(held, 0) + many
 
 
-def complement(left: np.ndarray, length: int, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to gap, the longest first; `length` itself has one piece less."""
-    have = left[: gap + 1].copy()
-    if length <= gap:
-        have[length] -= 1
-    if have[gap] > 0:
-        return (gap,)
-    ok = have > 0
-
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        a = np.arange(min(total - 1, most), (total + 1) // 2 - 1, -1)
-        good = a[ok[a] & ok[total - a] & ((a != total - a) | (have[a] > 1))] if len(a) else a
-        return (int(good[0]), total - int(good[0])) if len(good) else None
-
-    if found := pair(gap, gap - 1):
-        return found
-    for a in np.flatnonzero(ok[: gap - 1])[::-1].tolist():
-        if 3 * a < gap:
-            break
-        have[a] -= 1
-        ok[a] = have[a] > 0
-        found = pair(gap - a, a)
-        have[a] += 1
-        ok[a] = True
-        if found:
-            return (a, *found)
-    return None
+class Sums:
+    """Which available lengths sum to a total, one, two or three of them.
+
+    Built once: for each total a bit set of the longer halves of its pairs, and one of the longest parts of its triples.
+    Pieces only ever leave, so an entry whose lengths have run out is struck when it is met, for good.
+    """
+
+    def __init__(self, have: np.ndarray):
+        self.have, n = have.tolist(), len(have)
+        ok, every = have > 0, np.arange(n)
+        shortest = np.full(n, n)
+        self.pairs, self.triples = [0] * n, [0] * n
+        for total in range(2, n):
+            longer = every[(total + 1) // 2 : total]
+            good = longer[ok[longer] & ok[total - longer]]
+            self.pairs[total] = bits(good, n)
+            shortest[total] = good[0] if len(good) else n
+        for total in range(3, n):
+            longest = every[-(-total // 3) : total - 1]
+            self.triples[total] = bits(longest[ok[longest] & (shortest[total - longest] <= longest)], n)
+
+    def take(self, length: int, n: int = 1) -> None:
+        self.have[length] -= n
+
+    def drop(self, length: int) -> None:
+        self.have[length] = 0
+
+    def pair(self, total: int, most: int, strike: bool) -> tuple[int, int] | None:
+        held = self.pairs[total] & ((2 << most) - 1)
+        while held:
+            a = held.bit_length() - 1
+            b = total - a
+            if self.have[a] > (a == b) and self.have[b] > 0:
+                return a, b
+            held ^= 1 << a
+            if strike:
+                self.pairs[total] ^= 1 << a
+        return None
+
+    def find(self, total: int) -> tuple[int, ...] | None:
+        """The fewest lengths that sum to total, the longest first; None if no three do."""
+        if self.have[total] > 0:
+            return (total,)
+        if found := self.pair(total, total - 1, strike=True):
+            return found
+        while self.triples[total]:
+            a = self.triples[total].bit_length() - 1
+            if self.have[a] > 0:
+                self.have[a] -= 1
+                found = self.pair(total - a, a, strike=False)
+                self.have[a] += 1
+                if found:
+                    return (a, *found)
+            self.triples[total] ^= 1 << a
+        return None
+
+
+def bits(members: np.ndarray, n: int) -> int:
+    held = np.zeros(n, np.uint8)
+    held[members] = 1
+    return int.from_bytes(np.packbits(held, bitorder="little").tobytes(), "little")
 
 
 class Places:

@@ -19,5 +19,5 @@ def odd_texts():
     long = " ".join(f"word{i % 977} secret token" for i in range(30_000))
     return [
         (1, "The quick brown fox jumps over the lazy dog and runs away"), (2, None), (3, ""), (4, "   \t\n "), (None, "A text without an id, which stays"), (6, long), (7, "x" * 200_000),
-        (8, "The quick brown fox jumps over the lazy dog and runs away"), (8, "The quick brown fox jumps over the lazy dog and runs away"), (9, "été über ñandú Ωmega 日本語   two"), (10, "a"), (11, "12345 !!! ???"), (None, None),
+        (8, "The quick brown fox jumps over the lazy dog and runs away"), (8, "The quick brown fox jumps over the lazy dog and runs away"), (9, "été über ñandú Ωmega 日本語   two"), (10, "a"), (11, "12345 !!! ???"), (12, "one <|endoftext|> two"), (None, None),
     ]

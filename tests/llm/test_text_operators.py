@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -23,19 +24,14 @@ def words(text):
 
 @pytest.fixture(scope="module")
 def plain():
-    out = {}
-    for p in (WORD_BPE, BYTE_BPE):
-        t = Tokenizer.from_file(p)
-        t.encode_special_tokens = True
-        out[p] = t
-    return out
+    return {p: Tokenizer.from_file(p) for p in (WORD_BPE, BYTE_BPE)}
 
 
 @pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
 def test_encoder_equals_the_library(plain, path, odd_texts):
     import pyarrow as pa
 
-    texts = [t for _, t in odd_texts] + [" a", "a ", "a  b", "x\n y", "it's I'll 12,5", "a<|endoftext|>b <|startoftext|>", "é́ é ́x", "a\x1cb \x1d c", "\n\n x", "a\x85 b", "tab\tb c"]
+    texts = [t for _, t in odd_texts] + [" a", "a ", "a  b", "x\n y", "it's I'll 12,5", "a<|endoftext|>b <|startoftext|>", "x <|EndOfText|> y", "<|endoftext|>", "one two <|endoftext|> three", "é́ é ́x", "a\x1cb \x1d c", "\n\n x", "a\x85 b", "tab\tb c"]
     enc = encoding.PieceEncoder(path, cache_pieces=100)
     for _ in range(2):
         ids, sizes = enc.encode(pa.array(texts), 5)
@@ -282,7 +278,23 @@ def test_plan_keeps_every_piece():
                     got[x] += times
             assert got == Counter(lengths)
     assert sum(k for _, k in packing.plan({3: 1, 5: 1, 2: 2, 10: 1, 6: 1, 4: 1, 8: 1}, 10)) == 4
-    assert packing.complement(np.bincount([7, 2, 1, 0], minlength=11), 7, 3) == (2, 1)
+
+
+def test_sums_equal_a_search():
+    rng = np.random.default_rng(8)
+    for n in (6, 25, 60):
+        have = rng.integers(0, 3, n) * (rng.random(n) < 0.4)
+        have[0] = 0
+        sums = packing.Sums(have)
+        for _ in range(40):
+            total = int(rng.integers(1, n))
+            all_ = [c for k in (1, 2, 3) for c in itertools.combinations_with_replacement(range(1, n), k) if sum(c) == total and all(have[x] >= c.count(x) for x in c)]
+            found = sums.find(total)
+            assert (found is None) == (not all_) and (found is None or tuple(sorted(found)) in all_ and len(found) == len(all_[0]))
+            if found:
+                have = have - np.bincount(found, minlength=n)
+                for x in found:
+                    sums.take(x)
 
 
 def test_packing(spark, docs, odd_texts, plain):
