@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps, each a join and a grouped minimum."""
+"""Connected components by alternating large-star and small-star steps, and joins that no frequent key can slow down.
+
+Nulls and edges: edges with a null end or two equal ends join nothing; repeated edges count once; without edges there
+are no rows; further columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +11,35 @@ from pyspark.sql import functions as F
 
 from odolith.session import cut
 
+#: A key with more than this share of all rows is frequent, so there are fewer than 1 / FREQUENT such keys, at any size.
+FREQUENT = 1 / 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key and in `rows_of_key` how many rows of left (`total` in all) have it.
+
+    Frequent keys, of which right has fewer than 1 / FREQUENT rows, are broadcast, so their rows stay where they are;
+    all other rows are shuffled by key. `rows_of_key` is not in the result.
+    """
+    often = F.col("rows_of_key") > max(1, total * FREQUENT)
+    hot, rest = right.filter(often).drop("rows_of_key"), right.filter(~often).drop("rows_of_key")
+    columns = [*left.columns, *(c for c in rest.columns if c != key)]
+    stays = left.join(F.broadcast(hot), key).select(*columns)
+    moves = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how).select(*columns)
+    return stays.unionByName(moves)
+
 
-def star_step(edges: DataFrame, small: bool) -> DataFrame:
-    """edges (a > b). Large star: each node's larger neighbours are tied to its least neighbour or itself; small star: its smaller ones and itself."""
+def star_step(edges: DataFrame, n: int, small: bool) -> DataFrame:
+    """edges (a > b), n of them. Large star: each node's larger neighbours are tied to its least neighbour or itself; small star: its smaller ones and itself."""
     if small:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        tied = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows_of_key"))
+        tied = spread_join(edges, least, "a", n).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     else:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        tied = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        # a node without larger neighbours ties nothing
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("rows_of_key")).filter("rows_of_key > 0")
+        larger = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        tied = spread_join(larger, least, "u", n).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return tied.filter("a > b").distinct()
 
 
@@ -32,4 +55,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if seen == mark or not seen[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = seen
-        now = cut(star_step(star_step(now, small=False), small=True), name)
+        large = cut(star_step(now, seen[0], small=False), name)
+        now = cut(star_step(large, large.count(), small=True), name)

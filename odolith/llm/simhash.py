@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odolith.llm.graph import components
+from odolith.llm.graph import components, spread_join
 from odolith.llm.text import LOWER, byte_view, slices, words
 from odolith.session import cut, ship
 
@@ -150,30 +150,35 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 
 def grouped(marked: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """fp, root, component_id (the smallest doc_id of the component) of every distinct fingerprint of marked (doc_id, fp)."""
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """fp, root, component_id (the smallest doc_id of the component) and rows_of_key (rows with the fingerprint) of every distinct fingerprint of marked (doc_id, fp)."""
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), radius, tile), "simhash")
-    of_fp = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return of_fp.join(of_fp.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    of_fp = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    of_fp = cut(of_fp, "roots")
+    of_root = of_fp.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("rows_of_key"))
+    return spread_join(of_fp, of_root, "root", of_fp.count()).select("fp", "root", "component_id", F.col("n").alias("rows_of_key"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable by links) of every row."""
     marked = cut(fingerprints(docs, shingle), "fingerprints")
-    return marked.join(grouped(marked, radius, tile), "fp").select("doc_id", "fp", "component_id")
+    return spread_join(marked, cut(grouped(marked, radius, tile), "groups"), "fp", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row of docs for each component: the least by its columns among those with the component's smallest doc_id, or among all if none has one."""
+    """One row of docs for each component: the least by doc_id (null last), the text's digest and the other columns. Rows that share a doc_id are rows of their own."""
     rest = [c for c in docs.columns if c != "doc_id"]
     # an id may be that of several texts, each in a component of its own: id and digest name a text
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     marked = cut(fingerprints(docs.select("doc_id", "text", digest.alias("digest")), shingle, ("doc_id", "digest")), "fingerprints")
     groups = cut(grouped(marked, radius, tile), "groups")
-    first = marked.join(groups, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id"), F.col("digest").alias("first_digest"), "root").distinct()
+    # the least row of a fingerprint, then of a root: minima are taken in the map tasks before anything moves
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
+    first = marked.groupBy("fp").agg(place.alias("p")).join(groups, "fp").groupBy("root").agg(F.min("p").alias("p"))
+    first = cut(first.select(F.col("p.doc_id").alias("first_id"), F.col("p.digest").alias("first_digest")), "first")
     rows = docs.select("doc_id", digest.alias("digest"), F.struct(*rest).alias("r"))
-    kept = rows.join(first, rows.doc_id.eqNullSafe(first.first_id) & (rows.digest == first.first_digest)).groupBy("root").agg(F.min(F.struct("doc_id", "r")).alias("k"))
-    return kept.select("k.doc_id", "k.r.*").select(*docs.columns)
+    kept = rows.join(first, rows.doc_id.eqNullSafe(first.first_id) & (rows.digest == first.first_digest)).groupBy("doc_id", "digest").agg(F.min("r").alias("r"))
+    return kept.select("doc_id", "r.*").select(*docs.columns)
 
 
 def hex_of(fp: Column) -> Column:
