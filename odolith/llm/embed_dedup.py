@@ -2,12 +2,16 @@
 
 Unit vectors with cosine >= c lie within squared distance D = 2 - 2c. After one random rotation the vector is split
 into blocks of dimensions; each block has the share of D that is in proportion to its dimensions. If two vectors are
-within D, some block is within its share, so ranging each block finds every pair: rows are dealt in bins of the
-block's first coordinate, as wide as the block's radius, and meet those of the same and the next bin. Within a bin the
-block distance is tested first and only what passes is verified by cosine in double precision.
+within D, some block is within its share, so a range join of each block by its radius finds every pair.
+
+The range join is a grid as wide as the block's radius over several coordinates of the block. The first `depth` of them
+deal the rows: a row goes to its own cell and the next one in each, and a pair meets where the higher of its two cells
+is in each coordinate. Inside a task `FINE` further coordinates choose which rows of a cell are compared at all: only
+those in the same or an adjoining fine cell. Their block distance is tested, and what passes is verified by cosine in
+double precision. `depth` follows the size of the largest label and changes how rows are dealt, never which pairs meet.
 
 A pair can pass in several blocks; it counts in the first of them, so links are counted without listing pairs. Equal
-vectors of a label are one class from the start, counted by its size. Bins with more than `tile` classes are dealt in
+vectors of a label are one class from the start, counted by its size. Cells with more than `tile` rows are dealt in
 pairs of tiles. A task returns counts for each class and a spanning forest of its links.
 
 Nulls and edges: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label,
@@ -19,6 +23,8 @@ share a vec_id are kept; an empty table gives no rows; further columns are ignor
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odolith.llm.graph import components
+from odolith.llm.graph import components, spread_join
+from odolith.llm.text import ragged
 from odolith.session import cut, ship
 
 COSINE, BLOCKS, TILE, SEED = 0.98, 8, 1024, 7
+#: Coordinates of the grid inside a task, and classes of a label from which one more coordinate deals the rows.
+FINE, DEEPER = 4, 16384
 #: Rounding in the tests that only choose candidates.
 EPS = 1e-6
 
@@ -48,32 +57,68 @@ def shares(dims: int, cosine: float, blocks: int = BLOCKS) -> np.ndarray:
     return (2 - 2 * cosine) * np.diff(bounds(dims, blocks)) / dims + EPS
 
 
-def links_of(x: np.ndarray, y: np.ndarray | None, block: int, cosine: float, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of x with y, or within x, that are linked and pass in `block` but in no earlier one."""
-    dims = x.shape[1]
-    at, share, turn = bounds(dims, blocks), shares(dims, cosine, blocks), rotation(dims)
-    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
-    ux, uy = unit(x), None if y is None else unit(y)
-    part = slice(at[block], at[block + 1])
-    rx = ux @ turn
-    ry = rx if uy is None else uy @ turn
-    a, b = rx[:, part], ry[:, part]
-    near = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T) <= share[block]
-    i, j = np.nonzero(np.triu(near, 1) if y is None else near)
-    if not len(i):
-        return i, j
-    keep = []
-    for s in range(0, len(i), 200_000):
-        p, q = i[s : s + 200_000], j[s : s + 200_000]
-        gap = (rx[p] - ry[q]) ** 2
-        first = np.ones(len(p), bool)
-        for k in range(block):
-            first &= gap[:, at[k] : at[k + 1]].sum(1) > share[k]
-        v, w = x[p], (x if y is None else y)[q]
-        dot = np.einsum("ij,ij->i", v, w) / (np.sqrt(np.einsum("ij,ij->i", v, v)) * np.sqrt(np.einsum("ij,ij->i", w, w)))
-        keep.append(first & (dot >= cosine))
-    ok = np.concatenate(keep)
-    return i[ok], j[ok]
+def rotated(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True) @ rotation(v.shape[1])
+
+
+def cells(x: np.ndarray, block: int, cosine: float, blocks: int = BLOCKS) -> np.ndarray:
+    """The grid cell of rotated rows in each coordinate of a block."""
+    at = bounds(x.shape[1], blocks)
+    return np.floor(x[:, at[block] : at[block + 1]] / np.sqrt(shares(x.shape[1], cosine, blocks)[block])).astype(np.int64)
+
+
+def adjoining(x: np.ndarray, y: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of the cells x with the cells y, or within x, that differ by one at most in every coordinate; each pair once."""
+    both = x if y is None else np.concatenate([x, y])
+    low = both.min(axis=0, initial=0) - 1
+    step = np.ones(both.shape[1], np.int64)
+    step[1:] = np.cumprod((both.max(axis=0, initial=0) - low + 2)[:-1])
+    own, other = (x - low) @ step, (x if y is None else y) @ step - low @ step
+    order = np.argsort(other, kind="stable")
+    ranked = other[order]
+    for move in itertools.product((-1, 0, 1), repeat=both.shape[1]):
+        delta = int(np.dot(move, step))
+        if y is None and delta < 0:
+            continue
+        lo = np.searchsorted(ranked, own + delta, "left")
+        many = np.searchsorted(ranked, own + delta, "right") - lo
+        i, j = np.repeat(np.arange(len(own)), many), order[ragged(lo, many)]
+        if y is None and not delta:
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            yield i, j
+
+
+def links_of(x: np.ndarray, y: np.ndarray | None, block: int, cosine: float, blocks: int = BLOCKS, depth: int = 0, sides: tuple | None = None, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of x with y, or within x, that are linked and pass in `block` but in no earlier one.
+
+    sides: for x and y, the coordinates in which a row is in the cell next to its own; a pair counts where no coordinate has both. seen: gets the number of pairs compared.
+    """
+    at, share = bounds(x.shape[1], blocks), shares(x.shape[1], cosine, blocks)
+    rx = rotated(x)
+    ry, other = (rx, x) if y is None else (rotated(y), y)
+    fine = slice(depth, depth + FINE)
+    keep = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for p, q in adjoining(cells(rx, block, cosine, blocks)[:, fine], None if y is None else cells(ry, block, cosine, blocks)[:, fine]):
+        if sides:
+            apart = sides[0][p] & sides[1][q] == 0
+            p, q = p[apart], q[apart]
+        if seen is not None:
+            seen.append(len(p))
+        for s in range(0, len(p), 200_000):
+            i, j = p[s : s + 200_000], q[s : s + 200_000]
+            part = slice(at[block], at[block + 1])
+            ok = ((rx[i, part] - ry[j, part]) ** 2).sum(1) <= share[block]
+            i, j = i[ok], j[ok]
+            gap = (rx[i] - ry[j]) ** 2
+            first = np.ones(len(i), bool)
+            for k in range(block):
+                first &= gap[:, at[k] : at[k + 1]].sum(1) > share[k]
+            v, w = x[i], other[j]
+            dot = np.einsum("ij,ij->i", v, w) / (np.sqrt(np.einsum("ij,ij->i", v, v)) * np.sqrt(np.einsum("ij,ij->i", w, w)))
+            ok = first & (dot >= cosine)
+            keep.append((i[ok], j[ok]))
+    return tuple(np.concatenate(z) for z in zip(*keep))
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[list[int], list[int]]:
@@ -105,8 +150,8 @@ def classes(vectors: DataFrame) -> DataFrame:
     return cut(kept.select(F.monotonically_increasing_id().alias("cid"), "*"), "vectors")
 
 
-def deal(found: DataFrame, cosine: float, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
-    """Rows (bucket, i, j, block, side, cid, n, v): the classes of each bin, dealt in pairs of tiles."""
+def deal(found: DataFrame, cosine: float, blocks: int = BLOCKS, tile: int = TILE, depth: int = 1) -> DataFrame:
+    """Rows (label, dims, block, cell, i, j, tile, side, cid, n, v): the classes of each cell, dealt in pairs of tiles i <= j."""
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,52 +159,47 @@ def deal(found: DataFrame, cosine: float, blocks: int = BLOCKS, tile: int = TILE
             sizes = np.diff(np.asarray(lists.offsets))
             for dims in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dims)
-                x = np.stack([lists[int(r)].values.to_numpy() for r in rows])
-                x = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(dims)
-                at, share = bounds(dims, blocks), shares(dims, cosine, blocks)
-                for k in range(len(share)):
-                    cell = np.floor(x[:, at[k]] / np.sqrt(share[k])).astype(np.int32)
-                    part = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("label"), pa.array(np.full(len(rows), dims), pa.int32()), pa.array(np.full(len(rows), k), pa.int32()), pa.array(cell)], names=["cid", "label", "dims", "block", "cell"])
+                x = rotated(np.stack([lists[int(r)].values.to_numpy() for r in rows]))
+                part = batch.take(pa.array(rows))
+                for k in range(len(bounds(dims, blocks)) - 1):
+                    cell = cells(x, k, cosine, blocks)[:, :depth]
+                    lists_of = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * cell.shape[1], pa.int32()), pa.array(cell.ravel()))
+                    full = lambda v: pa.array(np.full(len(rows), v), pa.int32())  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("label"), full(dims), full(k), lists_of], names=["cid", "label", "dims", "block", "own"])
 
     label = found.schema["label"].dataType.simpleString()
-    cells = found.select("cid", "label", "v").mapInArrow(bins, f"cid long, label {label}, dims int, block int, cell int")
-    # a class meets its own bin (side 0) and, from the bin below, the next one (side 1)
-    placed = cells.select("cid", F.explode(F.array(F.struct(F.col("cell").alias("bin"), F.lit(0).alias("side")), F.struct((F.col("cell") - 1).alias("bin"), F.lit(1).alias("side")))).alias("p"), "label", "dims", "block")
-    placed = placed.select("cid", "label", "dims", "block", F.col("p.bin").alias("bin"), F.col("p.side").alias("side"))
-    key = ["label", "dims", "block", "bin"]
-    size = placed.groupBy(*key).agg(F.count("*").alias("m"), F.count_if(F.col("side") == 0).alias("own")).filter("own > 0 AND m > 1")
+    placed = found.select("cid", "label", "v").mapInArrow(bins, f"cid long, label {label}, dims int, block int, own array<bigint>")
+    # bit k of side: the row is in the cell after its own in coordinate k
+    placed = placed.withColumn("side", F.explode(F.expr("sequence(0, shiftleft(1, size(own)) - 1)")))
+    placed = placed.withColumn("cell", F.expr("transform(own, (c, k) -> c + getbit(side, k))")).drop("own")
+    key = ["label", "dims", "block", "cell"]
+    # a cell in which every row is a neighbour's in the same coordinate has no pairs of its own
+    size = placed.groupBy(*key).agg(F.count("*").alias("m"), F.bit_and("side").alias("common")).filter("m > 1 AND common = 0")
     tiles = F.ceil(F.col("m") / tile).cast("int")
-    joined = placed.join(size, key).withColumn("k", tiles).withColumn("tile", F.pmod(F.xxhash64("cid", F.lit(0)), F.col("k")).cast("int"))
-    own = joined.filter("side = 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    # own tiles meet each other once, (lesser, greater), and each tile of the next bin
-    among = own.select(*key, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), F.lit(0).alias("kind"), F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), "cid")
-    across = own.select(*key, F.col("tile").alias("i"), F.col("other").alias("j"), F.lit(1).alias("kind"), F.lit(0).alias("side"), "cid")
-    beyond = joined.filter("side = 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    beyond = beyond.select(*key, F.col("other").alias("i"), F.col("tile").alias("j"), F.lit(1).alias("kind"), F.lit(1).alias("side"), "cid")
-    dealt = among.unionByName(across).unionByName(beyond)
+    joined = placed.join(size.select(*key, tiles.alias("k")), key).withColumn("tile", F.pmod(F.xxhash64("cid", F.lit(0)), F.col("k")).cast("int"))
+    dealt = joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select(*key, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "side", "cid")
     return dealt.join(found.select("cid", "n", "v"), "cid")
 
 
-def compare(dealt: DataFrame, cosine: float, blocks: int = BLOCKS) -> DataFrame:
+def compare(dealt: DataFrame, cosine: float, blocks: int = BLOCKS, depth: int = 1) -> DataFrame:
     """Rows (a, b, w): links of class a to w other rows where b is null; else an edge of the spanning forest."""
-    groups = dealt.groupBy("label", "dims", "block", "bin", "i", "j", "kind").agg(F.collect_list(F.struct("side", "cid", "n", "v")).alias("rows"))
-    groups = groups.filter(F.size("rows") > 1).select("block", "i", "j", "kind", "rows")
+    groups = dealt.groupBy("label", "dims", "block", "cell", "i", "j").agg(F.collect_list(F.struct("tile", "side", "cid", "n", "v")).alias("rows"))
+    groups = groups.filter(F.size("rows") > 1).select("block", "i", "j", "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, w = [], [], []
             for g in range(batch.num_rows):
+                block, i, j = (batch.column(c)[g].as_py() for c in ("block", "i", "j"))
                 rows = batch.column("rows")[g].values
-                side = rows.field("side").to_numpy()
-                cid, n = rows.field("cid").to_numpy(), rows.field("n").to_numpy()
+                tile, side, cid, n = (rows.field(c).to_numpy() for c in ("tile", "side", "cid", "n"))
                 x = rows.field("v").flatten().to_numpy().reshape(len(side), -1)
-                left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-                block, alone = batch.column("block")[g].as_py(), batch.column("kind")[g].as_py() == 0 and batch.column("i")[g].as_py() == batch.column("j")[g].as_py()
-                if not len(left) or not alone and not len(right):
+                left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+                if not len(left) or not len(right):
                     continue
-                p, q = links_of(x[left], None if alone else x[right], block, cosine, blocks)
-                p, q = left[p], (left if alone else right)[q]
+                p, q = links_of(x[left], None if i == j else x[right], block, cosine, blocks, depth, (side[left], side[right]))
+                p, q = left[p], right[q]
                 if not len(p):
                     continue
                 weight = np.bincount(p, weights=n[q], minlength=len(cid)) + np.bincount(q, weights=n[p], minlength=len(cid))
@@ -174,17 +214,20 @@ def compare(dealt: DataFrame, cosine: float, blocks: int = BLOCKS) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long, w long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, tile: int = TILE, depth: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id of every row of vectors (vec_id, embedding, label)."""
     ship(vectors.sparkSession)
     found = classes(vectors)
-    links = cut(compare(deal(found, cosine, blocks, tile), cosine, blocks), "vector-links")
+    if depth is None:
+        largest = found.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        depth = 1 + max(0, math.ceil(math.log2(max(largest, 1) / DEEPER)))
+    links = cut(compare(deal(found, cosine, blocks, tile, depth), cosine, blocks, depth), "vector-links")
     counts = links.filter("b < 0").groupBy(F.col("a").alias("cid")).agg(F.sum("w").alias("w"))
     roots = components(links.filter("b >= 0").select("a", "b"), "vector-components")
     of = found.select("cid", "label", "v", "n", "least").join(counts, "cid", "left").join(roots, F.col("cid") == roots.node, "left")
-    of = of.select("label", "v", (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), "least", F.coalesce("root", "cid").alias("root"))
-    of_root = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = of.join(of_root, "root").select("label", "v", "n_links", "component_id")
-    rows = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    out = rows.join(known, ["label", "v"], "left")
+    of = cut(of.select(F.struct("label", "v").alias("key"), "n", (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), "least", F.coalesce("root", "cid").alias("root")), "vector-roots")
+    of_root = of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("rows_of_key"))
+    known = spread_join(of, of_root, "root", of.count()).select("key", "n_links", "component_id", F.col("n").alias("rows_of_key"))
+    rows = vectors.select("vec_id", F.struct("label", F.transform("embedding", lambda x: x.cast("double")).alias("v")).alias("key"))
+    out = spread_join(rows, known, "key", rows.count(), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast("long").alias("component_id"))

@@ -37,8 +37,8 @@ def test_embeddings(spark):
     rows = [(k, f32(centres[k % 6] + rng.standard_normal(16) * rng.choice([0.05, 0.15, 0.4])), int(k % 2)) for k in range(150)]
     rows += [(200 + k, rows[0][1], 0) for k in range(5)] + [(210, f32(np.array(rows[0][1]) * 2), 0), (211, None, 0), (212, [0.0] * 16, 0), (213, f32(rng.standard_normal(16)), None), (214, [float("nan")] * 16, 0), (215, [1.0, None] + [0.0] * 14, 0), (216, [1.0, 0.0], 0), (217, [1.0, 0.0], 0), (218, [], 0), (None, rows[0][1], 0), (0, rows[0][1], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("n", F.lit("clash")).withColumn("cid", F.lit(1))
-    for tile in (1024, 5):
-        got = embed_dedup.near_duplicates(df, tile=tile).collect()
+    for tile, depth in ((1024, None), (5, 2), (7, 0), (1024, 3)):
+        got = embed_dedup.near_duplicates(df, tile=tile, depth=depth).collect()
         assert Counter(map(tuple, got)) == brute(rows)
     assert embed_dedup.near_duplicates(df.filter("false")).count() == 0
 
@@ -48,10 +48,23 @@ def test_pigeonhole_finds_every_pair():
     x = rng.standard_normal((1, 64)) + 0.14 * rng.standard_normal((80, 64))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.98, 1)))}
-    got = Counter((int(i), int(j)) for b in range(8) for i, j in zip(*embed_dedup.links_of(x, None, b, 0.98)))
+    got = Counter((min(int(i), int(j)), max(int(i), int(j))) for b in range(8) for i, j in zip(*embed_dedup.links_of(x, None, b, 0.98)))
     assert want and set(got) == want and set(got.values()) == {1}
 
 
+def test_few_of_all_pairs_are_compared():
+    """The grid compares a small part of the pairs of a label of vectors that are far apart, and finds every link."""
+    x = np.random.default_rng(2).standard_normal((600, 64))
+    seen = []
+    for block in range(8):
+        embed_dedup.links_of(x, None, block, 0.98, seen=seen)
+    assert sum(seen) < 0.5 * 600 * 599 / 2
+    low = [[0, 0], [1, 3], [2, -1], [0, 1], [-3, -3]]
+    near = {(i, j) for i in range(5) for j in range(5) if max(abs(a - b) for a, b in zip(low[i], low[j])) <= 1}
+    pairs = lambda y: [(int(i), int(j)) for p, q in embed_dedup.adjoining(np.array(low), y) for i, j in zip(p, q)]
+    assert sorted(pairs(np.array(low))) == sorted(near) and sorted(tuple(sorted(x)) for x in pairs(None)) == sorted(x for x in near if x[0] < x[1])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (200, 201), (201, 202), (200, 202), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
