@@ -1,13 +1,19 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them, a classifier decides.
 
-Candidates are matches of one pattern for each kind. Three labelers vote yes, no or nothing on each: `regex` tests the
-shape strictly, `gazetteer` looks parts of it up in short lists, `context` looks for cue words just before it. A naive
-Bayes mixture of the votes, fitted by EM, gives each labeler's reliability and each vote pattern a probability; these
-are the targets of a logistic regression on kind, votes and shape, which decides on the candidates that are not of a
-base kind. Base kinds follow fixed rules and are always kept.
+Candidates are matches of one pattern for each kind. Those of the base kinds follow fixed rules and always stay. The
+patterns of further kinds are wide on purpose: digit groups and pairs of capitalised words that are no personal data
+match too and are the negatives. Three labelers vote yes, no or nothing on each: `regex` tests the shape strictly
+(number plan, check digits, a title), `gazetteer` looks parts of it up in lists, `context` looks for cue words before it.
 
-The corpus enters the fit as counts of vote patterns, a table whose size depends on the labelers alone; both fits run
-on it. Everything that touches a text is a column expression, in one narrow pass, so no key can be hot.
+For each kind, a naive Bayes mixture of the votes is fitted by EM: the share of true candidates and each labeler's rates
+of votes among true and false ones. `ANCHOR` imaginary candidates of either class, on which labelers are mostly right, keep
+the classes apart where the corpus has few or one-sided candidates; twice as many false ones are expected as true ones. The probabilities are the targets of a logistic
+regression, the final span classifier, whose features are the votes and what no labeler sees: the span's length and the
+characters beside it. It also learns every pattern of votes at a small weight, so that patterns the corpus lacks are decided.
+
+The corpus enters the fit as counts of patterns (kind, votes, shape), a table whose size depends on the labelers and
+shapes alone; both fits run on it. Everything that touches a text is a column expression, in one narrow pass, so no key
+can be hot.
 
 Nulls and edges: a null text is an empty one; a null doc_id is kept; repeated rows are each answered; an empty table
 gives no rows and a model that rejects; further columns are ignored. Spans are in code points, end exclusive.
@@ -16,9 +22,13 @@ gives no rows and a model that rejects; further columns are ignored. Spans are i
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import partial
+from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +38,10 @@ from odolith.session import cut
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "local_phone", "ssn", "iban", "name")
 LABELERS = ("regex", "gazetteer", "context")
+FURTHER = KINDS[len(BASE):]
 CONTEXT = 40
+#: Imaginary candidates of each class in EM, the weight of each unseen vote pattern in the regression, and the most entries that a gazetteer table may have.
+ANCHOR, UNSEEN, MOST_ENTRIES = 20.0, 0.5, 10_000
 
 # Possessive repeats and look-behinds keep the matches of the plain patterns but walk long runs once.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -37,18 +50,31 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "local_phone": r"(?<![0-9+()-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])",
-    "name": r"(?<![\p{L}.])(?:Mr|Mrs|Ms|Dr|Prof)\.\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?",
+    "local_phone": r"(?=[(0-9])(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
+    "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9-])",
+    "iban": r"(?=[A-Z])(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])",
+    "name": r"(?=\p{Lu})(?<![\p{L}.-])(?:(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Mme|Herr|Frau)\.?\x20)?\p{Lu}\p{Ll}++\x20\p{Lu}\p{Ll}++(?![\p{L}-])",
 }
+TITLE = r"^(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Mme|Herr|Frau)\.?\x20"
 
 # Top-level domains, country prefixes, issuer prefixes, given names and cue words.
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu", "it", "nl", "ch", "at", "ca", "us")
 CALLING_CODES = ("1", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "64", "81", "86", "91")
 ISSUERS = ("34", "35", "36", "37", "38", "4", "51", "52", "53", "54", "55", "60", "62", "64", "65")
-IBAN_COUNTRIES = ("AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE")
-GIVEN_NAMES = ("Anna", "Carlos", "Claire", "David", "Elena", "Emma", "Hans", "James", "Jean", "John", "Jose", "Julia", "Laura", "Lucas", "Maria", "Marie", "Michael", "Paul", "Peter", "Robert", "Sarah", "Sofia", "Thomas", "William")
+# country and length of its account numbers
+IBAN_LENGTHS = {
+    "AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22,
+    "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+}
+GIVEN_NAMES = tuple(
+    "Adam Alan Albert Alejandro Alexander Alice Amanda Amy Ana Andrea Andreas Andrew Angela Ann Anna Anne Anthony Antoine Antonio Barbara Beatriz Benjamin Bernd Brian Camille Carl Carla "
+    "Carlos Carmen Caroline Catherine Charles Charlotte Christian Christine Christopher Claire Claudia Daniel David Deborah Diana Diego Dorothy Edward Elena Elisabeth Elizabeth Emily Emma "
+    "Eric Fernando Francisco Frank Frederic George Grace Hannah Hans Heinrich Helen Henri Henry Ines Isabel Isabelle Jack Jacob Jacques James Jan Jane Javier Jean Jennifer Jessica Jim Joan "
+    "Johann John Jonas Jorge Jose Joseph Juan Julia Julie Karen Karl Katharina Kevin Klaus Laura Lena Linda Lisa Louis Louise Lucas Lucia Luis Manuel Margaret Maria Marie Mark Martin Mary "
+    "Matthew Max Michael Michel Miguel Monika Nancy Nicolas Nicole Nina Olivia Pablo Patricia Patrick Paul Paula Pedro Peter Petra Philip Philippe Pierre Rachel Rafael Ramon Richard Robert "
+    "Rosa Roger Ruth Sabine Samuel Sandra Sarah Sebastian Simon Sofia Sophie Stefan Stephen Steven Susan Susanne Teresa Thomas Tom Ursula Victor Walter William Wolfgang Yves".split()
+)
+LISTS = {"email": TOP_DOMAINS, "phone": CALLING_CODES, "card": ISSUERS, "iban": tuple(IBAN_LENGTHS), "name": GIVEN_NAMES}
 CUES = {
     "email": "mail|contact|write to|address", "ip": "ip|host|server|addr", "card": "card|visa|master|credit|payment|karte|carte|tarjeta",
     "phone": "phone|tel|call|mobile|fax|contact", "local_phone": "phone|tel|call|mobile|fax|contact", "ssn": "ssn|social security|tax id",
@@ -105,49 +131,93 @@ def regex_vote(kind: str, m: Column) -> Column:
     if kind == "phone":
         return vote(F.length(digits(m)).between(10, 13), m.rlike(r"\.\.|--|\x20\x20"))
     if kind == "local_phone":
-        return vote(m.rlike(r"^\(?[2-9]"), m.rlike(r"^\(?[01]"))
+        plan = m.rlike(r"^\(?[2-9][0-8][0-9]") & digits(m).rlike("^[0-9]{3}[2-9]")
+        return vote(plan, ~plan)
     if kind == "ssn":
-        return vote(~m.rlike("^(?:000|666|9)|-00-|-0000$"), m.rlike("^(?:000|666|9)|-00-|-0000$"))
+        void = m.rlike("^(?:000|666|9)|^[0-9]{3}.00|0000$")
+        return vote(~void & m.contains("-"), void)
     if kind == "iban":
-        return vote(F.length(F.regexp_replace(m, r"\x20", "")).between(15, 34), F.lit(False))
-    return vote(m.rlike(r"\x20\p{Lu}\p{Ll}+\x20\p{Lu}\p{Ll}+$"), F.lit(False))
+        return vote(iban_checks(m), ~iban_checks(m))
+    return vote(m.rlike(TITLE), F.lit(False))
+
+
+def iban_checks(m: Column) -> Column:
+    """Whether the remainder by 97 is 1 once letters are numbers and the first four characters stand last."""
+
+    def step(rest: Column, c: Column) -> Column:
+        v = F.conv(c, 36, 10).cast("int")
+        return (rest * F.when(v > 9, 100).otherwise(10) + v) % 97
+
+    plain = F.regexp_replace(m, r"\x20", "")
+    turned = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
+    return (F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step) == 1) & F.length(plain).between(15, 34)
+
+
+def entries_of(table: DataFrame | None) -> dict[str, tuple[str, ...]]:
+    """The lists of the gazetteer labeler: the built-in ones and those of a table (kind, entry), which has MOST_ENTRIES rows at most."""
+    out = {k: set(v) for k, v in LISTS.items()}
+    rows = table.select("kind", "entry").dropna().distinct().limit(MOST_ENTRIES + 1).collect() if table is not None else []
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"a gazetteer has {MOST_ENTRIES} entries at most")
+    for r in rows:
+        out.setdefault(r.kind, set()).add(r.entry)
+    return {k: tuple(sorted(v)) for k, v in out.items()}
+
+
+def listed(x: Column, entries: Iterable[str]) -> Column:
+    return F.array_contains(F.split(F.lit("\n".join(entries)), "\n"), x)
 
 
-def gazetteer_vote(kind: str, m: Column) -> Column:
+def gazetteer_vote(kind: str, m: Column, lists: dict[str, tuple[str, ...]]) -> Column:
+    if kind == "ip":
+        return vote(~m.rlike(r"^(?:10|127|0|255)\."), m.rlike(r"^(?:10|127|0|255)\."))
+    if kind not in lists:
+        return F.lit("-")
     if kind == "email":
-        known = F.lower(F.substring_index(m, ".", -1)).isin(*TOP_DOMAINS)
-    elif kind == "ip":
-        known = ~m.rlike(r"^(?:10|127|0|255)\.")
-    elif kind == "card":
-        known = digits(m).rlike(f"^(?:{'|'.join(ISSUERS)})")
-    elif kind == "phone":
-        known = digits(m).rlike(f"^(?:{'|'.join(CALLING_CODES)})")
+        known = listed(F.lower(F.substring_index(m, ".", -1)), lists[kind])
+    elif kind in ("card", "phone"):
+        known = F.lit(False)
+        for n in sorted({len(x) for x in lists[kind]}):
+            known = known | listed(F.substring(digits(m), 1, n), [x for x in lists[kind] if len(x) == n])
     elif kind == "iban":
-        known = F.substring(m, 1, 2).isin(*IBAN_COUNTRIES)
+        known = listed(F.substring(m, 1, 2), lists[kind])
     elif kind == "name":
-        known = m.rlike(rf"\b(?:{'|'.join(GIVEN_NAMES)})\b")
+        known = listed(F.substring_index(F.regexp_replace(m, TITLE, ""), " ", 1), lists[kind])
     else:
-        return F.lit("-")
+        known = listed(m, lists[kind])
     return vote(known, ~known)
 
 
 def context_vote(kind: str, text: Column, lo: Column) -> Column:
     before = F.lower(F.substring(text, F.greatest(lo - CONTEXT, F.lit(0)) + 1, F.least(lo, F.lit(CONTEXT))))
-    return vote(before.rlike(rf"\b(?:{CUES[kind]})"), before.rlike(r"version|page|figure|isbn|serial|invoice|order no"))
+    return vote(before.rlike(rf"\b(?:{CUES[kind]})\b"), before.rlike(r"\b(?:version|page|figure|isbn|serial|invoice|order|part|model|chapter|street|city|river)\b"))
+
+
+def side(c: Column) -> Column:
+    """What a character beside a span is: an end of the text, a blank, a digit or letter, or another one."""
+    return F.when(c == "", "e").when(c.rlike(r"^\s"), "b").when(c.rlike(r"^[\p{L}\p{N}]"), "w").otherwise("o")
+
+
+def shape(text: Column, x: Column) -> Column:
+    """Length in steps of four, up to 32, and what stands before and after the span."""
+    before = F.when(x["lo"] > 0, F.substring(text, x["lo"], F.lit(1))).otherwise("")
+    size = F.least(F.floor((x["hi"] - x["lo"]) / 4), F.lit(8)).cast("string")
+    return F.concat(size, side(before), side(F.substring(text, x["hi"] + 1, F.lit(1))))
 
 
 def outside(base: Column, span: Column) -> Column:
     return ~F.exists(base, lambda b: (b["lo"] < span["hi"]) & (span["lo"] < b["hi"]))
 
 
-def candidates(text: Column) -> Column:
-    """All candidate spans of a text: kind, lo, hi and the votes, one letter for each labeler."""
+def candidates(text: Column, lists: dict[str, tuple[str, ...]] = LISTS) -> Column:
+    """All candidate spans of a text: kind, lo, hi, the votes, one letter for each labeler, and the shape."""
 
     def of(kind: str) -> Column:
         hits = found(text, PATTERNS[kind], gate(kind, text), partial(base_rule, kind))
         return F.transform(hits, lambda x: F.struct(
             F.lit(kind).alias("kind"), x["lo"].alias("lo"), x["hi"].alias("hi"),
-            F.concat(regex_vote(kind, x["m"]), gazetteer_vote(kind, x["m"]), context_vote(kind, text, x["lo"])).alias("votes"),
+            F.concat(regex_vote(kind, x["m"]), gazetteer_vote(kind, x["m"], lists), context_vote(kind, text, x["lo"])).alias("votes"),
+            shape(text, x).alias("shape"),
         ))
 
     base, further = (F.flatten(F.array(*[of(k) for k in KINDS if (k in BASE) == b])) for b in (True, False))
@@ -157,23 +227,26 @@ def candidates(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """prior: share of true candidates; reliability[labeler][vote] = (P(vote | true), P(vote | false)); accept: (kind, votes) that the classifier keeps."""
+    """For each kind: prior, the share of true candidates; reliability[labeler][vote] = (P(vote | true), P(vote | false)). weights: those of the classifier by feature."""
 
-    prior: float
-    reliability: list[dict[str, tuple[float, float]]]
+    prior: dict[str, float]
+    reliability: dict[str, list[dict[str, tuple[float, float]]]]
     weights: dict[str, float]
 
-    def probability(self, kind: str, votes: str) -> float:
-        return 1 / (1 + math.exp(-sum(self.weights.get(f, 0.0) for f in features(kind, votes))))
+    def probability(self, kind: str, votes: str, shape: str = "") -> float:
+        return 1 / (1 + math.exp(-sum(self.weights.get(f, 0.0) for f in features(kind, votes, shape))))
 
-    def accepted(self) -> list[str]:
-        """kind:votes of all candidates of further kinds that are kept."""
-        every = [a + b + c for a in "yn-" for b in "yn-" for c in "yn-"]
-        return [f"{k}:{v}" for k in KINDS if k not in BASE for v in every if self.probability(k, v) >= 0.5]
+    def keeps(self, c: Column) -> Column:
+        """Whether the classifier's probability of a candidate of a further kind is above one half."""
+        weights = F.create_map(*[F.lit(x) for f, w in sorted(self.weights.items()) for x in (f, float(w))])
+        parts = [F.lit("bias"), *(F.concat(F.lit(str(i)), F.substring(c["votes"], i + 1, 1)) for i in range(len(LABELERS)))]
+        parts += [F.concat(F.lit(f"s{i}"), F.substring(c["shape"], i + 1, 1)) for i in range(3)]
+        each = F.transform(F.array(*parts), lambda f: F.coalesce(F.try_element_at(weights, F.concat(c["kind"], F.lit(":"), f)), F.lit(0.0)))
+        return F.aggregate(each, F.lit(0.0), lambda a, b: a + b) > 0
 
 
-def features(kind: str, votes: str) -> list[str]:
-    return ["bias", kind, *(f"{i}{v}" for i, v in enumerate(votes))]
+def features(kind: str, votes: str, shape: str = "") -> list[str]:
+    return [f"{kind}:{f}" for f in ("bias", *(f"{i}{v}" for i, v in enumerate(votes)), *(f"s{i}{x}" for i, x in enumerate(shape)))]
 
 
 def posterior(prior: float, reliability: list[dict[str, tuple[float, float]]], votes: str) -> float:
@@ -183,55 +256,90 @@ def posterior(prior: float, reliability: list[dict[str, tuple[float, float]]], v
     return yes / (yes + no)
 
 
-def fit_patterns(counts: dict[tuple[str, str], int], rounds: int = 100, steps: int = 400) -> Model:
-    """EM over vote patterns, then logistic regression on the posteriors. Its input has 27 rows a kind at most."""
-    prior = 0.5
-    reliability = [{"y": (0.6, 0.2), "n": (0.1, 0.5), "-": (0.3, 0.3)} for _ in LABELERS]
+#: A labeler's votes on true candidates as the anchor has them; those on false ones are the same with yes and no exchanged.
+EXPECTED = {"y": 0.6, "n": 0.1, "-": 0.3}
+OPPOSITE = {"y": "n", "n": "y", "-": "-"}
+
+
+def expectation_maximisation(counts: dict[str, int], rounds: int = 100) -> tuple[float, list[dict[str, tuple[float, float]]]]:
+    """Prior and reliabilities of the labelers from counts of vote patterns of one kind."""
+    prior = 1 / 3
+    reliability = [{v: (EXPECTED[v], EXPECTED[OPPOSITE[v]]) for v in EXPECTED} for _ in LABELERS]
     total = sum(counts.values())
-    if not total:
-        return Model(prior, reliability, {"bias": -1.0})
     for _ in range(rounds):
-        p = {v: posterior(prior, reliability, v) for _, v in counts}
-        true = sum(n * p[v] for (_, v), n in counts.items())
-        # one imaginary vote of each sort keeps all rates off 0 and 1
-        prior = (true + 1) / (total + 2)
+        p = {v: posterior(prior, reliability, v) for v in counts}
+        true = sum(n * p[v] for v, n in counts.items())
+        prior = (true + ANCHOR) / (total + 3 * ANCHOR)
         for i in range(len(LABELERS)):
-            own = {x: sum(n * p[v] for (_, v), n in counts.items() if v[i] == x) for x in "yn-"}
-            other = {x: sum(n * (1 - p[v]) for (_, v), n in counts.items() if v[i] == x) for x in "yn-"}
-            reliability[i] = {x: ((own[x] + 1) / (true + 3), (other[x] + 1) / (total - true + 3)) for x in "yn-"}
-    target = {(k, v): posterior(prior, reliability, v) for k, v in counts}
-    weights: dict[str, float] = {}
+            own, other = defaultdict(float), defaultdict(float)
+            for v, n in counts.items():
+                own[v[i]] += n * p[v]
+                other[v[i]] += n * (1 - p[v])
+            rates = {x: ((own[x] + ANCHOR * EXPECTED[x]) / (true + ANCHOR), (other[x] + ANCHOR * EXPECTED[OPPOSITE[x]]) / (total - true + ANCHOR)) for x in EXPECTED}
+            # a yes is never evidence against, nor a no for: where the counts say so, it is no evidence
+            for x, wrong in (("y", rates["y"][0] < rates["y"][1]), ("n", rates["n"][0] > rates["n"][1])):
+                if wrong:
+                    rates[x] = (max(rates[x]), max(rates[x]))
+            reliability[i] = rates
+    return prior, reliability
+
+
+def regression(rows: Iterable[tuple[list[str], float, float]], steps: int = 500, decay: float = 1e-3) -> dict[str, float]:
+    """Weights of a logistic regression on rows (features, target, weight)."""
+    rows = list(rows)
+    names = sorted({f for r in rows for f in r[0]})
+    at = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for i, (held, _, _) in enumerate(rows):
+        x[i, [at[f] for f in held]] = 1
+    y, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    w = np.zeros(len(names))
     for _ in range(steps):
-        slope: dict[str, float] = {}
-        for (k, v), n in counts.items():
-            out = 1 / (1 + math.exp(-sum(weights.get(f, 0.0) for f in features(k, v))))
-            for f in features(k, v):
-                slope[f] = slope.get(f, 0.0) + n / total * (target[k, v] - out)
-        for f, g in slope.items():
-            weights[f] = 0.999 * weights.get(f, 0.0) + g
+        p = 1 / (1 + np.exp(-x @ w))
+        # Newton's step: there are a few dozen features
+        slope = x.T @ (n * (y - p)) - decay * n.sum() * w
+        curve = (x.T * (n * p * (1 - p))) @ x + (decay * n.sum() + 1e-9) * np.eye(len(names))
+        step = np.linalg.solve(curve, slope)
+        w = w + step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-9:
+            break
+    return dict(zip(names, w.tolist()))
+
+
+def fit_patterns(counts: dict[tuple[str, str, str], int]) -> Model:
+    """EM over the votes of each kind, then the classifier. counts: (kind, votes, shape), a bounded number of rows."""
+    prior, reliability, weights = {}, {}, {}
+    for kind in KINDS:
+        own = {k[1:]: n for k, n in counts.items() if k[0] == kind}
+        votes: dict[str, int] = defaultdict(int)
+        for (v, _), n in own.items():
+            votes[v] += n
+        prior[kind], reliability[kind] = expectation_maximisation(dict(votes))
+        target = {"".join(v): posterior(prior[kind], reliability[kind], "".join(v)) for v in product("yn-", repeat=len(LABELERS))}
+        # frequent patterns weigh more, but not so much that the others have no say
+        rows = [(features(kind, v, s), target[v], math.sqrt(n)) for (v, s), n in sorted(own.items())]
+        weights |= regression(rows + [(features(kind, v), p, UNSEEN) for v, p in target.items()])
     return Model(prior, reliability, weights)
 
 
-def annotate(docs: DataFrame) -> DataFrame:
+def annotate(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """docs with its candidates."""
-    return docs.withColumn("candidates", candidates(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn("candidates", candidates(F.coalesce(F.col("text"), F.lit("")), entries_of(gazetteer)))
 
 
 def fit(annotated: DataFrame) -> Model:
-    patterns = annotated.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes").count()
-    return fit_patterns({(r.kind, r.votes): r["count"] for r in patterns.collect()})
+    patterns = annotated.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes", "c.shape").count()
+    return fit_patterns({(r.kind, r.votes, r["shape"]): r["count"] for r in patterns.collect()})
 
 
 def decide(annotated: DataFrame, model: Model) -> DataFrame:
     """`spans`: candidates of base kinds, and the others that the classifier keeps."""
-    keep = model.accepted()
-    kept = lambda c: c["kind"].isin(*BASE) | F.concat_ws(":", c["kind"], c["votes"]).isin(*keep) if keep else c["kind"].isin(*BASE)
-    return annotated.withColumn("spans", F.filter("candidates", kept)).drop("candidates")
+    return annotated.withColumn("spans", F.filter("candidates", lambda c: c["kind"].isin(*BASE) | model.keeps(c))).drop("candidates")
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
+def find_pii(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """doc_id and spans of every row."""
-    annotated = cut(annotate(docs.select("doc_id", "text")).select("doc_id", "candidates"), "pii")
+    annotated = cut(annotate(docs.select("doc_id", "text"), gazetteer).select("doc_id", "candidates"), "pii")
     return decide(annotated, fit(annotated))
 
 
