@@ -1,20 +1,23 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The corpus is indexed in segments of whole documents, one row each: for every term of the test set that occurs there,
-the ascending list of its positions. Positions count words across the segment, with a gap after each document, so a
-phrase never crosses documents. A segment holds about `SEGMENT_BYTES` of text, or one longer document.
+The corpus is indexed once, in segments of whole documents, one row each: for every term, the ascending list of its
+positions. Positions count words across the segment, with a gap after each document, so a phrase never crosses
+documents. A segment holds about `SEGMENT_BYTES` of text, or one longer document.
 
-A query phrase is answered in a segment from its rarest term: its positions, less the term's offset, are the candidate
-starts; these are intersected with the offset-adjusted list of the next rarest term, and so on. With `slop` above 0 a
-start also counts as a proximity match if each term has a position within `slop` words of its place in the phrase.
+Query phrases are answered in a segment all together. The positions of each phrase's rarest term, less the term's
+offset, are its candidate starts; a phrase with a term that the segment lacks has none. They are intersected with the
+offset-adjusted list of the next rarest term, and so on. With `slop` above 0 a start also counts as a proximity match
+if each term has a position within `slop` words of its place in the phrase.
 
-Test items go through in blocks of bounded size, each with its own dictionary, so their number has no limit; a block
-is the only thing that is sent to the tasks. No shuffle carries text or postings.
+Test items go through in blocks of bounded size against the same index, so their number has no limit; a block is the
+only thing that is sent to the tasks. No shuffle carries text or postings; matches of several blocks are merged by the
+segment and place of their document, which the index holds.
 
 Nulls and edges: a null or empty text has no words; items without words never match; a null doc_id is kept as it is;
 repeated documents are each answered; an empty benchmark or document table gives zero counts or no rows; item ids
 are compared as strings, and items that share an id count once; items with a null id count like one item, a null entry
-of `items` that has no part in the joined ids; further columns of either table are ignored.
+of `items` that has no part in the joined ids; further columns of either table are ignored, but for those named in
+`keep`, which stand in for doc_id in the result.
 """
 
 from __future__ import annotations
@@ -25,28 +28,30 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odolith.llm.text import LOWER_WORDS, slices, words
-from odolith.session import scratch_path, ship
+from odolith.llm.text import LOWER_WORDS, ragged, slices, words
+from odolith.session import cut, scratch_path, ship
 
 SEGMENT_BYTES = 8 << 20
 #: Text of test items that one block holds.
 ITEM_BYTES = 4 << 20
+#: Candidate starts that are intersected at once.
+CANDIDATES = 1 << 20
 WINDOW = 10
 GAP = 1
 
-INDEX = "segment long, doc_ids array<bigint>, n_words array<bigint>, terms array<int>, counts array<int>, positions binary"
+POSTINGS = "segment long, n_words array<bigint>, terms array<string>, counts array<int>, positions binary"
 
 
 class Phrases:
-    """One block of test items: its dictionary of terms and its distinct windows."""
+    """One block of test items: its dictionary of terms and its distinct windows, a row of terms each (-1 after the last)."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         flat, counts = words(pa.array([text for _, text in items], pa.string()), LOWER_WORDS)
         coded = flat.dictionary_encode()
-        self.terms: list[str] = coded.dictionary.to_pylist()
+        self.terms: pa.Array = coded.dictionary.cast(pa.string())
         codes, at = np.asarray(coded.indices).astype(np.int32), 0
         found: dict[tuple[int, ...], set[str | None]] = {}
         for (item, _), n in zip(items, counts.tolist()):
@@ -54,11 +59,18 @@ class Phrases:
             for i in range(max(1, n - window + 1) if n else 0):
                 found.setdefault(tuple(own[i : i + window]), set()).add(item)
             at += n
-        self.windows, self.items = list(found), [in_order(x) for x in found.values()]
+        self.items = [in_order(x) for x in found.values()]
+        self.size = np.array([len(w) for w in found], np.int64)
+        self.grid = np.full((len(found), window), -1, np.int32)
+        for k, w in enumerate(found):
+            self.grid[k, : len(w)] = w
 
-    def order_by(self, frequency: dict[int, int]) -> None:
-        """Put the rarest term of each window first: orders[w] are offsets in the window."""
-        self.orders = [sorted(range(len(w)), key=lambda i, w=w: (frequency.get(w[i], 0), i)) for w in self.windows]
+    def order_by(self, frequency: np.ndarray) -> None:
+        """Offsets of each window's terms, the rarest first; windows with a term that the corpus lacks go."""
+        often = np.where(self.grid >= 0, np.append(frequency, 0)[self.grid], np.iinfo(np.int64).max)
+        some = np.flatnonzero((often > 0).all(axis=1))
+        self.items, self.size, self.grid = [self.items[i] for i in some.tolist()], self.size[some], self.grid[some]
+        self.order = np.argsort(often[some], axis=1, kind="stable")
 
 
 def blocks_of(benchmark: DataFrame, item_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
@@ -71,98 +83,126 @@ def blocks_of(benchmark: DataFrame, item_bytes: int) -> Iterator[list[tuple[str
         yield [(r.item, r.text) for r in part.collect()]
 
 
-def build_index(docs: DataFrame, terms: list[str], path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Write the positional index of docs (doc_id, text) for the given terms to path."""
+def build_index(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), segment_bytes: int = SEGMENT_BYTES) -> None:
+    """Write the positional index of docs to path: POSTINGS, and the columns `keep` of each document as `rows`."""
     ship(docs.sparkSession)
-    dictionary = pa.array(terms, pa.large_string())
+    columns = docs.select("text", F.struct(*keep).alias("kept"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for k, batch in enumerate(slices(batches, size=segment_bytes)):
             flat, counts = words(batch.column("text"), LOWER_WORDS)
             coded = flat.dictionary_encode()
-            of_value = coded.dictionary.cast(pa.large_string())
-            term = np.asarray(pc.fill_null(pc.index_in(of_value, dictionary), -1))[np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.int32)
+            term = np.asarray(coded.indices)
             place = np.arange(len(term), dtype=np.int32) + np.repeat(np.arange(len(counts), dtype=np.int32) * GAP, counts)
-            known = np.flatnonzero(term >= 0)
-            order = known[np.argsort(term[known], kind="stable")]
-            used, size = np.unique(term[order], return_counts=True)
-            yield pa.RecordBatch.from_pydict({
-                "segment": [task << 32 | k], "doc_ids": [batch.column("doc_id").cast(pa.int64()).to_pylist()], "n_words": [counts.tolist()],
-                "terms": [used.tolist()], "counts": [size.tolist()], "positions": [place[order].astype("<i4").tobytes()],
-            }, schema=INDEX_SCHEMA)
+            order = np.argsort(term, kind="stable")
+            size = np.bincount(term, minlength=len(coded.dictionary)).astype(np.int32)
+            one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([task << 32 | k]), one(pa.array(counts)), one(coded.dictionary.cast(pa.string())), one(pa.array(size)), pa.array([place[order].astype("<i4").tobytes()]), one(batch.column("kept")),
+            ], names=["segment", "n_words", "terms", "counts", "positions", "rows"])
 
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(segments, INDEX).write.option("compression", "zstd").parquet(path)
+    kept = columns.schema["kept"].dataType.simpleString()
+    columns.mapInArrow(segments, f"{POSTINGS}, rows array<{kept}>").write.option("compression", "zstd").parquet(path)
 
 
-INDEX_SCHEMA = pa.schema([
-    ("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("positions", pa.binary()),
-])
-
-
-def term_counts(index: DataFrame) -> dict[int, int]:
-    """Occurrences of each term of the block in the whole corpus: as many rows as the block has terms."""
-    rows = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy("t.terms").agg(F.sum("t.counts").alias("n"))
-    return {r.terms: r.n for r in rows.collect()}
-
-
-def near(places: np.ndarray, wanted: np.ndarray, slop: int) -> np.ndarray:
-    """Which of `wanted` have an entry of the ascending list `places` within `slop`."""
-    i = np.searchsorted(places, wanted - slop)
-    return (i < len(places)) & (places[np.minimum(i, len(places) - 1)] <= wanted + slop)
+def term_counts(index: DataFrame, terms: pa.Array) -> np.ndarray:
+    """Occurrences of each term of a block in the whole corpus."""
 
-
-def intersect(lists: dict[int, np.ndarray], window: tuple[int, ...], order: list[int], slop: int = 0) -> np.ndarray:
-    """Starts of the window: the rarest term's places, kept where each other term has its place."""
-    if any(t not in lists for t in window):
-        return np.zeros(0, np.int32)
-    starts = lists[window[order[0]]] - order[0]
-    for i in order[1:]:
-        if not len(starts):
-            break
-        starts = starts[near(lists[window[i]], starts + i, slop)]
-    return starts
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at = found_in(terms, batch.column("terms")[k].values)
+                total[at >= 0] += batch.column("counts")[k].values.to_numpy()[at[at >= 0]]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
+
+    out = np.zeros(len(terms), np.int64)
+    for r in index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r.term] = r.n
+    return out
 
 
-def matches(spark, path: str, phrases: Phrases, slop: int = 0) -> DataFrame:
-    """One row for each document of the index: doc_id, n_words, runs (merged word spans of exact matches, end exclusive), items, near_items."""
+def found_in(terms: pa.Array, dictionary: pa.Array) -> np.ndarray:
+    """The place of each term in a segment's dictionary, or -1."""
+    return pc.fill_null(pc.index_in(terms, value_set=dictionary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class Segment:
+    """The postings of one segment: sorted keys, each a term's place in the dictionary and a position."""
+
+    def __init__(self, counts: np.ndarray, positions: bytes):
+        self.counts, self.begin = counts.astype(np.int64), np.cumsum(counts, dtype=np.int64) - counts
+        self.positions = np.frombuffer(positions, "<i4").astype(np.int64)
+        self.keys = (np.repeat(np.arange(len(counts)), counts) << 32) + self.positions
+
+    def near(self, term: np.ndarray, wanted: np.ndarray, slop: int) -> np.ndarray:
+        """Whether each term has a position within `slop` of the wanted one."""
+        base = term << 32
+        i = np.searchsorted(self.keys, base + np.maximum(wanted - slop, 0))
+        return (i < len(self.keys)) & (self.keys[np.minimum(i, len(self.keys) - 1)] <= base + wanted + slop)
+
+    def starts(self, phrases: Phrases, term: np.ndarray, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows, starts) of all matches. term: the place of each of the block's terms here, or -1."""
+        grid = np.where(phrases.grid >= 0, term[phrases.grid], 0) if len(phrases.grid) else phrases.grid
+        held = np.flatnonzero((grid >= 0).all(axis=1))
+        if not len(held) or not len(self.keys):
+            return
+        first = phrases.order[held, 0]
+        many = self.counts[grid[held, first]]
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(held):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CANDIDATES, "right")))
+            own, n = held[at:to], many[at:to]
+            w = np.repeat(own, n)
+            start = self.positions[ragged(self.begin[grid[own, first[at:to]]], n)] - np.repeat(first[at:to], n)
+            for k in range(1, phrases.grid.shape[1]):
+                i = phrases.order[w, k]
+                ok = (k >= phrases.size[w]) | self.near(grid[w, i].astype(np.int64), start + i, slop)
+                w, start = w[ok], start[ok]
+            ok = start >= 0
+            yield w[ok], start[ok]
+            at = to
+
+
+def matches(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
+    """One row for each document with a match: segment, nth, runs (merged word spans of exact matches, end exclusive), items, near_items."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ends = np.cumsum(row["counts"])
-                body = np.frombuffer(row["positions"], "<i4")
-                lists = {t: body[e - c : e] for t, c, e in zip(row["terms"], row["counts"], ends.tolist())}
-                n_words = np.array(row["n_words"], np.int64)
+            for k in range(batch.num_rows):
+                n_words = batch.column("n_words")[k].values.to_numpy()
+                segment = Segment(batch.column("counts")[k].values.to_numpy(), batch.column("positions")[k].as_buffer())
+                term = found_in(phrases.terms, batch.column("terms")[k].values)
                 first = np.cumsum(n_words + GAP) - (n_words + GAP)
-                last = first + n_words
-                hit, items, close = [[] for _ in n_words], [set() for _ in n_words], [set() for _ in n_words]
-                for w, own, order in zip(phrases.windows, phrases.items, phrases.orders):
-                    starts = intersect(lists, w, order)
-                    if len(starts):
-                        doc = np.searchsorted(first, starts, "right") - 1
-                        for d, s in zip(doc.tolist(), starts.tolist()):
-                            hit[d].append((s, s + len(w)))
-                            items[d].update(own)
-                    if slop:
-                        starts = intersect(lists, w, order, slop)
-                        doc = np.maximum(np.searchsorted(first, starts, "right") - 1, 0)
-                        inside = (starts >= first[doc]) & (starts + len(w) <= last[doc])
-                        for d in doc[inside].tolist():
-                            close[d].update(own)
-                out = [merged(h) for h in hit]
+                hit: dict[int, list[tuple[int, int]]] = {}
+                items: dict[int, set[str | None]] = {}
+                close: dict[int, set[str | None]] = {}
+                for w, start in segment.starts(phrases, term):
+                    doc = np.searchsorted(first, start, "right") - 1
+                    for d, s, x in zip(doc.tolist(), start.tolist(), w.tolist()):
+                        hit.setdefault(d, []).append((s, s + int(phrases.size[x])))
+                        items.setdefault(d, set()).update(phrases.items[x])
+                for w, start in segment.starts(phrases, term, slop) if slop else ():
+                    doc = np.maximum(np.searchsorted(first, start, "right") - 1, 0)
+                    inside = (start >= first[doc]) & (start + phrases.size[w] <= (first + n_words)[doc])
+                    for d, x in zip(doc[inside].tolist(), w[inside].tolist()):
+                        close.setdefault(d, set()).update(phrases.items[x])
+                some = sorted({*hit, *close})
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": row["doc_ids"], "n_words": row["n_words"], "segment": [row["segment"]] * len(out), "nth": list(range(len(out))),
-                    "runs": [[{"lo": a - f, "hi": b - f} for a, b in h] for h, f in zip(out, first.tolist())],
-                    "items": [in_order(x) for x in items], "near_items": [in_order(x - y) for x, y in zip(close, items)],
+                    "segment": [batch.column("segment")[k].as_py()] * len(some), "nth": some,
+                    "runs": [[{"lo": a - int(first[d]), "hi": b - int(first[d])} for a, b in merged(hit.get(d, []))] for d in some],
+                    "items": [in_order(items.get(d, set())) for d in some], "near_items": [in_order(close.get(d, set()) - items.get(d, set())) for d in some],
                 }, schema=MATCH_SCHEMA)
 
-    return spark.read.schema(INDEX).parquet(path).mapInArrow(answer, "doc_id long, n_words long, segment long, nth int, runs array<struct<lo:bigint,hi:bigint>>, items array<string>, near_items array<string>")
+    postings = index.select("segment", "n_words", "terms", "counts", "positions")
+    return postings.mapInArrow(answer, "segment long, nth int, runs array<struct<lo:bigint,hi:bigint>>, items array<string>, near_items array<string>")
 
 
 MATCH_SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("n_words", pa.int64()), ("segment", pa.int64()), ("nth", pa.int32()), ("runs", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
-    ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string())),
+    ("segment", pa.int64()), ("nth", pa.int32()), ("runs", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string())),
 ])
 
 
@@ -181,26 +221,29 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, item_bytes: int = ITEM_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside an exact match), runs, items and near_items of every document."""
-    spark, found = docs.sparkSession, []
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, item_bytes: int = ITEM_BYTES, segment_bytes: int = SEGMENT_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, n_words, n_hit (words inside an exact match), runs, items and near_items of every document."""
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "postings")
+    build_index(docs, path, keep, segment_bytes)
+    index = spark.read.parquet(path)
+    found = None
     for items in blocks_of(benchmark, item_bytes):
-        phrases, path = Phrases(items, window), scratch_path(spark, "postings")
-        build_index(docs, phrases.terms, path, segment_bytes)
-        phrases.order_by(term_counts(spark.read.schema(INDEX).parquet(path)))
-        found.append(matches(spark, path, phrases, slop))
-    all_found = found[0]
-    if len(found) > 1:
-        # the same text in the same place of the same scan has the same segment in each block
-        for more in found[1:]:
-            all_found = all_found.unionByName(more)
-        runs = F.array_sort(F.flatten(F.collect_list("runs")))
-        all_found = all_found.groupBy("segment", "nth").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), join_runs(runs).alias("runs"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
-        ).withColumn("near_items", F.array_except("near_items", "items"))
+        phrases = Phrases(items, window)
+        phrases.order_by(term_counts(index, phrases.terms))
+        block = cut(matches(index, phrases, slop), "matches")
+        found = block if found is None else found.unionByName(block)
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    # a document has one row in each block at most
+    found = found.groupBy("segment", "nth").agg(join_runs(F.array_sort(F.flatten(F.collect_list("runs")))).alias("runs"), union("items").alias("items"), union("near_items").alias("near_items"))
+    found = found.withColumn("near_items", F.array_except("near_items", "items"))
+    rows = index.select("segment", F.posexplode(F.arrays_zip("rows", "n_words")).alias("nth", "row"))
+    out = rows.join(found, ["segment", "nth"], "left").select("row.rows.*", F.col("row.n_words").alias("n_words"), *[or_empty(found, c) for c in ("runs", "items", "near_items")])
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r.hi - r.lo)
-    return all_found.select("doc_id", "n_words", n_hit.alias("n_hit"), "runs", "items", "near_items")
+    return out.select(*keep, "n_words", n_hit.alias("n_hit"), "runs", "items", "near_items")
+
+
+def or_empty(found: DataFrame, name: str) -> Column:
+    return F.coalesce(name, F.array().cast(found.schema[name].dataType)).alias(name)
 
 
 def join_runs(runs):

@@ -104,6 +104,12 @@ def test_items_without_an_id_count(spark, docs, item_bytes):
     assert {i: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in got.items()} == {1: (3, 1, of(""), True), 2: (2, 2, of("7"), True), 3: (0, 0, of(""), False)}
 
 
+def test_columns_that_are_kept(spark, docs):
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    got = decontam.find_contamination(docs([(1, "zero one two three"), (1, "one two"), (None, None)]), bench, keep=("rank", "doc_id"), segment_bytes=5)
+    assert got.columns[:2] == ["rank", "doc_id"] and sorted(map(tuple, got.select("rank", "doc_id", "n_words", "n_hit").collect()), key=str) == [(1, 1, 2, 0), (1, 1, 4, 3), (1, None, 0, 0)]
+
+
 def test_licences(spark, docs):
     rows = [
         (1, "MIT License\n"), (2, "Copyright (c) 2020 Someone\n\n" + licences.MIT.replace("\n", " ").upper()), (3, "text\nLicenced under the apache LICENCE - version 2.0!\nmore"), (4, None), (5, ""), (None, "SPDX-License-Identifier: MIT"),

@@ -101,6 +101,22 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(last)
 
 
+def test_stages_judge_rows_and_not_ids(spark, tmp_path):
+    """Ids that repeat or are missing: no clean row goes with another one's id, and no copy stays."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    item = "the one passage that a test set has and that must not be trained on"
+    rows = [(8, text(1)), (8, text(2)), (5, text(2)), (5, item), (5, text(3)), (None, item), (None, text(4)), (None, text(4)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    of = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert of(stages["near_duplicates"](spark, docs, str(tmp_path))) == sorted([(8, text(1)), (5, text(2)), (5, item), (5, text(3)), (None, text(4)), (None, None)], key=str)
+    assert of(stages["decontaminate"](spark, docs, str(tmp_path))) == sorted(((i, t) for i, t in rows if t != item), key=str)
+    assert of(stages["personal_data"](spark, docs, str(tmp_path))) == sorted(rows, key=str)
+
+
 def test_pipeline_on_nothing(spark, tmp_path):
     import corpus_pipeline
 
