@@ -1,19 +1,23 @@
-"""A hierarchical Pitman-Yor language model of words and their spelling.
-
-Words come from one restaurant. Its base measure spells a word letter by letter: the restaurant of a context of up to
-four letters has that of the context without its first letter as parent, down to the empty context and a uniform
-choice of code points. Every word of the training texts, and an end token for each text, sits in the word restaurant;
-its first table is a customer of the spelling model. Words that training lacks are one outcome together, as in the
-add-one base score: it has the probability of a new table whose spelling is no known word.
-
-Seating is sampled by Gibbs: given the tables elsewhere, the number of tables of one dish in one restaurant is drawn
-from its conditional (generalised Stirling numbers; a dish with more than EXACT customers is seated anew by the
-sequential rule, which jumps from one new table to the next). Predictive probabilities are averaged over `samples`
-sweeps after burn-in.
-
-Shards: restaurants whose contexts end in the same letter share all ancestors but the empty context, so each such
-subtree is sampled in a task of its own, twice: the seating of the empty context is updated between. What a text needs
-is looked up for each distinct word of a batch of texts, by a join, so no table is sent whole to anywhere.
+"""A hierarchical Pitman-Yor language model of words in context and of their spelling.
+
+Every word, and an end token for each text, is a customer of the restaurant of the word before it (the end token before
+the first). Its parent is the restaurant of words without context, whose base measure spells a word letter by letter:
+the restaurant of a context of up to four letters has that of the context without its first letter as parent, down to
+the empty context and a uniform choice of code points. A table in a restaurant is a customer of its parent; tables of
+the words' restaurant are customers of the spelling. A word that training lacks has the probability of its spelling, so
+all strings together have probability 1 in every context. (The base score counts all unknown words as one outcome, so
+that only known tokens compare directly; `score_known` and `base_known` are those parts.)
+
+Seating is a Gibbs sampler (see `seating`): the tables of a dish are redrawn given those of all others. It alternates
+between blocks: word contexts given the words, spelling given the tables of words, words given spelling and contexts,
+word contexts again. Blocks are drawn in parallel with the other blocks' counts as of the round before; a block burns in
+anew each time. Probabilities are averaged over the last `samples` sweeps.
+
+Shards: contexts are dealt by word, words by word, both known by 64-bit hashes (two words with one hash, 1 in 10^7 for
+millions of words, would count as one). Contexts with more than a 4 x shards'th of all tokens, of which there are fewer
+than that, are dealt by the next word as well, so that no shard holds a frequent word's followers alone. The number of
+shards follows the tokens. Spelling contexts are dealt by their last two letters, the level of one letter by that, and
+the empty context is a row for each letter. Text moves once for words and twice as hashed word pairs.
 
 Nulls and edges: a null text is an empty one, scored by its end token; a null doc_id trains; repeated rows count each;
 an empty table gives no rows; without training rows each letter is uniform; further columns are ignored.
@@ -21,27 +25,27 @@ an empty table gives no rows; without training rows each letter is uniform; furt
 
 from __future__ import annotations
 
-import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odolith.llm.text import LOWER, slices, words
+from odolith.llm.seating import DISCOUNT, STRENGTH, Restaurants
+from odolith.llm.text import LOWER, byte_view, ragged, slices, words
 from odolith.session import cut, ship
 
-ORDER, SAMPLES, BURN_IN, STRENGTH, DISCOUNT = 4, 3, 4, 1.0, 0.5
-EXACT = 200
-BATCH_BYTES, CHUNK_WORDS = 12 << 20, 200_000
+ORDER, SAMPLES, BURN_IN, ROUNDS = 4, 3, 3, 2
+#: Bytes of text that are hashed at once, and tokens of a shard.
+BATCH_BYTES, SHARD_TOKENS = 16 << 20, 8_000_000
+LEAST_SHARDS = 8
 START, STOP = 0x110000, 0x110001
 CODE_POINTS = 0x110001
-
-BATCHES = "batch long, doc_ids array<bigint>, train array<boolean>, sizes array<bigint>, n_words int, words array<string>, counts array<bigint>, places binary"
+LETTER = np.int64(1) << 21
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,39 +53,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
-def batches_of(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, train) in batches: the distinct words of each, their training counts, and the texts as places among them. The end token is the empty word."""
+def narrow(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the greatest needs, after that number."""
+    width = next(w for w in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << 8 * w)
+    return bytes([width]) + a.astype(f"<u{width}").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for k, batch in enumerate(slices(batches, size=BATCH_BYTES)):
-            flat, sizes = words(batch.column("text"), LOWER)
-            coded = flat.dictionary_encode()
-            # frequent words get small places, which compress well
-            codes = np.asarray(coded.indices)
-            order = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable")
-            values = coded.dictionary.cast(pa.string()).take(pa.array(order))
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(1, len(order) + 1)
-            index = rank[codes]
-            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            counts = np.bincount(index[np.repeat(train, sizes)], minlength=len(values) + 1)
-            counts[0] = train.sum()
-            yield pa.RecordBatch.from_pydict({
-                "batch": pa.array([task << 32 | k]), "doc_ids": one(batch.column("doc_id").cast(pa.int64())), "train": one(batch.column("train")), "sizes": one(pa.array(sizes.astype(np.int64))),
-                "n_words": pa.array([len(values) + 1], pa.int32()), "words": one(pa.concat_arrays([pa.array([""]), values])), "counts": one(pa.array(counts.astype(np.int64))), "places": pa.array([planes(index)]),
-            })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "train").mapInArrow(run, BATCHES)
+def wide(body: bytes) -> np.ndarray:
+    return np.frombuffer(body, f"<u{body[0]}", offset=1).astype(np.int64)
 
 
-def planes(values: np.ndarray) -> bytes:
-    """32-bit numbers with all their first bytes first, then all second ones, and so on."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def hashes(values: pa.Array) -> np.ndarray:
+    data, at = byte_view(values)
+    bounds, data = at.tolist(), bytes(data)
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(bounds, bounds[1:])), np.uint64, len(values))
 
 
-def from_planes(body: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 
 
 def one(values: pa.Array) -> pa.Array:
@@ -89,270 +77,444 @@ def one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def looked_up(chunks: DataFrame, chunk: str, keys: str, table: DataFrame, key: str) -> DataFrame:
-    """chunks with `at` and further arrays in step with it: for each entry of the array `keys` that `table` has, its place and the table's other columns."""
-    asked = chunks.select(chunk, F.posexplode(keys).alias("at", key))
-    values = [c for c in table.columns if c != key]
-    # lists of plain numbers are a third as large as lists of structs; none of them is null, so all keep one order
-    got = asked.join(table, key).groupBy(chunk).agg(*[F.collect_list(c).alias(c) for c in ("at", *values)])
-    return chunks.join(got, chunk, "left")
+class Batch:
+    """The tokens of a slice of the texts: the end token is word 0, and each text ends with it."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        flat, sizes = words(batch.column("text"), LOWER)
+        coded = flat.dictionary_encode()
+        self.words = pa.concat_arrays([pa.array([""], pa.large_string()), coded.dictionary.cast(pa.large_string())])
+        ends = np.cumsum(sizes + 1) - 1
+        self.token = np.zeros(len(flat) + len(sizes), np.int64)
+        inside = np.ones(len(self.token), bool)
+        inside[ends] = False
+        self.token[inside] = np.asarray(coded.indices).astype(np.int64) + 1
+        self.doc = np.repeat(np.arange(len(sizes)), sizes + 1)
+        self.train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        # each text begins after an end token
+        self.before = np.concatenate([[0], self.token[:-1]])
+
+
+def words_of(docs: DataFrame, shards: int) -> DataFrame:
+    """(shard, words, hash, c): the distinct words of docs (text, train), dealt by hash in its order, and their training counts."""
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=BATCH_BYTES):
+            b = Batch(batch)
+            c, h = np.bincount(b.token[b.train[b.doc]], minlength=len(b.words)), hashes(b.words)
+            shard = (h % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                yield pa.RecordBatch.from_arrays([pa.array([shard[own[0]]], pa.int32()), one(b.words.take(pa.array(own)).cast(pa.string())), pa.array([h[own].tobytes()]), pa.array([narrow(c[own])])], names=["shard", "words", "hash", "c"])
 
-# Spelling: letters of words as events, each a letter in a context.
+    def union(rows: pa.Table) -> pa.Table:
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hash"].to_pylist()])
+        c = np.concatenate([wide(x) for x in rows["c"].to_pylist()])
+        distinct, first, place = np.unique(h, return_index=True, return_inverse=True)
+        held = rows["words"].combine_chunks().flatten().take(pa.array(first))
+        return pa.Table.from_arrays([rows["shard"].slice(0, 1), one(held), one(pa.array(distinct.view(np.int64))), one(pa.array(np.bincount(place, weights=c, minlength=len(distinct)).astype(np.int64)))], names=["shard", "words", "hash", "c"])
 
+    dealt = docs.mapInArrow(parts, "shard int, words array<string>, hash binary, c binary")
+    return dealt.groupBy("shard").applyInArrow(union, "shard int, words array<string>, hash array<bigint>, c array<bigint>")
 
-def mixed(h: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One more code point into 64-bit hashes."""
-    h = (h ^ (x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+
+PAIRS = "shard int, row0 long, doc_ids binary, known_ids binary, train binary, v binary, vn binary, w binary, wi binary, n binary, doc binary"
+
+
+def pairs_of(docs: DataFrame, shards: int, hot: np.ndarray, by_text: bool) -> DataFrame:
+    """The word pairs of docs (doc_id, text, train), a row for each shard and slice of texts.
+
+    v: distinct contexts in ascending order, vn: the pairs of each; w: distinct next words, wi: each pair's place among
+    them; n: how often each pair occurs, in training or, by_text, anywhere; doc: by_text, the text of each occurrence.
+    """
+    hot = np.sort(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row0 = TaskContext.get().partitionId() << 40
+        for batch in slices(batches, size=BATCH_BYTES):
+            b = Batch(batch)
+            h = hashes(b.words)
+            # words in the order of their hashes, so that pairs sort by them
+            rank = np.empty(len(h), np.int64)
+            rank[np.argsort(h)] = np.arange(len(h))
+            h = np.sort(h)
+            key = rank[b.before] * len(h) + rank[b.token]
+            order = np.argsort(key, kind="stable")
+            ranked = key[order]
+            begin = np.flatnonzero(np.diff(ranked, prepend=-1))
+            many = np.diff(np.append(begin, len(ranked)))
+            v, w = ranked[begin] // len(h), ranked[begin] % len(h)
+            often = np.isin(h[v], hot)
+            shard = np.where(often, h[v] + h[w], h[v]) % np.uint64(shards)
+            count = many if by_text else np.add.reduceat(b.train[b.doc[order]].astype(np.int64), begin)
+            ids = batch.column("doc_id")
+            texts = [narrow(np.asarray(ids.fill_null(0)).view(np.uint64)), np.packbits(np.asarray(ids.is_valid())).tobytes(), np.packbits(b.train).tobytes()] if by_text else [b"", b"", b""]
+            place = np.argsort(shard, kind="stable")
+            for own in np.split(place, np.flatnonzero(np.diff(shard[place])) + 1):
+                vs, vn = np.unique(v[own], return_counts=True)
+                ws, wi = np.unique(w[own], return_inverse=True)
+                doc = narrow(b.doc[order[ragged(begin[own], many[own])]]) if by_text else b""
+                row = [*texts, h[vs].tobytes(), narrow(vn), h[ws].tobytes(), narrow(wi), narrow(count[own]), doc]
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard[own[0]])], pa.int32()), pa.array([row0]), *(pa.array([x], pa.binary()) for x in row)], names=[x.split()[0] for x in PAIRS.split(", ")])
+            row0 += batch.num_rows
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "train").mapInArrow(run, PAIRS)
+
+
+class Contexts:
+    """The word contexts of one shard: all its pairs, and their restaurants."""
+
+    def __init__(self, rows: pa.Table, hot: dict[int, tuple[int, int]], shards: int):
+        self.rows = [{k: rows[k][i].as_py() for k in rows.column_names} for i in range(rows.num_rows)]
+        v, w, c = [], [], []
+        for r in self.rows:
+            own = np.frombuffer(r["w"], np.uint64)[wide(r["wi"])]
+            v.append(np.repeat(np.frombuffer(r["v"], np.uint64), wide(r["vn"])))
+            w.append(own)
+            n = wide(r["n"])
+            if r["doc"]:
+                r["texts"] = wide(r["doc"])
+                train = np.unpackbits(np.frombuffer(r["train"], np.uint8)).astype(np.int64)
+                n = np.add.reduceat(train[r["texts"]], np.cumsum(n) - n)
+            c.append(n)
+        v, w, c = (np.concatenate(x) for x in (v, w, c))
+        order = np.lexsort((w, v))
+        v, w = v[order], w[order]
+        fresh = np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(fresh) - 1
+        begin = np.flatnonzero(fresh)
+        self.v, house = np.unique(v[begin], return_inverse=True)
+        self.w, self.dish = np.unique(w[begin], return_inverse=True)
+        c = np.bincount(self.place, weights=c, minlength=len(begin)).astype(np.int64)
+        often = np.array([int(x) in hot for x in self.v.tolist()], bool)
+        held = np.bincount(house, weights=c, minlength=len(self.v))
+        for k in np.flatnonzero(often).tolist():
+            held[k] = hot[int(self.v[k])][0]
+        self.hot = np.flatnonzero(often)
+        self.seats = Restaurants(house, c, held)
+        # a context that is dealt over all shards has about as many tables in each of the others
+        self.seats.scale[self.hot] = shards
+        for k in self.hot.tolist():
+            tables = hot[int(self.v[k])][1]
+            if tables:
+                self.seats.outside[k], self.seats.scale[k] = max(0, tables - self.seats.tables()[k] / shards), 1
+
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.dish, weights=values, minlength=len(self.w))
+
+
+STATE = "kind int, key long, n long, words array<string>, c array<bigint>, tables array<bigint>, shards array<int>, places array<binary>"
+
+
+def context_tables(docs: DataFrame, vocabulary: DataFrame, hot: dict[int, tuple[int, int]], shards: int, seed: int) -> DataFrame:
+    """Seat the word contexts once. Rows by kind: 0, a shard of words with the tables that are their customers and, for each shard of contexts, the places of the words that it asks for; 1, the tables of a frequent context; 2, pairs seen once or twice."""
+
+    def seat(rows: pa.Table) -> pa.Table:
+        shard = rows["shard"][0].as_py()
+        here, rng = Contexts(rows, hot, shards), np.random.default_rng([seed, shard])
+        seats = here.seats
+        # where nothing else is known, a word is as frequent as its contexts in this shard
+        contexts = here.by_word(seats.c > 0) + 0.5
+        base = (contexts / contexts.sum())[here.dish]
+        for _ in range(BURN_IN):
+            seats.sweep(base, rng)
+        to = (here.w % np.uint64(shards)).astype(np.int64)
+        out = [(0, int(k), shard, here.w[own].tobytes(), narrow(here.by_word(seats.t)[own]), 0) for k in np.unique(to) for own in [np.flatnonzero(to == k)]]
+        out += [(1, int(here.v[k].view(np.int64)), shard, b"", b"", int(seats.own_tables()[k])) for k in here.hot.tolist()]
+        out += [(2, k, shard, b"", b"", int((seats.c == k).sum())) for k in (1, 2)]
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["kind", "key", "shard", "w", "t", "n"])
+
+    asked = pairs_of(docs, shards, np.array(list(hot), np.uint64), by_text=False).groupBy("shard").applyInArrow(seat, "kind int, key long, shard int, w binary, t binary, n long")
+    nothing = [F.lit(None).cast(k).alias(n) for n, k in (("shard", "int"), ("w", "binary"), ("t", "binary"), ("n", "long"))]
+    held = vocabulary.select(F.lit(0).alias("kind"), F.col("shard").cast("long").alias("key"), *nothing, "words", "hash", "c")
+    both = asked.select("*", *[F.lit(None).cast(k).alias(n) for n, k in (("words", "array<string>"), ("hash", "array<bigint>"), ("c", "array<bigint>"))]).unionByName(held)
+
+    def add(rows: pa.Table) -> pa.Table:
+        kind, key = rows["kind"][0].as_py(), rows["key"][0].as_py()
+        names, lists = [x.split()[0] for x in STATE.split(", ")], [None] * 5
+        if kind:
+            return pa.Table.from_pylist([dict(zip(names, [kind, key, sum(rows["n"].to_pylist()), *lists]))], schema=STATE_SCHEMA)
+        valid = np.asarray(rows["words"].combine_chunks().is_valid())
+        mine = int(np.flatnonzero(valid)[0])
+        h = rows["hash"][mine].values.to_numpy().view(np.uint64)
+        tables, shards_, places = np.zeros(len(h), np.int64), [], []
+        for i in np.flatnonzero(~valid).tolist():
+            at = np.searchsorted(h, np.frombuffer(rows["w"][i].as_py(), np.uint64))
+            tables[at] += wide(rows["t"][i].as_py())
+            shards_.append(rows["shard"][i].as_py())
+            places.append(narrow(at))
+        return pa.Table.from_arrays(
+            [pa.array([0], pa.int32()), pa.array([key]), pa.array([0]), one(rows["words"][mine].values), one(rows["c"][mine].values), one(pa.array(tables)), pa.array([shards_], pa.list_(pa.int32())), pa.array([places], pa.list_(pa.binary()))],
+            schema=STATE_SCHEMA,
+        )
+
+    return both.groupBy("kind", "key").applyInArrow(add, STATE)
+
+
+STATE_SCHEMA = pa.schema([
+    ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("words", pa.list_(pa.string())), ("c", pa.list_(pa.int64())), ("tables", pa.list_(pa.int64())), ("shards", pa.list_(pa.int32())), ("places", pa.list_(pa.binary())),
+])
+
+
+# Spelling: letters of words as events, each a letter x in a context of the letters c1, c2, c3, c4 before it, the nearest first.
 
 
 def events_of(spelled: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every letter of the words and the stop after each: the letter and hashes of its contexts of 1 .. ORDER letters; and the number of events of each word."""
+    """For every letter of the words and the stop after each: x, c1 and c2 as one number, c3 and c4 as another; and the number of events of each word."""
     sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
     letters = np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), np.uint32)
-    full = np.full(len(letters) + (ORDER + 1) * len(sizes), START, np.uint32)
+    pad = ORDER + 1
+    full = np.full(len(letters) + pad * len(sizes), START, np.int64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    full[np.arange(len(letters)) + (ORDER + 1) * owner + ORDER] = letters
-    stops = np.cumsum(sizes + ORDER + 1) - 1
+    full[np.arange(len(letters)) + pad * owner + ORDER] = letters
+    stops = np.cumsum(sizes + pad) - 1
     full[stops] = STOP
-    mask = np.ones(len(full), bool)
-    for k in range(ORDER):
-        mask[stops - sizes - 1 - k] = False
-    at = np.flatnonzero(mask)
-    contexts, h = np.empty((ORDER, len(at)), np.uint64), np.zeros(len(at), np.uint64)
-    for k in range(ORDER):
-        h = mixed(h, full[at - 1 - k])
-        contexts[k] = h
-    return full[at], contexts, sizes + 1
-
+    at = ragged(stops - sizes, sizes + 1)
+    return (full[at - 2] * LETTER + full[at - 1]) * LETTER + full[at], full[at - 4] * LETTER + full[at - 3], sizes + 1
 
-CHUNKS = f"chunk long, words array<string>, c array<bigint>, sizes array<bigint>, places binary, event array<bigint>, x array<bigint>, weight array<bigint>, last array<bigint>, {', '.join(f'g{k} array<bigint>' for k in range(1, ORDER + 1))}"
 
-
-def chunks_of(vocabulary: DataFrame) -> DataFrame:
-    """vocabulary (word, c) in chunks with the distinct events of their spelling; weight: how many trained words of the chunk have an event."""
+def letter_events(state: DataFrame, weights: str) -> DataFrame:
+    """(key, near, far, n): the distinct events of each shard of words; n adds up the words' `weights`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, k = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "word", 4 << 20):
-            for part in (batch.slice(i, CHUNK_WORDS) for i in range(0, batch.num_rows, CHUNK_WORDS)):
-                spelled, c = part.column("word").to_pylist(), part.column("c").to_numpy()
-                x, g, sizes = events_of(spelled)
-                key, first, place = np.unique(mixed(g[-1], x), return_index=True, return_inverse=True)
-                last = g[0][first]
-                row = {"event": key, "x": x[first], "weight": np.bincount(place, weights=np.repeat(c > 0, sizes), minlength=len(key)), "last": last, **{f"g{i + 1}": g[i][first] for i in range(ORDER)}}
-                yield pa.RecordBatch.from_pydict({
-                    "chunk": pa.array([task << 32 | k]), "words": one(part.column("word")), "c": one(part.column("c")), "sizes": one(pa.array(sizes)), "places": pa.array([planes(place)]),
-                    **{n: one(pa.array(v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64))) for n, v in row.items()},
-                })
-                k += 1
-
-    return vocabulary.select("word", "c").mapInArrow(run, CHUNKS)
-
-
-@functools.lru_cache(maxsize=4)
-def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
-    """Logarithms of generalised Stirling numbers: [n, t] counts the ways to seat n customers at t tables, weighted by the discounts."""
-    s = np.full((most + 1, most + 1), -np.inf)
-    s[0, 0] = 0
-    for n in range(most):
-        t = np.arange(1, n + 2)
-        with np.errstate(divide="ignore"):
-            s[n + 1, 1 : n + 2] = np.logaddexp(s[n, : n + 1], np.log(np.maximum(n - t * discount, 0)) + s[n, 1 : n + 2])
-    return s
-
-
-def draw_tables(c: np.ndarray, base: np.ndarray, other: np.ndarray, discount: float, rng: np.random.Generator, strength: float = STRENGTH) -> np.ndarray:
-    """For dishes with c customers and base probability `base`, in restaurants with `other` tables of other dishes: a draw of their tables."""
-    t = np.minimum(c, 1)
-    for n in np.unique(c[(c > 1) & (c <= EXACT)]).tolist():
-        rows = np.flatnonzero(c == n)
-        for part in np.array_split(rows, max(1, len(rows) * n >> 20)):
-            room = np.log(strength + discount * (other[part, None] + np.arange(n))) + np.log(base[part, None])
-            w = np.cumsum(room, axis=1) + log_stirling(discount)[n, 1 : n + 1]
-            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-            t[part] = 1 + np.minimum((w < rng.random(len(part))[:, None] * w[:, -1:]).sum(axis=1), n - 1)
-    big = np.flatnonzero(c > EXACT)
-    seated, tables = np.ones(len(big)), np.ones(len(big))
-    active = np.arange(len(big))
-    while len(active):
-        rows = big[active]
-        fresh = (strength + discount * (other[rows] + tables[active])) * base[rows]
-        held = discount * tables[active]
-        with np.errstate(over="ignore", divide="ignore"):
-            nxt = held + (seated[active] - held) * rng.random(len(active)) ** (-1 / fresh)
-        open_ = nxt < c[rows]
-        active, nxt = active[open_], nxt[open_]
-        seated[active] = np.floor(nxt) + 1
-        tables[active] += 1
-    t[big] = np.minimum(tables.astype(np.int64), c[big])
-    return t
-
-
-class Subtree:
-    """The restaurants of all contexts that end in one letter, with the letters served there."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.levels = []
-        x, below = rows["x"].to_numpy(), np.arange(len(rows))
-        for k in range(ORDER, 0, -1):
-            g = rows[f"g{k}"].to_numpy()
-            key = np.stack([g, x], axis=1)
-            pairs, first, place = np.unique(key, axis=0, return_index=True, return_inverse=True)
-            house = np.unique(pairs[:, 0], return_inverse=True)[1]
-            # `up` leads from the pairs of the level before, or from the rows, to those of this level
-            self.levels.append({"up": place.ravel(), "house": house, "x": pairs[:, 1], "houses": int(house.max()) + 1 if len(house) else 0})
-            x = pairs[:, 1]
-            rows = rows.iloc[first]
-        self.letters, self.root = np.unique(x, return_inverse=True)
-        self.t = [np.zeros(len(v["x"]), np.int64) for v in self.levels]
-        self.c = [np.zeros(len(v["x"]), np.int64) for v in self.levels]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                near, far, sizes = events_of(batch.column("words")[i].values.to_pylist())
+                first, place = distinct(near, far)
+                near, far = near[first], far[first]
+                n = np.bincount(place, weights=np.repeat(batch.column("weight")[i].values.to_numpy(), sizes), minlength=len(near)).astype(np.int64)
+                for a in range(0, len(near), 100_000):
+                    cutout = slice(a, a + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near[cutout]), batch.column("key")[i].as_py())), *(pa.array(x[cutout]) for x in (near, far, n))], names=["key", "near", "far", "n"])
+
+    return state.select("key", "words", F.col(weights).alias("weight")).mapInArrow(run, "key long, near long, far long, n long")
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct pair (a, b) stands first, in their order, and the place of every pair among them."""
+    order = np.lexsort((b, a))
+    fresh = np.append(True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)) if len(a) else np.zeros(0, bool)
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return order[fresh], place
+
+
+class Spelling:
+    """Restaurants of contexts of 4, 3 and 2 letters, the deepest first; a pair of one level is a customer of that it leads to in the next."""
+
+    def __init__(self, near: np.ndarray, far: np.ndarray):
+        self.levels, self.up = [], []
+        for letters in (4, 3, 2):
+            # what tells contexts of so many letters apart, beside the last two
+            more = far if letters == 4 else far % LETTER if letters == 3 else np.zeros(len(far), np.int64)
+            first, place = distinct(near, more)
+            self.up.append(place)
+            self.levels.append(Restaurants(distinct(near[first] // LETTER, more[first])[1], np.zeros(len(first), np.int64)))
+            near, far = near[first], far[first]
+        self.top = near
 
     def predictive(self, base: np.ndarray) -> list[np.ndarray]:
-        """The probability of each pair of each level, the deepest first, for base probabilities of the letters in the empty context."""
-        out, p = [], base[self.root]
-        for i in range(ORDER - 1, -1, -1):
-            v, c, t = self.levels[i], self.c[i], self.t[i]
-            many = np.bincount(v["house"], weights=c, minlength=v["houses"])[v["house"]]
-            tables = np.bincount(v["house"], weights=t, minlength=v["houses"])[v["house"]]
-            p = (c - DISCOUNT * t + (STRENGTH + DISCOUNT * tables) * p) / (STRENGTH + many)
+        out, p = [], base
+        for k in (2, 1, 0):
+            p = self.levels[k].predictive(p)
             out.append(p)
-            if i:
-                p = p[self.parent(i - 1)]
-        return out[::-1]
-
-    def parent(self, i: int) -> np.ndarray:
-        """For the pairs of level i: their place in level i + 1."""
-        return self.levels[i + 1]["up"]
+            p = p[self.up[k]]
+        return out[::-1] + [p]
 
-    def sweep(self, weight: np.ndarray, base: np.ndarray, rng: np.random.Generator) -> None:
-        """Seat the customers of every restaurant anew, the deepest first; their tables are the customers of the parents."""
+    def sweep(self, n: np.ndarray, base: np.ndarray, rng: np.random.Generator) -> None:
         p = self.predictive(base)
-        sent = np.bincount(self.levels[0]["up"], weights=weight, minlength=len(self.levels[0]["x"])).astype(np.int64)
-        for i, v in enumerate(self.levels):
-            self.c[i] = sent
-            above = p[i + 1][self.parent(i)] if i + 1 < ORDER else base[self.root]
-            tables = np.bincount(v["house"], weights=np.minimum(self.t[i], sent), minlength=v["houses"])
-            self.t[i] = draw_tables(sent, above, tables[v["house"]] - np.minimum(self.t[i], sent), DISCOUNT, rng)
-            up = self.parent(i) if i + 1 < ORDER else self.root
-            sent = np.bincount(up, weights=self.t[i], minlength=len(self.levels[i + 1]["x"]) if i + 1 < ORDER else len(self.letters)).astype(np.int64)
+        sent = n
+        for k, level in enumerate(self.levels):
+            level.customers(np.bincount(self.up[k], weights=sent, minlength=len(level.c)).astype(np.int64))
+            level.sweep(p[k + 1][self.up[k + 1]] if k < 2 else base, rng)
+            sent = level.t
         self.sent = sent
 
 
-def root_probability(letters: dict[int, tuple[int, int]]) -> dict[int, float]:
-    """Predictive probability of each letter in the empty context, from its customers and tables."""
-    many, tables = sum(c for c, _ in letters.values()), sum(t for _, t in letters.values())
-    rest = (STRENGTH + DISCOUNT * tables) / (STRENGTH + many) / CODE_POINTS
-    return {-1: rest} | {x: (c - DISCOUNT * t) / (STRENGTH + many) + rest for x, (c, t) in letters.items()}
-
-
-def sample_spelling(events: DataFrame, root: dict[int, float], samples: int, seed: int) -> DataFrame:
-    """Gibbs in every subtree. samples 0: rows (x, c), the customers each sends to the empty context; else (event, p), averaged predictive probabilities."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("event", ignore_index=True)
-        tree, weight = Subtree(rows), rows["weight"].to_numpy()
-        rng = np.random.default_rng([seed, int(rows["last"].iloc[0]) & 0xFFFFFFFF])
-        base = np.array([root.get(int(x), root[-1]) for x in tree.letters])
-        total = np.zeros(len(rows))
+def spelling(state: DataFrame, weights: str, samples: int, seed: int) -> DataFrame:
+    """(key, near, far, p): the probability of each event of each shard of words, given the customers of the spelling."""
+    asked = cut(letter_events(state, weights), "lm-letters")
+    events = cut(asked.groupBy("near", "far").agg(F.sum("n").alias("n")), "lm-events")
+    # contexts of two letters or more by the last two, those of one letter by that
+    two, single = F.pmod(F.xxhash64(F.floor(F.col("near") / int(LETTER))), F.lit(1 << 20)), "near % 4398046511104"
+
+    def deep(draw: int) -> callable:
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["near", "far"], ignore_index=True)
+            tree = Spelling(rows["near"].to_numpy(), rows["far"].to_numpy())
+            base = np.ones(len(tree.top)) / 64 if not draw else rows.groupby("near", sort=True)["p1"].first().reindex(tree.top).to_numpy()
+            rng, n, total = np.random.default_rng([seed, draw, int(rows["two"].iloc[0])]), rows["n"].to_numpy(), np.zeros(len(rows))
+            for k in range(BURN_IN + draw):
+                tree.sweep(n, base, rng)
+                if k >= BURN_IN:
+                    total += tree.predictive(base)[3]
+            if not draw:
+                return pd.DataFrame({"near": tree.top, "far": 0, "n": tree.sent, "p": 0.0})
+            return pd.DataFrame({"near": rows["near"], "far": rows["far"], "n": 0, "p": total / draw})
+
+        return run
+
+    schema = "near long, far long, n long, p double"
+    sent = events.withColumn("two", two % 64).groupBy("two").applyInPandas(deep(0), schema).groupBy(F.expr(single).alias("pair")).agg(F.sum("n").alias("n"))
+    sent = cut(sent, "lm-letter-pairs")
+
+    def shallow(letters: dict[int, float] | None) -> callable:
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("pair", ignore_index=True)
+            pair = rows["pair"].to_numpy()
+            house, x = np.unique(pair // LETTER, return_inverse=True)[1], pair % LETTER
+            seats, rng, total = Restaurants(house, rows["n"].to_numpy()), np.random.default_rng([seed, 1 + bool(letters), int(rows["last"].iloc[0])]), np.zeros(len(rows))
+            base = np.array([(letters or {}).get(int(v), 1 / CODE_POINTS) for v in x])
+            for k in range(BURN_IN + samples):
+                seats.sweep(base, rng)
+                if k >= BURN_IN:
+                    total += seats.predictive(base)
+            return pd.DataFrame({"pair": pair, "x": x, "n": seats.t, "p": total / samples})
+
+        return run
+
+    dealt = sent.withColumn("last", F.pmod(F.xxhash64(F.floor(F.col("pair") / int(LETTER))), F.lit(64)).cast("int"))
+    level = "pair long, x long, n long, p double"
+    below = dealt.groupBy("last").applyInPandas(shallow(None), level).groupBy("x").agg(F.sum("n").alias("n")).collect()  # a row for each letter
+    below = sorted((r.x, int(r.n)) for r in below)
+    root = Restaurants(np.zeros(len(below), np.int64), np.array([n for _, n in below], np.int64))
+    base, rng = np.full(len(below), 1 / CODE_POINTS), np.random.default_rng([seed, 3])
+    for _ in range(BURN_IN + samples):
+        root.sweep(base, rng)
+    letters = {x: float(p) for (x, _), p in zip(below, root.predictive(base))}
+    p1 = dealt.groupBy("last").applyInPandas(shallow(letters or None), level).select("pair", F.col("p").alias("p1"))
+    based = events.withColumn("pair", F.expr(single)).join(p1, "pair").withColumn("two", two % 64)
+    found = based.select("two", "near", "far", "n", "p1").groupBy("two").applyInPandas(deep(samples), schema).select("near", "far", "p")
+    return asked.select("key", "near", "far").join(found, ["near", "far"]).select("key", "near", "far", "p")
+
+
+def seat_words(state: DataFrame, spelled: DataFrame, known: int, discount: float, samples: int, seed: int) -> DataFrame:
+    """(key, spell, t, drawn): for each word of a shard log10 of its spelling, its tables in the last sweep, and those of every sample one after another."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        near, far, sizes = events_of(left["words"][0].values.to_pylist())
+        place = distinct(near, far)[1]
+        got = np.lexsort((right["far"].to_numpy(), right["near"].to_numpy()))
+        p = np.log10(right["p"].to_numpy()[got])
+        spell = np.add.reduceat(p[place], np.cumsum(sizes) - sizes)
+        c = left["tables"][0].values.to_numpy()
+        base = 10.0 ** np.maximum(spell, -300)
+        seats, rng = Restaurants(np.zeros(len(c), np.int64), c, discount=discount), np.random.default_rng([seed, left["key"][0].as_py()])
+        # words of other shards have as many tables each as those of this one
+        seats.scale[:] = max(1.0, known / max(1, int((c > 0).sum())))
+        drawn = []
         for k in range(BURN_IN + samples):
-            tree.sweep(weight, base, rng)
+            seats.sweep(base, rng)
             if k >= BURN_IN:
-                total += tree.predictive(base)[0][tree.levels[0]["up"]]
-        if not samples:
-            return pd.DataFrame({"k": tree.letters, "v": tree.sent.astype(float)})
-        return pd.DataFrame({"k": rows["event"], "v": total / samples})
-
-    return events.groupBy("last").applyInPandas(run, "k long, v double")
-
-
-def spelling(chunks: DataFrame, samples: int, seed: int) -> DataFrame:
-    """(event, p) for every event in the spelling of any word, seen in training or not."""
-    columns = ["event", "x", "weight", "last", *(f"g{k}" for k in range(1, ORDER + 1))]
-    rows = chunks.select(F.explode(F.arrays_zip(*columns)).alias("e")).select("e.*")
-    events = rows.groupBy(*[c for c in columns if c != "weight"]).agg(F.sum("weight").alias("weight"))
-    events = cut(events, "events")
-    root, rng = {-1: 1 / CODE_POINTS}, np.random.default_rng(seed)
-    sent = sample_spelling(events, root, 0, seed).groupBy("k").agg(F.sum("v").alias("v")).collect()  # a row for each letter
-    letters = {r.k: int(r.v) for r in sorted(sent) if r.v}
-    if letters:
-        c = np.array(list(letters.values()))
-        t = np.ones(len(c), np.int64)
-        for _ in range(BURN_IN):
-            t = draw_tables(c, np.full(len(c), 1 / CODE_POINTS), t.sum() - t, DISCOUNT, rng)
-        root = root_probability({x: (int(n), int(m)) for x, n, m in zip(letters, c, t)})
-    return sample_spelling(events, root, samples, seed + 1).select(F.col("k").alias("event"), F.log10("v").cast("float").alias("lp"))
+                drawn.append(seats.t)
+        return pa.Table.from_arrays([left["key"], one(pa.array(spell)), one(pa.array(seats.t)), one(pa.array(np.concatenate(drawn)))], names=["key", "spell", "t", "drawn"])
 
+    return state.select("key", "words", "tables").groupBy("key").cogroup(spelled.groupBy("key")).applyInArrow(run, "key long, spell array<double>, t array<bigint>, drawn array<bigint>")
 
-def seat_words(spelled: DataFrame, tables: int, discount: float, samples: int, seed: int) -> DataFrame:
-    """(word, c, spell, t): log10 of the spelling's probability, and the word's tables in each sample; spelled: chunks with the log probabilities of their events."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in ("chunk", "words", "c", "sizes", "places", "at", "lp")}
-                of_event = np.zeros(len(row["at"].values))
-                of_event[row["at"].values.to_numpy()] = row["lp"].values.to_numpy()
-                sizes, c = row["sizes"].values.to_numpy(), row["c"].values.to_numpy()
-                spell = np.add.reduceat(of_event[from_planes(row["places"].as_py())], np.cumsum(sizes) - sizes)
-                base = np.maximum(10.0 ** np.maximum(spell, -300), 1e-300)
-                rng = np.random.default_rng([seed, row["chunk"].as_py()])
-                t = np.stack([draw_tables(c, base, np.full(len(c), max(tables - 1, 0)), discount, rng) for _ in range(samples)], axis=1)
-                yield pa.RecordBatch.from_arrays([row["words"].values, row["c"].values, pa.array(spell), pa.array(t.tolist(), pa.list_(pa.int64()))], names=["word", "c", "spell", "t"])
-
-    return spelled.select("chunk", "words", "c", "sizes", "places", "at", "lp").mapInArrow(run, "word string, c long, spell double, t array<bigint>")
-
-
-def text_scores(asked: DataFrame, n: int, v: int, unknown: float) -> DataFrame:
-    """One row for each text of batches with the counts and log probabilities of their words; `unknown` is that of all others."""
+def answers(state: DataFrame, seated: DataFrame, tables: list[int], total: int, discount: float) -> DataFrame:
+    """(shard, key, c, p): for every shard of contexts and of words, the counts and probabilities of the words that the former asked for, in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i] for k in ("doc_ids", "train", "sizes", "n_words", "places", "at", "c", "lp")}
-                m = row["n_words"].as_py()
-                c, lp = np.zeros(m, np.int64), np.full(m, unknown)
-                if row["at"].is_valid:
-                    at = row["at"].values.to_numpy()
-                    c[at], lp[at] = row["c"].values.to_numpy(), row["lp"].values.to_numpy()
-                places, sizes = from_planes(row["places"].as_py()), row["sizes"].values.to_numpy()
-                # the end token follows the words of each text
-                full = np.insert(places, np.cumsum(sizes), 0)
-                sizes = sizes + 1
-                first = np.cumsum(sizes) - sizes
-                sums = lambda values: np.add.reduceat(values[full], first)
-                yield pa.RecordBatch.from_arrays([
-                    row["doc_ids"].values, pa.array(~row["train"].values.to_numpy(zero_copy_only=False).astype(bool)), pa.array(sizes), pa.array(sums((c > 0).astype(np.int64))),
-                    pa.array(np.full(len(sizes), n)), pa.array(sums(np.log10((c + 1) / (n + v + 1)))), pa.array(sums(lp)),
-                ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return asked.select("doc_ids", "train", "sizes", "n_words", "places", "at", "c", "lp").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def score(docs: DataFrame, train: Column, samples: int = SAMPLES, seed: int = 11) -> DataFrame:
+                c, customers, spell = (batch.column(n)[i].values.to_numpy() for n in ("c", "tables", "spell"))
+                t = batch.column("drawn")[i].values.to_numpy().reshape(len(tables), -1)
+                base = 10.0 ** np.maximum(spell, -300)
+                p = sum(customers - discount * own + (STRENGTH + discount * all_) * base for own, all_ in zip(t, tables)) / len(tables) / (STRENGTH + total)
+                for shard, at in zip(batch.column("shards")[i].as_py(), batch.column("places")[i].as_py()):
+                    at = wide(at)
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([batch.column("key")[i].as_py()]), pa.array([narrow(c[at])]), pa.array([p[at].tobytes()])], names=["shard", "key", "c", "p"])
+
+    both = state.select("key", "c", "tables", "shards", "places").join(seated.select("key", "spell", "drawn"), "key")
+    return both.mapInArrow(run, "shard int, key long, c binary, p binary")
+
+
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, base_known double, score_known double"
+
+
+def text_scores(pairs: DataFrame, answered: DataFrame, hot: dict[int, tuple[int, int]], shards: int, n: int, v: int, discount: float, samples: int, seed: int) -> DataFrame:
+    """Seat the word contexts given the words, and add up what each shard knows of a text."""
+
+    def run(rows: pa.Table, words_: pa.Table) -> pa.Table:
+        shard = rows["shard"][0].as_py()
+        here, rng = Contexts(rows, hot, shards), np.random.default_rng([seed, shard])
+        seats, to = here.seats, (here.w % np.uint64(shards)).astype(np.int64)
+        seats.discount = discount
+        known, p = np.zeros(len(here.w), np.int64), np.zeros(len(here.w))
+        for key, c, q in zip(*(words_[k].to_pylist() for k in ("key", "c", "p"))):
+            own = np.flatnonzero(to == key)
+            known[own], p[own] = wide(c), np.frombuffer(q)
+        base, total = p[here.dish], np.zeros(len(here.dish))
+        for k in range(BURN_IN + samples):
+            seats.sweep(base, rng)
+            if k >= BURN_IN:
+                total += seats.predictive(base)
+        lp, add_one, seen = np.log10(total / samples), np.log10((known + 1) / (n + v + 1))[here.dish], (known > 0)[here.dish]
+        out, at = [], 0
+        for r in here.rows:
+            many = wide(r["n"])
+            event = np.repeat(here.place[at : at + len(many)], many)
+            at += len(many)
+            texts, doc = np.unique(r["texts"], return_inverse=True)
+            sums = lambda x: np.bincount(doc, weights=x, minlength=len(texts))  # noqa: B023, E731
+            bits = lambda x: np.unpackbits(np.frombuffer(r[x], np.uint8))[texts].astype(bool)  # noqa: B023, E731
+            ids = wide(r["doc_ids"])[texts]
+            whole = [pa.array(sums(x).astype(np.int64)) for x in (np.ones(len(event)), seen[event])]
+            out.append(pa.table([
+                pa.array(r["row0"] + texts), pa.array(ids, mask=~bits("known_ids")), pa.array(~bits("train")), *whole, *(pa.array(sums(x)) for x in (add_one[event], lp[event], (add_one * seen)[event], (lp * seen)[event])),
+            ], names=[x.split()[0] for x in SCORED.split(", ")]))
+        return pa.concat_tables(out)
+
+    parts = pairs.groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(run, SCORED)
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "base_known", "score_known")]
+    return parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *sums)
+
+
+def usual_discount(once: int, twice: int) -> float:
+    """The usual estimate from what is seen once and twice."""
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once and twice else DISCOUNT
+
+
+def score(docs: DataFrame, train: Column, samples: int = SAMPLES, rounds: int = ROUNDS, seed: int = 11, shards: int | None = None) -> DataFrame:
     """Learn from the rows of docs (doc_id, text) where `train` holds, and score all."""
     ship(docs.sparkSession)
-    batches = cut(batches_of(docs.withColumn("train", train)), "lm-batches")
-    counted = batches.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).filter("w.counts > 0").groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("c"))
-    vocabulary = cut(counted, "lm-words")
-    known = F.col("c") > 0
-    n, v, once, twice = vocabulary.agg(F.sum("c"), F.count_if(known), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    docs = docs.select("doc_id", "text", train.alias("train"))
+    if shards is None:
+        # about six bytes a token
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(LEAST_SHARDS, -(-size // (6 * SHARD_TOKENS)))
+    vocabulary = cut(words_of(docs.select("text", "train"), shards), "lm-words")
+    each = vocabulary.select(F.explode(F.arrays_zip("hash", "c")).alias("w")).select("w.hash", "w.c")
+    n, v = each.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n, v = int(n or 0), int(v)
-    # the usual estimate from words seen once and twice
-    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once and twice else DISCOUNT
-    chunks = cut(chunks_of(vocabulary), "lm-chunks")
-    spelled = looked_up(chunks, "chunk", "event", spelling(chunks, samples, seed), "event")
-    seated = cut(seat_words(spelled, v, discount, samples, seed), "lm-seated")
-    spell = F.pow(F.lit(10.0), F.greatest("spell", F.lit(-300.0)))
-    *totals, covered = seated.agg(*[F.sum(F.col("t")[s]).alias(f"t{s}") for s in range(samples)], F.sum(spell).alias("covered")).first()
-    fresh = [(STRENGTH + discount * (x or 0)) / (STRENGTH + n) for x in totals]
-    each = [(F.col("c") - discount * F.col("t")[s]) / (STRENGTH + n) + fresh[s] * spell for s in range(samples)]
-    scored = seated.select("word", "c", F.log10(functools.reduce(Column.__add__, each) / samples).cast("float").alias("lp"))
-    unknown = math.log10(sum(fresh) / samples * max(1 - (covered or 0.0), 1e-9))
-    return text_scores(looked_up(batches, "batch", "words", scored, "word"), n, v, unknown)
+    # fewer than 4 x shards
+    hot = {r["hash"] % (1 << 64): (r.c, 0) for r in each.filter(F.col("c") > max(1000, n // (4 * shards))).collect()}
+    state = cut(context_tables(docs, vocabulary, hot, shards, seed), "lm-state")
+    pair_counts = {r.key: r.n for r in state.filter("kind = 2").collect()}
+    hot = {r.key % (1 << 64): (hot[r.key % (1 << 64)][0], r.n) for r in state.filter("kind = 1").select("key", "n").collect()}
+    state = state.filter("kind = 0")
+    tables = state.select(F.explode("tables").alias("t")).agg(F.sum("t"), *[F.count_if(x) for x in (F.col("t") == 1, F.col("t") == 2, F.col("t") > 0)]).first()
+    total, known = int(tables[0] or 0), int(tables[3])
+    discount = usual_discount(tables[1], tables[2])
+    now = state.withColumn("weight", F.transform("tables", lambda t: F.least(t, F.lit(1))))
+    for k in range(rounds):
+        spelled = spelling(now, "weight", samples, seed + 10 * k)
+        seated = cut(seat_words(state, spelled, known, discount, samples, seed + 10 * k + 5), "lm-seated")
+        now = state.select("key", "words").join(seated.select("key", F.col("t").alias("weight")), "key")
+    per = seated.select(*[F.aggregate(F.slice("drawn", F.size("t") * s + 1, F.size("t")), F.lit(0).cast("long"), lambda a, b: a + b).alias(f"t{s}") for s in range(samples)])
+    drawn = [int(x or 0) for x in per.agg(*[F.sum(c) for c in per.columns]).first()]
+    answered = answers(state, seated, drawn, total, discount)
+    pairs = pairs_of(docs, shards, np.array(list(hot), np.uint64), by_text=True)
+    found = text_scores(pairs, answered, hot, shards, n, v, usual_discount(pair_counts.get(1, 0), pair_counts.get(2, 0)), samples, seed + 1)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "base_known", "score_known")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
-    """Perplexity of the held-out and of the training texts."""
-    return scored.groupBy("held_out").agg(F.pow(F.lit(10.0), -F.sum("score") / F.sum("n_tokens")).alias("perplexity"), F.pow(F.lit(10.0), -F.sum("base_score") / F.sum("n_tokens")).alias("base_perplexity"))
+    """Perplexity of the held-out and of the training texts, over all tokens and over the known ones, of the model and of the base score."""
+    of = lambda total, count: F.pow(F.lit(10.0), -F.sum(total) / F.sum(count))
+    return scored.groupBy("held_out").agg(
+        of("score", "n_tokens").alias("perplexity"), of("base_score", "n_tokens").alias("base_perplexity"), of("score_known", "n_known").alias("known_perplexity"), of("base_known", "n_known").alias("known_base_perplexity")
+    )

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from odolith.llm import decontam, encoding, langid, language_model, licences, packing, pii, secret_scan, simhash, token_store
+from odolith.llm.seating import Restaurants, log_gamma
 from odolith.session import scratch_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -235,8 +237,6 @@ def test_each_component_keeps_a_row_when_ids_repeat(docs):
 
 
 def test_language_model_counts(spark, docs, odd_texts):
-    import math
-
     rows = [r for r in odd_texts if len(r[1] or "") < 100_000] + [(200 + k, f"the cat {k % 5} sat on the mat number{k}") for k in range(60)]
     df = docs(rows)
     got = language_model.score(df, ~language_model.held_out(df.doc_id)).collect()
@@ -246,30 +246,90 @@ def test_language_model_counts(spark, docs, odd_texts):
     want = Counter((i, held(i), len(words(t)) + 1, sum(count[w] > 0 for w in [*words(t), ""]), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*words(t), ""]), 6)) for i, t in rows)
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     by = {r.held_out: (r.perplexity, r.base_perplexity) for r in language_model.perplexity(spark.createDataFrame(got)).collect()}
-    assert by[True][0] < by[True][1]
+    assert by[False][0] < by[False][1]
     assert all(r.score < 0 for r in got)
     assert language_model.score(docs([]), F.lit(True)).count() == 0
     assert language_model.score(docs(rows), F.lit(False)).count() == len(rows)
 
 
-def test_words_are_one_distribution(spark, docs):
-    """Known words and the unknown outcome have probability 1 together."""
-    rows = [(k, f"alpha beta beta gamma{k % 3} delta{k}") for k in range(40)]
-    vocabulary = {w for _, t in rows for w in words(t)}
-    probe = [(1000 + k, w) for k, w in enumerate(sorted(vocabulary))] + [(2000, ""), (3000, "neverseen")]
+def test_word_order_and_spelling_count(spark, docs):
+    rng = np.random.default_rng(3)
+    syllables = ["ka", "lo", "mi", "ter", "un", "shi"]
+    noun = lambda: "".join(rng.choice(syllables, 3))
+    rows = [(k, f"the {noun()} sat on a {noun()} near the old mill and sang") for k in range(300)]
+    probe = [(1000, "the loka sat on a mill"), (1001, "mill a on sat loka the"), (1002, "kamilounka"), (1003, "xqzwvj"), (1004, "kamiloka" * 3), (1005, None)]
     df = docs(rows + probe)
-    got = {r.doc_id: r.score for r in language_model.score(df, df.doc_id < 1000).collect()}
-    end = got[2000]
-    total = sum(10 ** (got[i] - end) for i, _ in probe if i != 2000) + 10**end
-    assert abs(total - 1) < 1e-5
+    got = {r.doc_id: r for r in language_model.score(df, df.doc_id < 1000).collect()}
+    assert got[1000].score > got[1001].score + 2 and abs(got[1000].base_score - got[1001].base_score) < 1e-9
+    # a word that training lacks is as likely as its spelling
+    assert got[1002].score > got[1003].score + 2 and got[1002].n_known == got[1003].n_known == 1
+    assert all(r.score_known >= r.score and r.base_known >= r.base_score for r in got.values())
+    by = {r.held_out: r for r in language_model.perplexity(spark.createDataFrame(list(got.values()))).collect()}
+    assert by[False].perplexity < by[False].base_perplexity and by[True].known_perplexity < by[True].known_base_perplexity
 
 
-def test_stirling_and_seating():
-    s = np.exp(language_model.log_stirling(0.0, 6))
-    assert np.allclose(s[5, 1:6], [24, 50, 35, 10, 1])
-    rng = np.random.default_rng(3)
-    t = language_model.draw_tables(np.array([0, 1, 5, 150, 5000]), np.full(5, 0.01), np.full(5, 10), 0.5, rng)
-    assert t[0] == 0 and t[1] == 1 and (t[1:] >= 1).all() and (t <= [0, 1, 5, 150, 5000]).all()
+def test_frequent_contexts_are_dealt(docs):
+    """Counts do not depend on the number of shards, and scores little, though the frequent contexts of few shards are not those of many."""
+    rng = np.random.default_rng(5)
+    df = docs([(k, " ".join(f"w{i}" for i in rng.zipf(1.6, 60).clip(0, 400))) for k in range(120)])
+    runs = [{r.doc_id: r for r in language_model.score(df, ~language_model.held_out(df.doc_id), shards=n).collect()} for n in (1, 5)]
+    for i, a in runs[0].items():
+        b = runs[1][i]
+        assert (a.n_tokens, a.n_known, a.train_tokens) == (b.n_tokens, b.n_known, b.train_tokens) and abs(a.base_score - b.base_score) < 1e-6
+        assert abs(a.score - b.score) < 0.08 * abs(a.score)
+
+
+def tables_of(c, room, p, discount):
+    """Exact distribution of the tables of a dish: generalised Stirling numbers times the weights of its tables."""
+    s = np.full((c + 1, c + 2), -np.inf)
+    s[0, 0] = 0
+    for n in range(c):
+        for t in range(1, n + 2):
+            stay = np.log(n - t * discount) + s[n, t] if n > t * discount and t <= n else -np.inf
+            s[n + 1, t] = np.logaddexp(s[n, t - 1], stay)
+    t = np.arange(1, c + 1)
+    w = np.cumsum(np.log((room + discount * (t - 1)) * p)) + s[c, 1 : c + 1]
+    w = np.exp(w - w.max())
+    return w / w.sum()
+
+
+@pytest.mark.parametrize(("c", "p"), [(2, 0.3), (6, 0.05), (40, 0.3), (400, 0.02)])
+def test_seating_equals_its_exact_conditional(c, p):
+    """Many equal restaurants, each with the dish and 20 tables of others: the tables drawn follow the exact distribution at every size."""
+    rng, n = np.random.default_rng(c), 4000
+    seats = Restaurants(np.arange(n), np.full(n, c))
+    seats.outside[:] = 20
+    seen = np.zeros(c + 1)
+    for k in range(40):
+        seats.sweep(np.full(n, p), rng)
+        if k >= 20:
+            seen += np.bincount(seats.t, minlength=c + 1)
+    want = tables_of(c, seats.strength + seats.discount * 20, p, seats.discount)
+    assert np.abs(np.cumsum(seen[1:] / seen.sum()) - np.cumsum(want)).max() < 0.02
+    assert (np.bincount(seats.owner, minlength=n) + 1 == seats.t).all() and (seats.after < c).all()
+
+
+def test_a_restaurant_is_one_distribution():
+    rng = np.random.default_rng(1)
+    base = rng.dirichlet(np.ones(50))
+    seats = Restaurants(np.repeat([0, 1], [50, 50]), rng.integers(0, 9, 100))
+    for _ in range(5):
+        seats.sweep(np.tile(base, 2), rng)
+    p = seats.predictive(np.tile(base, 2))
+    assert np.allclose([p[:50].sum(), p[50:].sum()], 1) and (p > 0).all()
+    x = np.array([1e-8, 0.3, 1.0, 5.5, 1e6])
+    assert np.allclose(log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-10)
+
+
+def test_spelling_levels_lead_to_their_suffixes():
+    near, far, sizes = language_model.events_of(["aba", "caba", ""])
+    assert sizes.tolist() == [4, 5, 1]
+    first, place = language_model.distinct(near, far)
+    tree = language_model.Spelling(near[first], far[first])
+    tree.sweep(np.bincount(place), np.full(len(tree.top), 0.01), np.random.default_rng(0))
+    # every context of two letters with its letter stands once on top, and a table goes up for each pair below
+    assert sorted(tree.top.tolist()) == sorted(set(near.tolist()))
+    assert tree.levels[0].c.sum() == len(near) and tree.levels[1].c.sum() == tree.levels[0].t.sum() and tree.levels[2].c.sum() == tree.levels[1].t.sum()
 
 
 def test_plan_keeps_every_piece():
