@@ -41,7 +41,7 @@ from odolith.session import cut, ship
 
 ORDER, SAMPLES, BURN_IN, ROUNDS = 4, 3, 3, 2
 #: Bytes of text that are hashed at once, and tokens of a shard.
-BATCH_BYTES, SHARD_TOKENS = 16 << 20, 8_000_000
+BATCH_BYTES, SHARD_TOKENS = 16 << 20, 3_000_000
 LEAST_SHARDS = 8
 START, STOP = 0x110000, 0x110001
 CODE_POINTS = 0x110001
@@ -59,7 +59,8 @@ def narrow(a: np.ndarray) -> bytes:
     return bytes([width]) + a.astype(f"<u{width}").tobytes()
 
 
-def wide(body: bytes) -> np.ndarray:
+def wide(body: bytes | pa.Buffer) -> np.ndarray:
+    body = memoryview(body)
     return np.frombuffer(body, f"<u{body[0]}", offset=1).astype(np.int64)
 
 
@@ -165,21 +166,22 @@ class Contexts:
     """The word contexts of one shard: all its pairs, and their restaurants."""
 
     def __init__(self, rows: pa.Table, hot: dict[int, tuple[int, int]], shards: int):
-        self.rows = [{k: rows[k][i].as_py() for k in rows.column_names} for i in range(rows.num_rows)]
+        # views of the rows' own memory, not copies
+        self.rows = [{k: rows[k][i].as_py() if k == "row0" else rows[k][i].as_buffer() for k in rows.column_names if k != "shard"} for i in range(rows.num_rows)]
         v, w, c = [], [], []
         for r in self.rows:
             own = np.frombuffer(r["w"], np.uint64)[wide(r["wi"])]
             v.append(np.repeat(np.frombuffer(r["v"], np.uint64), wide(r["vn"])))
             w.append(own)
             n = wide(r["n"])
-            if r["doc"]:
-                r["texts"] = wide(r["doc"])
-                train = np.unpackbits(np.frombuffer(r["train"], np.uint8)).astype(np.int64)
-                n = np.add.reduceat(train[r["texts"]], np.cumsum(n) - n)
-            c.append(n)
-        v, w, c = (np.concatenate(x) for x in (v, w, c))
+            if len(r["doc"]):
+                train = np.unpackbits(np.frombuffer(r["train"], np.uint8))
+                n = np.add.reduceat(train[wide(r["doc"])].astype(np.int64), np.cumsum(n) - n)
+            c.append(n.astype(np.int32))
+        c, w, v = np.concatenate(c), np.concatenate(w), np.concatenate(v)
         order = np.lexsort((w, v))
-        v, w = v[order], w[order]
+        w = w[order]
+        v = v[order]
         fresh = np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))
         self.place = np.empty(len(order), np.int64)
         self.place[order] = np.cumsum(fresh) - 1
@@ -458,7 +460,7 @@ def text_scores(pairs: DataFrame, answered: DataFrame, hot: dict[int, tuple[int,
             many = wide(r["n"])
             event = np.repeat(here.place[at : at + len(many)], many)
             at += len(many)
-            texts, doc = np.unique(r["texts"], return_inverse=True)
+            texts, doc = np.unique(wide(r["doc"]), return_inverse=True)
             sums = lambda x: np.bincount(doc, weights=x, minlength=len(texts))  # noqa: B023, E731
             bits = lambda x: np.unpackbits(np.frombuffer(r[x], np.uint8))[texts].astype(bool)  # noqa: B023, E731
             ids = wide(r["doc_ids"])[texts]
