@@ -36,7 +36,7 @@ class Restaurants:
         self.houses = int(house.max()) + 1 if len(house) else 0
         self.scale, self.outside = np.ones(self.houses), np.zeros(self.houses)
         self.owner, self.after = np.zeros(0, np.int64), np.zeros(0, np.int64)  # tables but the first: whose, and after how many customers
-        self.c = np.zeros(len(house), np.int64)
+        self.c, self.new = np.zeros(len(house), np.int64), np.ones(len(house), bool)
         self.customers(c)
         if held is not None:
             self.held = held
@@ -61,7 +61,7 @@ class Restaurants:
         return (self.c - self.discount * self.t) / (self.strength + self.held[self.house]) + fresh[self.house] * base
 
     def sweep(self, base: np.ndarray, rng: np.random.Generator) -> None:
-        """One step for the dishes of two or more customers; with one customer there is one table."""
+        """One step for the dishes of two or more customers; with one customer there is one table. A dish's first step takes its seating as it is drawn."""
         some = np.flatnonzero(self.c > 1)
         if not len(some):
             return
@@ -72,7 +72,8 @@ class Restaurants:
         old = place[self.owner]
         owner, after = self.propose(c, room, p, rng)
         gain = self.weight(c, room, p, owner, after) - self.weight(c, room, p, old, self.after)
-        take = np.log(rng.random(len(some))) < gain
+        take = (np.log(rng.random(len(some))) < gain) | self.new[some]
+        self.new[some] = False
         own, when = np.concatenate([old[~take[old]], owner[take[owner]]]), np.concatenate([self.after[~take[old]], after[take[owner]]])
         order = np.lexsort((when, own))
         self.owner, self.after = some[own[order]], when[order]

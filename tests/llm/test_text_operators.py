@@ -302,9 +302,9 @@ def test_seating_equals_its_exact_conditional(c, p):
     seats = Restaurants(np.arange(n), np.full(n, c))
     seats.outside[:] = 20
     seen = np.zeros(c + 1)
-    for k in range(40):
+    for k in range(160):
         seats.sweep(np.full(n, p), rng)
-        if k >= 20:
+        if k >= 100:
             seen += np.bincount(seats.t, minlength=c + 1)
     want = tables_of(c, seats.strength + seats.discount * 20, p, seats.discount)
     assert np.abs(np.cumsum(seen[1:] / seen.sum()) - np.cumsum(want)).max() < 0.02
