@@ -41,7 +41,7 @@ from odolith.session import cut, ship
 
 ORDER, SAMPLES, BURN_IN, ROUNDS = 4, 3, 3, 2
 #: Bytes of text that are hashed at once, and tokens of a shard.
-BATCH_BYTES, SHARD_TOKENS = 16 << 20, 3_000_000
+BATCH_BYTES, SHARD_TOKENS = 12 << 20, 3_000_000
 LEAST_SHARDS = 8
 START, STOP = 0x110000, 0x110001
 CODE_POINTS = 0x110001
@@ -86,14 +86,14 @@ class Batch:
         coded = flat.dictionary_encode()
         self.words = pa.concat_arrays([pa.array([""], pa.large_string()), coded.dictionary.cast(pa.large_string())])
         ends = np.cumsum(sizes + 1) - 1
-        self.token = np.zeros(len(flat) + len(sizes), np.int64)
+        self.token = np.zeros(len(flat) + len(sizes), np.int32)
         inside = np.ones(len(self.token), bool)
         inside[ends] = False
-        self.token[inside] = np.asarray(coded.indices).astype(np.int64) + 1
-        self.doc = np.repeat(np.arange(len(sizes)), sizes + 1)
+        self.token[inside] = np.asarray(coded.indices) + 1
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
         self.train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
         # each text begins after an end token
-        self.before = np.concatenate([[0], self.token[:-1]])
+        self.before = np.concatenate([self.token[:0], np.zeros(min(1, len(self.token)), np.int32), self.token[:-1]])
 
 
 def words_of(docs: DataFrame, shards: int) -> DataFrame:
@@ -140,11 +140,12 @@ def pairs_of(docs: DataFrame, shards: int, hot: np.ndarray, by_text: bool) -> Da
             rank[np.argsort(h)] = np.arange(len(h))
             h = np.sort(h)
             key = rank[b.before] * len(h) + rank[b.token]
-            order = np.argsort(key, kind="stable")
-            ranked = key[order]
-            begin = np.flatnonzero(np.diff(ranked, prepend=-1))
-            many = np.diff(np.append(begin, len(ranked)))
-            v, w = ranked[begin] // len(h), ranked[begin] % len(h)
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            key = key[order]
+            begin = np.flatnonzero(np.diff(key, prepend=-1))
+            many = np.diff(np.append(begin, len(key)))
+            v, w = (key[begin] // len(h)).astype(np.int32), (key[begin] % len(h)).astype(np.int32)
+            del key
             often = np.isin(h[v], hot)
             shard = np.where(often, h[v] + h[w], h[v]) % np.uint64(shards)
             count = many if by_text else np.add.reduceat(b.train[b.doc[order]].astype(np.int64), begin)

@@ -22,7 +22,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for k in range(1, 7):
         product *= x + k
     z = x + 7
-    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(product)
+    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) - np.log(product)
 
 
 class Restaurants:
