@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odolith.functions import vehicle
+from odolith.operators.ranges import running_sums
+from odolith.session import cut
 
 KEY = ("vehicle_id", "failure_mode")
 
@@ -77,8 +79,8 @@ def backtest_rules(opened: DataFrame, true_ones: DataFrame) -> DataFrame:
 def _ranked(rows: DataFrame, by: list[str], score: str, label: str, weight: Column) -> DataFrame:
     """Positives and negatives of each distinct score, with those of all higher scores. Scores, not rows, are what is ordered."""
     groups = rows.groupBy(*by, score).agg(F.sum(weight * F.col(label)).alias("pos"), F.sum(weight * (1 - F.col(label))).alias("neg"))
-    above = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    return groups.withColumn("pos_above", F.coalesce(F.sum("pos").over(above), F.lit(0.0))).withColumn("neg_above", F.coalesce(F.sum("neg").over(above), F.lit(0.0)))
+    through = running_sums(groups, by, [F.desc(score)], {"_pos": "pos", "_neg": "neg"})
+    return through.select(*groups.columns, (F.col("_pos") - F.col("pos")).alias("pos_above"), (F.col("_neg") - F.col("neg")).alias("neg_above"))
 
 
 def model_metrics(rows: DataFrame, score: str, label: str, probability: str, by: list[str]) -> DataFrame:
@@ -94,8 +96,9 @@ def model_metrics(rows: DataFrame, score: str, label: str, probability: str, by:
 
 def top_share(rows: DataFrame, t: str, score: str, tie: Column, share: float) -> DataFrame:
     """Of each snapshot the max(1, round(share * n)) rows of the highest score; ties by `tie`."""
-    ordered = rows.withColumn("_r", F.row_number().over(Window.partitionBy(t).orderBy(F.desc(score), tie))).withColumn("_n", F.count("*").over(Window.partitionBy(t)))
-    return ordered.filter(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * share, 0))).drop("_r", "_n")
+    tied = rows.withColumns({"_one": F.lit(1), "_tie": tie})
+    ordered = running_sums(tied, [t], [F.desc(score), F.asc("_tie")], {"_r": "_one"}, {"_n": "_one"})
+    return ordered.filter(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * share, 0))).select(*rows.columns)
 
 
 def capacity_metrics(rows: DataFrame, score: str, share: float, min_lead_s: float, tie: Column | None = None, scale: float = 1.0) -> DataFrame:
@@ -119,7 +122,10 @@ def bootstrap(rows: DataFrame, a: str, b: str, label: str = "label", n: int = 20
         steps.append(total)
         term /= k + 1
     weight = sum((F.when(u > s, 1.0).otherwise(0.0) for s in steps), F.lit(0.0))
-    drawn = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("w", weight).filter("w > 0")
+    # alike rows of a vehicle have one weight: they are counted once, before they are drawn
+    alike = rows.groupBy("vehicle_id", a, b, label).agg(F.count("*").alias("_c"))
+    drawn = alike.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("w", weight * F.col("_c")).filter("w > 0")
+    drawn = cut(drawn.groupBy("r", a, b, label).agg(F.sum("w").alias("w")), "resamples")
 
     def ap(score: str) -> DataFrame:
         g = _ranked(drawn, ["r"], score, label, F.col("w"))

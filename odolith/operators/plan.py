@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odolith.functions import catalog, vehicle
+from odolith.operators.windows import latest_version
 from odolith.session import cut
 
 
@@ -31,7 +32,7 @@ def booked_slots(orders: DataFrame, today: str, active: tuple[str, ...] = ("sche
 def candidates(alerts: DataFrame, calibration: DataFrame, fallback_p: float, costs: DataFrame, model_risk: DataFrame | None = None, rules_version: str = "rules-calibrated-v1", fallback_h: float | None = None) -> DataFrame:
     """One row for each vehicle and mode: its riskiest alert (the first of equals by alert_id), the tightest deadline of any, and the value.
 
-    calibration: rule_code, p_failure, p10_h; costs: tenant_id, failure_mode and figures; model_risk: vehicle_id, probability, model_version.
+    calibration: rule_code, p_failure, p10_h; costs: tenant_id, failure_mode and figures; model_risk: vehicle_id, probability, model_version, as live_scores() gives them.
     """
     # rules are a small table of constants
     rated = alerts.join(F.broadcast(calibration), "rule_code", "left").withColumn("p", F.coalesce("p_failure", F.lit(fallback_p)))
@@ -56,6 +57,12 @@ def candidates(alerts: DataFrame, calibration: DataFrame, fallback_p: float, cos
     )
 
 
+def live_scores(scores: DataFrame, now: Column) -> DataFrame:
+    """For each vehicle its newest score (by scored_at) that has a probability and is in force: expires_at is null or after `now`."""
+    held = scores.filter(F.col("probability").isNotNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
+    return latest_version(held, ["vehicle_id"], ["scored_at", "model_version"])
+
+
 def located(rows: DataFrame, live: DataFrame, homes: DataFrame) -> DataFrame:
     """Rows with the live position of their vehicle, else that of its home workshop."""
     pos = lambda df, name: df.select("vehicle_id", F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), F.struct("latitude", "longitude")).alias(name))
@@ -114,16 +121,3 @@ def new_proposals(planned: DataFrame, orders: DataFrame, active: tuple[str, ...]
 
 def audit_rows(proposals: DataFrame, actor: str, at) -> DataFrame:
     return proposals.select(F.lit(actor).alias("actor"), F.lit("work_order.proposed").alias("action"), "tenant_id", F.to_json(F.struct("vehicle_id", "failure_mode", "workshop_id", "day", "value")).alias("details"), at.alias("at"))
-
-
-def greedy_reference(rows: list[dict], capacity: dict[tuple[str, int], int], shops: dict[str, list[str]], horizon_days: int = 7) -> dict[str, tuple[str, int]]:
-    """The sequential rule over plain lists, to test schedule() against on small inputs."""
-    out, used = {}, dict.fromkeys(capacity, 0)
-    inf = float("inf")
-    for r in sorted(rows, key=lambda r: (-r["value"], inf if r["hours_remaining"] is None else r["hours_remaining"], r["vehicle_id"])):
-        for slot in ((w, d) for d in range(horizon_days) for w in shops[r["vehicle_id"]]):
-            if used.get(slot, 0) < capacity.get(slot, 0):
-                used[slot] = used.get(slot, 0) + 1
-                out[r["vehicle_id"]] = slot
-                break
-    return out

@@ -5,9 +5,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from odolith.session import ship
+
 
 def _before(key: str, order: str) -> Window:
     return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -39,33 +45,74 @@ def on_runs(df: DataFrame, key: str, order: str, ts: str, on: Column, warm_s: fl
     return out.withColumn("warm", F.coalesce(F.col(ts) - F.col("on_since") >= warm_s, F.lit(False))).drop("_on", "_island")
 
 
-def _folded(df: DataFrame, key: str, order: str, fields: dict[str, Column], zero: Column, step, kept: list[str]) -> DataFrame:
-    """Rows of one key folded in order; the state after each row is kept. The list of a key is held by one task."""
-    item = F.struct(F.col(order).alias("_o"), *[c.alias(n) for n, c in fields.items()], *kept)
-    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
-    states = F.aggregate("_rows", F.struct(zero.alias("s"), F.array(zero).alias("all")), lambda a, r: F.struct(step(a["s"], r).alias("s"), F.concat(a["all"], F.array(step(a["s"], r))).alias("all")))
-    paired = F.zip_with("_rows", F.slice(states["all"], 2, F.size("_rows")), lambda r, s: F.struct(r.alias("r"), s.alias("s")))
-    return lists.select(key, F.explode(paired).alias("x"))
+def _folded(df: DataFrame, key: str, order: str, fields: dict[str, Column], step: Callable, state: str) -> DataFrame:
+    """key, order, `n` (from 1) and the state after each row; step(state or None, *fields) gives the next state, a tuple.
+
+    Rows pass in order through the task of their key and only the last state is held, however long a key's history is.
+    """
+    ship(df.sparkSession)
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order)).alias("n")
+    rows = df.select(key, order, *[c.alias(f"_{name}") for name, c in fields.items()], n).sortWithinPartitions(key, order)
+    names, inputs = [c.split()[0] for c in state.split(", ")], [f"_{name}" for name in fields]
+    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            after = []
+            for n, *row in zip(batch.column("n").to_pylist(), *[batch.column(c).to_pylist() for c in inputs]):
+                held = step(None if n == 1 else held, *row)
+                after.append(held)
+            parts = list(zip(*after)) or [()] * len(names)
+            columns = {c: batch.column(c) for c in (key, order, "n")} | {c: pa.array(v, pa.float64()) for c, v in zip(names, parts)}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return rows.mapInArrow(run, f"{keys}, n int, {state}")
+
+
+def mean_step(alpha: float) -> Callable:
+    def step(s: tuple | None, x: float) -> tuple:
+        return (x,) if s is None else (s[0] + alpha * (x - s[0]),)
+
+    return step
+
+
+def line_step(tau_s: float) -> Callable:
+    """First and last time, and the decayed sums of 1, h, y, h * h and h * y, where h are hours since the first row."""
+
+    def step(s: tuple | None, t: float, y: float) -> tuple:
+        start, last, *sums = s or (t, t, 0.0, 0.0, 0.0, 0.0, 0.0)
+        h, decay = (t - start) / 3600, math.exp(-max(t - last, 0.0) / tau_s)
+        return start, t, *[kept * decay + more for kept, more in zip(sums, (1.0, h, y, h * h, h * y))]
+
+    return step
+
+
+LINE = "t0 double, last double, w double, wt double, wy double, wtt double, wty double"
+
+
+def line_slope() -> Column:
+    """Slope an hour of the sums that line_step() keeps."""
+    spread = F.col("w") * F.col("wtt") - F.col("wt") * F.col("wt")
+    slope = (F.col("w") * F.col("wty") - F.col("wt") * F.col("wy")) / spread
+    return F.when((F.col("n") < 3) | (spread <= 1e-12), 0.0).otherwise(slope)
 
 
 def ewma(df: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
-    """key, order, `ewma`: each value moves the mean by alpha of the difference; the first is the start."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("m"))
-    step = lambda s, r: F.struct((s["n"] + 1).alias("n"), F.when(s["n"] == 0, r["x"]).otherwise(s["m"] + alpha * (r["x"] - s["m"])).alias("m"))
-    out = _folded(df.filter(F.col(value).isNotNull()), key, order, {"x": F.col(value).cast("double")}, zero, step, [])
-    return out.select(key, F.col("x.r._o").alias(order), F.col("x.s.n").alias("n"), F.col("x.s.m").alias("ewma"))
+    """key, order, `n`, `ewma`: each value moves the mean by alpha of the difference; the first is the start. Null values are left out."""
+    return _folded(df.filter(F.col(value).isNotNull()), key, order, {"x": F.col(value).cast("double")}, mean_step(alpha), "ewma double")
 
 
 def ewvar(df: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
-    """key, order, `mean`, `var`: exponentially weighted, both updated by the difference from the old mean."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
+    """key, order, `n`, `mean`, `var`: exponentially weighted, both updated by the difference from the old mean. Null values are left out."""
 
-    def step(s: Column, r: Column) -> Column:
-        d = r["x"] - s["m"]
-        return F.struct((s["n"] + 1).alias("n"), F.when(s["n"] == 0, r["x"]).otherwise(s["m"] + alpha * d).alias("m"), F.when(s["n"] == 0, 0.0).otherwise((1 - alpha) * (s["v"] + alpha * d * d)).alias("v"))
+    def step(s: tuple | None, x: float) -> tuple:
+        if s is None:
+            return x, 0.0
+        d = x - s[0]
+        return s[0] + alpha * d, (1 - alpha) * (s[1] + alpha * d * d)
 
-    out = _folded(df.filter(F.col(value).isNotNull()), key, order, {"x": F.col(value).cast("double")}, zero, step, [])
-    return out.select(key, F.col("x.r._o").alias(order), F.col("x.s.n").alias("n"), F.col("x.s.m").alias("mean"), F.col("x.s.v").alias("var"))
+    return _folded(df.filter(F.col(value).isNotNull()), key, order, {"x": F.col(value).cast("double")}, step, "mean double, var double")
 
 
 def cusum(df: DataFrame, key: str, order: str, value: str, k: float) -> DataFrame:
@@ -75,24 +122,13 @@ def cusum(df: DataFrame, key: str, order: str, value: str, k: float) -> DataFram
 
 
 def ew_trend(df: DataFrame, key: str, order: str, ts: str, value: str, tau_s: float) -> DataFrame:
-    """key, order, `slope_per_hour`: least-squares slope with weights that decay by exp(-dt / tau_s); 0 before three rows or without spread."""
-    zero = F.struct(*[F.lit(x).alias(n) for n, x in (("n", 0), ("t0", 0.0), ("last", 0.0), ("w", 0.0), ("wt", 0.0), ("wy", 0.0), ("wtt", 0.0), ("wty", 0.0))])
-
-    def step(s: Column, r: Column) -> Column:
-        first = s["n"] == 0
-        t0 = F.when(first, r["t"]).otherwise(s["t0"])
-        rel = (r["t"] - t0) / 3600
-        decay = F.when(first, 0.0).otherwise(F.exp(-F.greatest(r["t"] - s["last"], F.lit(0.0)) / tau_s))
-        return F.struct(
-            (s["n"] + 1).alias("n"), t0.alias("t0"), r["t"].alias("last"), (s["w"] * decay + 1).alias("w"), (s["wt"] * decay + rel).alias("wt"), (s["wy"] * decay + r["y"]).alias("wy"),
-            (s["wtt"] * decay + rel * rel).alias("wtt"), (s["wty"] * decay + rel * r["y"]).alias("wty"),
-        )
-
-    out = _folded(df.filter(F.col(value).isNotNull()), key, order, {"t": F.col(ts).cast("double"), "y": F.col(value).cast("double")}, zero, step, [])
-    s = F.col("x.s")
-    spread = s["w"] * s["wtt"] - s["wt"] * s["wt"]
-    slope = F.when((s["n"] < 3) | (spread <= 1e-12), 0.0).otherwise((s["w"] * s["wty"] - s["wt"] * s["wy"]) / spread)
-    return out.select(key, F.col("x.r._o").alias(order), slope.alias("slope_per_hour"))
+    """key, order, `slope_per_hour`: least-squares slope with weights that decay by exp(-dt / tau_s); 0 before three rows or without spread.
+
+    Rows without a time or a value are left out.
+    """
+    known = df.filter(F.col(ts).isNotNull() & F.col(value).isNotNull())
+    fields = {"t": F.col(ts).cast("double"), "y": F.col(value).cast("double")}
+    return _folded(known, key, order, fields, line_step(tau_s), LINE).select(key, order, line_slope().alias("slope_per_hour"))
 
 
 def tyre_deficits(pressures: Column) -> Column:
@@ -105,6 +141,24 @@ def tyre_deficits(pressures: Column) -> Column:
     return F.when((F.size(pressures) == 4) & F.forall(pressures, lambda p: p.isNotNull()), F.transform(pressures, shortfall))
 
 
+def tyre_leaks(df: DataFrame, key: str, order: str, ts: str, pressures: tuple[str, ...], alpha: float, tau_s: float, least: int = 1) -> DataFrame:
+    """key, order, `worst` (index of the wheel with the highest mean shortfall, the first of equals), `shortfall` (that mean) and its `slope_per_hour`.
+
+    Rows lacking a pressure or a time are left out, and so are a vehicle's first least - 1 rows.
+    """
+    known = df.withColumn("_d", tyre_deficits(F.array(*pressures))).filter(F.col("_d").isNotNull() & F.col(ts).isNotNull())
+    long = known.select(key, order, F.col(ts).cast("double").alias("_t"), F.posexplode("_d").alias("_i", "_y")).withColumn("_wheel", F.struct(key, "_i"))
+    mean, line = mean_step(alpha), line_step(tau_s)
+
+    def step(s: tuple | None, t: float, y: float) -> tuple:
+        return mean(s and s[:1], y) + line(s and s[1:], t, y)
+
+    wheels = _folded(long, "_wheel", order, {"t": F.col("_t"), "y": F.col("_y")}, step, f"shortfall double, {LINE}").filter(F.col("n") >= least)
+    named = wheels.select(f"_wheel.{key}", order, F.struct(F.col("shortfall"), (-F.col("_wheel._i")).alias("i"), line_slope().alias("slope")).alias("_s"))
+    worst = named.groupBy(key, order).agg(F.max("_s").alias("_s"))
+    return worst.select(key, order, (-F.col("_s.i")).alias("worst"), F.col("_s.shortfall").alias("shortfall"), F.col("_s.slope").alias("slope_per_hour"))
+
+
 def hysteresis(df: DataFrame, key: str, order: str, opens: Column, clears: Column, seq: str, by: list[str] | None = None) -> DataFrame:
     """Rows where a latch changes: `status` open or cleared, `opened_seq` (of the opening row). The last of opens/clears before a row decides."""
     part = [key, *(by or [])]
@@ -149,12 +203,13 @@ def dtc_transitions(df: DataFrame, catalog: DataFrame, key: str, ts: str, order:
 
 
 def throttled(df: DataFrame, key: str, order: str, ts: str, every_s: float) -> DataFrame:
-    """Rows at least every_s seconds after the row of their key that was kept before; greedy, so a fold."""
-    item = F.struct(F.col(order).alias("o"), F.col(ts).cast("double").alias("t"))
-    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
-    empty = F.array().cast(f"array<struct<o:{df.schema[order].dataType.simpleString()},t:double>>")
-    keep = F.aggregate("_rows", empty, lambda a, r: F.when((F.size(a) == 0) | (r["t"] - F.try_element_at(a, F.lit(-1))["t"] >= every_s), F.concat(a, F.array(r))).otherwise(a))
-    return lists.select(key, F.explode(keep).alias("k")).select(key, F.col("k.o").alias(order), F.col("k.t").alias(ts))
+    """Rows at least every_s seconds after the row of their key that was kept before; greedy, so a fold. Rows without a time are not kept."""
+
+    def step(s: tuple | None, t: float) -> tuple:
+        return (t, 1.0) if s is None or t - s[0] >= every_s else (s[0], 0.0)
+
+    out = _folded(df.filter(F.col(ts).isNotNull()), key, order, {"t": F.col(ts).cast("double")}, step, "kept_ts double, kept double")
+    return out.filter("kept = 1").select(key, order, F.col("kept_ts").alias(ts))
 
 
 def last_of_each(df: DataFrame, key: str, ts: str, every_s: float, order: str) -> DataFrame:

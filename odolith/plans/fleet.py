@@ -442,6 +442,16 @@ def tyre_deficit(b: Bound) -> DataFrame:
     return d.select("vehicle_id", "arrival", *[F.col("d")[i].alias(n) for i, n in enumerate(("fl", "fr", "rl", "rr"))])
 
 
+@query(prelude("telemetry") + """, a AS (SELECT vehicle_id, arrival, [tyre_fl_kpa, tyre_fr_kpa, tyre_rl_kpa, tyre_rr_kpa] AS p FROM telemetry WHERE tyre_rr_kpa IS NOT NULL),
+m AS (SELECT *, [list_sort([p[2], p[3], p[4]])[2], list_sort([p[1], p[3], p[4]])[2], list_sort([p[1], p[2], p[4]])[2], list_sort([p[1], p[2], p[3]])[2]] AS md FROM a),
+n AS (SELECT m.vehicle_id, m.arrival, w.i, greatest(0, (md[w.i] - p[w.i]) / md[w.i])::DOUBLE AS x, row_number() OVER (PARTITION BY vehicle_id, w.i ORDER BY arrival) AS rn FROM m, (VALUES (1), (2), (3), (4)) AS w(i)),
+f AS (SELECT vehicle_id, arrival, i, rn, x AS m FROM n WHERE rn = 1 UNION ALL SELECT n.vehicle_id, n.arrival, n.i, n.rn, f.m + 0.02 * (n.x - f.m) FROM f JOIN n ON n.vehicle_id = f.vehicle_id AND n.i = f.i AND n.rn = f.rn + 1)
+SELECT vehicle_id, arrival, round(max(m), 6) + 0.0 AS shortfall FROM f GROUP BY ALL""")
+def tyre_leaks(b: Bound) -> DataFrame:
+    wheels = ("tyre_fl_kpa", "tyre_fr_kpa", "tyre_rl_kpa", "tyre_rr_kpa")
+    return windows.tyre_leaks(b.telemetry, "vehicle_id", "arrival", "ts", wheels, 0.02, 864000.0).select("vehicle_id", "arrival", "shortfall")
+
+
 _LATCH = """f AS (SELECT vehicle_id, rn, arrival, seq, CAST({open} AS INT) AS l, CAST({open} AS INT) AS edge, CASE WHEN {open} THEN seq END AS os FROM n WHERE rn = 1
   UNION ALL SELECT n.vehicle_id, n.rn, n.arrival, n.seq, CASE WHEN {nopen} THEN 1 WHEN {nclear} THEN 0 ELSE f.l END, CASE WHEN {nopen} AND f.l = 0 THEN 1 WHEN f.l = 1 AND NOT ({nopen}) AND {nclear} THEN -1 ELSE 0 END, CASE WHEN {nopen} AND f.l = 0 THEN n.seq ELSE f.os END FROM f JOIN n ON n.vehicle_id = f.vehicle_id AND n.rn = f.rn + 1)
 SELECT vehicle_id, arrival, CASE edge WHEN 1 THEN 'open' ELSE 'cleared' END AS status, os AS opened_seq FROM f WHERE edge <> 0"""

@@ -14,10 +14,12 @@ BATCH_BYTES, DEFAULT_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch",
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Only a session on one machine does without; it gets a temporary one."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="odolith-", dir="/tmp"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +51,19 @@ def final_signals(df: DataFrame) -> DataFrame:
     return latest_version(named, ["model_code", "firmware_version", "dtc", "level", "window_start"], ["received_at"])
 
 
-def route(batch: DataFrame, canonical_path: str, dlq_path: str) -> None:
-    """For foreachBatch: one computation of the batch, then each outcome to its place."""
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Rows of one micro-batch (they have event_date) as partitions of their own: the same batch, written again, takes its earlier rows' place."""
+    parts = df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    parts.partitionBy("event_date", "batch_id").option("compression", "zstd").parquet(path)
+
+
+def route(batch: DataFrame, batch_id: int, canonical_path: str, dlq_path: str) -> None:
+    """For foreachBatch: one computation of the batch, then each outcome to its place. A replayed batch changes nothing."""
     held = batch.persist()
     try:
-        write_by_day(held.filter("outcome = 'canonical'"), canonical_path)
-        dlq_records(held).write.mode("append").partitionBy("event_date").parquet(dlq_path)
+        days = held.filter("outcome = 'canonical'").withColumn("event_date", F.to_date("event_ts"))
+        write_batch(days.sortWithinPartitions("event_date", "tenant_id", "vehicle_id", "event_ts", "seq"), canonical_path, batch_id)
+        write_batch(dlq_records(held), dlq_path, batch_id)
     finally:
         held.unpersist()
 
@@ -88,12 +96,24 @@ def health_ranking(latest: DataFrame) -> DataFrame:
 
 
 def replace_snapshot(df: DataFrame, root: str, name: str) -> str:
-    """Write a new version beside the old ones and point to it: readers see all of it or the one before."""
-    spark = df.sparkSession
+    """Write a new version beside the old ones: readers see all of it or the one before."""
+    path = f"{root}/{name}/v{max(snapshot_versions(df.sparkSession, root, name), default=0) + 1}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def next_snapshot(batch: DataFrame, batch_id: int, root: str, name: str, merge: Callable[[DataFrame | None], DataFrame]) -> str:
+    """Version batch_id + 1 of a snapshot, merged from the highest version before it (None: there is none) and written beside it.
+
+    Readers see all of it or the one before. A version that is complete stays, so a replayed batch does nothing. One
+    snapshot belongs to one stream checkpoint, whose batches count up.
+    """
+    spark, path = batch.sparkSession, f"{root}/{name}/v{batch_id + 1}"
     have = snapshot_versions(spark, root, name)
-    version = max(have, default=0) + 1
-    df.write.parquet(f"{root}/{name}/v{version}")
-    return f"{root}/{name}/v{version}"
+    if batch_id + 1 not in have:
+        before = max((v for v in have if v <= batch_id), default=None)
+        merge(None if before is None else spark.read.parquet(f"{root}/{name}/v{before}")).write.mode("overwrite").parquet(path)
+    return path
 
 
 def snapshot_versions(spark: SparkSession, root: str, name: str) -> list[int]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from odolith.functions import catalog
 from odolith.operators import evaluate, plan, quality, radar, rollup, serve, windows
+from odolith.operators.ranges import running_sums
 from odolith.sources import readers, sinks
 from odolith.session import scratch_path
 from odolith.streaming import processors
@@ -94,6 +95,19 @@ def test_detector_equals_windows(spark):
     assert got == want and len(want) > 20
 
 
+def greedy_reference(rows: list[dict], capacity: dict[tuple[str, int], int], shops: dict[str, list[str]], horizon_days: int = 7) -> dict[str, tuple[str, int]]:
+    """The sequential rule over plain lists."""
+    out, used = {}, dict.fromkeys(capacity, 0)
+    inf = float("inf")
+    for r in sorted(rows, key=lambda r: (-r["value"], inf if r["hours_remaining"] is None else r["hours_remaining"], r["vehicle_id"])):
+        for slot in ((w, d) for d in range(horizon_days) for w in shops[r["vehicle_id"]]):
+            if used.get(slot, 0) < capacity.get(slot, 0):
+                used[slot] = used.get(slot, 0) + 1
+                out[r["vehicle_id"]] = slot
+                break
+    return out
+
+
 def test_schedule_equals_the_sequential_rule(spark):
     rng = random.Random(7)
     for case in range(2):
@@ -106,7 +120,7 @@ def test_schedule_equals_the_sequential_rule(spark):
         for r in plan.nearest_workshops(c, w, 3).orderBy("vehicle_id", "near").collect():
             near.setdefault(r.vehicle_id, []).append(r.workshop_id)
         capacity = {(x[1], d): x[4] - {("wa0", 0): 1, ("wb1", 1): 2}.get((x[1], d), 0) for x in shops for d in range(3)}
-        want = plan.greedy_reference([{"value": x[3], "hours_remaining": x[4], "vehicle_id": x[1]} for x in cands], capacity, near, 3)
+        want = greedy_reference([{"value": x[3], "hours_remaining": x[4], "vehicle_id": x[1]} for x in cands], capacity, near, 3)
         got = plan.schedule(c, w, booked, horizon_days=3)
         assert {r.vehicle_id: (r.workshop_id, r.day) for r in got.collect() if r.workshop_id} == want
         assert 0 < len(want) < len(cands)
@@ -208,3 +222,39 @@ def test_keyset_pages_show_each_row_once(spark):
             break
         after = (page[-1].ts, page[-1].id)
     assert seen == sorted(rows, reverse=True)
+
+
+def test_running_sums_equal_a_loop(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, 1, 2, 5])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, o int, x int").repartition(5)
+    got = {r.o: (r.upto, r.all) for r in running_sums(df, ["g"], [F.desc("o")], {"upto": "x"}, {"all": "x"}).collect()}
+    for g, o, _ in rows:
+        own = [(p, x or 0) for h, p, x in rows if h == g]
+        assert got[o] == (sum(x for p, x in own if p >= o), sum(x for _, x in own))
+    assert running_sums(df.limit(0), [], [F.asc("o")], {"upto": "x"}).count() == 0
+
+
+def test_folds_over_one_long_key(spark):
+    rng = random.Random(8)
+    rows = [("k", i, i * 60.0, 240.0, 240.0 - i / 40 + rng.random(), 241.0, 240.0 + rng.random()) for i in range(4000)] + [(None, 0, 0.0, 1.0, 1.0, 1.0, 1.0), ("n", 0, None, 1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "k string, o long, t double, a double, b double, c double, d double")
+    mean = {(r.k, r.o): r.ewma for r in windows.ewma(df, "k", "o", "b", 0.1).collect()}
+    m = rows[0][4]
+    for r in rows[1:4000]:
+        m += 0.1 * (r[4] - m)
+    assert abs(mean["k", 3999] - m) < 1e-9 and mean[None, 0] == 1.0 and len(mean) == 4002
+    kept = sorted(r.o for r in windows.throttled(df.filter("k = 'k'"), "k", "o", "t", 150.0).collect())
+    assert kept == list(range(0, 4000, 3))
+    leaks = {(r.k, r.o): r for r in windows.tyre_leaks(df, "k", "o", "t", ("a", "b", "c", "d"), 0.02, 7200.0).collect()}
+    # the second wheel falls by 1/40 kPa a minute
+    hours, short = np.array([r[2] / 3600 for r in rows[:4000]]), np.array([max(0.0, (np.median([r[3], r[5], r[6]]) - r[4]) / np.median([r[3], r[5], r[6]])) for r in rows[:4000]])
+    slope = np.polyfit(hours, short, 1, w=np.sqrt(np.exp((hours - hours[-1]) / 2)))[0]
+    last = leaks["k", 3999]
+    assert last.worst == 1 and abs(last.slope_per_hour - slope) < 1e-6 and len(leaks) == 4001
+
+
+def test_scores_in_force(spark):
+    schema = "vehicle_id string, probability double, model_version string, scored_at long, expires_at long"
+    rows = [("a", 0.1, "m1", 1, 50), ("a", 0.2, "m2", 2, 9), ("b", 0.3, "m1", 1, 10), ("c", None, "m1", 1, 90), ("d", 0.4, "m1", 1, None)]
+    assert sorted((r.vehicle_id, r.probability) for r in plan.live_scores(spark.createDataFrame(rows, schema), F.lit(10)).collect()) == [("a", 0.1), ("d", 0.4)]
