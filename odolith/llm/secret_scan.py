@@ -63,7 +63,9 @@ def read_ledger(spark, path: str) -> DataFrame | None:
 
     try:
         return spark.read.schema(LEDGER).parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None  # no run has written it yet
 
 
