@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odolith.llm import decontam, embed_dedup, langid, language_model, licences, packing, pii, secret_scan, simhash, sql, token_store
+from odolith.llm import decontam, embed_dedup, langid, language_model, licences, packing, pii, secret_scan, simhash, sql, token_alignment, token_store, url_rules, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(found.doc_id).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+#: Verdicts by host and path that come before the method's own patterns.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_rules.judge(table(spark, sf_dir, "pages"), url_rules.host_rules(spark, URL_RULES))
+    listed = F.col("tier") == 0
+    return found.select("page_id", "host", "path", F.when(listed, F.col("rule")).alias("rule"), "verdict", F.when(~listed, F.col("rule")).alias("pattern"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_decontaminate": op2_decontaminate,
@@ -72,5 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_pii": op9_pii,
     "op10_language": op10_language,
+    "op11_url_rules": op11_url_rules,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op2_decontaminate": sql.OP2, "op3_licences": sql.op3(), "op4_secrets": sql.OP4, "op8_embeddings": sql.OP8}
+ORACLES: dict[str, str] = {"op2_decontaminate": sql.OP2, "op3_licences": sql.op3(), "op4_secrets": sql.OP4, "op8_embeddings": sql.OP8, "op11_url_rules": sql.OP11}

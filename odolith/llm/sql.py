@@ -70,6 +70,24 @@ FROM comp c LEFT JOIN n ON n.a = c.vec_id
 """
 
 
+OP11 = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS v(h, p, verdict)),
+best AS (
+  SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM u) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path),
+patterns AS (SELECT * FROM (VALUES ('||ads-track.', '^([^/]*\.)?ads-track\.'), ('||ad-track.', '^([^/]*\.)?ad-track\.'), ('||adserver.', '^([^/]*\.)?adserver\.'), ('||spam-farm.', '^([^/]*\.)?spam-farm\.'),
+  ('||link-farm.', '^([^/]*\.)?link-farm\.'), ('||tracker.', '^([^/]*\.)?tracker\.'), ('||tracking.', '^([^/]*\.)?tracking\.'), ('/adserver/', '/adserver/'), ('/click-track/', '/click-track/'),
+  ('||*-casino.', '-casino\.'), ('/phishing/', '/phishing/'), ('||*.doubleclick.', '\.doubleclick\.')) AS v(pattern, re)),
+own AS (SELECT host, path, arg_max(pattern, (length(pattern), pattern)) AS pattern FROM (SELECT DISTINCT host, path FROM u) JOIN patterns ON regexp_matches(host || path, re) GROUP BY host, path)
+SELECT u.page_id, u.host, u.path, best.rule, coalesce(best.verdict, CASE WHEN own.pattern IS NOT NULL THEN 'block' END, 'allow') AS verdict, CASE WHEN best.rule IS NULL THEN own.pattern END AS pattern
+FROM u LEFT JOIN best ON best.host = u.host AND best.path = u.path LEFT JOIN own ON own.host = u.host AND own.path = u.path
+"""
+
+
 def _canonical(text: str) -> str:
     from odolith.llm import licences
 
