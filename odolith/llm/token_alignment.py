@@ -25,6 +25,7 @@ import functools
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +40,13 @@ from odolith.llm.text import ragged, slices
 from odolith.session import cut, ship
 
 #: Words that a worker remembers before it starts anew (some 300 bytes each); bounds memory, never changes results.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: A text that matches is aligned whole.
 WHOLE = rf"^[\pZ\x09-\x0d\x1c-\x1f\x{{85}}]|{ODD_SPACE}"
 SPACE_MARK = "▁"
+#: Words that the libraries are given in one text, and such texts at a time; words that end in white space or hold a mark of B's go alone.
+JOINED, UNITS = 128, 64
+ALONE = re.compile(rf"[\s\x1c-\x1f]\Z|\A\Z|^[\s\x1c-\x1f]|{SPACE_MARK}")
 ALIGNED = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links array<bigint>, times array<int>"
 
 
@@ -88,6 +92,7 @@ class Aligner:
         self.bytes_a = [bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.names = [str(i) for i in range(max(len(names), len(pieces)))]
         pre = json.loads(self.a.to_str()).get("pre_tokenizer") or {}
         plain_a = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.by_word = plain_a and not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
@@ -103,7 +108,7 @@ class Aligner:
         got = self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False)
         counts = np.fromiter(map(len, got), np.int64, len(got))
         ids = np.fromiter((i for e in got for i in e.ids), np.int64, int(counts.sum()))
-        chars = np.array([o for e in got for o in e.offsets], np.int64).reshape(-1, 2)
+        chars = np.fromiter((x for e in got for o in e.offsets for x in o), np.int64, 2 * len(ids)).reshape(-1, 2)
         # from characters to bytes: a byte that does not continue a character begins one
         body = [f" {t}".encode() for t in texts]
         data = np.frombuffer(b"".join(body), np.uint8)
@@ -114,28 +119,45 @@ class Aligner:
         return Ends(ids, begins[base_char + chars[:, 0]] - base, begins[base_char + chars[:, 1]] - base, counts, self.bytes_a)
 
     def ends_b(self, texts: list[str]) -> Ends:
-        spans = [[(p.id, p.begin, p.end) for p in self.b.encode(t, return_type="proto").pieces] for t in texts]
-        counts = np.fromiter(map(len, spans), np.int64, len(spans))
-        flat = np.array([s for x in spans for s in x], np.int64).reshape(-1, 3)
+        found = [self.b.encode(t, return_type="proto").pieces for t in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((x for pieces in found for p in pieces for x in (p.id, p.begin, p.end)), np.int64, 3 * int(counts.sum())).reshape(-1, 3)
         # spans are bytes of the text alone, without the space before it
         return Ends(flat[:, 0], np.where(flat[:, 1] == 0, 0, flat[:, 1] + 1), flat[:, 2] + 1, counts, self.bytes_b)
 
-    def add(self, texts: list[str]) -> np.ndarray:
-        """Slots of texts, aligned now."""
-        a, b, first = self.ends_a(texts), self.ends_b(texts), len(self.groups)
+    def add(self, words: list[str]) -> np.ndarray:
+        """Slots of words or whole texts, aligned now. Words go through the libraries JOINED at a time, with a space between; those that a neighbour could change, one at a time."""
+        alone = [bool(ALONE.search(w)) for w in words]
+        joined = [i for i, x in enumerate(alone) if not x]
+        units = [joined[k : k + JOINED] for k in range(0, len(joined), JOINED)] + [[i] for i, x in enumerate(alone) if x]
+        slots = np.empty(len(words), np.int64)
+        for k in range(0, len(units), UNITS):
+            part = units[k : k + UNITS]
+            slots[np.array([i for u in part for i in u], np.int64)] = self.put([[words[i] for i in u] for u in part])
+        return slots
+
+    def put(self, units: list[list[str]]) -> np.ndarray:
+        """Slots of the words of some units, in order; a unit is a text of words with spaces between."""
+        texts, first = [" ".join(u) for u in units], len(self.groups)
+        a, b = self.ends_a(texts), self.ends_b(texts)
         good = np.array([f" {t}".encode() == x == y for t, x, y in zip(texts, a.texts(), b.texts())], bool)
-        base = np.append(0, np.cumsum([len(t.encode()) + 1 for t in texts]))[:-1]
-        owner_a, owner_b = np.repeat(np.arange(len(texts)), a.counts), np.repeat(np.arange(len(texts)), b.counts)
-        at_a, at_b = a.ends + base[owner_a], b.ends + base[owner_b]
-        keep_a, keep_b = good[owner_a], good[owner_b]
-        at_a, ids_a, owner_a, at_b, ids_b, owner_b = at_a[keep_a], a.ids[keep_a], owner_a[keep_a], at_b[keep_b], b.ids[keep_b], owner_b[keep_b]
-        _, i, j = np.intersect1d(at_a, at_b, assume_unique=True, return_indices=True)
-        pairs, links = ids_a[i] << 16 | ids_b[j], np.bincount(owner_a[i], minlength=len(texts))
-        names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        lengths = np.fromiter((len(w.encode()) + 1 for u in units for w in u), np.int64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends, n = np.cumsum(lengths), len(lengths)
+        to = np.append(0, ends)[np.append(0, np.cumsum(sizes))]
+        sides = []
+        for side in (a, b):
+            keep = np.repeat(good, side.counts)
+            at = (side.ends + np.repeat(to[:-1], side.counts))[keep]
+            sides.append((at, side.ids[keep], np.bincount(np.searchsorted(ends, at), minlength=n)))
+        (at_a, ids_a, count_a), (at_b, ids_b, count_b) = sides
+        both, i, j = np.intersect1d(at_a, at_b, assume_unique=True, return_indices=True)
+        pairs, links = ids_a[i] << 16 | ids_b[j], np.bincount(np.searchsorted(ends, both), minlength=n)
+        names_a, names_b = list(map(self.names.__getitem__, ids_a.tolist())), list(map(self.names.__getitem__, ids_b.tolist()))
         ends_a, ends_b = [0, *(i + 1).tolist()], [0, *(j + 1).tolist()]
         said = [f"{','.join(names_a[p:q])}|{','.join(names_b[r:s])}" for p, q, r, s in zip(ends_a, ends_a[1:], ends_b, ends_b[1:])]
-        to, n = np.append(0, np.cumsum(links)).tolist(), len(texts)
-        self.groups += [";".join(said[p:q]) for p, q in zip(to, to[1:])]
+        cuts = np.append(0, np.cumsum(links)).tolist()
+        self.groups += [";".join(said[p:q]) for p, q in zip(cuts, cuts[1:])]
         self.at = grown(self.at, first + 1, first + 1 + n)
         used = int(self.at[first])
         self.at[first + 1 : first + 1 + n] = used + np.cumsum(links)
@@ -143,15 +165,13 @@ class Aligner:
         self.pairs[used : used + len(pairs)] = pairs
         if first + n > len(self.counts):
             self.counts = np.vstack([self.counts, np.zeros((first + n, 3), np.int64)])
-        self.counts[first : first + n] = np.stack([a.counts * good, b.counts * good, good], axis=1)
+        self.counts[first : first + n] = np.stack([count_a, count_b, np.repeat(good, sizes)], axis=1)
         return np.arange(first, first + n)
 
     def slots(self, words: list[str]) -> np.ndarray:
         """The slot of each of some distinct words."""
         fresh = [w for w in words if w not in self.slot_of]
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            self.slot_of.update(zip(part, self.add(part).tolist()))
+        self.slot_of.update(zip(fresh, self.add(fresh).tolist()))
         return np.fromiter((self.slot_of[w] for w in words), np.int64, len(words))
 
     def align(self, texts: pa.Array) -> dict[str, list | np.ndarray]:
