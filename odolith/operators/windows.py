@@ -5,14 +5,10 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from odolith.session import ship
+from odolith.operators import folds
 
 
 def _before(key: str, order: str) -> Window:
@@ -45,74 +41,20 @@ def on_runs(df: DataFrame, key: str, order: str, ts: str, on: Column, warm_s: fl
     return out.withColumn("warm", F.coalesce(F.col(ts) - F.col("on_since") >= warm_s, F.lit(False))).drop("_on", "_island")
 
 
-def _folded(df: DataFrame, key: str, order: str, fields: dict[str, Column], step: Callable, state: str) -> DataFrame:
-    """key, order, `n` (from 1) and the state after each row; step(state or None, *fields) gives the next state, a tuple.
-
-    Rows pass in order through the task of their key and only the last state is held, however long a key's history is.
-    """
-    ship(df.sparkSession)
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order)).alias("n")
-    rows = df.select(key, order, *[c.alias(f"_{name}") for name, c in fields.items()], n).sortWithinPartitions(key, order)
-    names, inputs = [c.split()[0] for c in state.split(", ")], [f"_{name}" for name in fields]
-    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, order))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            after = []
-            for n, *row in zip(batch.column("n").to_pylist(), *[batch.column(c).to_pylist() for c in inputs]):
-                held = step(None if n == 1 else held, *row)
-                after.append(held)
-            parts = list(zip(*after)) or [()] * len(names)
-            columns = {c: batch.column(c) for c in (key, order, "n")} | {c: pa.array(v, pa.float64()) for c, v in zip(names, parts)}
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return rows.mapInArrow(run, f"{keys}, n int, {state}")
-
-
-def mean_step(alpha: float) -> Callable:
-    def step(s: tuple | None, x: float) -> tuple:
-        return (x,) if s is None else (s[0] + alpha * (x - s[0]),)
-
-    return step
-
-
-def line_step(tau_s: float) -> Callable:
-    """First and last time, and the decayed sums of 1, h, y, h * h and h * y, where h are hours since the first row."""
-
-    def step(s: tuple | None, t: float, y: float) -> tuple:
-        start, last, *sums = s or (t, t, 0.0, 0.0, 0.0, 0.0, 0.0)
-        h, decay = (t - start) / 3600, math.exp(-max(t - last, 0.0) / tau_s)
-        return start, t, *[kept * decay + more for kept, more in zip(sums, (1.0, h, y, h * h, h * y))]
-
-    return step
-
-
-LINE = "t0 double, last double, w double, wt double, wy double, wtt double, wty double"
-
-
-def line_slope() -> Column:
-    """Slope an hour of the sums that line_step() keeps."""
-    spread = F.col("w") * F.col("wtt") - F.col("wt") * F.col("wt")
-    slope = (F.col("w") * F.col("wty") - F.col("wt") * F.col("wy")) / spread
-    return F.when((F.col("n") < 3) | (spread <= 1e-12), 0.0).otherwise(slope)
-
-
 def ewma(df: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
     """key, order, `n`, `ewma`: each value moves the mean by alpha of the difference; the first is the start. Null values are left out."""
-    return _folded(df.filter(F.col(value).isNotNull()), key, order, {"x": F.col(value).cast("double")}, mean_step(alpha), "ewma double")
+    known = df.filter(F.col(value).isNotNull())
+    return folds.folded(known, [key], order, {"x": F.col(value)}, folds.mean_fold(alpha), {"n": _rows, "ewma": folds.mean_of})
 
 
 def ewvar(df: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
     """key, order, `n`, `mean`, `var`: exponentially weighted, both updated by the difference from the old mean. Null values are left out."""
+    known = df.filter(F.col(value).isNotNull())
+    return folds.folded(known, [key], order, {"x": F.col(value)}, folds.variance_fold(alpha), {"n": _rows, "mean": folds.mean_of, "var": folds.variance_of})
 
-    def step(s: tuple | None, x: float) -> tuple:
-        if s is None:
-            return x, 0.0
-        d = x - s[0]
-        return s[0] + alpha * d, (1 - alpha) * (s[1] + alpha * d * d)
 
-    return _folded(df.filter(F.col(value).isNotNull()), key, order, {"x": F.col(value).cast("double")}, step, "mean double, var double")
+def _rows(s: folds.Summary) -> Column:
+    return s["n"].cast("int")
 
 
 def cusum(df: DataFrame, key: str, order: str, value: str, k: float) -> DataFrame:
@@ -127,18 +69,21 @@ def ew_trend(df: DataFrame, key: str, order: str, ts: str, value: str, tau_s: fl
     Rows without a time or a value are left out.
     """
     known = df.filter(F.col(ts).isNotNull() & F.col(value).isNotNull())
-    fields = {"t": F.col(ts).cast("double"), "y": F.col(value).cast("double")}
-    return _folded(known, key, order, fields, line_step(tau_s), LINE).select(key, order, line_slope().alias("slope_per_hour"))
+    return folds.folded(known, [key], order, {"t": F.col(ts), "y": F.col(value)}, folds.line_fold(tau_s), {"slope_per_hour": folds.slope_of})
 
 
 def tyre_deficits(pressures: Column) -> Column:
     """For an array of four pressures: each one's shortfall against the median of the other three, as a share of it, 0 at least; null unless all are there."""
 
-    def shortfall(p: Column, i: Column) -> Column:
-        middle = F.array_sort(F.filter(pressures, lambda q, j: i != j))[1]
-        return F.when(middle != 0, F.greatest(F.lit(0.0), (middle - p) / middle)).otherwise(0.0)
+    wheels = [pressures[i] for i in range(4)]
 
-    return F.when((F.size(pressures) == 4) & F.forall(pressures, lambda p: p.isNotNull()), F.transform(pressures, shortfall))
+    def shortfall(i: int) -> Column:
+        a, b, c = wheels[:i] + wheels[i + 1 :]
+        middle = F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
+        return F.when(middle != 0, F.greatest(F.lit(0.0), (middle - wheels[i]) / middle)).otherwise(0.0)
+
+    whole = (F.size(pressures) == 4) & ~F.exists(pressures, lambda p: p.isNull())
+    return F.when(whole, F.array(*[shortfall(i) for i in range(4)]))
 
 
 def tyre_leaks(df: DataFrame, key: str, order: str, ts: str, pressures: tuple[str, ...], alpha: float, tau_s: float, least: int = 1) -> DataFrame:
@@ -147,14 +92,10 @@ def tyre_leaks(df: DataFrame, key: str, order: str, ts: str, pressures: tuple[st
     Rows lacking a pressure or a time are left out, and so are a vehicle's first least - 1 rows.
     """
     known = df.withColumn("_d", tyre_deficits(F.array(*pressures))).filter(F.col("_d").isNotNull() & F.col(ts).isNotNull())
-    long = known.select(key, order, F.col(ts).cast("double").alias("_t"), F.posexplode("_d").alias("_i", "_y")).withColumn("_wheel", F.struct(key, "_i"))
-    mean, line = mean_step(alpha), line_step(tau_s)
-
-    def step(s: tuple | None, t: float, y: float) -> tuple:
-        return mean(s and s[:1], y) + line(s and s[1:], t, y)
-
-    wheels = _folded(long, "_wheel", order, {"t": F.col("_t"), "y": F.col("_y")}, step, f"shortfall double, {LINE}").filter(F.col("n") >= least)
-    named = wheels.select(f"_wheel.{key}", order, F.struct(F.col("shortfall"), (-F.col("_wheel._i")).alias("i"), line_slope().alias("slope")).alias("_s"))
+    long = known.select(key, order, F.col(ts).cast("double").alias("t"), F.posexplode("_d").alias("wheel", "y"))
+    both = folds.together(folds.mean_fold(alpha, "y"), folds.line_fold(tau_s))
+    wheels = folds.folded(long, [key, "wheel"], order, {"t": F.col("t"), "y": F.col("y")}, both, {"n": _rows, "shortfall": folds.mean_of, "slope": folds.slope_of})
+    named = wheels.filter(F.col("n") >= least).select(key, order, F.struct(F.col("shortfall"), (-F.col("wheel")).alias("i"), F.col("slope")).alias("_s"))
     worst = named.groupBy(key, order).agg(F.max("_s").alias("_s"))
     return worst.select(key, order, (-F.col("_s.i")).alias("worst"), F.col("_s.shortfall").alias("shortfall"), F.col("_s.slope").alias("slope_per_hour"))
 
@@ -203,13 +144,8 @@ def dtc_transitions(df: DataFrame, catalog: DataFrame, key: str, ts: str, order:
 
 
 def throttled(df: DataFrame, key: str, order: str, ts: str, every_s: float) -> DataFrame:
-    """Rows at least every_s seconds after the row of their key that was kept before; greedy, so a fold. Rows without a time are not kept."""
-
-    def step(s: tuple | None, t: float) -> tuple:
-        return (t, 1.0) if s is None or t - s[0] >= every_s else (s[0], 0.0)
-
-    out = _folded(df.filter(F.col(ts).isNotNull()), key, order, {"t": F.col(ts).cast("double")}, step, "kept_ts double, kept double")
-    return out.filter("kept = 1").select(key, order, F.col("kept_ts").alias(ts))
+    """Rows at least every_s seconds after the row of their key that was kept before. Rows without a time are not kept."""
+    return folds.throttled(df, key, order, ts, every_s)
 
 
 def last_of_each(df: DataFrame, key: str, ts: str, every_s: float, order: str) -> DataFrame:
