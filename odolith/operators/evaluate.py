@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odolith.functions import vehicle
 from odolith.operators.ranges import running_sums
-from odolith.session import cut
+from odolith.session import cut, ship
 
 KEY = ("vehicle_id", "failure_mode")
 
@@ -112,27 +116,99 @@ def capacity_metrics(rows: DataFrame, score: str, share: float, min_lead_s: floa
     return one.select("snapshots", F.round("mean_precision", 4).alias("mean_precision"), "failures", "listed", F.round(F.col("caught") / F.nullif(F.col("failures"), F.lit(0)), 4).alias("recall_ahead"), F.round("median_lead_h", 1).alias("median_lead_h"))
 
 
-def bootstrap(rows: DataFrame, a: str, b: str, label: str = "label", n: int = 200, seed: int = 11) -> DataFrame:
-    """Interval of AP(a) - AP(b) over n resamples of whole vehicles: a vehicle's weight in a resample is a Poisson(1) draw of its hash."""
-    u = (F.pmod(F.xxhash64("vehicle_id", "r", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    # inverse of the Poisson(1) distribution function
+#: Rows whose weights in all resamples are held at a time.
+CHUNK = 8_192
+
+
+def resample_weights(base: np.ndarray, n: int) -> np.ndarray:
+    """One row for each hash and one column for each resample: Poisson(1) draws by inversion of a mixed 32-bit hash."""
+    x = (base.astype(np.uint64)[:, None] + np.arange(n, dtype=np.uint64) * np.uint64(2654435769)) & np.uint64(0xFFFFFFFF)
+    for _ in range(2):
+        x = ((x ^ (x >> np.uint64(16))) * np.uint64(73244475)) & np.uint64(0xFFFFFFFF)
+    x = x ^ (x >> np.uint64(16))
+    return np.searchsorted(poisson_steps(), (x + 0.5) / 4294967296.0).astype(float)
+
+
+def poisson_steps() -> list[float]:
+    """The distribution function of Poisson(1) at 0, 1, 2 ..., as far as 32 bits reach."""
     steps, total, term = [], 0.0, 0.36787944117144233
     for k in range(12):
         total += term
         steps.append(total)
         term /= k + 1
-    weight = sum((F.when(u > s, 1.0).otherwise(0.0) for s in steps), F.lit(0.0))
-    # alike rows of a vehicle have one weight: they are counted once, before they are drawn
-    alike = rows.groupBy("vehicle_id", a, b, label).agg(F.count("*").alias("_c"))
-    drawn = alike.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("w", weight * F.col("_c")).filter("w > 0")
-    drawn = cut(drawn.groupBy("r", a, b, label).agg(F.sum("w").alias("w")), "resamples")
-
-    def ap(score: str) -> DataFrame:
-        g = _ranked(drawn, ["r"], score, label, F.col("w"))
-        tp, all_ = F.col("pos_above") + F.col("pos"), F.col("pos_above") + F.col("pos") + F.col("neg_above") + F.col("neg")
-        return g.groupBy("r").agg((F.sum(F.col("pos") * tp / all_) / F.nullif(F.sum("pos"), F.lit(0.0))).alias(f"ap_{score}"), F.sum("neg").alias(f"neg_{score}"))
-
-    both = ap(a).join(ap(b), "r").filter((F.col(f"neg_{a}") > 0) & F.col(f"ap_{a}").isNotNull()).withColumn("d", F.col(f"ap_{a}") - F.col(f"ap_{b}"))
+    return steps
+
+
+def resampled_precision(rows: DataFrame, score: str, label: str, n: int, seed: int) -> DataFrame:
+    """r, ap, neg: average precision and negatives of each of n resamples of whole vehicles.
+
+    Weights are a row's array of n numbers, made where they are summed: rows are dealt by ranges of the score, a range
+    passes on its n totals, and then adds up its bins (equal scores) behind the totals of the ranges above it. Nothing is
+    multiplied by n, and the driver sees n numbers for each range.
+    """
+    ship(rows.sparkSession)
+    base = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("vehicle_id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
+    thin = rows.select(F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score"), F.col(label).cast("double").alias("label"), base.alias("base"))
+    dealt = cut(thin.repartitionByRange(F.desc("score")).withColumn("_range", F.spark_partition_id()), "scored")
+
+    def chunk_sums(table: pa.Table | pa.RecordBatch, new: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of positives and negatives of each bin in rows at .. at + CHUNK; new: where bins begin."""
+        base, y = (table.column(c)[at : at + CHUNK].to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c)[at : at + CHUNK].to_numpy() for c in ("base", "label"))
+        w = resample_weights(base, n)
+        return np.add.reduceat(w * y[:, None], new), np.add.reduceat(w * (1 - y)[:, None], new)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            batch = batch.sort_by("_range")
+            own = batch.column("_range").to_numpy()
+            for at in range(0, len(own), CHUNK):
+                part = own[at : at + CHUNK]
+                new = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                for k, pos, neg in zip(part[new].tolist(), *chunk_sums(batch, new, at)):
+                    found[k] = found.get(k, 0.0) + np.stack([pos, neg])
+        yield pa.RecordBatch.from_pydict({"_range": pa.array(list(found), pa.int32()), "sums": pa.array([v.ravel().tolist() for v in found.values()], pa.list_(pa.float64()))})
+
+    above, so_far = {}, np.zeros((2, n))
+    parts: dict[int, np.ndarray] = {}
+    for r in dealt.mapInArrow(totals, "_range int, sums array<double>").collect():  # one row for each range and task that reads it
+        parts[r["_range"]] = parts.get(r["_range"], 0.0) + np.array(r.sums).reshape(2, n)
+    for k in sorted(parts):
+        above[k], so_far = so_far, so_far + parts[k]
+
+    def precision(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("score", "descending")])
+        s, seen, out, held = table.column("score").to_numpy(), above[table.column("_range")[0].as_py()].copy(), np.zeros(n), None
+
+        def closed(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+            """What finished bins add; `seen` moves on."""
+            tp, fp = seen[0] + np.cumsum(pos, axis=0), seen[1] + np.cumsum(neg, axis=0)
+            seen[:] = tp[-1], fp[-1]
+            return np.divide(pos * tp, tp + fp, out=np.zeros(pos.shape), where=tp + fp > 0).sum(axis=0)
+
+        for at in range(0, len(s), CHUNK):
+            part = s[at : at + CHUNK]
+            new = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            pos, neg = chunk_sums(table, new, at)
+            if held is not None and held[0] == part[0]:
+                pos[0], neg[0] = pos[0] + held[1], neg[0] + held[2]
+            elif held is not None:
+                out += closed(held[1][None], held[2][None])
+            if len(new) > 1:
+                out += closed(pos[:-1], neg[:-1])
+            held = (part[-1], pos[-1], neg[-1])
+        out += closed(held[1][None], held[2][None])
+        return pa.table({"r": pa.array(range(n), pa.int32()), "part": out})
+
+    sums = dealt.groupBy("_range").applyInArrow(precision, "r int, part double").groupBy("r").agg(F.sum("part").alias("part"))
+    all_ = rows.sparkSession.createDataFrame([(i, float(so_far[0][i]), float(so_far[1][i])) for i in range(n)], "r int, pos double, neg double")
+    return all_.join(sums, "r", "left").select("r", (F.col("part") / F.nullif(F.col("pos"), F.lit(0.0))).alias("ap"), "neg")
+
+
+def bootstrap(rows: DataFrame, a: str, b: str, label: str = "label", n: int = 200, seed: int = 11) -> DataFrame:
+    """Interval of AP(a) - AP(b) over n resamples of whole vehicles: a vehicle's weight in a resample is a Poisson(1) draw of its hash."""
+    one, two = resampled_precision(rows, a, label, n, seed), resampled_precision(rows, b, label, n, seed)
+    both = one.join(two.select("r", F.col("ap").alias("other")), "r").filter("neg > 0 AND ap IS NOT NULL").withColumn("d", F.col("ap") - F.col("other"))
     return both.agg(F.avg("d").alias("mean"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.count("*").alias("resamples"))
 
 

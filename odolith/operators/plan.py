@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odolith.functions import catalog, vehicle
+from odolith.operators.ranges import running_sums
 from odolith.operators.windows import latest_version
-from odolith.session import cut
+from odolith.session import cut, ship
 
 
 def without_active_order(alerts: DataFrame, orders: DataFrame, active: tuple[str, ...] = ("proposed", "scheduled", "in_progress")) -> DataFrame:
@@ -70,40 +74,102 @@ def located(rows: DataFrame, live: DataFrame, homes: DataFrame) -> DataFrame:
     return joined.withColumn("latitude", F.col("_p.latitude")).withColumn("longitude", F.col("_p.longitude")).drop("_live", "_home", "_p")
 
 
-def nearest_workshops(rows: DataFrame, workshops: DataFrame, k: int = 3, key: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:
-    """The k workshops of a row's tenant by distance, ties by workshop_id; by id where the row has no position. `near` counts from 0."""
+def nearest_list(rows: DataFrame, workshops: DataFrame, k: int = 3) -> DataFrame:
+    """rows (whose tenant has a workshop) with `shops`, the k workshops of their tenant by distance, ties by workshop_id; by id where the row has no position."""
     w = workshops.select(F.col("tenant_id"), "workshop_id", F.col("latitude").alias("w_lat"), F.col("longitude").alias("w_lon"), "daily_capacity")
     # one list of workshops for each tenant, so a row meets them without being multiplied
-    lists = w.groupBy("tenant_id").agg(F.collect_list(F.struct("workshop_id", "w_lat", "w_lon", "daily_capacity")).alias("shops"))
+    lists = w.groupBy("tenant_id").agg(F.collect_list(F.struct("workshop_id", "w_lat", "w_lon", "daily_capacity")).alias("_all"))
     there = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     dist = lambda s: F.when(there, vehicle.haversine_km(F.col("latitude"), F.col("longitude"), s["w_lat"], s["w_lon"]))
-    ranked = F.slice(F.array_sort(F.transform("shops", lambda s: F.struct(F.coalesce(dist(s), F.lit(0.0)).alias("rank_by"), s["workshop_id"].alias("workshop_id"), dist(s).alias("distance_km"), s["daily_capacity"].alias("daily_capacity")))), 1, k)
-    return rows.join(lists, "tenant_id").select(*rows.columns, F.posexplode(ranked).alias("near", "s")).select(*rows.columns, "near", "s.workshop_id", "s.distance_km", "s.daily_capacity")
+    ranked = F.array_sort(F.transform("_all", lambda s: F.struct(F.coalesce(dist(s), F.lit(0.0)).alias("rank_by"), s["workshop_id"].alias("workshop_id"), dist(s).alias("distance_km"), s["daily_capacity"].alias("daily_capacity"))))
+    return rows.join(lists, "tenant_id").select(*rows.columns, F.slice(ranked, 1, k).alias("shops"))
+
+
+def nearest_workshops(rows: DataFrame, workshops: DataFrame, k: int = 3, key: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:
+    """nearest_list() with a row for each workshop; `near` counts from 0."""
+    return nearest_list(rows, workshops, k).select(*rows.columns, F.posexplode("shops").alias("near", "s")).select(*rows.columns, "near", "s.workshop_id", "s.distance_km", "s.daily_capacity")
 
 
-def schedule(cands: DataFrame, workshops: DataFrame, booked: DataFrame, horizon_days: int = 7, k: int = 3) -> DataFrame:
+#: Candidates of a tenant that are settled in one task.
+BLOCK = 50_000
+
+
+def settle(slots: np.ndarray, capacity: np.ndarray) -> np.ndarray:
+    """For candidates in the order of priority, each with its slots in the order of its wishes (-1: no more), the place in that list of the slot it gets, -1 if none.
+
+    All propose to their first slot that may still take them, and a slot keeps the best up to its capacity; a full slot
+    takes none behind its last, so those skip it. All slots rank alike: the outcome is that of serving one by one.
+    """
+    n, m = slots.shape
+    limit = np.where(capacity > 0, n, 0)  # a slot takes candidates below its limit
+    got, waiting = np.full(n, -1), np.arange(n)
+    while len(waiting):
+        wish = slots[waiting]
+        fits = (wish >= 0) & (waiting[:, None] < limit[wish])
+        some = fits.any(axis=1)
+        waiting, wish = waiting[some], fits[some].argmax(axis=1)
+        got[waiting] = wish
+        holders = np.flatnonzero(got >= 0)
+        slot = slots[holders, got[holders]]
+        order = np.lexsort((holders, slot))
+        slot, holders = slot[order], holders[order]
+        first = np.searchsorted(slot, slot)
+        rank = np.arange(len(slot)) - first
+        full = rank == capacity[slot] - 1
+        limit[slot[full]] = holders[full]
+        waiting = np.sort(holders[rank >= capacity[slot]])
+        got[waiting] = -1
+    return got
+
+
+def schedule(cands: DataFrame, workshops: DataFrame, booked: DataFrame, horizon_days: int = 7, k: int = 3, block: int = BLOCK) -> DataFrame:
     """Slots by value: each candidate, in the order of value, deadline and vehicle, gets its earliest free slot, nearest workshop first; later than its deadline only if none is free before.
 
-    Every candidate has a fixed list of slots and all slots rank candidates alike, so deferred acceptance gives that same
-    assignment: all propose at once, a slot keeps the best up to its capacity, and the others go on to their next slot.
+    Slots belong to one tenant and rank all candidates alike, so the order of priority is cut into blocks of a tenant's
+    candidates; a block is settled at once, with the capacity that the blocks before have left, and those that find no
+    slot free need no further round. There are as many rounds as blocks of the largest tenant, fewer once all is taken.
     """
+    ship(cands.sparkSession)
     prio = ["p_value", "p_hours", "vehicle_id", "failure_mode"]
     rows = cands.withColumn("p_value", -F.col("value")).withColumn("p_hours", F.coalesce("hours_remaining", F.lit(float("inf"))))
-    spot = nearest_workshops(rows.select(*prio, "tenant_id", "latitude", "longitude", "hours_remaining"), workshops, k)
-    slots = spot.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(horizon_days - 1)))).join(booked, ["workshop_id", "day"], "left")
-    slots = slots.withColumn("free", F.greatest(F.col("daily_capacity") - F.coalesce("n", F.lit(0)), F.lit(0))).filter("free > 0")
-    each = Window.partitionBy("vehicle_id", "failure_mode").orderBy("day", "near")
-    slots = cut(slots.withColumn("turn", F.row_number().over(each)).select(*prio, "workshop_id", "day", "near", "distance_km", "free", "turn"), "slots")
-    held = cut(rows.select(*prio, F.lit(1).alias("turn")), "turns")
-    while True:
-        asked = held.join(slots, [*prio, "turn"])
-        rank = Window.partitionBy("workshop_id", "day").orderBy(*prio)
-        judged = cut(asked.withColumn("kept", F.row_number().over(rank) <= F.col("free")), "judged")
-        if judged.filter("NOT kept").isEmpty():
+    near = nearest_list(rows.select("tenant_id", *prio, "latitude", "longitude"), workshops, k)
+    ranked = running_sums(near.select("tenant_id", *prio, F.transform("shops", lambda s: s["workshop_id"]).alias("shops"), F.transform("shops", lambda s: s["distance_km"]).alias("km"), F.lit(1).alias("one")), ["tenant_id"], [F.col(c) for c in prio], {"rank": "one"})
+    ranked = cut(ranked.withColumn("block", F.floor((F.col("rank") - 1) / block)), "ranked")
+    days = workshops.select("tenant_id", "workshop_id", "daily_capacity", F.explode(F.sequence(F.lit(0), F.lit(horizon_days - 1))).alias("day"))
+    left = days.join(booked, ["workshop_id", "day"], "left").select("tenant_id", "workshop_id", "day", (F.col("daily_capacity") - F.coalesce("n", F.lit(0))).cast("int").alias("free"))
+    left, given = cut(left.filter("free > 0"), "capacity"), None
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("tenant_id", "vehicle_id", "failure_mode")}
+    shop = workshops.schema["workshop_id"].dataType.simpleString()
+
+    def settled(mine: pa.Table, free: pa.Table) -> pa.Table:
+        mine = mine.sort_by("rank")
+        lists, km = mine.column("shops").combine_chunks(), mine.column("km").combine_chunks().flatten()
+        offsets, names = np.asarray(lists.offsets), lists.flatten()
+        sizes = np.diff(offsets)
+        # slots as numbers: the place of (workshop, day) in the capacity table
+        shops = free.column("workshop_id").combine_chunks().dictionary_encode()
+        table = np.full((horizon_days, len(shops.dictionary) + 1), -1)
+        table[free.column("day").to_numpy(), np.asarray(shops.indices)] = np.arange(free.num_rows)
+        code = pc.fill_null(pc.index_in(names, shops.dictionary), len(shops.dictionary)).to_numpy(zero_copy_only=False)
+        wide = np.full((len(sizes), k), len(shops.dictionary))
+        wide[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(code)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = code
+        wishes = table[:, wide].transpose(1, 0, 2).reshape(len(sizes), horizon_days * k)
+        got = settle(wishes, free.column("free").to_numpy())
+        at = np.flatnonzero(got >= 0)
+        chosen = pa.array(offsets[at] - offsets[0] + got[at] % k)
+        own = mine.take(pa.array(at))
+        return pa.table({**{c: own.column(c) for c in kinds}, "workshop_id": names.take(chosen), "day": pa.array(got[at] // k, pa.int32()), "distance_km": km.take(chosen)})
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in kinds.items()), f"workshop_id {shop}, day int, distance_km double"])
+    for number in range(int(ranked.agg(F.max("block")).first()[0] or 0) + 1):
+        own = ranked.filter(F.col("block") == number).drop("block", "one")
+        found = cut(own.groupBy("tenant_id").cogroup(left.groupBy("tenant_id")).applyInArrow(settled, schema), "settled")
+        given = found if given is None else given.unionByName(found)
+        used = found.groupBy("tenant_id", "workshop_id", "day").agg(F.count("*").cast("int").alias("used"))
+        left = cut(left.join(used, ["tenant_id", "workshop_id", "day"], "left").withColumn("free", F.col("free") - F.coalesce("used", F.lit(0))).filter("free > 0").drop("used"), "capacity")
+        if left.isEmpty():
             break
-        lost = judged.filter("NOT kept").select(*prio, (F.col("turn") + 1).alias("turn"))
-        held = cut(judged.filter("kept").select(*prio, "turn").unionByName(lost), "turns")
-    got = judged.select("vehicle_id", "failure_mode", "workshop_id", "day", F.round("distance_km", 1).alias("distance_km"))
+    got = given.select("vehicle_id", "failure_mode", "workshop_id", "day", F.round("distance_km", 1).alias("distance_km"))
     out = cands.join(got, ["vehicle_id", "failure_mode"], "left")
     late = F.col("hours_remaining").isNotNull() & (F.col("day") * 24.0 > F.col("hours_remaining"))
     return out.withColumn("late", F.coalesce(late, F.lit(False)))

@@ -4,33 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odolith.functions import catalog, vehicle
 from odolith.operators import evaluate, normalise, plan, quality, radar, rollup, serve, windows
 from odolith.plans.bindings import Bound, prelude, rounded
+from odolith.plans.registry import ORACLES, QUERIES, query  # noqa: F401 - the entry file takes them from here
 from odolith.session import ship
 from odolith.sources import sinks
 from odolith.streaming import processors
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 DAY = 86_400
 
 
-def query(sql: str | None = None):
-    """Register a function of Bound under its name, with its SQL."""
-
-    def add(f: Callable[[Bound], DataFrame]) -> Callable[[Bound], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(Bound(spark, sf_dir)))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def settled(c: Column | str) -> Column | str:
     """To six digits, with ties and what lies a ten-thousandth of a digit below them going up: sums in another order, whose last bits differ, give the same. A column, or its SQL."""
     return f"floor({c} * 1000000 + 0.5001) / 1000000 + 0.0" if isinstance(c, str) else F.floor(c * 1000000 + 0.5001) / 1000000 + 0.0
@@ -225,15 +212,33 @@ def nearest_k(b: Bound) -> DataFrame:
     return plan.nearest_workshops(b.vehicles, b.workshops, 3).select("vehicle_id", "near", "workshop_id", "distance_km")
 
 
-@query()
+@query(prelude("alerts", "vehicles", "workshops", "work_orders") + f""", {_CANDIDATES}, o AS (
+  SELECT c.*, v.latitude, v.longitude, row_number() OVER (PARTITION BY c.tenant_id ORDER BY value DESC, coalesce(hours_remaining, 1e300), c.vehicle_id, failure_mode) AS rn FROM cand c JOIN vehicles v ON v.vehicle_id = c.vehicle_id),
+km AS (SELECT o.tenant_id, o.rn, w.workshop_id, w.daily_capacity, 2 * 6371.0088 * asin(sqrt(power(sin((radians(w.latitude) - radians(o.latitude)) / 2), 2) + cos(radians(o.latitude)) * cos(radians(w.latitude)) * power(sin(radians(w.longitude - o.longitude) / 2), 2))) AS km FROM o JOIN workshops w ON w.tenant_id = o.tenant_id),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, rn ORDER BY km, workshop_id) - 1 AS near FROM km) WHERE near < 3),
+booked AS (SELECT workshop_id, date_diff('day', DATE '1998-06-01', CAST(scheduled_for AS DATE)) AS day, count(*) AS n FROM work_orders WHERE status IN ('scheduled', 'in_progress') AND scheduled_for >= DATE '1998-06-01' GROUP BY ALL),
+slot AS (SELECT w.tenant_id, w.workshop_id, d.day, greatest(w.daily_capacity - coalesce(b.n, 0), 0) AS free, row_number() OVER (PARTITION BY w.tenant_id ORDER BY w.workshop_id, d.day) AS i FROM workshops w CROSS JOIN (SELECT unnest(range(7)) AS day) d LEFT JOIN booked b ON b.workshop_id = w.workshop_id AND b.day = d.day),
+wish AS (SELECT n.tenant_id, n.rn, list(s.i ORDER BY s.day, n.near) AS wishes FROM near n JOIN slot s ON s.tenant_id = n.tenant_id AND s.workshop_id = n.workshop_id GROUP BY n.tenant_id, n.rn),
+r AS (SELECT tenant_id, 0::BIGINT AS rn, list(free ORDER BY i) AS rem, NULL::BIGINT AS got FROM slot GROUP BY tenant_id
+  UNION ALL SELECT x.tenant_id, x.rn, list_transform(x.rem, lambda f, j: f - CASE WHEN j = x.got THEN 1 ELSE 0 END), x.got FROM (SELECT w.tenant_id, w.rn, r.rem, list_filter(w.wishes, lambda s: r.rem[s] > 0)[1] AS got FROM r JOIN wish w ON w.tenant_id = r.tenant_id AND w.rn = r.rn + 1) x)
+SELECT o.tenant_id, o.vehicle_id, o.failure_mode, round(o.value, 6) + 0.0 AS value, s.workshop_id, CAST(s.day AS INTEGER) AS day, round(n.km, 1) + 0.0 AS distance_km, coalesce(s.day * 24 > o.hours_remaining, false) AS late
+FROM o LEFT JOIN r ON r.tenant_id = o.tenant_id AND r.rn = o.rn LEFT JOIN slot s ON s.tenant_id = o.tenant_id AND s.i = r.got LEFT JOIN near n ON n.tenant_id = o.tenant_id AND n.rn = o.rn AND n.workshop_id = s.workshop_id""")
 def schedule(b: Bound) -> DataFrame:
-    """Deferred acceptance; tests compare it with the sequential rule."""
+    """All candidates and what they get; the SQL serves them one by one."""
     where = b.vehicles.select("vehicle_id", "latitude", "longitude")
-    booked = plan.booked_slots(b.work_orders, "2000-06-01")
+    booked = plan.booked_slots(b.work_orders, "1998-06-01")
     cands = _candidates(b).join(where, "vehicle_id")
     return plan.schedule(cands, b.workshops, booked).select("tenant_id", "vehicle_id", "failure_mode", "value", "workshop_id", "day", "distance_km", "late")
 
 
+@query(f"WITH planned AS ({ORACLES['schedule']})" + """
+SELECT tenant_id, CAST(count(workshop_id) AS BIGINT) AS proposed, CAST(count(*) FILTER (late AND workshop_id IS NOT NULL) AS BIGINT) AS late, CAST(count(*) FILTER (workshop_id IS NULL) AS BIGINT) AS unscheduled,
+  CAST(count(*) FILTER (tenant_id % 2 = 1) AS BIGINT) AS by_cost, CAST(count(*) FILTER (tenant_id % 2 = 0) AS BIGINT) AS by_risk FROM planned GROUP BY tenant_id""")
+def planner_summary(b: Bound) -> DataFrame:
+    cands = _candidates(b).join(b.vehicles.select("vehicle_id", "latitude", "longitude"), "vehicle_id")
+    return plan.plan_summary(plan.schedule(cands, b.workshops, plan.booked_slots(b.work_orders, "1998-06-01")))
+
+
 # Radar
 
 
@@ -333,9 +338,23 @@ def capacity_metrics(b: Bound) -> DataFrame:
     return evaluate.capacity_metrics(rows, "score", 0.1, 86400.0, F.col("l_extendedprice"))
 
 
-@query()
+_MIX = "((xor({x}, {x} >> 16) * 73244475) % 4294967296)"
+_STEPS = ", ".join(f"{x!r}::DOUBLE" for x in evaluate.poisson_steps())
+
+
+@query(f"""WITH v AS (SELECT vehicle_id, r, CAST('0x' || substr(md5(vehicle_id || '|11'), 1, 8) AS BIGINT) AS h FROM (SELECT DISTINCT l_suppkey AS vehicle_id FROM lineitem), (SELECT unnest(range(200)) AS r)),
+x0 AS (SELECT vehicle_id, r, (h + r * 2654435769) % 4294967296 AS x FROM v), x1 AS (SELECT vehicle_id, r, {_MIX.format(x='x')} AS x FROM x0), x2 AS (SELECT vehicle_id, r, {_MIX.format(x='x')} AS x FROM x1),
+w AS (SELECT vehicle_id, r, len(list_filter([{_STEPS}], lambda s: s < (xor(x, x >> 16) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) AS w FROM x2),
+li AS (SELECT l_suppkey AS vehicle_id, CAST(l_returnflag = 'R' AS INT) AS y, l_discount AS a, l_quantity / 50 AS b, count(*) AS c FROM lineitem GROUP BY ALL),
+s AS (SELECT 'a' AS m, a AS score, vehicle_id, y, sum(c) AS c FROM li GROUP BY ALL UNION ALL SELECT 'b', b, vehicle_id, y, sum(c) FROM li GROUP BY ALL),
+g AS (SELECT m, r, score, sum(w * c * y)::DOUBLE AS pos, sum(w * c * (1 - y))::DOUBLE AS neg FROM s JOIN w USING (vehicle_id) GROUP BY m, r, score),
+k AS (SELECT m, r, pos, neg, sum(pos) OVER o AS tp, sum(pos + neg) OVER o AS al FROM g WINDOW o AS (PARTITION BY m, r ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT m, r, sum(CASE WHEN al > 0 THEN pos * tp / al ELSE 0 END) / nullif(sum(pos), 0) AS ap, sum(neg) AS neg FROM k GROUP BY m, r),
+d AS (SELECT x.ap - y.ap AS d FROM ap x JOIN ap y ON x.r = y.r AND x.m = 'a' AND y.m = 'b' WHERE x.neg > 0 AND x.ap IS NOT NULL)
+SELECT round(avg(d), 6) + 0.0 AS mean, round(quantile_cont(d, 0.025), 6) + 0.0 AS low, round(quantile_cont(d, 0.975), 6) + 0.0 AS high, CAST(count(*) AS BIGINT) AS resamples FROM d""")
 def bootstrap_difference(b: Bound) -> DataFrame:
-    return evaluate.bootstrap(_scored(b), "score", "p", n=20)
+    """200 resamples of whole vehicles; the SQL draws the same weights."""
+    return evaluate.bootstrap(_scored(b), "score", "p")
 
 
 # Quality

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odolith.functions import catalog
 from odolith.operators.windows import latest_version
+from odolith.sources import keyed_log
 
 UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
@@ -102,20 +102,6 @@ def replace_snapshot(df: DataFrame, root: str, name: str) -> str:
     return path
 
 
-def next_snapshot(batch: DataFrame, batch_id: int, root: str, name: str, merge: Callable[[DataFrame | None], DataFrame]) -> str:
-    """Version batch_id + 1 of a snapshot, merged from the highest version before it (None: there is none) and written beside it.
-
-    Readers see all of it or the one before. A version that is complete stays, so a replayed batch does nothing. One
-    snapshot belongs to one stream checkpoint, whose batches count up.
-    """
-    spark, path = batch.sparkSession, f"{root}/{name}/v{batch_id + 1}"
-    have = snapshot_versions(spark, root, name)
-    if batch_id + 1 not in have:
-        before = max((v for v in have if v <= batch_id), default=None)
-        merge(None if before is None else spark.read.parquet(f"{root}/{name}/v{before}")).write.mode("overwrite").parquet(path)
-    return path
-
-
 def snapshot_versions(spark: SparkSession, root: str, name: str) -> list[int]:
     """Versions that are complete, which their success file tells."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
@@ -127,7 +113,9 @@ def snapshot_versions(spark: SparkSession, root: str, name: str) -> list[int]:
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}/v{snapshot_versions(spark, root, name)[-1]}")
+    """The last version of a snapshot, or of a keyed log."""
+    held = keyed_log.read(spark, root, name)
+    return spark.read.parquet(f"{root}/{name}/v{snapshot_versions(spark, root, name)[-1]}") if held is None else held
 
 
 def score_history(scores: DataFrame, contributions: str) -> DataFrame:

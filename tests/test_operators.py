@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -110,7 +111,7 @@ def greedy_reference(rows: list[dict], capacity: dict[tuple[str, int], int], sho
 
 def test_schedule_equals_the_sequential_rule(spark):
     rng = random.Random(7)
-    for case in range(2):
+    for block in (50_000, 7):
         shops = [(t, f"w{t}{j}", rng.uniform(-5, 5), rng.uniform(-5, 5), rng.randrange(1, 3)) for t in ("a", "b") for j in range(4)]
         cands = [(rng.choice("ab"), f"v{i:02d}", "M", float(round(rng.choice([1, 2, 3.5, rng.random() * 5]), 2)), rng.choice([None, 5.0, 60.0, rng.random() * 200]), rng.uniform(-5, 5), rng.uniform(-5, 5)) for i in range(40)]
         w = spark.createDataFrame(shops, "tenant_id string, workshop_id string, latitude double, longitude double, daily_capacity int")
@@ -121,7 +122,7 @@ def test_schedule_equals_the_sequential_rule(spark):
             near.setdefault(r.vehicle_id, []).append(r.workshop_id)
         capacity = {(x[1], d): x[4] - {("wa0", 0): 1, ("wb1", 1): 2}.get((x[1], d), 0) for x in shops for d in range(3)}
         want = greedy_reference([{"value": x[3], "hours_remaining": x[4], "vehicle_id": x[1]} for x in cands], capacity, near, 3)
-        got = plan.schedule(c, w, booked, horizon_days=3)
+        got = plan.schedule(c, w, booked, horizon_days=3, block=block)
         assert {r.vehicle_id: (r.workshop_id, r.day) for r in got.collect() if r.workshop_id} == want
         assert 0 < len(want) < len(cands)
 
@@ -148,12 +149,42 @@ def test_radar_finds_the_planted_defect(spark):
 
 
 def test_capacity_case(spark):
-    rows = list(zip([0.0] * 4 + [60.0] * 4, "abcdabcd", [1, 0, 0, 0, 1, 0, 1, 0], [7200.0, None, None, None, 7200.0, None, 200.0, None], [0.9, 0.1, 0.2, 0.3, 0.1, 0.2, 0.9, 0.3]))
+    """Three lists of two out of five: their precisions are 1/2, 1/2 and 1; of three failures one is listed an hour ahead or more."""
+    failing = {"p": 30_000.0, "r": 5_400.0, "u": 9_000.0}
+    lists = {0.0: {"p": 0.8, "q": 0.7, "r": 0.2, "s": 0.1, "u": 0.05}, 3600.0: {"r": 0.9, "s": 0.85, "p": 0.3, "q": 0.2, "u": 0.1}, 7200.0: {"p": 0.95, "u": 0.6, "q": 0.5, "s": 0.4, "r": 0.3}}
+    known = {(0.0, "p"), (3600.0, "r"), (3600.0, "p"), (7200.0, "p"), (7200.0, "u")}
+    rows = [(t, v, int((t, v) in known), failing[v] if (t, v) in known else None, score) for t, own in lists.items() for v, score in own.items()]
     df = spark.createDataFrame(rows, "t double, vehicle_id string, label int, next_failure_ts double, score double")
-    r = evaluate.capacity_metrics(df, "score", 0.25, 3600.0).first()
-    assert (r.mean_precision, r.failures, r.listed, r.recall_ahead) == (1.0, 2, 2, 0.5)
-    p = spark.createDataFrame([(0.0, 0), (0.952, 2), (1.002, 2)], "s double, n int").select(F.round(evaluate.baseline_probability(F.col("s"), F.col("n"), F.lit(0.1)), 6).alias("p"))
-    assert [x.p for x in p.collect()] == [0.1, 0.95, 1.0]
+    r = evaluate.capacity_metrics(df, "score", 0.4, 3600.0).first()
+    assert (r.snapshots, r.mean_precision, r.failures, r.listed, r.recall_ahead, r.median_lead_h) == (3, 0.6667, 3, 3, 0.3333, 0.5)
+    p = spark.createDataFrame([(0.31, 0), (0.643, 3), (1.2, 50)], "s double, n int").select(F.round(evaluate.baseline_probability(F.col("s"), F.col("n"), F.lit(0.07)), 6).alias("p"))
+    assert [x.p for x in p.collect()] == [0.07, 0.64, 1.0]
+
+
+def test_resampled_precision_equals_plain_weights(spark):
+    """Continuous scores and ties that fill several chunks and ranges, against weights spelled out one by one."""
+    rng, n = random.Random(12), 7
+    rows = [(f"v{rng.randrange(40)}", rng.choice([0.5, rng.random()]), int(rng.random() < 0.3)) for _ in range(900)]
+    evaluate.CHUNK, held = 100, evaluate.CHUNK
+    try:
+        got = {r.r: r for r in evaluate.resampled_precision(spark.createDataFrame(rows, "vehicle_id string, score double, label int").repartition(5), "score", "label", n, 11).collect()}
+    finally:
+        evaluate.CHUNK = held
+    steps = evaluate.poisson_steps()
+    for r in range(n):
+        weight = {}
+        for v in {x[0] for x in rows}:
+            x = (int(hashlib.md5(f"{v}|11".encode()).hexdigest()[:8], 16) + r * 2654435769) % 2**32
+            for _ in range(2):
+                x = (x ^ (x >> 16)) * 73244475 % 2**32
+            weight[v] = sum(s < ((x ^ (x >> 16)) + 0.5) / 2**32 for s in steps)
+        tp = seen = total = 0.0
+        for score in sorted({x[1] for x in rows}, reverse=True):
+            pos, neg = (sum(weight[v] for v, s, y in rows if s == score and y == want) for want in (1, 0))
+            tp, seen = tp + pos, seen + pos + neg
+            total += pos * tp / seen if seen else 0
+        assert abs(got[r].ap - total / tp) < 1e-12
+    assert len({r.ap for r in got.values()}) == n
 
 
 def test_model_trains_and_scores(spark):
@@ -258,3 +289,18 @@ def test_scores_in_force(spark):
     schema = "vehicle_id string, probability double, model_version string, scored_at long, expires_at long"
     rows = [("a", 0.1, "m1", 1, 50), ("a", 0.2, "m2", 2, 9), ("b", 0.3, "m1", 1, 10), ("c", None, "m1", 1, 90), ("d", 0.4, "m1", 1, None)]
     assert sorted((r.vehicle_id, r.probability) for r in plan.live_scores(spark.createDataFrame(rows, schema), F.lit(10)).collect()) == [("a", 0.1), ("d", 0.4)]
+
+
+def test_settled_blocks_equal_serving_one_by_one():
+    rng = np.random.default_rng(8)
+    for n, slots, wishes in [(1, 1, 1), (40, 5, 3), (300, 30, 12), (200, 3, 3), (50, 40, 21)]:
+        capacity = rng.integers(1, 4, slots)
+        table = np.array([rng.permutation(np.append(np.arange(slots), [-1] * wishes))[:wishes] for _ in range(n)])
+        table = np.array([[*[s for s in row if s >= 0], *[-1] * int((row < 0).sum())] for row in table])
+        left, want = capacity.copy(), []
+        for row in table:
+            free = [j for j, s in enumerate(row) if s >= 0 and left[s] > 0]
+            want.append(free[0] if free else -1)
+            if free:
+                left[row[free[0]]] -= 1
+        assert plan.settle(table, capacity).tolist() == want
