@@ -127,20 +127,48 @@ def breakdown_latch(df: DataFrame, key: str, order: str, set_: Column, reset: Co
     return df.withColumn("latched", F.coalesce(F.last(F.when(set_, True).when(reset, False), ignorenulls=True).over(_through(key, order)), F.lit(False)))
 
 
-def code_counts(df: DataFrame, key: str, ts: str, order: str, codes: str, window_s: int = 600) -> DataFrame:
-    """For every row of a key and every code the key ever shows: `n`, its occurrences in the last window_s seconds."""
-    seen = df.select(key, F.explode(codes).alias("code")).distinct()
-    grid = df.join(seen, key)
-    has = F.array_contains(codes, F.col("code")).cast("int")
-    window = Window.partitionBy(key, "code").orderBy(F.col(ts).cast("double")).rangeBetween(-window_s, Window.currentRow)
-    return grid.withColumn("n", F.sum(has).over(window))
+def code_steps(df: DataFrame, key: str, ts: str, codes: str, window_s: float) -> DataFrame:
+    """key, code, at, kind, n: how often a row of the last window_s seconds had the code, after each occurrence (kind 0, at its time) and each expiry (kind 2, after at); and the next step's time and kind."""
+    seen = df.select(key, F.col(ts).cast("double").alias("at"), F.explode(F.array_distinct(codes)).alias("code"))
+    steps = seen.select(key, "code", F.inline(F.array(F.struct(F.col("at"), F.lit(0).alias("kind"), F.lit(1).alias("step")), F.struct((F.col("at") + window_s).alias("at"), F.lit(2).alias("kind"), F.lit(-1).alias("step")))))
+    turn = Window.partitionBy(key, "code").orderBy("at", "kind")
+    counted = steps.withColumn("n", F.sum("step").over(turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return counted.select(key, "code", "at", "kind", "n", F.lead("at", 1, float("inf")).over(turn).alias("to_at"), F.lead("kind", 1, 2).over(turn).alias("to_kind"))
+
+
+def code_moves(df: DataFrame, need: DataFrame, key: str, ts: str, order: str, seq: str, codes: str, window_s: float) -> DataFrame:
+    """key, code, order, ts, seq, n: the rows where a code's count may open (n >= need) or clear (n = 0) it. need: code, need.
+
+    A sweep over occurrences and expiries: each stretch of equal meaning is seen first by the first row in it, if rows come
+    in the order of time. Only rows that come late, and the row after such a one, are met with all codes of their key. So
+    rows are proportional to occurrences and to late rows, not to rows times codes. Rows without a time are left out.
+    """
+    turn = Window.partitionBy(key).orderBy(order)
+    rows = in_order(df.filter(F.col(ts).isNotNull()).select(key, order, F.col(ts).cast("double").alias("_ts"), seq), key, order, "_ts")
+    rows = rows.withColumn("_again", ~F.col("in_order") | ~F.lag("in_order", 1, True).over(turn))
+    # the code table is small: one row for each code of the catalogue
+    steps = code_steps(df.filter(F.col(ts).isNotNull()), key, ts, codes, window_s).join(F.broadcast(need), "code")
+    told = (F.col("n") >= F.col("need")) | (F.col("n") == 0)
+    spans = steps.filter(told).select(key, F.col("at").alias("_at"), F.col("kind").alias("_kind"), F.struct("code", "n", "need", "to_at", "to_kind").alias("_span"), F.lit(None).alias("_row"))
+    timely = rows.filter("in_order").select(key, F.col("_ts").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).alias("_span"), F.struct(order, "_ts", seq).alias("_row"))
+    # backwards in time, the last row seen is the first one after
+    back = Window.partitionBy(key).orderBy(F.desc("_at"), F.desc("_kind"), F.desc(F.col(f"_row.{order}"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = spans.unionByName(timely).withColumn("_first", F.last("_row", ignorenulls=True).over(back)).filter("_span IS NOT NULL AND _first IS NOT NULL")
+    first = ahead.filter(F.struct(F.col("_first._ts"), F.lit(1)) < F.struct(F.col("_span.to_at"), F.col("_span.to_kind")))
+    first = first.select(key, "_span.code", "_first.*", "_span.n", "_span.need")
+    seen = steps.select(key, "code", "need").distinct()
+    asked = rows.filter("_again").join(seen, key).select(key, "code", F.col("_ts").alias("_at"), F.lit(1).alias("_kind"), F.struct(order, "_ts", seq).alias("_row"), "need", F.lit(None).cast("bigint").alias("n"))
+    known = steps.select(key, "code", F.col("at").alias("_at"), F.col("kind").alias("_kind"), F.lit(None).alias("_row"), "need", "n")
+    forth = Window.partitionBy(key, "code").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    late = asked.unionByName(known).withColumn("n", F.coalesce(F.last("n", ignorenulls=True).over(forth), F.lit(0))).filter("_row IS NOT NULL")
+    return first.unionByName(late.select(key, "code", "_row.*", "n", "need")).withColumnRenamed("_ts", ts)
 
 
 def dtc_transitions(df: DataFrame, catalog: DataFrame, key: str, ts: str, order: str, seq: str, codes: str = "dtc_codes", window_s: int = 600, repeats: int = 3) -> DataFrame:
     """Alerts of trouble codes: a critical code opens at once, a warning at `repeats` in the window, others never; it clears at the first later row without it in the window."""
-    counted = code_counts(df, key, ts, order, codes, window_s).join(F.broadcast(catalog), "code").filter(F.col("severity") != "info")
-    need = F.when(F.col("severity") == "critical", 1).otherwise(repeats)
-    return hysteresis(counted, key, order, F.col("n") >= need, F.col("n") == 0, seq, by=["code"])
+    need = catalog.filter(F.col("severity") != "info").select("code", F.when(F.col("severity") == "critical", 1).otherwise(repeats).alias("need"))
+    moves = code_moves(df, need, key, ts, order, seq, codes, float(window_s))
+    return hysteresis(moves, key, order, F.col("n") >= F.col("need"), F.col("n") == 0, seq, by=["code"])
 
 
 def throttled(df: DataFrame, key: str, order: str, ts: str, every_s: float) -> DataFrame:

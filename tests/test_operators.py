@@ -304,3 +304,35 @@ def test_settled_blocks_equal_serving_one_by_one():
             if free:
                 left[row[free[0]]] -= 1
         assert plan.settle(table, capacity).tolist() == want
+
+
+def test_code_windows_equal_a_count(spark):
+    """Rows out of order, codes that come and go: transitions from counts taken row by row; and few rows are looked at."""
+    rng = random.Random(21)
+    rows = []
+    for v in "ab":
+        t = 0.0
+        for i in range(260):
+            t += rng.choice([0.0, 20.0, 90.0, 700.0])
+            rows.append((v, i, t - (rng.choice([50.0, 900.0]) if rng.random() < 0.08 else 0.0), i * 2, [c for c in ("P0301", "P0217", "P0420", "U0100") if rng.random() < 0.2]))
+    df = spark.createDataFrame(rows, "k string, o int, t double, s int, codes array<string>")
+    need = {r.code: 1 if r.severity == "critical" else 2 for r in catalog.dtcs(spark).collect() if r.severity != "info"}
+    want = set()
+    for v in "ab":
+        own = [r for r in rows if r[0] == v]
+        for code in need:
+            opened = None
+            for _, o, t, s, _ in own:
+                n = sum(code in c for _, _, at, _, c in own if t - 600 <= at <= t)
+                if opened is None and n >= need[code]:
+                    opened = s
+                    want.add((v, o, code, "open", s))
+                elif opened is not None and n == 0:
+                    want.add((v, o, code, "cleared", opened))
+                    opened = None
+    got = windows.dtc_transitions(df, catalog.dtcs(spark), "k", "t", "o", "s", "codes", 600, 2)
+    assert {(r.k, r.o, r.code, r.status, r.opened_seq) for r in got.collect()} == want and len(want) > 40
+    calm = df.withColumn("t", F.col("o") * 100.0)
+    needs = spark.createDataFrame(list(need.items()), "code string, need int")
+    looked = windows.code_moves(calm, needs, "k", "t", "o", "s", "codes", 600.0).count()
+    assert looked <= 2 * calm.select(F.explode("codes")).count()
