@@ -109,6 +109,30 @@ def together(*folds: Fold) -> Fold:
     )
 
 
+def where_given(name: str, fold: Fold) -> Fold:
+    """The fold over those rows alone that have all its inputs, with `n` of them; inputs and parts are named after it, so that several run in one pass."""
+
+    def named(s: Summary) -> Summary:
+        return {f"{name}_{p}": v for p, v in s.items()}
+
+    def row(*inputs: np.ndarray) -> Summary:
+        given = ~np.isnan(np.array(inputs)).any(axis=0)
+        return named(fold.row(*[np.where(given, x, 0.0) for x in inputs]) | {"n": given.astype(float)})
+
+    def join(a: Summary, b: Summary) -> Summary:
+        na, nb = a[f"{name}_n"], b[f"{name}_n"]
+        with np.errstate(all="ignore"):
+            both = fold.join(*[{p: s[f"{name}_{p}"] for p in fold.parts} for s in (a, b)])
+        return named({p: np.where(nb == 0, a[f"{name}_{p}"], np.where(na == 0, b[f"{name}_{p}"], both[p])) for p in fold.parts} | {"n": na + nb})
+
+    return Fold(tuple(f"{name}_{i}" for i in fold.inputs), tuple(f"{name}_{p}" for p in (*fold.parts, "n")), row, join)
+
+
+def given(s: Summary, name: str) -> Summary:
+    """The summary of the fold `name` inside one of several."""
+    return {k.removeprefix(f"{name}_"): v for k, v in s.items() if k.startswith(f"{name}_")}
+
+
 def with_count(fold: Fold) -> Fold:
     """The fold with `n`, the number of rows."""
     count = Fold((fold.inputs[0],), ("n",), lambda x: {"n": np.ones(len(x))}, lambda a, b: {"n": a["n"] + b["n"]})

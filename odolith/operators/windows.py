@@ -127,41 +127,59 @@ def breakdown_latch(df: DataFrame, key: str, order: str, set_: Column, reset: Co
     return df.withColumn("latched", F.coalesce(F.last(F.when(set_, True).when(reset, False), ignorenulls=True).over(_through(key, order)), F.lit(False)))
 
 
-def code_steps(df: DataFrame, key: str, ts: str, codes: str, window_s: float) -> DataFrame:
-    """key, code, at, kind, n: how often a row of the last window_s seconds had the code, after each occurrence (kind 0, at its time) and each expiry (kind 2, after at); and the next step's time and kind."""
-    seen = df.select(key, F.col(ts).cast("double").alias("at"), F.explode(F.array_distinct(codes)).alias("code"))
-    steps = seen.select(key, "code", F.inline(F.array(F.struct(F.col("at"), F.lit(0).alias("kind"), F.lit(1).alias("step")), F.struct((F.col("at") + window_s).alias("at"), F.lit(2).alias("kind"), F.lit(-1).alias("step")))))
-    turn = Window.partitionBy(key, "code").orderBy("at", "kind")
+def _place(at: Column, kind: int, turn: Column | None = None, sub: int = 0) -> Column:
+    """Where something lies in a sweep: by time, then what opens there (0), rows (1) and what ends there (2), then by the turn of rows."""
+    return F.struct(at.cast("double").alias("at"), F.lit(kind).alias("kind"), (F.lit(None) if turn is None else turn).cast("bigint").alias("turn"), F.lit(sub).alias("sub"))
+
+
+def code_steps(reports: DataFrame, key: str) -> DataFrame:
+    """reports (key, code, since, gone: places) -> key, code, place, n (reports in force from there on) and `upto`, the next such place."""
+    steps = reports.select(key, "code", F.inline(F.array(F.struct(F.col("since").alias("place"), F.lit(1).alias("step")), F.struct(F.col("gone").alias("place"), F.lit(-1).alias("step")))))
+    turn = Window.partitionBy(key, "code").orderBy("place")
     counted = steps.withColumn("n", F.sum("step").over(turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return counted.select(key, "code", "at", "kind", "n", F.lead("at", 1, float("inf")).over(turn).alias("to_at"), F.lead("kind", 1, 2).over(turn).alias("to_kind"))
+    return counted.select(key, "code", "place", "n", F.lead("place").over(turn).alias("upto"))
+
+
+def first_rows(steps: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """key, code, n, need and `row` (a struct) of the first of rows (key, place, row) in each stretch of steps where the count says something: n >= need or n = 0."""
+    spans = steps.filter("n >= need OR n = 0").select(key, "place", F.struct("code", "n", "need", "upto").alias("_span"), F.lit(None).alias("row"))
+    # backwards, the last row seen is the first one after
+    back = Window.partitionBy(key).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = spans.unionByName(rows.select(key, "place", F.lit(None).alias("_span"), F.struct("place", "row").alias("row")))
+    ahead = both.withColumn("_first", F.last("row", ignorenulls=True).over(back)).filter("_span IS NOT NULL AND _first IS NOT NULL")
+    inside = F.col("_span.upto").isNull() | (F.col("_first.place") < F.col("_span.upto"))
+    return ahead.filter(inside).select(key, "_span.code", "_span.n", "_span.need", "_first.row")
 
 
 def code_moves(df: DataFrame, need: DataFrame, key: str, ts: str, order: str, seq: str, codes: str, window_s: float) -> DataFrame:
-    """key, code, order, ts, seq, n: the rows where a code's count may open (n >= need) or clear (n = 0) it. need: code, need.
+    """key, code, n, need, order, ts, seq: the rows where a code's count of the last window_s seconds may open (n >= need) or clear (n = 0) it. need: code, need.
 
     A sweep over occurrences and expiries: each stretch of equal meaning is seen first by the first row in it, if rows come
     in the order of time. Only rows that come late, and the row after such a one, are met with all codes of their key. So
     rows are proportional to occurrences and to late rows, not to rows times codes. Rows without a time are left out.
     """
-    turn = Window.partitionBy(key).orderBy(order)
-    rows = in_order(df.filter(F.col(ts).isNotNull()).select(key, order, F.col(ts).cast("double").alias("_ts"), seq), key, order, "_ts")
-    rows = rows.withColumn("_again", ~F.col("in_order") | ~F.lag("in_order", 1, True).over(turn))
+    known = df.filter(F.col(ts).isNotNull())
+    row = F.struct(order, F.col(ts).alias(ts), F.col(seq).alias(seq)).alias("row")
+    rows = in_order(known.select(key, order, ts, seq), key, order, ts).withColumn("place", _place(F.col(ts), 1, F.col(order)))
+    rows = rows.withColumn("_again", ~F.col("in_order") | ~F.lag("in_order", 1, True).over(Window.partitionBy(key).orderBy(order)))
+    reports = known.select(key, ts, F.explode(F.array_distinct(codes)).alias("code")).select(key, "code", _place(F.col(ts), 0).alias("since"), _place(F.col(ts) + window_s, 2).alias("gone"))
     # the code table is small: one row for each code of the catalogue
-    steps = code_steps(df.filter(F.col(ts).isNotNull()), key, ts, codes, window_s).join(F.broadcast(need), "code")
-    told = (F.col("n") >= F.col("need")) | (F.col("n") == 0)
-    spans = steps.filter(told).select(key, F.col("at").alias("_at"), F.col("kind").alias("_kind"), F.struct("code", "n", "need", "to_at", "to_kind").alias("_span"), F.lit(None).alias("_row"))
-    timely = rows.filter("in_order").select(key, F.col("_ts").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).alias("_span"), F.struct(order, "_ts", seq).alias("_row"))
-    # backwards in time, the last row seen is the first one after
-    back = Window.partitionBy(key).orderBy(F.desc("_at"), F.desc("_kind"), F.desc(F.col(f"_row.{order}"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = spans.unionByName(timely).withColumn("_first", F.last("_row", ignorenulls=True).over(back)).filter("_span IS NOT NULL AND _first IS NOT NULL")
-    first = ahead.filter(F.struct(F.col("_first._ts"), F.lit(1)) < F.struct(F.col("_span.to_at"), F.col("_span.to_kind")))
-    first = first.select(key, "_span.code", "_first.*", "_span.n", "_span.need")
-    seen = steps.select(key, "code", "need").distinct()
-    asked = rows.filter("_again").join(seen, key).select(key, "code", F.col("_ts").alias("_at"), F.lit(1).alias("_kind"), F.struct(order, "_ts", seq).alias("_row"), "need", F.lit(None).cast("bigint").alias("n"))
-    known = steps.select(key, "code", F.col("at").alias("_at"), F.col("kind").alias("_kind"), F.lit(None).alias("_row"), "need", "n")
-    forth = Window.partitionBy(key, "code").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    late = asked.unionByName(known).withColumn("n", F.coalesce(F.last("n", ignorenulls=True).over(forth), F.lit(0))).filter("_row IS NOT NULL")
-    return first.unionByName(late.select(key, "code", "_row.*", "n", "need")).withColumnRenamed("_ts", ts)
+    steps = code_steps(reports, key).join(F.broadcast(need), "code")
+    first = first_rows(steps, rows.filter("in_order").select(key, "place", row), key)
+    asked = rows.filter("_again").join(steps.select(key, "code", "need").distinct(), key).select(key, "code", "need", "place", row, F.lit(None).cast("bigint").alias("n"))
+    met = asked.unionByName(steps.select(key, "code", "need", "place", F.lit(None).alias("row"), "n"))
+    forth = Window.partitionBy(key, "code").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    late = met.withColumn("n", F.coalesce(F.last("n", ignorenulls=True).over(forth), F.lit(0))).filter("row IS NOT NULL")
+    return first.unionByName(late.select(*first.columns)).select(key, "code", "n", "need", "row.*")
+
+
+def recent_code_moves(df: DataFrame, need: DataFrame, key: str, ts: str, latest: str, order: str, keep: list[str], codes: str, window_s: float) -> DataFrame:
+    """The same against the latest time so far: a report counts from its row on until that time is more than window_s after it. Every row is in order then."""
+    row = F.struct(order, *keep).alias("row")
+    rows = df.select(key, _place(F.col(latest), 1, F.col(order), 1).alias("place"), row)
+    reports = df.filter(F.col(ts) + window_s >= F.col(latest)).select(key, ts, latest, order, F.explode(codes).alias("code"))
+    reports = reports.select(key, "code", _place(F.col(latest), 1, F.col(order)).alias("since"), _place(F.col(ts) + window_s, 2).alias("gone"))
+    return first_rows(code_steps(reports, key).join(F.broadcast(need), "code"), rows, key).select(key, "code", "n", "need", "row.*")
 
 
 def dtc_transitions(df: DataFrame, catalog: DataFrame, key: str, ts: str, order: str, seq: str, codes: str = "dtc_codes", window_s: int = 600, repeats: int = 3) -> DataFrame:

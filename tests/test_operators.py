@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from odolith.functions import catalog
-from odolith.operators import evaluate, plan, quality, radar, rollup, serve, windows
+from odolith.operators import detect, evaluate, plan, quality, radar, rollup, serve, windows
 from odolith.operators.ranges import running_sums
 from odolith.sources import readers, sinks
 from odolith.session import scratch_path
@@ -336,3 +336,35 @@ def test_code_windows_equal_a_count(spark):
     needs = spark.createDataFrame(list(need.items()), "code string, need int")
     looked = windows.code_moves(calm, needs, "k", "t", "o", "s", "codes", 600.0).count()
     assert looked <= 2 * calm.select(F.explode("codes")).count()
+
+
+def test_relational_detector_equals_the_stream_processor(spark):
+    """Two vehicles with all kinds of faults, nulls and late rows: alerts, values, details, health, active rules and indicators."""
+    rng, frames = random.Random(33), []
+    for v in ("truck-1", "truck-2"):
+        rows, t = [], 0.0
+        for i in range(320):
+            t += rng.choice([5.0, 20.0, 60.0, 240.0])
+            late = -rng.choice([30.0, 700.0]) if rng.random() < 0.06 else 0.0
+            rows.append({
+                "ts": BEGIN + t + late, "ignition_on": rng.choice([True, True, True, False, None]) if i % 40 < 6 else True, "speed_kmh": rng.choice([0.0, 30.0, 62.0]), "event_type": "BREAKDOWN" if rng.random() < 0.03 else "PERIODIC",
+                "coolant_temp_c": None if rng.random() < 0.05 else rng.uniform(90, 118), "engine_rpm": rng.choice([None, 0, int(rng.uniform(900, 3200))]), "lv_battery_v": rng.uniform(11.5, 12.6), "hv_cell_delta_mv": rng.choice([None, int(rng.uniform(10, 160))]),
+                "tyre_fl_kpa": 252.0 - (0.25 * i if v == "truck-1" else 0.0), "tyre_rr_kpa": None if rng.random() < 0.1 else 250.0, "dtc_codes": rng.sample(["P0301", "P0217", "P0420", "C1A10"], rng.randrange(3)) if rng.random() < 0.3 else [],
+            })
+        frames.append(events(spark, rows, vehicle=v))
+    df = frames[0].unionByName(frames[1])
+    plain = lambda x: None if x is None else round(float(x), 2)
+    key = ("vehicle_id", "seq", "kind", "rule_code", "status", "opened_seq", "severity", "failure_mode")
+    want = {tuple(r[k] for k in key): (plain(r.value), json.loads(r.details)) for r in processors.detections_batch(df).collect()}
+    found = detect.detections(df).withColumns({f"d_{k}": c for k, c in detect.leak_details(F.col("value"), F.col("wheel"), F.col("slope")).items()}).collect()
+    assert {tuple(r[k] for k in key) for r in found} == set(want) and len(found) == len(want)
+    assert {r.rule_code for r in found} >= {"TYRE_SLOW_LEAK", "COOLANT_DRIFT", "MISFIRE_ROUGHNESS", "VEHICLE_BREAKDOWN", "DTC_P0301", "DTC_P0217", "HV_CELL_CRITICAL"}
+    for r in found:
+        value, details = want[tuple(r[k] for k in key)]
+        assert abs(r.value - value) < 0.011
+        if r.kind == "state":
+            assert r.active == details["active"] and set(r.indicators) == set(details["indicators"])
+            assert all(abs(r.indicators[k] - x) < 0.0011 for k, x in details["indicators"].items())
+        elif details:
+            mine = {"occurrences": r.occurrences} if "occurrences" in details else {k: r[f"d_{k}"] for k in details}
+            assert all((mine[k] is None) == (x is None) and (x is None or abs(mine[k] - x) <= 0.011 + 0.01 * abs(x)) for k, x in details.items())
