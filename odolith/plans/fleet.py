@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odolith.functions import catalog, vehicle
-from odolith.operators import evaluate, normalise, plan, quality, radar, rollup, serve, windows
+from odolith.operators import detect, evaluate, normalise, plan, quality, radar, rollup, serve, windows
 from odolith.plans.bindings import Bound, prelude, rounded
 from odolith.plans.registry import ORACLES, QUERIES, query  # noqa: F401 - the entry file takes them from here
-from odolith.session import ship
 from odolith.sources import sinks
-from odolith.streaming import processors
 
 DAY = 86_400
 
@@ -763,12 +761,53 @@ def severity_counts(b: Bound) -> DataFrame:
     return serve.conditional_counts(b.alerts, {"open": F.col("status") == "open", "other": F.col("status") != "open"}, ["severity"])
 
 
-@query()
+_RULES = ", ".join("({}, {}, {}, '{}', {}::DOUBLE, {}::DOUBLE, {})".format(*[f"'{x}'" if x else "NULL" for x in (code, mode, severity)], side, opens, clears, catalog.PENALTY.get(severity, 0)) for code, mode, severity, side, opens, clears in catalog.RULES)
+_CODES = ", ".join(f"('{c}', '{severity}', {repr(mode) if mode else 'NULL'}, {need}, {catalog.PENALTY[severity]})" for c, severity, mode, need in detect.CODES)
+_DETECTED = prelude("telemetry") + f""", rules AS (SELECT * FROM (VALUES {_RULES}) AS v(rule_code, failure_mode, severity, side, opens, clears, cost)), codes AS (SELECT * FROM (VALUES {_CODES}) AS v(rule_code, severity, failure_mode, need, cost)),
+o AS (SELECT vehicle_id, arrival, ts, seq, event_type, speed_kmh, coolant_temp_c, engine_rpm, lv_battery_v, trunc(hv_cell_delta_mv) AS cell, [tyre_fl_kpa, tyre_fr_kpa, tyre_rl_kpa, tyre_rr_kpa] AS p, dtc_codes, coalesce(ignition_on, false) AS is_on,
+  coalesce(ts >= max(ts) OVER (PARTITION BY vehicle_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS timely, max(ts) OVER (PARTITION BY vehicle_id ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS latest FROM telemetry),
+tm AS (SELECT * FROM o WHERE timely),
+isl AS (SELECT *, sum(CASE WHEN is_on THEN 0 ELSE 1 END) OVER (PARTITION BY vehicle_id ORDER BY arrival) AS isl FROM tm), st AS (SELECT *, min(CASE WHEN is_on THEN ts END) OVER (PARTITION BY vehicle_id, isl) AS since FROM isl),
+dn AS (SELECT vehicle_id, arrival, coolant_temp_c - (88 + 0.03 * speed_kmh) - 4 AS x, row_number() OVER (PARTITION BY vehicle_id ORDER BY arrival) AS rn FROM st WHERE is_on AND ts - since >= 900 AND coolant_temp_c IS NOT NULL),
+dr AS (SELECT vehicle_id, arrival, rn, greatest(0, x)::DOUBLE AS s FROM dn WHERE rn = 1 UNION ALL SELECT n.vehicle_id, n.arrival, n.rn, greatest(0, r.s + n.x) FROM dr r JOIN dn n ON n.vehicle_id = r.vehicle_id AND n.rn = r.rn + 1),
+md AS (SELECT *, [list_sort([p[2], p[3], p[4]])[2], list_sort([p[1], p[3], p[4]])[2], list_sort([p[1], p[2], p[4]])[2], list_sort([p[1], p[2], p[3]])[2]] AS md FROM tm WHERE p[4] IS NOT NULL),
+ser AS (SELECT vehicle_id, arrival, 'rpm' AS track, 0.02::DOUBLE AS al, engine_rpm - (750 + 28 * speed_kmh) AS x FROM tm WHERE is_on AND engine_rpm <> 0 AND speed_kmh > 5
+  UNION ALL SELECT vehicle_id, arrival, 'lv', 0.05, lv_battery_v FROM tm WHERE NOT is_on AND lv_battery_v IS NOT NULL UNION ALL SELECT vehicle_id, arrival, 'cell', 0.05, cell FROM tm WHERE cell IS NOT NULL
+  UNION ALL SELECT vehicle_id, arrival, 'tyre' || w.i, 0.05, greatest(0, (md[w.i] - p[w.i]) / md[w.i]) FROM md, (VALUES (1), (2), (3), (4)) AS w(i)),
+sn AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id, track ORDER BY arrival) AS rn FROM ser),
+ew AS (SELECT vehicle_id, arrival, track, rn, x::DOUBLE AS m, 0.0::DOUBLE AS v FROM sn WHERE rn = 1
+  UNION ALL SELECT n.vehicle_id, n.arrival, n.track, n.rn, e.m + n.al * (n.x - e.m), (1 - n.al) * (e.v + n.al * (n.x - e.m) * (n.x - e.m)) FROM ew e JOIN sn n ON n.vehicle_id = e.vehicle_id AND n.track = e.track AND n.rn = e.rn + 1),
+val AS (SELECT vehicle_id, arrival, 'COOLANT_OVERHEAT' AS rule_code, coolant_temp_c AS value FROM o WHERE coolant_temp_c IS NOT NULL UNION ALL SELECT vehicle_id, arrival, 'COOLANT_DRIFT', s FROM dr
+  UNION ALL SELECT vehicle_id, arrival, 'VEHICLE_BREAKDOWN', CASE WHEN event_type = 'BREAKDOWN' THEN 1 ELSE 0 END FROM o WHERE event_type = 'BREAKDOWN' OR speed_kmh >= 1
+  UNION ALL SELECT vehicle_id, arrival, 'MISFIRE_ROUGHNESS', sqrt(v) FROM ew WHERE track = 'rpm' AND rn >= 60
+  UNION ALL SELECT vehicle_id, arrival, r.rule_code, m FROM ew JOIN (VALUES ('lv', 'LV_BATTERY_WEAK'), ('lv', 'LV_BATTERY_CRITICAL'), ('cell', 'HV_CELL_IMBALANCE'), ('cell', 'HV_CELL_CRITICAL')) AS r(track, rule_code) ON r.track = ew.track WHERE rn >= 30
+  UNION ALL SELECT vehicle_id, arrival, r.rule_code, max(m) FROM ew, (VALUES ('TYRE_SLOW_LEAK'), ('TYRE_PRESSURE_CRITICAL')) AS r(rule_code) WHERE track LIKE 'tyre%' AND rn >= 30 GROUP BY ALL),
+cd AS (SELECT DISTINCT vehicle_id, unnest(dtc_codes) AS code FROM o), cn AS (SELECT o.vehicle_id, o.arrival, 'DTC_' || cd.code AS rule_code, (SELECT count(*) FROM o b WHERE b.vehicle_id = o.vehicle_id AND b.arrival <= o.arrival AND list_contains(b.dtc_codes, cd.code) AND b.ts + 600 >= o.latest) AS n FROM o JOIN cd ON cd.vehicle_id = o.vehicle_id),
+j AS (SELECT vehicle_id, arrival, v.rule_code, value, severity, failure_mode, cost, CASE WHEN side = '>' THEN value > opens ELSE value < opens END AS op, CASE WHEN side = '>' THEN value < clears ELSE value > clears END AS cl FROM val v JOIN rules USING (rule_code)
+  UNION ALL SELECT vehicle_id, arrival, cn.rule_code, n, severity, failure_mode, cost, n >= need, n = 0 FROM cn JOIN codes USING (rule_code)),
+h AS (SELECT *, coalesce(last_value(CASE WHEN op THEN 1 WHEN cl THEN 0 END IGNORE NULLS) OVER w, 0) AS l FROM j WINDOW w AS (PARTITION BY vehicle_id, rule_code ORDER BY arrival ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, coalesce(lag(l) OVER (PARTITION BY vehicle_id, rule_code ORDER BY arrival), 0) AS was FROM h), tr AS (SELECT e.*, o.ts, o.seq, last_value(CASE WHEN l = 1 AND was = 0 THEN o.seq END IGNORE NULLS) OVER (PARTITION BY e.vehicle_id, rule_code ORDER BY e.arrival ROWS UNBOUNDED PRECEDING) AS os FROM e JOIN o ON o.vehicle_id = e.vehicle_id AND o.arrival = e.arrival),
+al AS (SELECT * FROM tr WHERE l <> was),
+kn AS (SELECT vehicle_id, arrival, ts, seq, row_number() OVER (PARTITION BY vehicle_id ORDER BY arrival) AS rn FROM tm),
+kp AS (SELECT vehicle_id, rn, arrival, ts, seq, ts AS kept, true AS k FROM kn WHERE rn = 1 UNION ALL SELECT n.vehicle_id, n.rn, n.arrival, n.ts, n.seq, CASE WHEN n.ts - f.kept >= 15 THEN n.ts ELSE f.kept END, n.ts - f.kept >= 15 FROM kp f JOIN kn n ON n.vehicle_id = f.vehicle_id AND n.rn = f.rn + 1),
+op AS (SELECT k.vehicle_id, k.arrival, a.rule_code, arg_max(a.l, a.arrival) AS l, any_value(a.cost) AS cost FROM kp k JOIN al a ON a.vehicle_id = k.vehicle_id AND a.arrival <= k.arrival WHERE k.k GROUP BY ALL),
+act AS (SELECT vehicle_id, arrival, string_agg(rule_code, ',' ORDER BY rule_code) AS active, sum(cost) AS cost, bool_or(rule_code = 'VEHICLE_BREAKDOWN') AS broken FROM op WHERE l = 1 GROUP BY ALL),
+ind AS (SELECT vehicle_id, arrival, count(*) AS n, sum(value) AS s FROM val WHERE rule_code <> 'VEHICLE_BREAKDOWN' GROUP BY ALL)
+SELECT 'alert' AS kind, CAST(vehicle_id AS VARCHAR) AS vehicle_id, round(ts, 6) + 0.0 AS ts, CAST(seq AS BIGINT) AS seq, rule_code, severity, failure_mode, CASE l WHEN 1 THEN 'open' ELSE 'cleared' END AS status, CAST(os AS BIGINT) AS opened_seq, round(value, 3) + 0.0 AS value, NULL AS active, NULL::BIGINT AS indicators FROM al
+UNION ALL SELECT 'state', CAST(k.vehicle_id AS VARCHAR), round(k.ts, 6) + 0.0, CAST(k.seq AS BIGINT), NULL, NULL, NULL, NULL, NULL, greatest(100 - coalesce(a.cost, 0), 0)::DOUBLE, coalesce(a.active, ''), CAST(coalesce(i.n, 0) + 1 AS BIGINT)
+FROM kp k LEFT JOIN act a ON a.vehicle_id = k.vehicle_id AND a.arrival = k.arrival LEFT JOIN ind i ON i.vehicle_id = k.vehicle_id AND i.arrival = k.arrival WHERE k.k"""
+
+
+def _canonical_rows(b: Bound) -> DataFrame:
+    return b.telemetry.withColumn("vehicle_id", F.col("vehicle_id").cast("string")).withColumn("hv_cell_delta_mv", F.col("hv_cell_delta_mv").cast("int"))
+
+
+@query(_DETECTED)
 def detector(b: Bound) -> DataFrame:
-    """The stateful fold over a table; tests compare it with its stream and with the window operators."""
-    ship(b.spark)
-    t = b.telemetry.withColumn("vehicle_id", F.col("vehicle_id").cast("string")).withColumn("hv_cell_delta_mv", F.col("hv_cell_delta_mv").cast("int"))
-    return processors.detections_batch(t)
+    """Alerts, and snapshots with health, active rules and the number of indicators."""
+    columns = ["kind", "vehicle_id", "ts", "seq", "rule_code", "severity", "failure_mode", "status", "opened_seq", "value"]
+    found = detect.detections(_canonical_rows(b))
+    return found.select(*columns, F.array_join("active", ",").alias("active"), F.when(F.col("kind") == "state", F.size("indicators")).cast("bigint").alias("indicators"))
 
 
 _SIGNALS = """, t AS (SELECT *, count(*) OVER (PARTITION BY window_start) AS nt, (base_k + 0.5) / (base_n + 1) AS p0 FROM tests WHERE base_n > 0), c AS (SELECT *, n * p0 AS lam FROM t WHERE k >= 2 AND k / n >= 1.2 * p0),
