@@ -19,7 +19,7 @@ DRIFT_SLACK, LEAK_END = 4.0, 0.25
 TYRES = ("tyre_fl_kpa", "tyre_fr_kpa", "tyre_rl_kpa", "tyre_rr_kpa")
 #: name, fold, values before it says anything, rules
 TRACKS = (
-    ("rpm", folds.variance_fold(0.02), 60, ("MISFIRE_ROUGHNESS",)), ("lv", folds.mean_fold(0.05), 30, ("LV_BATTERY_WEAK", "LV_BATTERY_CRITICAL")),
+    ("drift", folds.cusum_fold(DRIFT_SLACK), 1, ("COOLANT_DRIFT",)), ("rpm", folds.variance_fold(0.02), 60, ("MISFIRE_ROUGHNESS",)), ("lv", folds.mean_fold(0.05), 30, ("LV_BATTERY_WEAK", "LV_BATTERY_CRITICAL")),
     ("cell", folds.mean_fold(0.05), 30, ("HV_CELL_IMBALANCE", "HV_CELL_CRITICAL")),
 )
 TYRE_ALPHA, TYRE_LEAST, TYRE_RULES = 0.05, 30, ("TYRE_SLOW_LEAK", "TYRE_PRESSURE_CRITICAL")
@@ -30,60 +30,63 @@ SEVERITY = {r[0]: r[2] for r in catalog.RULES} | {c[0]: c[1] for c in CODES}
 ROW = ["vehicle_id", "order", "ts", "seq"]
 
 
-def told(rule: str, value: Column, wheel: Column | None = None, slope: Column | None = None) -> Column:
-    """A rule's input."""
-    return F.struct(F.lit(rule).alias("rule_code"), value.cast("double").alias("value"), (F.lit(None) if wheel is None else wheel).cast("int").alias("wheel"), (F.lit(None) if slope is None else slope).cast("double").alias("slope"))
-
+def readings(events: DataFrame, order: str) -> DataFrame:
+    """What the detector looks at, with `in_order`, the `latest` time so far and `warm`: the ignition has been on for WARM_S without a break, late rows left aside."""
+    used = ["event_type", "speed_kmh", "coolant_temp_c", "engine_rpm", "lv_battery_v", "hv_cell_delta_mv", *TYRES, "dtc_codes"]
+    rows = events.select("vehicle_id", F.col(order).alias("order"), F.col("ts").cast("double").alias("ts"), F.col("seq").cast("bigint").alias("seq"), *used, F.coalesce("ignition_on", F.lit(False)).alias("on"))
+    through = Window.partitionBy("vehicle_id").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = windows.in_order(rows, "vehicle_id", "order", "ts").withColumn("latest", F.max("ts").over(through))
+    rows = rows.withColumn("run", F.count_if(F.col("in_order") & ~F.col("on")).over(through))
+    since = F.min(F.when(F.col("in_order") & F.col("on"), F.col("ts"))).over(Window.partitionBy("vehicle_id", "run"))
+    return rows.withColumn("warm", F.coalesce(F.col("on") & (F.col("ts") - since >= WARM_S), F.lit(False))).drop("run")
 
-def spread(rows: DataFrame, inputs: list[Column]) -> DataFrame:
-    """A row for each input that has a value."""
-    return rows.select(*ROW, F.explode(F.filter(F.array(*inputs), lambda x: x["value"].isNotNull())).alias("x")).select(*ROW, "x.*")
 
+def signals(rows: DataFrame) -> DataFrame:
+    """rows with `tyre` (worst wheel: its mean, -i and slope) and a column for each rule, null where it has nothing to look at. Late rows feed only what needs no history.
 
-def statistics(timely: DataFrame) -> DataFrame:
-    """Inputs of the rules that look at exponential means, deviations and tyres."""
-    on, gaps = F.col("on"), windows.tyre_deficits(F.array(*TYRES))
+    All statistics run in one pass of folds, each over the rows that have its input.
+    """
+    on, speed = F.col("on"), F.col("speed_kmh")
+    gaps = windows.tyre_deficits(F.array(*TYRES))
     inputs = {
-        "rpm_x": F.when(on & (F.col("engine_rpm") != 0) & (F.col("speed_kmh") > 5), F.col("engine_rpm") - (750 + 28 * F.col("speed_kmh"))), "lv_x": F.when(~on, F.col("lv_battery_v")), "cell_x": F.col("hv_cell_delta_mv"),
+        "drift_x": F.when(F.col("warm"), F.col("coolant_temp_c") - (88 + 0.03 * speed)), "rpm_x": F.when(on & (F.col("engine_rpm") != 0) & (speed > 5), F.col("engine_rpm") - (750 + 28 * speed)),
+        "lv_x": F.when(~on, F.col("lv_battery_v")), "cell_x": F.col("hv_cell_delta_mv"),
     }
-    rows = timely.select(*ROW, *[c.cast("double").alias(n) for n, c in inputs.items()], gaps.alias("gaps"))
+    wide = rows.select(*ROW, "latest", "in_order", "event_type", "speed_kmh", "coolant_temp_c", "dtc_codes", *[F.when(F.col("in_order"), c).cast("double").alias(n) for n, c in inputs.items()], F.when(F.col("in_order"), gaps).alias("gaps"))
     wheels, fields = [], {n: F.col(n) for n in inputs}
     for i in range(4):
         wheels += [folds.where_given(f"mean{i}", folds.mean_fold(TYRE_ALPHA)), folds.where_given(f"line{i}", folds.line_fold(TREND_S))]
         fields |= {f"mean{i}_x": F.col("gaps")[i], f"line{i}_t": F.when(F.col("gaps").isNotNull(), F.col("ts")), f"line{i}_y": F.col("gaps")[i]}
     fold = folds.together(*[folds.where_given(name, f) for name, f, _, _ in TRACKS], *wheels)
+    said = {"spread": lambda s: F.sqrt(folds.variance_of(s)), "low": folds.cusum_of, "start": folds.mean_of}
     results = {}
     for name, f, least, _ in TRACKS:
-        value = (lambda s: F.sqrt(folds.variance_of(s))) if "spread" in f.parts else folds.mean_of
-        results[name] = lambda s, name=name, value=value, least=least: F.when(F.col(f"{name}_x").isNotNull() & (s[f"{name}_n"] >= least), value(folds.given(s, name)))
+        results[name] = lambda s, name=name, value=said[f.parts[-1]], least=least: F.when(F.col(f"{name}_x").isNotNull() & (s[f"{name}_n"] >= least), value(folds.given(s, name)))
     worst = lambda s: F.array_max(F.array(*[F.struct(folds.mean_of(folds.given(s, f"mean{i}")).alias("mean"), F.lit(-i).alias("i"), folds.slope_of(folds.given(s, f"line{i}")).alias("slope")) for i in range(4)]))
     results["tyre"] = lambda s: F.when(F.col("gaps").isNotNull() & (s["mean0_n"] >= TYRE_LEAST), worst(s))
-    found = folds.folded(rows, ["vehicle_id"], "order", fields, fold, results, keep=("ts", "seq", "gaps", *inputs))
-    tyre = [told(rule, F.col("tyre.mean"), -F.col("tyre.i"), F.col("tyre.slope")) for rule in TYRE_RULES]
-    return spread(found, [*[told(rule, F.col(name)) for name, _, _, rules in TRACKS for rule in rules], *tyre])
-
-
-def signals(rows: DataFrame) -> DataFrame:
-    """vehicle_id, order, ts, seq, rule_code, value, wheel, slope: what each rule looks at, where it has something to look at. Late rows feed only what needs no history."""
-    timely = rows.filter("in_order")
-    warm = windows.on_runs(timely, "vehicle_id", "order", "ts", F.col("on"), WARM_S).filter("warm AND coolant_temp_c IS NOT NULL AND speed_kmh IS NOT NULL")
-    drift = windows.cusum(warm.withColumn("excess", F.col("coolant_temp_c") - (88 + 0.03 * F.col("speed_kmh"))), "vehicle_id", "order", "excess", DRIFT_SLACK)
+    found = folds.folded(wide, ["vehicle_id"], "order", fields, fold, results, keep=("ts", "seq", "latest", "event_type", "speed_kmh", "coolant_temp_c", "dtc_codes", "in_order", "gaps", *inputs))
     # a stop keeps the latch of a breakdown as it is
     broken = F.when(F.col("event_type") == "BREAKDOWN", 1.0).when(F.col("speed_kmh") < 1, F.lit(None)).otherwise(0.0)
-    plain = spread(rows, [told("COOLANT_OVERHEAT", F.col("coolant_temp_c")), told("VEHICLE_BREAKDOWN", broken)])
-    return plain.unionByName(spread(drift, [told("COOLANT_DRIFT", F.col("cusum"))])).unionByName(statistics(timely))
+    rules = {rule: F.col(name) for name, _, _, own in TRACKS for rule in own} | {rule: F.col("tyre.mean") for rule in TYRE_RULES} | {"COOLANT_OVERHEAT": F.col("coolant_temp_c"), "VEHICLE_BREAKDOWN": broken}
+    return found.select(*ROW, "latest", "in_order", "dtc_codes", "tyre", *[rules[r[0]].cast("double").alias(r[0]) for r in catalog.RULES])
+
 
+def judged(rule: tuple) -> Column:
+    """A rule with its value and whether that opens or clears it; null if there is no value, or it does neither."""
+    code, mode, severity, side, opens, clears = rule
+    value = F.col(code)
+    opens, clears = (value > opens, value < clears) if side == ">" else (value < opens, value > clears)
+    leak = code in TYRE_RULES
+    parts = {"rule_code": F.lit(code), "severity": F.lit(severity), "failure_mode": F.lit(mode).cast("string"), "value": value, "opens": opens, "wheel": (-F.col("tyre.i") if leak else F.lit(None)).cast("int"), "slope": (F.col("tyre.slope") if leak else F.lit(None)).cast("double")}
+    return F.when(opens | clears, F.struct(*[c.alias(n) for n, c in parts.items()]))
 
-def transitions(rows: DataFrame, inputs: DataFrame) -> DataFrame:
-    """Openings and clearings of all rules, with the value and, for an opening, wheel and slope or occurrences."""
+
+def transitions(rows: DataFrame) -> DataFrame:
+    """Openings and clearings of all rules, with the value and, for an opening, wheel and slope or occurrences. rows: as signals() gives them."""
     spark = rows.sparkSession
-    rules = F.broadcast(catalog.rules(spark))  # ten rows
-    met = inputs.join(rules, "rule_code")
-    above = F.col("side") == ">"
-    opens = F.when(above, F.col("value") > F.col("opens")).otherwise(F.col("value") < F.col("opens"))
-    clears = F.when(above, F.col("value") < F.col("clears")).otherwise(F.col("value") > F.col("clears"))
+    met = rows.select(*ROW, F.explode(F.array_compact(F.array(*[judged(r) for r in catalog.RULES]))).alias("x")).select(*ROW, "x.*")
     columns = [*ROW, "rule_code", "severity", "failure_mode", "status", "opened_seq", "value", "wheel", "slope", "occurrences"]
-    by_rule = windows.hysteresis(met, "vehicle_id", "order", opens, clears, "seq", by=["rule_code"]).withColumn("occurrences", F.lit(None).cast("int"))
+    by_rule = windows.hysteresis(met, "vehicle_id", "order", F.col("opens"), ~F.col("opens"), "seq", by=["rule_code"]).withColumn("occurrences", F.lit(None).cast("int"))
     codes = spark.createDataFrame([(c[0][4:], *c) for c in CODES], "code string, rule_code string, severity string, failure_mode string, need int")
     moves = windows.recent_code_moves(rows, codes.select("code", "need"), "vehicle_id", "ts", "latest", "order", ["ts", "seq"], "dtc_codes", CODE_WINDOW_S)
     by_code = windows.hysteresis(moves, "vehicle_id", "order", F.col("n") >= F.col("need"), F.col("n") == 0, "seq", by=["code"]).join(F.broadcast(codes.drop("need")), "code")
@@ -91,24 +94,24 @@ def transitions(rows: DataFrame, inputs: DataFrame) -> DataFrame:
     return by_rule.select(*columns).unionByName(by_code.select(*columns))
 
 
-def snapshots(rows: DataFrame, inputs: DataFrame, alerts: DataFrame) -> DataFrame:
+def snapshots(rows: DataFrame, alerts: DataFrame) -> DataFrame:
     """Throttled rows with health, active rules and indicators."""
-    kept = folds.throttled(rows.filter("in_order"), "vehicle_id", "order", "ts", SNAPSHOT_S).select("vehicle_id", "order").join(rows.select(*ROW), ["vehicle_id", "order"])
+    kept = folds.throttled(rows.filter("in_order"), "vehicle_id", "order", "ts", SNAPSHOT_S).select("vehicle_id", "order")
+    values = [F.struct(F.lit(r[0]).alias("rule_code"), F.round(r[0], 3).alias("value")) for r in catalog.RULES if r[0] != "VEHICLE_BREAKDOWN"]
+    shown = F.map_from_entries(F.filter(F.array(*values), lambda x: x["value"].isNotNull()))
+    kept = kept.join(rows.select(*ROW, shown.alias("shown")), ["vehicle_id", "order"])
     table = F.create_map(*[F.lit(x) for k, i in BITS.items() for x in (k, 1 << i)])
     cost = F.create_map(*[F.lit(x) for k in BITS for x in (k, catalog.PENALTY.get(SEVERITY[k], 0))])
     sign = F.when(F.col("status") == "open", 1).otherwise(-1)
-    moves = alerts.select(*ROW, F.lit(0).alias("rank"), (sign * table[F.col("rule_code")]).alias("mask"), (sign * cost[F.col("rule_code")]).alias("cost"))
+    moves = alerts.select(*ROW, F.lit(0).alias("rank"), (sign * table[F.col("rule_code")]).alias("mask"), (sign * cost[F.col("rule_code")]).alias("cost"), F.lit(None).cast("map<string,double>").alias("shown"))
     through = Window.partitionBy("vehicle_id").orderBy("order", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = moves.unionByName(kept.select(*ROW, F.lit(1).alias("rank"), F.lit(0).cast("bigint").alias("mask"), F.lit(0).alias("cost")))
+    both = moves.unionByName(kept.select(*ROW, F.lit(1).alias("rank"), F.lit(0).cast("bigint").alias("mask"), F.lit(0).alias("cost"), "shown"))
     held = both.withColumns({"mask": F.sum("mask").over(through), "cost": F.sum("cost").over(through)}).filter("rank = 1")
     has = lambda name: F.col("mask").bitwiseAND(F.lit(1 << BITS[name])) != 0
     active = F.array_compact(F.array(*[F.when(has(name), name) for name in sorted(BITS)]))
-    own = inputs.filter("rule_code <> 'VEHICLE_BREAKDOWN'").join(kept.select("vehicle_id", "order"), ["vehicle_id", "order"], "left_semi")
-    shown = own.groupBy("vehicle_id", "order").agg(F.map_from_entries(F.collect_list(F.struct("rule_code", F.round("value", 3)))).alias("shown"))
-    empty = F.create_map().cast("map<string,double>")
-    indicators = F.map_concat(F.coalesce("shown", empty), F.create_map(F.lit("VEHICLE_BREAKDOWN"), F.when(has("VEHICLE_BREAKDOWN"), 1.0).otherwise(0.0)))
+    indicators = F.map_concat("shown", F.create_map(F.lit("VEHICLE_BREAKDOWN"), F.when(has("VEHICLE_BREAKDOWN"), 1.0).otherwise(0.0)))
     health = F.greatest(100 - F.col("cost"), F.lit(0)).cast("double")
-    return held.join(shown, ["vehicle_id", "order"], "left").select(*ROW, health.alias("value"), active.alias("active"), indicators.alias("indicators"))
+    return held.select(*ROW, health.alias("value"), active.alias("active"), indicators.alias("indicators"))
 
 
 def detections(events: DataFrame, order: str = "arrival") -> DataFrame:
@@ -116,12 +119,9 @@ def detections(events: DataFrame, order: str = "arrival") -> DataFrame:
 
     Rows without a vehicle are one vehicle; a null reading feeds nothing; rows are taken in the order of `order`.
     """
-    used = ["event_type", "speed_kmh", "coolant_temp_c", "engine_rpm", "lv_battery_v", "hv_cell_delta_mv", *TYRES, "dtc_codes"]
-    rows = events.select("vehicle_id", F.col(order).alias("order"), F.col("ts").cast("double").alias("ts"), F.col("seq").cast("bigint").alias("seq"), *used, F.coalesce("ignition_on", F.lit(False)).alias("on"))
-    rows = windows.in_order(rows, "vehicle_id", "order", "ts").withColumn("latest", F.max("ts").over(windows._through("vehicle_id", "order")))
-    inputs = cut(signals(rows), "signals")
-    alerts = cut(transitions(rows, inputs), "transitions")
-    return alerts.withColumns({"kind": F.lit("alert"), "value": F.round("value", 3)}).unionByName(snapshots(rows, inputs, alerts).withColumn("kind", F.lit("state")), allowMissingColumns=True)
+    rows = cut(signals(cut(readings(events, order), "readings")), "signals")
+    alerts = cut(transitions(rows), "transitions")
+    return alerts.withColumns({"kind": F.lit("alert"), "value": F.round("value", 3)}).unionByName(snapshots(rows, alerts).withColumn("kind", F.lit("state")), allowMissingColumns=True)
 
 
 def leak_details(value: Column, wheel: Column, slope: Column) -> dict[str, Column]:

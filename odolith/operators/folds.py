@@ -92,6 +92,18 @@ def slope_of(s: Summary) -> Column:
     return F.when((s["n"] < 3) | (s["w"] * s["tt"] <= 1e-12), 0.0).otherwise(s["ty"] / s["tt"])
 
 
+def cusum_fold(k: float) -> Fold:
+    """Sum of what exceeds k, never below 0: the sum so far and the least it has been."""
+    return Fold(
+        ("x",), ("total", "low"), lambda x: {"total": x - k, "low": x - k},
+        lambda a, b: {"total": a["total"] + b["total"], "low": np.minimum(a["low"], a["total"] + b["low"])},
+    )
+
+
+def cusum_of(s: Summary) -> Column:
+    return s["total"] - F.least(F.lit(0.0), s["low"])
+
+
 def highest_fold(x: str = "t") -> Fold:
     """`high`, the greatest value so far, and `earlier`, the greatest without the last row."""
     return Fold(

@@ -81,7 +81,8 @@ def nearest_list(rows: DataFrame, workshops: DataFrame, k: int = 3) -> DataFrame
     lists = w.groupBy("tenant_id").agg(F.collect_list(F.struct("workshop_id", "w_lat", "w_lon", "daily_capacity")).alias("_all"))
     there = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     dist = lambda s: F.when(there, vehicle.haversine_km(F.col("latitude"), F.col("longitude"), s["w_lat"], s["w_lon"]))
-    ranked = F.array_sort(F.transform("_all", lambda s: F.struct(F.coalesce(dist(s), F.lit(0.0)).alias("rank_by"), s["workshop_id"].alias("workshop_id"), dist(s).alias("distance_km"), s["daily_capacity"].alias("daily_capacity"))))
+    # without a position all distances are null, and the id decides
+    ranked = F.array_sort(F.transform("_all", lambda s: F.struct(dist(s).alias("distance_km"), s["workshop_id"].alias("workshop_id"), s["daily_capacity"].alias("daily_capacity"))))
     return rows.join(lists, "tenant_id").select(*rows.columns, F.slice(ranked, 1, k).alias("shops"))
 
 
@@ -132,8 +133,12 @@ def schedule(cands: DataFrame, workshops: DataFrame, booked: DataFrame, horizon_
     ship(cands.sparkSession)
     prio = ["p_value", "p_hours", "vehicle_id", "failure_mode"]
     rows = cands.withColumn("p_value", -F.col("value")).withColumn("p_hours", F.coalesce("hours_remaining", F.lit(float("inf"))))
-    near = nearest_list(rows.select("tenant_id", *prio, "latitude", "longitude"), workshops, k)
-    ranked = running_sums(near.select("tenant_id", *prio, F.transform("shops", lambda s: s["workshop_id"]).alias("shops"), F.transform("shops", lambda s: s["distance_km"]).alias("km"), F.lit(1).alias("one")), ["tenant_id"], [F.col(c) for c in prio], {"rank": "one"})
+    # distances to the workshops of the tenant are taken once for each place
+    places = rows.select("tenant_id", "latitude", "longitude").distinct()
+    near = cut(nearest_list(places, workshops, k), "near").alias("p")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("tenant_id", "latitude", "longitude")]
+    near = rows.alias("r").join(near, same).select("r.tenant_id", *prio, "shops").select("tenant_id", *prio, F.col("shops.workshop_id").alias("shops"), F.col("shops.distance_km").alias("km"), F.lit(1).alias("one"))
+    ranked = running_sums(near, ["tenant_id"], [F.col(c) for c in prio], {"rank": "one"})
     ranked = cut(ranked.withColumn("block", F.floor((F.col("rank") - 1) / block)), "ranked")
     days = workshops.select("tenant_id", "workshop_id", "daily_capacity", F.explode(F.sequence(F.lit(0), F.lit(horizon_days - 1))).alias("day"))
     left = days.join(booked, ["workshop_id", "day"], "left").select("tenant_id", "workshop_id", "day", (F.col("daily_capacity") - F.coalesce("n", F.lit(0))).cast("int").alias("free"))
