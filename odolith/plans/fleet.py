@@ -471,6 +471,22 @@ def tyre_leaks(b: Bound) -> DataFrame:
     return windows.tyre_leaks(b.telemetry, "vehicle_id", "arrival", "ts", wheels, 0.02, 864000.0).select("vehicle_id", "arrival", "shortfall")
 
 
+@query(prelude("telemetry") + """, a AS (SELECT vehicle_id, arrival, ts, [tyre_fl_kpa, tyre_fr_kpa, tyre_rl_kpa, tyre_rr_kpa] AS p FROM telemetry WHERE tyre_rr_kpa IS NOT NULL),
+m AS (SELECT *, [list_sort([p[2], p[3], p[4]])[2], list_sort([p[1], p[3], p[4]])[2], list_sort([p[1], p[2], p[4]])[2], list_sort([p[1], p[2], p[3]])[2]] AS md FROM a),
+n AS (SELECT m.vehicle_id, m.arrival, m.ts, w.i, greatest(0, (md[w.i] - p[w.i]) / md[w.i])::DOUBLE AS x, row_number() OVER (PARTITION BY vehicle_id, w.i ORDER BY arrival) AS rn, min(m.ts) OVER (PARTITION BY vehicle_id) AS t0 FROM m, (VALUES (1), (2), (3), (4)) AS w(i)),
+f AS (SELECT vehicle_id, arrival, i, rn, x AS m FROM n WHERE rn = 1 UNION ALL SELECT n.vehicle_id, n.arrival, n.i, n.rn, f.m + 0.02 * (n.x - f.m) FROM f JOIN n ON n.vehicle_id = f.vehicle_id AND n.i = f.i AND n.rn = f.rn + 1),
+p AS (SELECT a.vehicle_id, a.arrival, a.i, count(*) AS c, sum(exp(-(a.ts - b.ts) / 864000)) AS w, sum(exp(-(a.ts - b.ts) / 864000) * (b.ts - b.t0) / 3600) AS wt, sum(exp(-(a.ts - b.ts) / 864000) * b.x) AS wy, sum(exp(-(a.ts - b.ts) / 864000) * power((b.ts - b.t0) / 3600, 2)) AS wtt,
+  sum(exp(-(a.ts - b.ts) / 864000) * (b.ts - b.t0) / 3600 * b.x) AS wty FROM n a JOIN n b ON a.vehicle_id = b.vehicle_id AND a.i = b.i AND b.rn <= a.rn GROUP BY ALL),
+s AS (SELECT p.*, f.m, CASE WHEN c < 3 OR w * wtt - wt * wt <= 1e-12 THEN 0 ELSE (w * wty - wt * wy) / (w * wtt - wt * wt) END AS slope FROM p JOIN f ON f.vehicle_id = p.vehicle_id AND f.arrival = p.arrival AND f.i = p.i),
+r AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id, arrival ORDER BY m DESC, i) AS best FROM s)
+SELECT vehicle_id, arrival, CAST(i - 1 AS INTEGER) AS worst, round(m, 6) + 0.0 AS shortfall, round(slope, 5) + 0.0 AS slope_per_hour FROM r WHERE best = 1 AND c >= 10""")
+def tyre_leak_rate(b: Bound) -> DataFrame:
+    """The worst wheel with its mean shortfall and how fast that grows, from a vehicle's tenth row on."""
+    wheels = ("tyre_fl_kpa", "tyre_fr_kpa", "tyre_rl_kpa", "tyre_rr_kpa")
+    found = windows.tyre_leaks(b.telemetry, "vehicle_id", "arrival", "ts", wheels, 0.02, 864000.0, least=10)
+    return found.withColumn("slope_per_hour", F.round("slope_per_hour", 5) + 0.0)
+
+
 _LATCH = """f AS (SELECT vehicle_id, rn, arrival, seq, CAST({open} AS INT) AS l, CAST({open} AS INT) AS edge, CASE WHEN {open} THEN seq END AS os FROM n WHERE rn = 1
   UNION ALL SELECT n.vehicle_id, n.rn, n.arrival, n.seq, CASE WHEN {nopen} THEN 1 WHEN {nclear} THEN 0 ELSE f.l END, CASE WHEN {nopen} AND f.l = 0 THEN 1 WHEN f.l = 1 AND NOT ({nopen}) AND {nclear} THEN -1 ELSE 0 END, CASE WHEN {nopen} AND f.l = 0 THEN n.seq ELSE f.os END FROM f JOIN n ON n.vehicle_id = f.vehicle_id AND n.rn = f.rn + 1)
 SELECT vehicle_id, arrival, CASE edge WHEN 1 THEN 'open' ELSE 'cleared' END AS status, os AS opened_seq FROM f WHERE edge <> 0"""
