@@ -3,6 +3,10 @@
 An adapter is a function of DataFrames: it takes rows with a VARIANT column `p` and adds one column for each canonical
 field, `dtc_raw`, and `bad`, the reason of the first field that has the wrong type. Adapters are registered by
 manufacturer and schema. Everything is a column expression; the registry and the manufacturers are joined.
+
+A format may have a typed form besides: a schema that reads the whole text at once. Rows that it reads without a fault
+have that form's fields; all others, those to be rejected above all, go through the adapter, which names the fault.
+Both forms give the same fields for the same text.
 """
 
 from __future__ import annotations
@@ -18,7 +22,11 @@ from odolith.operators.windows import dedup_verdict
 
 Adapter = Callable[[DataFrame], DataFrame]
 ADAPTERS: dict[tuple[str, str], Adapter] = {}
+#: The typed form of a format: schema of the text, and its fields with a column that is true where they may be taken as read.
+TYPED: dict[tuple[str, str], tuple[str, Callable[[str], tuple[dict[str, Column], Column]]]] = {}
+LARGEST_INT, LARGEST_MS = 2_147_483_647, 9_000_000_000_000_000
 ISO_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}:?\d{2})$"
+PLAIN = "^[A-Za-z0-9_]*$"
 MPH, MILES, PSI = 1 / 0.621371, 1 / 0.621371, 1 / 0.145038
 
 # Signal name, canonical field, unit, factor.
@@ -31,8 +39,11 @@ SIGNALS = (
 )
 
 
-def register_adapter(oem: str, schema: str, adapter: Adapter) -> None:
+def register_adapter(oem: str, schema: str, adapter: Adapter, typed: tuple[str, Callable[[str], tuple[dict[str, Column], Column]]] | None = None) -> None:
     ADAPTERS[oem, schema] = adapter
+    TYPED.pop((oem, schema), None)
+    if typed:
+        TYPED[oem, schema] = typed
 
 
 # Strict types: the type of a VARIANT tells 1 from 1.0, "1" and true.
@@ -68,6 +79,15 @@ def half_even(x: Column, digits: int = 0) -> Column:
     return F.bround(x, digits)
 
 
+def whole(x: Column) -> Column:
+    """Half-even as int; what no int can hold becomes the largest or the least one, which no range of a field allows."""
+    return half_even(F.greatest(F.least(x, F.lit(float(LARGEST_INT))), F.lit(-float(LARGEST_INT)))).cast("int")
+
+
+def epoch_ms(x: Column) -> Column:
+    return F.timestamp_millis(F.when(F.abs(x) <= LARGEST_MS, x))
+
+
 class Fields:
     """Collects canonical columns and the checks of their types, in order."""
 
@@ -75,6 +95,9 @@ class Fields:
         self.columns: dict[str, Column] = {}
         self.bad: list[Column] = []
 
+    def at(self, path: str) -> Column:
+        return at(f"$.{path}")
+
     def check(self, ok: Column, reason: str, detail: str) -> None:
         self.bad.append(F.when(~ok, F.struct(F.lit(reason).alias("reason"), F.lit(detail).alias("detail"))))
 
@@ -84,7 +107,7 @@ class Fields:
 
     def whole(self, name: str, v: Column, detail: str) -> None:
         self.check(is_number(v), "invalid_type", detail)
-        self.columns[name] = half_even(cast(v, "double")).cast("int")
+        self.columns[name] = whole(cast(v, "double"))
 
     def integer(self, name: str, v: Column, detail: str) -> None:
         self.check(is_integer(v), "invalid_type", detail)
@@ -96,14 +119,70 @@ class Fields:
     def zoned(self, name: str, v: Column) -> None:
         """ISO text that names its zone."""
         text = cast(v, "string")
-        ok = F.coalesce((kind(v) == "string") & text.rlike(ISO_ZONED) & F.try_to_timestamp(text).isNotNull(), kind(v).isNull())
+        # an absent time is no false one: it is missing
+        ok = kind(v).isNull() | F.coalesce((kind(v) == "string") & text.rlike(ISO_ZONED) & F.try_to_timestamp(text).isNotNull(), F.lit(False))
         self.check(ok, "invalid_timestamp", name)
         self.columns[name] = F.when(text.rlike(ISO_ZONED), F.try_to_timestamp(text))
 
+    def flag(self, name: str, v: Column) -> None:
+        self.columns[name] = cast(v, "boolean")
+
     def added(self, df: DataFrame) -> DataFrame:
         return df.withColumns(self.columns | {"bad": F.coalesce(*self.bad)})
 
 
+class Typed(Fields):
+    """The same fields of a struct that was read with its schema: types hold, so only contents are tested, and `sure` collects that."""
+
+    def __init__(self, root: str) -> None:
+        super().__init__()
+        self.root, self.sure = root, F.col(f"{root}._fault").isNull()
+
+    def at(self, path: str) -> Column:
+        return F.col(f"{self.root}.{path}")
+
+    def number(self, name: str, v: Column, detail: str, change: Callable[[Column], Column] = lambda x: x) -> None:
+        self.columns[name] = change(v)
+
+    def whole(self, name: str, v: Column, detail: str) -> None:
+        self.columns[name] = whole(v)
+
+    def integer(self, name: str, v: Column, detail: str) -> None:
+        self.columns[name] = v
+
+    def text(self, name: str, v: Column) -> None:
+        # a schema reads numbers and objects as text too, as they were spelt
+        self.sure = self.sure & F.coalesce(v.rlike(PLAIN) & ~v.rlike(r"^[0-9]+[eE]"), F.lit(True))
+        self.columns[name] = v
+
+    def zoned(self, name: str, v: Column) -> None:
+        read = F.when(v.rlike(ISO_ZONED), F.try_to_timestamp(v))
+        self.sure = self.sure & (v.isNull() | read.isNotNull())
+        self.columns[name] = read
+
+    def flag(self, name: str, v: Column) -> None:
+        self.columns[name] = v
+
+
+FLAT = "vin string, ts string, seq bigint, evt string, lat double, lon double, speed_kmh double, heading double, odo_km double, ign boolean, batt_v double, tpms_kpa array<double>, dtc array<string>, rpm double, coolant_c double, fuel_pct double, soc_pct double, soh_pct double, pack_temp_c double, cell_delta_mv double"
+
+
+def flat_fields(f: Fields, tyre: Callable[[int], Column], codes: Column) -> None:
+    f.text("vin", f.at("vin"))
+    f.zoned("event_ts", f.at("ts"))
+    f.integer("seq", f.at("seq"), "seq")
+    f.text("event_type", f.at("evt"))
+    f.columns["event_type"] = F.coalesce(f.columns["event_type"], F.lit("PERIODIC"))
+    for name, path in (("latitude", "lat"), ("longitude", "lon"), ("speed_kmh", "speed_kmh"), ("odometer_km", "odo_km"), ("coolant_temp_c", "coolant_c"), ("fuel_level_pct", "fuel_pct"), ("lv_battery_v", "batt_v"), ("hv_soc_pct", "soc_pct"), ("hv_soh_pct", "soh_pct"), ("hv_pack_temp_c", "pack_temp_c")):
+        f.number(name, f.at(path), path)
+    for name, path in (("heading_deg", "heading"), ("engine_rpm", "rpm"), ("hv_cell_delta_mv", "cell_delta_mv")):
+        f.whole(name, f.at(path), path)
+    f.flag("ignition_on", f.at("ign"))
+    for i, name in enumerate(("tyre_fl_kpa", "tyre_fr_kpa", "tyre_rl_kpa", "tyre_rr_kpa")):
+        f.number(name, tyre(i), "tpms_kpa")
+    f.columns["dtc_raw"] = F.coalesce(codes, F.array().cast("array<string>"))
+
+
 def flat_metric(df: DataFrame) -> DataFrame:
     """Flat object in metric units; tyres are a list of exactly four."""
     f = Fields()
@@ -112,21 +191,52 @@ def flat_metric(df: DataFrame) -> DataFrame:
     f.check(F.coalesce((kind(tyres) == "array") & (F.size(listed) == 4), kind(tyres).isNull()), "invalid_type", "tpms_kpa")
     codes = at("$.dtc")
     f.check(F.coalesce(kind(codes) == "array", F.lit(True)), "invalid_type", "dtc")
-    f.text("vin", at("$.vin"))
-    f.zoned("event_ts", at("$.ts"))
-    f.integer("seq", at("$.seq"), "seq")
-    f.columns["event_type"] = F.coalesce(cast(at("$.evt"), "string"), F.lit("PERIODIC"))
-    for name, path in (("latitude", "lat"), ("longitude", "lon"), ("speed_kmh", "speed_kmh"), ("odometer_km", "odo_km"), ("coolant_temp_c", "coolant_c"), ("fuel_level_pct", "fuel_pct"), ("lv_battery_v", "batt_v"), ("hv_soc_pct", "soc_pct"), ("hv_soh_pct", "soh_pct"), ("hv_pack_temp_c", "pack_temp_c")):
-        f.number(name, at(f"$.{path}"), path)
-    for name, path in (("heading_deg", "heading"), ("engine_rpm", "rpm"), ("hv_cell_delta_mv", "cell_delta_mv")):
-        f.whole(name, at(f"$.{path}"), path)
-    f.columns["ignition_on"] = cast(at("$.ign"), "boolean")
-    for i, name in enumerate(("tyre_fl_kpa", "tyre_fr_kpa", "tyre_rl_kpa", "tyre_rr_kpa")):
-        f.number(name, at(f"$.tpms_kpa[{i}]"), "tpms_kpa")
-    f.columns["dtc_raw"] = F.coalesce(F.try_variant_get(F.col("p"), "$.dtc", "array<string>"), F.array().cast("array<string>"))
+    flat_fields(f, lambda i: at(f"$.tpms_kpa[{i}]"), F.try_variant_get(F.col("p"), "$.dtc", "array<string>"))
     return f.added(df)
 
 
+def flat_typed(root: str) -> tuple[dict[str, Column], Column]:
+    f = Typed(root)
+    tyres = f.at("tpms_kpa")
+    flat_fields(f, lambda i: F.get(tyres, F.lit(i)), f.at("dtc"))
+    return f.columns, f.sure & (tyres.isNull() | (F.size(tyres) == 4))
+
+
+NESTED = (
+    "header struct<vehicleIdentifier: string, timestamp: string, sequence: bigint, eventType: string>, location struct<latitude: double, longitude: double, headingDeg: double>, "
+    "motion struct<speedMph: double, odometerMiles: double>, engine struct<ignition: string, rpm: double, coolantTempF: double, fuelLevelPct: double>, "
+    "hybrid struct<socPct: double, sohPct: double, packTempF: double, cellDeltaMv: double>, tires struct<frontLeftPsi: double, frontRightPsi: double, rearLeftPsi: double, rearRightPsi: double>, "
+    "electrical struct<batteryVolts: double>, diagnostics struct<activeCodes: string>"
+)
+
+
+def nested_fields(f: Fields) -> None:
+    scaled = lambda factor: lambda x: half_even(x * factor, 2)
+    celsius = lambda x: half_even((x - 32) / 1.8, 2)
+    f.text("vin", f.at("header.vehicleIdentifier"))
+    f.zoned("event_ts", f.at("header.timestamp"))
+    f.integer("seq", f.at("header.sequence"), "header.sequence")
+    f.text("event_type", f.at("header.eventType"))
+    f.columns["event_type"] = F.upper(F.coalesce(f.columns["event_type"], F.lit("periodic")))
+    f.number("latitude", f.at("location.latitude"), "location.latitude")
+    f.number("longitude", f.at("location.longitude"), "location.longitude")
+    f.number("speed_kmh", f.at("motion.speedMph"), "motion.speedMph", scaled(MPH))
+    f.whole("heading_deg", f.at("location.headingDeg"), "location.headingDeg")
+    f.number("odometer_km", f.at("motion.odometerMiles"), "motion.odometerMiles", scaled(MILES))
+    f.text("ignition_on", f.at("engine.ignition"))
+    f.columns["ignition_on"] = f.columns["ignition_on"] == "ON"
+    f.whole("engine_rpm", f.at("engine.rpm"), "engine.rpm")
+    f.number("coolant_temp_c", f.at("engine.coolantTempF"), "engine.coolantTempF", celsius)
+    f.number("fuel_level_pct", f.at("engine.fuelLevelPct"), "engine.fuelLevelPct")
+    f.number("lv_battery_v", f.at("electrical.batteryVolts"), "electrical.batteryVolts")
+    f.number("hv_soc_pct", f.at("hybrid.socPct"), "hybrid.socPct")
+    f.number("hv_soh_pct", f.at("hybrid.sohPct"), "hybrid.sohPct")
+    f.number("hv_pack_temp_c", f.at("hybrid.packTempF"), "hybrid.packTempF", celsius)
+    f.whole("hv_cell_delta_mv", f.at("hybrid.cellDeltaMv"), "hybrid.cellDeltaMv")
+    for name, path in (("tyre_fl_kpa", "frontLeftPsi"), ("tyre_fr_kpa", "frontRightPsi"), ("tyre_rl_kpa", "rearLeftPsi"), ("tyre_rr_kpa", "rearRightPsi")):
+        f.number(name, f.at(f"tires.{path}"), "tires", scaled(PSI))
+
+
 def nested_imperial(df: DataFrame) -> DataFrame:
     """Nested sections in imperial units; an absent section is empty, one of another type is rejected."""
     f = Fields()
@@ -134,32 +244,20 @@ def nested_imperial(df: DataFrame) -> DataFrame:
         f.check(F.coalesce(kind(at(f"$.{name}")) == "object", F.lit(True)), "invalid_type", name)
     codes = at("$.diagnostics.activeCodes")
     f.check(is_text(codes), "invalid_type", "diagnostics.activeCodes")
-    scaled = lambda factor: lambda x: half_even(x * factor, 2)
-    celsius = lambda x: half_even((x - 32) / 1.8, 2)
-    f.text("vin", at("$.header.vehicleIdentifier"))
-    f.zoned("event_ts", at("$.header.timestamp"))
-    f.integer("seq", at("$.header.sequence"), "header.sequence")
-    f.columns["event_type"] = F.upper(F.coalesce(cast(at("$.header.eventType"), "string"), F.lit("periodic")))
-    f.number("latitude", at("$.location.latitude"), "location.latitude")
-    f.number("longitude", at("$.location.longitude"), "location.longitude")
-    f.number("speed_kmh", at("$.motion.speedMph"), "motion.speedMph", scaled(MPH))
-    f.whole("heading_deg", at("$.location.headingDeg"), "location.headingDeg")
-    f.number("odometer_km", at("$.motion.odometerMiles"), "motion.odometerMiles", scaled(MILES))
-    f.columns["ignition_on"] = cast(at("$.engine.ignition"), "string") == "ON"
-    f.whole("engine_rpm", at("$.engine.rpm"), "engine.rpm")
-    f.number("coolant_temp_c", at("$.engine.coolantTempF"), "engine.coolantTempF", celsius)
-    f.number("fuel_level_pct", at("$.engine.fuelLevelPct"), "engine.fuelLevelPct")
-    f.number("lv_battery_v", at("$.electrical.batteryVolts"), "electrical.batteryVolts")
-    f.number("hv_soc_pct", at("$.hybrid.socPct"), "hybrid.socPct")
-    f.number("hv_soh_pct", at("$.hybrid.sohPct"), "hybrid.sohPct")
-    f.number("hv_pack_temp_c", at("$.hybrid.packTempF"), "hybrid.packTempF", celsius)
-    f.whole("hv_cell_delta_mv", at("$.hybrid.cellDeltaMv"), "hybrid.cellDeltaMv")
-    for name, path in (("tyre_fl_kpa", "frontLeftPsi"), ("tyre_fr_kpa", "frontRightPsi"), ("tyre_rl_kpa", "rearLeftPsi"), ("tyre_rr_kpa", "rearRightPsi")):
-        f.number(name, at(f"$.tires.{path}"), "tires", scaled(PSI))
+    nested_fields(f)
     f.columns["dtc_raw"] = vehicle.dtc_extract(F.coalesce(cast(codes, "string"), F.lit("")))
     return f.added(df)
 
 
+def nested_typed(root: str) -> tuple[dict[str, Column], Column]:
+    f = Typed(root)
+    nested_fields(f)
+    codes = f.at("diagnostics.activeCodes")
+    f.columns["dtc_raw"] = vehicle.dtc_extract(F.coalesce(codes, F.lit("")))
+    # a list or an object that was read as text holds brackets, a number or truth value no code at all
+    return f.columns, f.sure & (codes.isNull() | (codes == "") | codes.rlike(r"^[^\[\]{}]*[PCBUpcbu][0-9][^\[\]{}]*$"))
+
+
 def signal_list(df: DataFrame) -> DataFrame:
     """A list of named signals with units: unknown names are ignored, unknown units rejected, and the last of a name wins."""
     f = Fields()
@@ -168,8 +266,9 @@ def signal_list(df: DataFrame) -> DataFrame:
     f.check(F.coalesce(F.forall(listed, lambda s: F.coalesce(kind(s) == "object", F.lit(False))), F.lit(True)), "invalid_type", "signals[]")
     f.text("vin", at("$.vin"))
     f.integer("seq", at("$.counter"), "counter")
-    f.check(is_integer(at("$.timestampMs")), "invalid_timestamp", "timestampMs")
-    f.columns["event_ts"] = F.timestamp_millis(cast(at("$.timestampMs"), "bigint"))
+    ms = cast(at("$.timestampMs"), "bigint")
+    f.check(is_integer(at("$.timestampMs")) & F.coalesce(F.abs(ms) <= LARGEST_MS, F.lit(True)), "invalid_timestamp", "timestampMs")
+    f.columns["event_ts"] = epoch_ms(ms)
     f.columns["event_type"] = F.coalesce(cast(at("$.event"), "string"), F.lit("PERIODIC"))
     part = lambda s, name, to: F.try_variant_get(s, f"$.{name}", to)
     named = lambda name: F.try_element_at(F.filter(listed, lambda s: part(s, "name", "string") == name), F.lit(-1))
@@ -184,7 +283,7 @@ def signal_list(df: DataFrame) -> DataFrame:
         f.check(is_number(value), "invalid_type", name)
         factor = reduce(lambda c, u: F.when(part(last, "unit", "string") == u[0], u[1]).otherwise(c), units.items(), F.lit(None).cast("double"))
         number = cast(value, "double")
-        f.columns[field] = half_even(number * factor).cast("int") if field in catalog.WHOLE else F.when(factor == 1, number).otherwise(half_even(number * factor, 2))
+        f.columns[field] = whole(number * factor) if field in catalog.WHOLE else F.when(factor == 1, number).otherwise(half_even(number * factor, 2))
     for name, to in (("engine_rpm", "int"), ("coolant_temp_c", "double"), ("fuel_level_pct", "double")):
         f.columns[name] = F.lit(None).cast(to)
     faults = at("$.faults")
@@ -194,6 +293,41 @@ def signal_list(df: DataFrame) -> DataFrame:
     return f.added(df)
 
 
+LISTED = "vin string, counter bigint, timestampMs bigint, event string, signals array<struct<name: string, unit: string, value: variant>>, faults array<struct<code: string>>"
+
+
+def listed_typed(root: str) -> tuple[dict[str, Column], Column]:
+    """Each signal is looked at once: its factor by name and unit, its value as a number. Other names are passed over."""
+    f = Typed(root)
+    f.text("vin", f.at("vin"))
+    f.integer("seq", f.at("counter"), "counter")
+    f.columns["event_ts"] = epoch_ms(f.at("timestampMs"))
+    f.text("event_type", f.at("event"))
+    f.columns["event_type"] = F.coalesce(f.columns["event_type"], F.lit("PERIODIC"))
+    factors = F.create_map(*[F.lit(x) for s in SIGNALS for x in (f"{s[0]}|{s[2]}", s[3])])
+    signals = f.at("signals")
+    names = F.transform(signals, lambda s: s["name"])
+    numbers = F.transform(signals, lambda s: F.struct(F.try_variant_get(s["value"], "$", "double").alias("number"), factors[F.concat_ws("|", s["name"], s["unit"])].alias("factor")))
+    numeric = lambda s: F.substring(F.schema_of_variant(s["value"]), 1, 3).isin("BIG", "DEC", "DOU")
+    known = list(dict.fromkeys(s[0] for s in SIGNALS))
+    number = lambda s: factors[F.concat_ws("|", s["name"], s["unit"])].isNotNull() & F.coalesce(numeric(s), F.lit(False))
+    switch = lambda s: F.coalesce(F.schema_of_variant(s["value"]) == "BOOLEAN", F.lit(False))
+    usual = F.forall(signals, lambda s: s.isNotNull() & F.when(s["name"] == "vehicle.ready", switch(s)).when(s["name"].isin(known), number(s)).otherwise(True))
+    place = lambda name: F.size(signals) - F.array_position(F.reverse(names), name)
+    last = lambda array, name: F.when(F.array_contains(names, name), F.get(array, place(name).cast("int")))
+    f.columns["ignition_on"] = F.try_variant_get(last(signals, "vehicle.ready")["value"], "$", "boolean")
+    for name, field in dict((s[0], s[1]) for s in SIGNALS).items():
+        found = last(numbers, name)
+        number, factor = found["number"], found["factor"]
+        f.columns[field] = whole(number * factor) if field in catalog.WHOLE else F.when(factor == 1, number).otherwise(half_even(number * factor, 2))
+    for name, to in (("engine_rpm", "int"), ("coolant_temp_c", "double"), ("fuel_level_pct", "double")):
+        f.columns[name] = F.lit(None).cast(to)
+    faults = f.at("faults")
+    f.columns["dtc_raw"] = F.coalesce(F.transform(F.filter(faults, lambda x: x.isNotNull()), lambda x: x["code"]), F.array().cast("array<string>"))
+    in_time = F.coalesce(F.abs(f.at("timestampMs")) <= LARGEST_MS, F.lit(True))
+    return f.columns, f.sure & in_time & signals.isNotNull() & usual
+
+
 def known_units(listed: Column, name: str, units: dict[str, float]) -> Column:
     """Whether every signal of that name has one of the units."""
 
@@ -204,9 +338,9 @@ def known_units(listed: Column, name: str, units: dict[str, float]) -> Column:
     return F.coalesce(F.forall(listed, ok), F.lit(True))
 
 
-register_adapter("ORION", "orion.v1", flat_metric)
-register_adapter("VEGA", "vega.2.3", nested_imperial)
-register_adapter("LYRA", "lyra.v1", signal_list)
+register_adapter("ORION", "orion.v1", flat_metric, (FLAT, flat_typed))
+register_adapter("VEGA", "vega.2.3", nested_imperial, (NESTED, nested_typed))
+register_adapter("LYRA", "lyra.v1", signal_list, (LISTED, listed_typed))
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -217,20 +351,33 @@ def parsed(raw: DataFrame) -> DataFrame:
     out = raw.withColumn("p", p).withColumn("format", F.coalesce(F.when(F.col("schema") != "", F.col("schema")), default))
     adapter = F.concat_ws("/", "oem", "format").isin([f"{o}/{s}" for o, s in ADAPTERS])
     reason = (
-        F.when(F.coalesce(text, F.lit("")) == "", "malformed_json").when(F.col("p").isNull() | ~F.coalesce(kind(F.col("p")) == "object", F.lit(False)), "malformed_json")
+        F.when(F.coalesce(text, F.lit("")) == "", "malformed_json").when(F.col("p").isNull() | ~text.rlike(r"^[ \t\r\n]*\{"), "malformed_json")
         .when(default.isNull(), "unknown_oem").when(~adapter, "unknown_schema_version")
     )
     return out.withColumn("reason_parse", reason)
 
 
 def adapted(rows: DataFrame) -> DataFrame:
-    """Rows of parsed() with the fields of their format's adapter; those of no format have nulls. One pass: a row's other adapters are not evaluated."""
+    """Rows of parsed() with the fields of their format; those of no format have nulls. One pass: a row is read with its own format's
+    schema, and only if that finds a fault by the format's adapter; nothing of other formats is evaluated."""
     base, found = rows, []
-    for i, ((oem, schema), adapter) in enumerate(ADAPTERS.items()):
-        out = adapter(base)
+    own = {k: F.col("reason_parse").isNull() & (F.col("oem") == k[0]) & (F.col("format") == k[1]) for k in ADAPTERS}
+    keys = list(ADAPTERS)
+    # the text is read once, then it is decided which way the row goes, then that way is gone
+    strict = {"columnNameOfCorruptRecord": "_fault", "allowNonNumericNumbers": "false"}
+    texts = {f"_t{i}": F.when(own[k], F.from_json(F.col("value").cast("string"), f"{TYPED[k][0]}, _fault string", strict)) for i, k in enumerate(keys) if k in TYPED}
+    base = base.withColumns(texts)
+    read = {i: TYPED[k][1](f"_t{i}") for i, k in enumerate(keys) if k in TYPED}
+    base = base.withColumns({f"_sure{i}": F.coalesce(own[keys[i]] & sure, F.lit(False)) for i, (_, sure) in read.items()})
+    for i, k in enumerate(keys):
+        out = ADAPTERS[k](base)
         added = sorted(set(out.columns) - set(base.columns))
-        own = F.col("reason_parse").isNull() & (F.col("oem") == oem) & (F.col("format") == schema)
-        base = out.withColumn(f"_a{i}", F.when(own, F.struct(*added))).drop(*added)
+        slow = F.when(own[k] & ~F.col(f"_sure{i}") if i in read else own[k], F.struct(*added))
+        base = out.withColumn(f"_a{i}", slow).drop(*added)
+        if i in read:
+            columns = read[i][0] | {"bad": F.lit(None).cast("struct<reason: string, detail: string>")}
+            quick = F.when(F.col(f"_sure{i}"), F.struct(*[columns[c].alias(c) for c in added]))
+            base = base.withColumn(f"_a{i}", F.coalesce(quick, F.col(f"_a{i}")))
         found.append(f"_a{i}")
     return base.withColumn("_a", F.coalesce(*found)).select(*rows.columns, "_a.*")
 

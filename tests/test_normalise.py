@@ -99,3 +99,40 @@ def test_contract(spark):
     df = spark.createDataFrame([("a", "open"), (None, "shut"), ("b!", "open")], "id string, status string").withColumn("extra", F.lit(1))
     got = {(r.key, r.field, r.rule) for r in normalise.contract_violations(df, "id", "id string, status string, value double", ("id",), {"id": "^[a-z]$"}, {"status": ("open",)}).collect()}
     assert got == {(None, "id", "required"), (None, "status", "enum"), ("b!", "id", "pattern"), (None, "value", "missing"), (None, "extra", "extra")}
+
+
+def odd(payload, path=()):
+    """The payload with each of its values replaced by values of other types, at its limits, or left out."""
+    values = [None, "1", "", "x", 1, -1, 1.5, 2.5, 1e300, 10**17, 10**25, True, [], {}, [1, 2, 3, 4], [None, 1, 2, 3], ["P0301", 5, None], "NaN", "2026-09-21T14:13:20"]
+    for k, v in list(payload.items()) if isinstance(payload, dict) else list(enumerate(payload)):
+        for new in values:
+            copy = json.loads(json.dumps(payload))
+            copy[k] = new
+            yield copy
+        if isinstance(v, dict | list):
+            for inner in odd(v):
+                copy = json.loads(json.dumps(payload))
+                copy[k] = inner
+                yield copy
+    yield {**payload, "more": [1]} if isinstance(payload, dict) else [*payload, None]
+
+
+def test_typed_form_is_the_adapter(spark, run, monkeypatch):
+    """Every text has the same outcome, fields and detail with the typed form of its format as through its adapter alone."""
+    messages = [(m[0], p) for m in (flat(), nested(), listed()) for p in [m[1], *odd(m[1])]]
+    plain = [(o, json.dumps(p)) for o, p in messages]
+    plain += [("ORION", t) for t in ('  {"vin": 1}', '{"vin": "a", "vin": "b"}', '[{"vin": "a"}]', '{"seq": 1e2}', '{"seq": 1} x', '{"lat": NaN}', '{"lat": 1e400}', '{"vin": "\\u0041"}', "null", '"{}"')]
+    quick, out = run(plain)
+    reads = spark.createDataFrame([(i, v, o, None) for i, (o, v) in enumerate(plain)], "offset long, value string, oem string, schema string")
+    assert normalise.adapted(normalise.parsed(reads)).count() == len(plain)
+    monkeypatch.setattr(normalise, "TYPED", {})
+    slow, _ = run(plain)
+    assert len(quick) == len(plain) and len(plain) > 1000
+    # by repr, since a number that is none differs from itself
+    differ = [(plain[i], {c: (quick[i][c], slow[i][c]) for c in out.columns if repr(quick[i][c]) != repr(slow[i][c])}) for i in quick if repr(quick[i]) != repr(slow[i])]
+    assert not differ, (len(differ), differ[:3])
+
+
+def test_absent_time_and_numbers_beyond_their_types(run):
+    got, _ = run([flat(ts=None), nested(header={"vehicleIdentifier": VIN["VEGA"], "sequence": 1}), flat(heading=1e300), (listed()[0], {**listed()[1], "timestampMs": 9 * 10**18})])
+    assert [(got[i].reason, got[i].detail) for i in range(4)] == [("missing_required_field", "event_ts"), ("missing_required_field", "event_ts"), ("out_of_range", "heading_deg"), ("invalid_timestamp", "timestampMs")]
