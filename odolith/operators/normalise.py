@@ -22,8 +22,8 @@ from odolith.operators.windows import dedup_verdict
 
 Adapter = Callable[[DataFrame], DataFrame]
 ADAPTERS: dict[tuple[str, str], Adapter] = {}
-#: The typed form of a format: schema of the text, and its fields with a column that is true where they may be taken as read.
-TYPED: dict[tuple[str, str], tuple[str, Callable[[str], tuple[dict[str, Column], Column]]]] = {}
+#: The typed form of a format: schema of the text; its fields with a column that is true where they may be taken as read; columns that both look at.
+TYPED: dict[tuple[str, str], tuple] = {}
 LARGEST_INT, LARGEST_MS = 2_147_483_647, 9_000_000_000_000_000
 ISO_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}:?\d{2})$"
 PLAIN = "^[A-Za-z0-9_]*$"
@@ -39,7 +39,7 @@ SIGNALS = (
 )
 
 
-def register_adapter(oem: str, schema: str, adapter: Adapter, typed: tuple[str, Callable[[str], tuple[dict[str, Column], Column]]] | None = None) -> None:
+def register_adapter(oem: str, schema: str, adapter: Adapter, typed: tuple | None = None) -> None:
     ADAPTERS[oem, schema] = adapter
     TYPED.pop((oem, schema), None)
     if typed:
@@ -296,36 +296,43 @@ def signal_list(df: DataFrame) -> DataFrame:
 LISTED = "vin string, counter bigint, timestampMs bigint, event string, signals array<struct<name: string, unit: string, value: variant>>, faults array<struct<code: string>>"
 
 
+def listed_once(root: str) -> dict[str, Column]:
+    """Names and numbers of the signals and whether all are usual, each signal looked at once: its factor by name and unit, its value as a number."""
+    signals = F.col(f"{root}.signals")
+    factors = F.create_map(*[F.lit(x) for s in SIGNALS for x in (f"{s[0]}|{s[2]}", s[3])])
+    known = list(dict.fromkeys(s[0] for s in SIGNALS))
+
+    def seen(s: Column) -> Column:
+        value, factor = s["value"], factors[F.concat_ws("|", s["name"], s["unit"])]
+        sort = F.substring(F.schema_of_variant(value), 1, 3)
+        number = F.coalesce(factor.isNotNull() & sort.isin("BIG", "DEC", "DOU"), F.lit(False))
+        usual = s.isNotNull() & F.when(s["name"] == "vehicle.ready", F.coalesce(sort == "BOO", F.lit(False))).when(s["name"].isin(known), number).otherwise(True)
+        read = F.when(number, F.try_variant_get(value, "$", "double"))
+        return F.struct(s["name"].alias("name"), read.alias("number"), factor.alias("factor"), F.when(sort == "BOO", F.try_variant_get(value, "$", "boolean")).alias("on"), usual.alias("usual"))
+
+    return {f"{root}_seen": F.transform(signals, seen)}
+
+
 def listed_typed(root: str) -> tuple[dict[str, Column], Column]:
-    """Each signal is looked at once: its factor by name and unit, its value as a number. Other names are passed over."""
+    """Names that are unknown are passed over; the last signal of a name counts."""
     f = Typed(root)
     f.text("vin", f.at("vin"))
     f.integer("seq", f.at("counter"), "counter")
     f.columns["event_ts"] = epoch_ms(f.at("timestampMs"))
     f.text("event_type", f.at("event"))
     f.columns["event_type"] = F.coalesce(f.columns["event_type"], F.lit("PERIODIC"))
-    factors = F.create_map(*[F.lit(x) for s in SIGNALS for x in (f"{s[0]}|{s[2]}", s[3])])
-    signals = f.at("signals")
-    names = F.transform(signals, lambda s: s["name"])
-    numbers = F.transform(signals, lambda s: F.struct(F.try_variant_get(s["value"], "$", "double").alias("number"), factors[F.concat_ws("|", s["name"], s["unit"])].alias("factor")))
-    numeric = lambda s: F.substring(F.schema_of_variant(s["value"]), 1, 3).isin("BIG", "DEC", "DOU")
-    known = list(dict.fromkeys(s[0] for s in SIGNALS))
-    number = lambda s: factors[F.concat_ws("|", s["name"], s["unit"])].isNotNull() & F.coalesce(numeric(s), F.lit(False))
-    switch = lambda s: F.coalesce(F.schema_of_variant(s["value"]) == "BOOLEAN", F.lit(False))
-    usual = F.forall(signals, lambda s: s.isNotNull() & F.when(s["name"] == "vehicle.ready", switch(s)).when(s["name"].isin(known), number(s)).otherwise(True))
-    place = lambda name: F.size(signals) - F.array_position(F.reverse(names), name)
-    last = lambda array, name: F.when(F.array_contains(names, name), F.get(array, place(name).cast("int")))
-    f.columns["ignition_on"] = F.try_variant_get(last(signals, "vehicle.ready")["value"], "$", "boolean")
+    signals = F.reverse(f"{root}_seen")
+    last = lambda name: F.get(signals, (F.array_position(signals["name"], name) - 1).cast("int"))
+    f.columns["ignition_on"] = last("vehicle.ready")["on"]
     for name, field in dict((s[0], s[1]) for s in SIGNALS).items():
-        found = last(numbers, name)
-        number, factor = found["number"], found["factor"]
+        number, factor = last(name)["number"], last(name)["factor"]
         f.columns[field] = whole(number * factor) if field in catalog.WHOLE else F.when(factor == 1, number).otherwise(half_even(number * factor, 2))
     for name, to in (("engine_rpm", "int"), ("coolant_temp_c", "double"), ("fuel_level_pct", "double")):
         f.columns[name] = F.lit(None).cast(to)
     faults = f.at("faults")
     f.columns["dtc_raw"] = F.coalesce(F.transform(F.filter(faults, lambda x: x.isNotNull()), lambda x: x["code"]), F.array().cast("array<string>"))
     in_time = F.coalesce(F.abs(f.at("timestampMs")) <= LARGEST_MS, F.lit(True))
-    return f.columns, f.sure & in_time & signals.isNotNull() & usual
+    return f.columns, f.sure & in_time & F.col(f"{root}.signals").isNotNull() & ~F.array_contains(F.col(f"{root}_seen")["usual"], False)
 
 
 def known_units(listed: Column, name: str, units: dict[str, float]) -> Column:
@@ -340,7 +347,7 @@ def known_units(listed: Column, name: str, units: dict[str, float]) -> Column:
 
 register_adapter("ORION", "orion.v1", flat_metric, (FLAT, flat_typed))
 register_adapter("VEGA", "vega.2.3", nested_imperial, (NESTED, nested_typed))
-register_adapter("LYRA", "lyra.v1", signal_list, (LISTED, listed_typed))
+register_adapter("LYRA", "lyra.v1", signal_list, (LISTED, listed_typed, listed_once))
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -367,6 +374,9 @@ def adapted(rows: DataFrame) -> DataFrame:
     strict = {"columnNameOfCorruptRecord": "_fault", "allowNonNumericNumbers": "false"}
     texts = {f"_t{i}": F.when(own[k], F.from_json(F.col("value").cast("string"), f"{TYPED[k][0]}, _fault string", strict)) for i, k in enumerate(keys) if k in TYPED}
     base = base.withColumns(texts)
+    for i, k in enumerate(keys):
+        if k in TYPED and len(TYPED[k]) > 2:
+            base = base.withColumns(TYPED[k][2](f"_t{i}"))
     read = {i: TYPED[k][1](f"_t{i}") for i, k in enumerate(keys) if k in TYPED}
     base = base.withColumns({f"_sure{i}": F.coalesce(own[keys[i]] & sure, F.lit(False)) for i, (_, sure) in read.items()})
     for i, k in enumerate(keys):
