@@ -81,7 +81,8 @@ def half_even(x: Column, digits: int = 0) -> Column:
 
 def whole(x: Column) -> Column:
     """Half-even as int; what no int can hold becomes the largest or the least one, which no range of a field allows."""
-    return half_even(F.greatest(F.least(x, F.lit(float(LARGEST_INT))), F.lit(-float(LARGEST_INT)))).cast("int")
+    # least and greatest pass nulls over, so an absent number is kept apart
+    return F.when(x.isNotNull(), half_even(F.greatest(F.least(x, F.lit(float(LARGEST_INT))), F.lit(-float(LARGEST_INT)))).cast("int"))
 
 
 def epoch_ms(x: Column) -> Column:

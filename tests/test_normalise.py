@@ -136,3 +136,9 @@ def test_typed_form_is_the_adapter(spark, run, monkeypatch):
 def test_absent_time_and_numbers_beyond_their_types(run):
     got, _ = run([flat(ts=None), nested(header={"vehicleIdentifier": VIN["VEGA"], "sequence": 1}), flat(heading=1e300), (listed()[0], {**listed()[1], "timestampMs": 9 * 10**18})])
     assert [(got[i].reason, got[i].detail) for i in range(4)] == [("missing_required_field", "event_ts"), ("missing_required_field", "event_ts"), ("out_of_range", "heading_deg"), ("invalid_timestamp", "timestampMs")]
+
+
+def test_absent_whole_numbers_stay_absent(run):
+    changes = [flat(heading=None, rpm=None, cell_delta_mv=None), nested(engine={}, hybrid={})]
+    got, _ = run(changes)
+    assert [(got[i].outcome, got[i].engine_rpm, got[i].hv_cell_delta_mv) for i in range(2)] == [("canonical", None, None)] * 2
