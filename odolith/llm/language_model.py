@@ -15,9 +15,13 @@ anew each time. Probabilities are averaged over the last `samples` sweeps.
 
 Shards: contexts are dealt by word, words by word, both known by 64-bit hashes (two words with one hash, 1 in 10^7 for
 millions of words, would count as one). Contexts with more than a 4 x shards'th of all tokens, of which there are fewer
-than that, are dealt by the next word as well, so that no shard holds a frequent word's followers alone. The number of
-shards follows the tokens. Spelling contexts are dealt by their last two letters, the level of one letter by that, and
-the empty context is a row for each letter. Text moves once for words and twice as hashed word pairs.
+than that, are dealt by the next word as well, so that no shard holds a frequent word's followers alone; they are
+broadcast as three numbers each. The number of shards follows the tokens, and there are four shards of contexts for one
+of words. A shard of contexts asks a shard of words by one message, so there are at most as many messages as distinct
+words in all shards of contexts together, however many shards there are. Spelling contexts are dealt by their last two
+letters over as many groups as the words need, the level of one letter by that, and the empty context is a row for each
+letter; what one pair of letters holds is bounded by the alphabet. Text moves once for words and twice as hashed word
+pairs; ids of texts go with one message of their slice, and sums of a slice's texts come back packed, one row a shard.
 
 Nulls and edges: a null text is an empty one, scored by its end token; a null doc_id trains; repeated rows count each;
 an empty table gives no rows; without training rows each letter is uniform; further columns are ignored.
@@ -31,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +45,11 @@ from odolith.session import cut, ship
 
 ORDER, SAMPLES, BURN_IN, ROUNDS = 4, 3, 3, 2
 #: Bytes of text that are hashed at once, and tokens of a shard.
-BATCH_BYTES, SHARD_TOKENS = 12 << 20, 3_000_000
-LEAST_SHARDS = 8
+BATCH_BYTES, SHARD_TOKENS = 12 << 20, 1_500_000
+#: Shards of contexts for each shard of words, and the fewest of either.
+CONTEXTS_A_WORD, LEAST_SHARDS = 4, 8
+#: Groups of spelling contexts for each shard of words.
+SPELLING_GROUPS = 8
 START, STOP = 0x110000, 0x110001
 CODE_POINTS = 0x110001
 LETTER = np.int64(1) << 21
@@ -78,6 +85,22 @@ def one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+class Hot:
+    """Frequent contexts, by hash in ascending order: customers of each, and tables where they are known."""
+
+    def __init__(self, rows: dict[int, tuple[int, int]]):
+        self.hash = np.array(sorted(rows), np.uint64)
+        self.customers, self.tables = (np.array([rows[k][i] for k in sorted(rows)], np.int64) for i in (0, 1))
+
+    def among(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes v are frequent contexts, and their places here."""
+        if not len(self.hash):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hash, v), len(self.hash) - 1)
+        found = np.flatnonzero(self.hash[at] == v)
+        return found, at[found]
+
+
 class Batch:
     """The tokens of a slice of the texts: the end token is word 0, and each text ends with it."""
 
@@ -119,16 +142,16 @@ def words_of(docs: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(union, "shard int, words array<string>, hash array<bigint>, c array<bigint>")
 
 
-PAIRS = "shard int, row0 long, doc_ids binary, known_ids binary, train binary, v binary, vn binary, w binary, wi binary, n binary, doc binary"
+PAIRS = "shard int, row0 long, doc_ids binary, known_ids binary, train binary, v binary, vn binary, w binary, wi binary, c binary, n binary, doc binary"
 
 
-def pairs_of(docs: DataFrame, shards: int, hot: np.ndarray, by_text: bool) -> DataFrame:
+def pairs_of(docs: DataFrame, shards: int, hot: Broadcast, by_text: bool) -> DataFrame:
     """The word pairs of docs (doc_id, text, train), a row for each shard and slice of texts.
 
     v: distinct contexts in ascending order, vn: the pairs of each; w: distinct next words, wi: each pair's place among
-    them; n: how often each pair occurs, in training or, by_text, anywhere; doc: by_text, the text of each occurrence.
+    them; c: how often each pair occurs in training. By_text also n: how often it occurs anywhere; doc: the text of each
+    occurrence; and, in one row of each slice, doc_ids, known_ids and train of its texts.
     """
-    hot = np.sort(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row0 = TaskContext.get().partitionId() << 40
@@ -146,17 +169,20 @@ def pairs_of(docs: DataFrame, shards: int, hot: np.ndarray, by_text: bool) -> Da
             many = np.diff(np.append(begin, len(key)))
             v, w = (key[begin] // len(h)).astype(np.int32), (key[begin] % len(h)).astype(np.int32)
             del key
-            often = np.isin(h[v], hot)
+            often = np.zeros(len(h), bool)
+            often[hot.value.among(h)[0]] = True
+            often = often[v]
             shard = np.where(often, h[v] + h[w], h[v]) % np.uint64(shards)
-            count = many if by_text else np.add.reduceat(b.train[b.doc[order]].astype(np.int64), begin)
+            count = np.add.reduceat(b.train[b.doc[order]].astype(np.int64), begin)
             ids = batch.column("doc_id")
             texts = [narrow(np.asarray(ids.fill_null(0)).view(np.uint64)), np.packbits(np.asarray(ids.is_valid())).tobytes(), np.packbits(b.train).tobytes()] if by_text else [b"", b"", b""]
             place = np.argsort(shard, kind="stable")
             for own in np.split(place, np.flatnonzero(np.diff(shard[place])) + 1):
                 vs, vn = np.unique(v[own], return_counts=True)
                 ws, wi = np.unique(w[own], return_inverse=True)
-                doc = narrow(b.doc[order[ragged(begin[own], many[own])]]) if by_text else b""
-                row = [*texts, h[vs].tobytes(), narrow(vn), h[ws].tobytes(), narrow(wi), narrow(count[own]), doc]
+                of_text = [narrow(many[own]), narrow(b.doc[order[ragged(begin[own], many[own])]])] if by_text else [b"", b""]
+                row = [*texts, h[vs].tobytes(), narrow(vn), h[ws].tobytes(), narrow(wi), narrow(count[own]), *of_text]
+                texts = [b"", b"", b""]
                 yield pa.RecordBatch.from_arrays([pa.array([int(shard[own[0]])], pa.int32()), pa.array([row0]), *(pa.array([x], pa.binary()) for x in row)], names=[x.split()[0] for x in PAIRS.split(", ")])
             row0 += batch.num_rows
 
@@ -166,70 +192,72 @@ def pairs_of(docs: DataFrame, shards: int, hot: np.ndarray, by_text: bool) -> Da
 class Contexts:
     """The word contexts of one shard: all its pairs, and their restaurants."""
 
-    def __init__(self, rows: pa.Table, hot: dict[int, tuple[int, int]], shards: int):
+    def __init__(self, rows: pa.Table, hot: Hot, shards: int):
         # views of the rows' own memory, not copies
         self.rows = [{k: rows[k][i].as_py() if k == "row0" else rows[k][i].as_buffer() for k in rows.column_names if k != "shard"} for i in range(rows.num_rows)]
-        v, w, c = [], [], []
-        for r in self.rows:
-            own = np.frombuffer(r["w"], np.uint64)[wide(r["wi"])]
-            v.append(np.repeat(np.frombuffer(r["v"], np.uint64), wide(r["vn"])))
-            w.append(own)
-            n = wide(r["n"])
-            if len(r["doc"]):
-                train = np.unpackbits(np.frombuffer(r["train"], np.uint8))
-                n = np.add.reduceat(train[wide(r["doc"])].astype(np.int64), np.cumsum(n) - n)
-            c.append(n.astype(np.int32))
-        c, w, v = np.concatenate(c), np.concatenate(w), np.concatenate(v)
+        at = np.cumsum([0, *(len(wide(r["c"])) for r in self.rows)])
+        v, w, c = np.empty(at[-1], np.uint64), np.empty(at[-1], np.uint64), np.empty(at[-1], np.int32)
+        for r, a, b in zip(self.rows, at, at[1:]):
+            v[a:b] = np.repeat(np.frombuffer(r["v"], np.uint64), wide(r["vn"]))
+            w[a:b] = np.frombuffer(r["w"], np.uint64)[wide(r["wi"])]
+            c[a:b] = wide(r["c"])
         order = np.lexsort((w, v))
-        w = w[order]
-        v = v[order]
+        w, v = w[order], v[order]
         fresh = np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.cumsum(fresh) - 1
-        begin = np.flatnonzero(fresh)
-        self.v, house = np.unique(v[begin], return_inverse=True)
-        self.w, self.dish = np.unique(w[begin], return_inverse=True)
-        c = np.bincount(self.place, weights=c, minlength=len(begin)).astype(np.int64)
-        often = np.array([int(x) in hot for x in self.v.tolist()], bool)
+        self.place = np.empty(len(order), np.int32)
+        self.place[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        del order
+        v, w = v[fresh], w[fresh]
+        change = np.append(True, v[1:] != v[:-1])
+        self.v, house = v[change], np.cumsum(change) - 1
+        self.w, self.dish = np.unique(w, return_inverse=True)
+        del v, w, fresh, change
+        c = np.bincount(self.place, weights=c, minlength=len(house)).astype(np.int64)
         held = np.bincount(house, weights=c, minlength=len(self.v))
-        for k in np.flatnonzero(often).tolist():
-            held[k] = hot[int(self.v[k])][0]
-        self.hot = np.flatnonzero(often)
+        self.hot, known = hot.among(self.v)
+        held[self.hot] = hot.customers[known]
         self.seats = Restaurants(house, c, held)
         # a context that is dealt over all shards has about as many tables in each of the others
         self.seats.scale[self.hot] = shards
-        for k in self.hot.tolist():
-            tables = hot[int(self.v[k])][1]
-            if tables:
-                self.seats.outside[k], self.seats.scale[k] = max(0, tables - self.seats.tables()[k] / shards), 1
+        tables = hot.tables[known]
+        told, tables = self.hot[tables > 0], tables[tables > 0]
+        self.seats.outside[told], self.seats.scale[told] = np.maximum(0, tables - self.seats.tables()[told] / shards), 1
 
     def by_word(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.dish, weights=values, minlength=len(self.w))
 
 
+def dealt(w: np.ndarray, word_shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The shards of words that have some of the words w, and the places of those, in their order."""
+    to = (w % np.uint64(word_shards)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+        yield int(to[own[0]]), own
+
+
 STATE = "kind int, key long, n long, words array<string>, c array<bigint>, tables array<bigint>, shards array<int>, places array<binary>"
 
 
-def context_tables(docs: DataFrame, vocabulary: DataFrame, hot: dict[int, tuple[int, int]], shards: int, seed: int) -> DataFrame:
+def context_tables(docs: DataFrame, vocabulary: DataFrame, hot: Broadcast, shards: int, word_shards: int, seed: int) -> DataFrame:
     """Seat the word contexts once. Rows by kind: 0, a shard of words with the tables that are their customers and, for each shard of contexts, the places of the words that it asks for; 1, the tables of a frequent context; 2, pairs seen once or twice."""
 
     def seat(rows: pa.Table) -> pa.Table:
         shard = rows["shard"][0].as_py()
-        here, rng = Contexts(rows, hot, shards), np.random.default_rng([seed, shard])
+        here, rng = Contexts(rows, hot.value, shards), np.random.default_rng([seed, shard])
         seats = here.seats
         # where nothing else is known, a word is as frequent as its contexts in this shard
         contexts = here.by_word(seats.c > 0) + 0.5
         base = (contexts / contexts.sum())[here.dish]
         for _ in range(BURN_IN):
             seats.sweep(base, rng)
-        to = (here.w % np.uint64(shards)).astype(np.int64)
-        out = [(0, int(k), shard, here.w[own].tobytes(), narrow(here.by_word(seats.t)[own]), 0) for k in np.unique(to) for own in [np.flatnonzero(to == k)]]
+        tables = here.by_word(seats.t)
+        out = [(0, k, shard, here.w[own].tobytes(), narrow(tables[own]), 0) for k, own in dealt(here.w, word_shards)]
         out += [(1, int(here.v[k].view(np.int64)), shard, b"", b"", int(seats.own_tables()[k])) for k in here.hot.tolist()]
         out += [(2, k, shard, b"", b"", int((seats.c == k).sum())) for k in (1, 2)]
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["kind", "key", "shard", "w", "t", "n"])
 
-    asked = pairs_of(docs, shards, np.array(list(hot), np.uint64), by_text=False).groupBy("shard").applyInArrow(seat, "kind int, key long, shard int, w binary, t binary, n long")
+    asked = pairs_of(docs, shards, hot, by_text=False).groupBy("shard").applyInArrow(seat, "kind int, key long, shard int, w binary, t binary, n long")
     nothing = [F.lit(None).cast(k).alias(n) for n, k in (("shard", "int"), ("w", "binary"), ("t", "binary"), ("n", "long"))]
     held = vocabulary.select(F.lit(0).alias("kind"), F.col("shard").cast("long").alias("key"), *nothing, "words", "hash", "c")
     both = asked.select("*", *[F.lit(None).cast(k).alias(n) for n, k in (("words", "array<string>"), ("hash", "array<bigint>"), ("c", "array<bigint>"))]).unionByName(held)
@@ -336,7 +364,7 @@ class Spelling:
         self.sent = sent
 
 
-def spelling(state: DataFrame, weights: str, samples: int, seed: int) -> DataFrame:
+def spelling(state: DataFrame, weights: str, groups: int, samples: int, seed: int) -> DataFrame:
     """(key, near, far, p): the probability of each event of each shard of words, given the customers of the spelling."""
     asked = cut(letter_events(state, weights), "lm-letters")
     events = cut(asked.groupBy("near", "far").agg(F.sum("n").alias("n")), "lm-events")
@@ -360,7 +388,7 @@ def spelling(state: DataFrame, weights: str, samples: int, seed: int) -> DataFra
         return run
 
     schema = "near long, far long, n long, p double"
-    sent = events.withColumn("two", two % 64).groupBy("two").applyInPandas(deep(0), schema).groupBy(F.expr(single).alias("pair")).agg(F.sum("n").alias("n"))
+    sent = events.withColumn("two", two % groups).groupBy("two").applyInPandas(deep(0), schema).groupBy(F.expr(single).alias("pair")).agg(F.sum("n").alias("n"))
     sent = cut(sent, "lm-letter-pairs")
 
     def shallow(letters: dict[int, float] | None) -> callable:
@@ -378,7 +406,7 @@ def spelling(state: DataFrame, weights: str, samples: int, seed: int) -> DataFra
 
         return run
 
-    dealt = sent.withColumn("last", F.pmod(F.xxhash64(F.floor(F.col("pair") / int(LETTER))), F.lit(64)).cast("int"))
+    dealt = sent.withColumn("last", F.pmod(F.xxhash64(F.floor(F.col("pair") / int(LETTER))), F.lit(groups)).cast("int"))
     level = "pair long, x long, n long, p double"
     below = dealt.groupBy("last").applyInPandas(shallow(None), level).groupBy("x").agg(F.sum("n").alias("n")).collect()  # a row for each letter
     below = sorted((r.x, int(r.n)) for r in below)
@@ -388,7 +416,7 @@ def spelling(state: DataFrame, weights: str, samples: int, seed: int) -> DataFra
         root.sweep(base, rng)
     letters = {x: float(p) for (x, _), p in zip(below, root.predictive(base))}
     p1 = dealt.groupBy("last").applyInPandas(shallow(letters or None), level).select("pair", F.col("p").alias("p1"))
-    based = events.withColumn("pair", F.expr(single)).join(p1, "pair").withColumn("two", two % 64)
+    based = events.withColumn("pair", F.expr(single)).join(p1, "pair").withColumn("two", two % groups)
     found = based.select("two", "near", "far", "n", "p1").groupBy("two").applyInPandas(deep(samples), schema).select("near", "far", "p")
     return asked.select("key", "near", "far").join(found, ["near", "far"]).select("key", "near", "far", "p")
 
@@ -435,27 +463,31 @@ def answers(state: DataFrame, seated: DataFrame, tables: list[int], total: int,
     return both.mapInArrow(run, "shard int, key long, c binary, p binary")
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, base_known double, score_known double"
+SUMS = "row0 long, shard int, doc_ids binary, known_ids binary, train binary, texts binary, n binary, known binary, base binary, score binary, score_known binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, base_known double, score_known double"
 
 
-def text_scores(pairs: DataFrame, answered: DataFrame, hot: dict[int, tuple[int, int]], shards: int, n: int, v: int, discount: float, samples: int, seed: int) -> DataFrame:
-    """Seat the word contexts given the words, and add up what each shard knows of a text."""
+def text_sums(pairs: DataFrame, answered: DataFrame, hot: Broadcast, shards: int, word_shards: int, n: int, v: int, discount: float, samples: int, seed: int) -> DataFrame:
+    """Seat the word contexts given the words, and add up what each shard knows of the texts of a slice: a row for each shard and slice."""
 
     def run(rows: pa.Table, words_: pa.Table) -> pa.Table:
         shard = rows["shard"][0].as_py()
-        here, rng = Contexts(rows, hot, shards), np.random.default_rng([seed, shard])
-        seats, to = here.seats, (here.w % np.uint64(shards)).astype(np.int64)
+        here, rng = Contexts(rows, hot.value, shards), np.random.default_rng([seed, shard])
+        seats = here.seats
         seats.discount = discount
-        known, p = np.zeros(len(here.w), np.int64), np.zeros(len(here.w))
-        for key, c, q in zip(*(words_[k].to_pylist() for k in ("key", "c", "p"))):
-            own = np.flatnonzero(to == key)
-            known[own], p[own] = wide(c), np.frombuffer(q)
+        known, p, to = np.zeros(len(here.w), np.int64), np.zeros(len(here.w)), dict(dealt(here.w, word_shards))
+        for k in range(words_.num_rows):
+            own = to[words_["key"][k].as_py()]
+            known[own], p[own] = wide(words_["c"][k].as_buffer()), np.frombuffer(words_["p"][k].as_buffer())
         base, total = p[here.dish], np.zeros(len(here.dish))
         for k in range(BURN_IN + samples):
             seats.sweep(base, rng)
             if k >= BURN_IN:
                 total += seats.predictive(base)
         lp, add_one, seen = np.log10(total / samples), np.log10((known + 1) / (n + v + 1))[here.dish], (known > 0)[here.dish]
+        del total, base, p, seats
+        here.seats = None
+        names, kinds = zip(*(x.split() for x in SUMS.split(", ")))
         out, at = [], 0
         for r in here.rows:
             many = wide(r["n"])
@@ -463,17 +495,35 @@ def text_scores(pairs: DataFrame, answered: DataFrame, hot: dict[int, tuple[int,
             at += len(many)
             texts, doc = np.unique(wide(r["doc"]), return_inverse=True)
             sums = lambda x: np.bincount(doc, weights=x, minlength=len(texts))  # noqa: B023, E731
-            bits = lambda x: np.unpackbits(np.frombuffer(r[x], np.uint8))[texts].astype(bool)  # noqa: B023, E731
-            ids = wide(r["doc_ids"])[texts]
-            whole = [pa.array(sums(x).astype(np.int64)) for x in (np.ones(len(event)), seen[event])]
-            out.append(pa.table([
-                pa.array(r["row0"] + texts), pa.array(ids, mask=~bits("known_ids")), pa.array(~bits("train")), *whole, *(pa.array(sums(x)) for x in (add_one[event], lp[event], (add_one * seen)[event], (lp * seen)[event])),
-            ], names=[x.split()[0] for x in SCORED.split(", ")]))
-        return pa.concat_tables(out)
+            counts = [narrow(x.astype(np.int64)) for x in (np.bincount(doc, minlength=len(texts)), sums(seen[event]))]
+            body = [narrow(texts), *counts, *(sums(x).tobytes() for x in (add_one[event], lp[event], (lp * seen)[event]))]
+            out.append((r["row0"], shard, *(r[k].to_pybytes() for k in ("doc_ids", "known_ids", "train")), *body))
+        types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+        return pa.Table.from_arrays([pa.array(x, types[k]) for x, k in zip(zip(*out), kinds)], names=list(names))
+
+    return pairs.groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(run, SUMS)
+
 
-    parts = pairs.groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(run, SCORED)
-    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "base_known", "score_known")]
-    return parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *sums)
+def text_scores(sums: DataFrame, n: int, v: int) -> DataFrame:
+    """The scores of all texts: what the shards know of the texts of a slice, added up in the order of the shards."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("shard")
+        mine = next(i for i in range(rows.num_rows) if len(rows["doc_ids"][i].as_buffer()))
+        ids = wide(rows["doc_ids"][mine].as_buffer())
+        bits = lambda x: np.unpackbits(np.frombuffer(rows[x][mine].as_buffer(), np.uint8), count=len(ids)).astype(bool)
+        whole, real = np.zeros((2, len(ids)), np.int64), np.zeros((3, len(ids)))
+        for i in range(rows.num_rows):
+            texts = wide(rows["texts"][i].as_buffer())
+            for k, name in enumerate(("n", "known")):
+                whole[k, texts] += wide(rows[name][i].as_buffer())
+            for k, name in enumerate(("base", "score", "score_known")):
+                real[k, texts] += np.frombuffer(rows[name][i].as_buffer())
+        unknown = (whole[0] - whole[1]) * np.log10(1 / (n + v + 1))
+        columns = [pa.array(ids, mask=~bits("known_ids")), pa.array(~bits("train")), *map(pa.array, whole), pa.array(real[0]), pa.array(real[1]), pa.array(real[0] - unknown), pa.array(real[2])]
+        return pa.table(columns, names=[x.split()[0] for x in SCORED.split(", ")])
+
+    return sums.groupBy("row0").applyInArrow(add, SCORED)
 
 
 def usual_discount(once: int, twice: int) -> float:
@@ -489,30 +539,32 @@ def score(docs: DataFrame, train: Column, samples: int = SAMPLES, rounds: int =
         # about six bytes a token
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(LEAST_SHARDS, -(-size // (6 * SHARD_TOKENS)))
-    vocabulary = cut(words_of(docs.select("text", "train"), shards), "lm-words")
+    word_shards = max(min(shards, LEAST_SHARDS), -(-shards // CONTEXTS_A_WORD))
+    vocabulary = cut(words_of(docs.select("text", "train"), word_shards), "lm-words")
     each = vocabulary.select(F.explode(F.arrays_zip("hash", "c")).alias("w")).select("w.hash", "w.c")
     n, v = each.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n, v = int(n or 0), int(v)
     # fewer than 4 x shards
-    hot = {r["hash"] % (1 << 64): (r.c, 0) for r in each.filter(F.col("c") > max(1000, n // (4 * shards))).collect()}
-    state = cut(context_tables(docs, vocabulary, hot, shards, seed), "lm-state")
+    frequent = {r["hash"] % (1 << 64): r.c for r in each.filter(F.col("c") > max(1000, n // (4 * shards))).collect()}
+    share = docs.sparkSession.sparkContext.broadcast
+    state = cut(context_tables(docs, vocabulary, share(Hot({k: (c, 0) for k, c in frequent.items()})), shards, word_shards, seed), "lm-state")
     pair_counts = {r.key: r.n for r in state.filter("kind = 2").collect()}
-    hot = {r.key % (1 << 64): (hot[r.key % (1 << 64)][0], r.n) for r in state.filter("kind = 1").select("key", "n").collect()}
+    hot = share(Hot({r.key % (1 << 64): (frequent[r.key % (1 << 64)], r.n) for r in state.filter("kind = 1").select("key", "n").collect()}))
     state = state.filter("kind = 0")
     tables = state.select(F.explode("tables").alias("t")).agg(F.sum("t"), *[F.count_if(x) for x in (F.col("t") == 1, F.col("t") == 2, F.col("t") > 0)]).first()
     total, known = int(tables[0] or 0), int(tables[3])
     discount = usual_discount(tables[1], tables[2])
     now = state.withColumn("weight", F.transform("tables", lambda t: F.least(t, F.lit(1))))
     for k in range(rounds):
-        spelled = spelling(now, "weight", samples, seed + 10 * k)
+        spelled = spelling(now, "weight", SPELLING_GROUPS * max(LEAST_SHARDS, word_shards), samples, seed + 10 * k)
         seated = cut(seat_words(state, spelled, known, discount, samples, seed + 10 * k + 5), "lm-seated")
         now = state.select("key", "words").join(seated.select("key", F.col("t").alias("weight")), "key")
     per = seated.select(*[F.aggregate(F.slice("drawn", F.size("t") * s + 1, F.size("t")), F.lit(0).cast("long"), lambda a, b: a + b).alias(f"t{s}") for s in range(samples)])
     drawn = [int(x or 0) for x in per.agg(*[F.sum(c) for c in per.columns]).first()]
     answered = answers(state, seated, drawn, total, discount)
-    pairs = pairs_of(docs, shards, np.array(list(hot), np.uint64), by_text=True)
-    found = text_scores(pairs, answered, hot, shards, n, v, usual_discount(pair_counts.get(1, 0), pair_counts.get(2, 0)), samples, seed + 1)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "base_known", "score_known")
+    pairs = pairs_of(docs, shards, hot, by_text=True)
+    sums = text_sums(pairs, answered, hot, shards, word_shards, n, v, usual_discount(pair_counts.get(1, 0), pair_counts.get(2, 0)), samples, seed + 1)
+    return text_scores(sums, n, v).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "base_known", "score_known")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -237,7 +237,7 @@ def test_each_component_keeps_a_row_when_ids_repeat(docs):
 
 
 def test_language_model_counts(spark, docs, odd_texts):
-    rows = [r for r in odd_texts if len(r[1] or "") < 100_000] + [(200 + k, f"the cat {k % 5} sat on the mat number{k}") for k in range(60)]
+    rows = odd_texts + [(200 + k, f"the cat {k % 5} sat on the mat number{k}") for k in range(60)]
     df = docs(rows)
     got = language_model.score(df, ~language_model.held_out(df.doc_id)).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -270,6 +270,19 @@ def test_word_order_and_spelling_count(spark, docs):
     assert by[False].perplexity < by[False].base_perplexity and by[True].known_perplexity < by[True].known_base_perplexity
 
 
+def test_more_sweeps_change_little(docs, monkeypatch):
+    """The sampler has settled: with twice the sweeps, samples and rounds the perplexities stay within a hundredth."""
+    rng = np.random.default_rng(8)
+    name = lambda i: "".join("bcdfgklm"[d] + "aeiou"[(i + d) % 5] for d in (i % 8, i // 8 % 8, i // 64 % 8))
+    df = docs([(k, " ".join(name(int(i)) for i in rng.zipf(1.4, 80).clip(0, 500))) for k in range(300)])
+    of = lambda **kw: {r.held_out: r for r in language_model.perplexity(language_model.score(df, ~language_model.held_out(df.doc_id), **kw)).collect()}
+    a = of()
+    monkeypatch.setattr(language_model, "BURN_IN", 2 * language_model.BURN_IN)
+    b = of(samples=2 * language_model.SAMPLES, rounds=2 * language_model.ROUNDS)
+    for held in (True, False):
+        assert abs(math.log(a[held].perplexity / b[held].perplexity)) < 0.01, (held, a[held], b[held])
+
+
 def test_frequent_contexts_are_dealt(docs):
     """Counts do not depend on the number of shards, and scores little, though the frequent contexts of few shards are not those of many."""
     rng = np.random.default_rng(5)
@@ -279,6 +292,9 @@ def test_frequent_contexts_are_dealt(docs):
         b = runs[1][i]
         assert (a.n_tokens, a.n_known, a.train_tokens) == (b.n_tokens, b.n_known, b.train_tokens) and abs(a.base_score - b.base_score) < 1e-6
         assert abs(a.score - b.score) < 0.08 * abs(a.score)
+    # all texts together
+    whole = [sum(r.score for r in run.values()) for run in runs]
+    assert abs(whole[0] - whole[1]) < 0.03 * abs(whole[0])
 
 
 def tables_of(c, room, p, discount):
