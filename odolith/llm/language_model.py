@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
@@ -119,11 +120,25 @@ class Batch:
         self.before = np.concatenate([self.token[:0], np.zeros(min(1, len(self.token)), np.int32), self.token[:-1]])
 
 
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about BATCH_BYTES of text, over the bounds of the batches: the larger a slice, the fewer hashes are sent twice."""
+    held, size = [], 0
+    for batch in slices(batches, size=BATCH_BYTES):
+        own = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if held and size + own > BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 def words_of(docs: DataFrame, shards: int) -> DataFrame:
     """(shard, words, hash, c): the distinct words of docs (text, train), dealt by hash in its order, and their training counts."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=BATCH_BYTES):
+        for batch in merged(batches):
             b = Batch(batch)
             c, h = np.bincount(b.token[b.train[b.doc]], minlength=len(b.words)), hashes(b.words)
             shard = (h % np.uint64(shards)).astype(np.int64)
@@ -155,7 +170,7 @@ def pairs_of(docs: DataFrame, shards: int, hot: Broadcast, by_text: bool) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row0 = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, size=BATCH_BYTES):
+        for batch in merged(batches):
             b = Batch(batch)
             h = hashes(b.words)
             # words in the order of their hashes, so that pairs sort by them
