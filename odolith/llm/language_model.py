@@ -178,7 +178,7 @@ def pairs_of(docs: DataFrame, shards: int, hot: Broadcast, by_text: bool) -> Dat
             rank[np.argsort(h)] = np.arange(len(h))
             h = np.sort(h)
             key = rank[b.before] * len(h) + rank[b.token]
-            order = np.argsort(key, kind="stable").astype(np.int32)
+            order = np.argsort(key).astype(np.int32)
             key = key[order]
             begin = np.flatnonzero(np.diff(key, prepend=-1))
             many = np.diff(np.append(begin, len(key)))
@@ -191,7 +191,8 @@ def pairs_of(docs: DataFrame, shards: int, hot: Broadcast, by_text: bool) -> Dat
             count = np.add.reduceat(b.train[b.doc[order]].astype(np.int64), begin)
             ids = batch.column("doc_id")
             texts = [narrow(np.asarray(ids.fill_null(0)).view(np.uint64)), np.packbits(np.asarray(ids.is_valid())).tobytes(), np.packbits(b.train).tobytes()] if by_text else [b"", b"", b""]
-            place = np.argsort(shard, kind="stable")
+            # a stable order; whole numbers of two bytes are sorted by digits
+            place = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
             for own in np.split(place, np.flatnonzero(np.diff(shard[place])) + 1):
                 vs, vn = np.unique(v[own], return_counts=True)
                 ws, wi = np.unique(w[own], return_inverse=True)
@@ -216,17 +217,12 @@ class Contexts:
             v[a:b] = np.repeat(np.frombuffer(r["v"], np.uint64), wide(r["vn"]))
             w[a:b] = np.frombuffer(r["w"], np.uint64)[wide(r["wi"])]
             c[a:b] = wide(r["c"])
-        order = np.lexsort((w, v))
-        w, v = w[order], v[order]
-        fresh = np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))
-        self.place = np.empty(len(order), np.int32)
-        self.place[order] = np.cumsum(fresh, dtype=np.int32) - 1
-        del order
-        v, w = v[fresh], w[fresh]
-        change = np.append(True, v[1:] != v[:-1])
-        self.v, house = v[change], np.cumsum(change) - 1
+        first, self.place = distinct(v, w)
+        v, w = v[first], w[first]
+        del first
+        self.v, house = np.unique(v, return_inverse=True)
         self.w, self.dish = np.unique(w, return_inverse=True)
-        del v, w, fresh, change
+        del v, w
         c = np.bincount(self.place, weights=c, minlength=len(house)).astype(np.int64)
         held = np.bincount(house, weights=c, minlength=len(self.v))
         self.hot, known = hot.among(self.v)
@@ -338,11 +334,28 @@ def letter_events(state: DataFrame, weights: str) -> DataFrame:
     return state.select("key", "words", F.col(weights).alias("weight")).mapInArrow(run, "key long, near long, far long, n long")
 
 
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for each pair (a, b), hardly ever the same for two."""
+    x = (a.view(np.uint64) + MIX) * MIX
+    x ^= x >> np.uint64(29)
+    return x * MIX + b.view(np.uint64)
+
+
 def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct pair (a, b) stands first, in their order, and the place of every pair among them."""
-    order = np.lexsort((b, a))
-    fresh = np.append(True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)) if len(a) else np.zeros(0, bool)
-    place = np.empty(len(a), np.int64)
+    """Where each distinct pair (a, b) stands, in an order that depends on the pairs alone, and the place of every pair among them."""
+    key = mixed(a, b)
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    x, y = order[1:][same], order[:-1][same]
+    if (a[x] != a[y]).any() or (b[x] != b[y]).any():
+        # two pairs with one number: sort by the pairs themselves
+        order = np.lexsort((b, a))
+        same = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+    fresh = np.append(True, ~same) if len(a) else np.zeros(0, bool)
+    place = np.empty(len(a), np.int32 if len(a) < 1 << 31 else np.int64)
     place[order] = np.cumsum(fresh) - 1
     return order[fresh], place
 
@@ -442,7 +455,7 @@ def seat_words(state: DataFrame, spelled: DataFrame, known: int, discount: float
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         near, far, sizes = events_of(left["words"][0].values.to_pylist())
         place = distinct(near, far)[1]
-        got = np.lexsort((right["far"].to_numpy(), right["near"].to_numpy()))
+        got = distinct(right["near"].to_numpy(), right["far"].to_numpy())[0]
         p = np.log10(right["p"].to_numpy()[got])
         spell = np.add.reduceat(p[place], np.cumsum(sizes) - sizes)
         c = left["tables"][0].values.to_numpy()
