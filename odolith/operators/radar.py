@@ -40,20 +40,25 @@ def tests(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     return firm.unionByName(by_model).filter("base_n > 0")
 
 
-def signals(tested: DataFrame, window_s: float = 3600.0, min_vehicles: int = 5, min_ratio: float = 3.0, alpha: float = 0.001) -> DataFrame:
-    """Comparisons whose rate is min_ratio times the smoothed baseline and whose Poisson tail, times the number of comparisons of the window, is below alpha."""
+def compared(tested: DataFrame, window_s: float = 3600.0, min_vehicles: int = 5, min_ratio: float = 3.0, alpha: float = 0.001) -> DataFrame:
+    """Comparisons whose rate is min_ratio times the smoothed baseline, and whether they are a `signal`: their Poisson tail, times the number of comparisons of the window, is below alpha."""
     counted = tested.withColumn("tests_in_window", F.count("*").over(Window.partitionBy("window_start")))
     p0 = (F.col("base_k") + 0.5) / (F.col("base_n") + 1.0)
     # the cheap tests come first, so few rows reach the tail
     rows = counted.withColumn("p0", p0).withColumn("rate", F.col("k") / F.col("n")).filter((F.col("k") >= min_vehicles) & (F.col("n") > 0) & (F.col("rate") >= min_ratio * F.col("p0")))
     rows = rows.withColumn("p_value", vehicle.poisson_tail(F.col("k"), F.col("n") * F.col("p0"))).withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p_value") * F.col("tests_in_window")))
-    return rows.filter(F.col("p_adjusted") < alpha).select(
+    return rows.select(
         F.lit(1).alias("schema_version"), F.lit("EMERGING_DTC").alias("signal_type"), "level", "dtc", "oem", "model_code", "firmware_version", "powertrain", "window_start", (F.col("window_start") + window_s).alias("window_end"),
         F.col("k").alias("affected_vehicles"), F.col("n").alias("cohort_vehicles"), F.round("rate", 5).alias("rate"), "baseline", F.col("base_k").alias("baseline_affected"), F.col("base_n").alias("baseline_vehicles"),
-        F.round(F.col("base_k") / F.col("base_n"), 5).alias("baseline_rate"), F.round(F.col("rate") / F.col("p0"), 2).alias("rate_ratio"), "p_value", "p_adjusted", "tests_in_window",
+        F.round(F.col("base_k") / F.col("base_n"), 5).alias("baseline_rate"), F.round(F.col("rate") / F.col("p0"), 2).alias("rate_ratio"), "p_value", "p_adjusted", "tests_in_window", (F.col("p_adjusted") < alpha).alias("signal"),
     )
 
 
+def signals(tested: DataFrame, window_s: float = 3600.0, min_vehicles: int = 5, min_ratio: float = 3.0, alpha: float = 0.001) -> DataFrame:
+    """The comparisons that are a signal."""
+    return compared(tested, window_s, min_vehicles, min_ratio, alpha).filter("signal").drop("signal")
+
+
 def signal_order(found: DataFrame) -> DataFrame:
     return found.orderBy("p_adjusted", "dtc", "level")
 

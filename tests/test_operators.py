@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from odolith.functions import catalog
 from odolith.operators import detect, evaluate, plan, quality, radar, rollup, serve, windows
 from odolith.operators.ranges import running_sums
+from odolith.plans import fleet
 from odolith.sources import readers, sinks
 from odolith.session import scratch_path
 from odolith.streaming import processors
@@ -148,6 +149,14 @@ def test_radar_finds_the_planted_defect(spark):
     assert find([(f"q-{i}", 4.0, ["P0301"]) for i in range(3)]).count() == 0
 
 
+def test_poisson_signals_are_all_comparisons_with_their_verdict(spark):
+    data = "/root/testdata/sf0.01"
+    tested = fleet.QUERIES["cohort_baseline"](spark, data)
+    got = fleet.QUERIES["poisson_signals"](spark, data).collect()
+    assert len(got) == tested.filter("k >= 2 AND k / n >= 1.2 * ((base_k + 0.5) / (base_n + 1))").count()
+    assert {r.signal for r in got} == {True, False} and all(r.signal == (r.p_adjusted < 0.2) for r in got)
+
+
 def test_capacity_case(spark):
     """Three lists of two out of five: their precisions are 1/2, 1/2 and 1; of three failures one is listed an hour ahead or more."""
     failing = {"p": 30_000.0, "r": 5_400.0, "u": 9_000.0}
