@@ -5,8 +5,9 @@ by customer: with n seated at t tables, the next one opens a table with weight (
 joins one with weight n - discount t. Such a seating is the proposal of a Metropolis-Hastings step: its target, the
 product of these weights, differs from its probability by the product of their sums over the steps, so a seating is
 taken with the ratio of its product to that of the present one. The conditional distribution of the seating is kept
-exactly, by one rule for any number of customers. Waits for the next new table are drawn in one go: they are geometric
-with a beta-distributed chance, so a step costs as much as there are tables, not customers.
+exactly. A dish of two or three customers has two or four seatings, and one of them is drawn by its weight, which is that
+conditional itself. Waits for the next new table are drawn in one go: they are geometric with a beta-distributed chance,
+so a step costs as much as there are tables, not customers.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 import numpy as np
 
 STRENGTH, DISCOUNT = 1.0, 0.5
+#: So many dishes or fewer are seated one by one.
+FEW = 8
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -62,34 +65,66 @@ class Restaurants:
 
     def sweep(self, base: np.ndarray, rng: np.random.Generator) -> None:
         """One step for the dishes of two or more customers; with one customer there is one table. A dish's first step takes its seating as it is drawn."""
-        some = np.flatnonzero(self.c > 1)
-        if not len(some):
+        tables = self.tables()
+        owners, times = [], []
+        few = np.flatnonzero((self.c == 2) | (self.c == 3))
+        if len(few):
+            room = self.strength + self.discount * (tables[self.house[few]] - self.t[few])
+            second, third = self.exact(self.c[few], room, base[few], rng)
+            owners += [few[second], few[third]]
+            times += [np.ones(int(second.sum()), np.int64), np.full(int(third.sum()), 2)]
+        some = np.flatnonzero(self.c > 3)
+        if len(some):
+            room = self.strength + self.discount * (tables[self.house[some]] - self.t[some])
+            c, p = self.c[some], base[some]
+            place = np.full(len(self.c), -1, np.int32)
+            place[some] = np.arange(len(some))
+            old = place[self.owner]
+            old, before = old[old >= 0], self.after[old >= 0]
+            owner, after = self.propose(c, room, p, rng)
+            gain = self.weight(c, room, p, owner, after) - self.weight(c, room, p, old, before)
+            take = (np.log(rng.random(len(some))) < gain) | self.new[some]
+            self.new[some] = False
+            owners += [some[old[~take[old]]], some[owner[take[owner]]]]
+            times += [before[~take[old]], after[take[owner]]]
+        if not owners:
             return
-        room = self.strength + self.discount * (self.tables()[self.house[some]] - self.t[some])
-        c, p = self.c[some], base[some]
-        place = np.full(len(self.c), -1)
-        place[some] = np.arange(len(some))
-        old = place[self.owner]
-        owner, after = self.propose(c, room, p, rng)
-        gain = self.weight(c, room, p, owner, after) - self.weight(c, room, p, old, self.after)
-        take = (np.log(rng.random(len(some))) < gain) | self.new[some]
-        self.new[some] = False
-        own, when = np.concatenate([old[~take[old]], owner[take[owner]]]), np.concatenate([self.after[~take[old]], after[take[owner]]])
-        order = np.lexsort((when, own))
-        self.owner, self.after = some[own[order]], when[order]
+        own, when = np.concatenate(owners), np.concatenate(times)
+        # each dish's tables stand in order of time already
+        order = np.argsort(own, kind="stable")
+        self.owner, self.after = own[order], when[order]
         self.t = np.minimum(self.c, 1) + np.bincount(self.owner, minlength=len(self.c))
 
+    def exact(self, c: np.ndarray, room: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """For dishes of two or three customers, whether the second and the third open a table: of the two or four seatings one is drawn by its weight."""
+        d = self.discount
+        opens, again, three = (room + d) * p, (room + 2 * d) * p, c == 3
+        alone = (1 - d) * np.where(three, 2 - d + opens, 1.0)
+        apart = opens * np.where(three, 2 - 2 * d + again, 1.0)
+        second = rng.random(len(c)) * (alone + apart) < apart
+        new, old = np.where(second, again, opens), np.where(second, 2 - 2 * d, 2 - d)
+        return second, three & (rng.random(len(c)) * (new + old) < new)
+
     def propose(self, c: np.ndarray, room: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Tables but the first: the dish of each, and after how many customers it opens; by dish and time."""
         active, seated, t = np.arange(len(c)), np.ones(len(c), np.int64), 1
         owners, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        while len(active):
+        while len(active) > FEW:
             chance = rng.beta((room[active] + self.discount * t) * p[active], seated - self.discount * t)
             wait = rng.geometric(np.maximum(chance, 1e-15))
             open_ = seated + wait <= c[active]
             active, seated, t = active[open_], seated[open_] + wait[open_], t + 1
             owners.append(active)
             times.append(seated - 1)
+        # the few dishes of the most tables, each by itself: an array of a few costs more than they do
+        for i, n in zip(active.tolist(), seated.tolist()):
+            own, most, opened, when = float(room[i]), int(c[i]), t, []
+            share = float(p[i])
+            while (n := n + int(rng.geometric(max(rng.beta((own + self.discount * opened) * share, n - self.discount * opened), 1e-15)))) <= most:
+                when.append(n - 1)
+                opened += 1
+            owners.append(np.full(len(when), i))
+            times.append(np.array(when, np.int64))
         owner, after = np.concatenate(owners), np.concatenate(times)
         order = np.argsort(owner, kind="stable")
         return owner[order], after[order]

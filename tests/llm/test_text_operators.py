@@ -7,12 +7,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from odolith.llm import decontam, encoding, langid, language_model, licences, packing, pii, secret_scan, simhash, token_store
+from odolith.llm import decontam, encoding, langid, language_model, licences, packing, pii, seating, secret_scan, simhash, token_store
 from odolith.llm.seating import Restaurants, log_gamma
 from odolith.session import scratch_path
 
@@ -297,6 +298,71 @@ def test_frequent_contexts_are_dealt(docs):
     assert abs(whole[0] - whole[1]) < 0.03 * abs(whole[0])
 
 
+def test_texts_are_split_into_pairs_once(docs, monkeypatch):
+    """Both seatings of the word contexts use the same kept pairs, and the second one does not shuffle them."""
+    split, calls = language_model.pairs_of, []
+    monkeypatch.setattr(language_model, "pairs_of", lambda *args, **kw: calls.append(args) or split(*args, **kw))
+    scored = language_model.score(docs([(k, f"the cat {k % 5} sat on the mat number{k}") for k in range(30)]), F.lit(True))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert len(calls) == 1 and plan.count("Exchange hashpartitioning(row0") == 1 and plan.count("Exchange hashpartitioning(shard") == 1
+    assert scored.count() == 30
+
+
+def test_whole_numbers_are_packed():
+    rng = np.random.default_rng(2)
+    often = np.where(rng.random(20_000) < 0.9, 1, rng.integers(0, 300, 20_000))
+    for x in (np.zeros(0, np.int64), np.arange(255), np.arange(256), np.array([0, 2**63 - 1]), rng.integers(0, 1 << 40, 1000), often):
+        assert (language_model.wide(language_model.narrow(x)) == x).all()
+    assert len(language_model.narrow(often)) < 20_000
+
+
+def test_numbers_ascend_by_either_way():
+    key = np.random.default_rng(4).integers(0, 1000, 3000)
+    for below in (1000, 1 << 62):
+        x, order = language_model.ascending(key, below)
+        assert (x == np.sort(key)).all() and (key[order] == x).all() and len(set(order.tolist())) == len(key)
+
+
+def test_kept_pairs_are_those_of_the_texts(spark, docs):
+    """Every shard's distinct pairs with their training counts, and the texts of every occurrence, against a plain count."""
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(f"w{i}" for i in rng.zipf(1.5, 40).clip(0, 90))) for k in range(50)]
+    df = docs(rows).withColumn("train", F.col("doc_id") < 30)
+    frequent = {int(language_model.END): (30, 0), xxhash.xxh3_64_intdigest(b"w1"): (sum(t.split().count("w1") for _, t in rows[:30]), 0)}
+    shards, hot = 3, spark.sparkContext.broadcast(language_model.Hot(frequent))
+    pairs = [pa.Table.from_pandas(g, schema=pa.schema([(n, language_model.TYPES[t]) for n, t in (x.split() for x in language_model.PAIRS.split(", "))]), preserve_index=False) for _, g in language_model.pairs_of(df, shards, hot).toPandas().groupby("shard")]
+    got, of_text = Counter(), Counter()
+    for table in pairs:
+        own = language_model.Pairs(table)
+        pair = [(int(own.v[k // len(own.w)]), int(own.w[k % len(own.w)])) for k in own.key.tolist()]
+        for x, c in zip(pair, own.c.tolist()):
+            got[x] += c
+        for i, place in enumerate(own.places):
+            assert (np.diff(place) > 0).all()
+            many, doc = (language_model.wide(table[k][i].as_buffer()) for k in ("n", "doc"))
+            of_text.update((pair[k], table["row0"][i].as_py(), int(d)) for k, d in zip(np.repeat(place, many).tolist(), doc))
+    code = xxhash.xxh3_64_intdigest
+    every = [(k, (code(a.encode()), code(b.encode()))) for k, t in rows for a, b in zip(["", *t.split()], [*t.split(), ""])]
+    assert +got == Counter(x for k, x in every if k < 30) and set(got) == {x for _, x in every}
+    assert sorted(of_text.values()) == sorted(Counter(every).values())
+
+
+@pytest.mark.parametrize(("c", "p"), [(3, 0.3), (3, 0.02), (6, 0.05), (400, 0.02)])
+def test_dishes_seated_one_by_one_follow_the_exact_distribution(monkeypatch, c, p):
+    """Dishes of three customers, and those that are too few for arrays."""
+    monkeypatch.setattr(seating, "FEW", 1_000_000)
+    rng, seen, n = np.random.default_rng(c), np.zeros(c + 1), 2000
+    seats = Restaurants(np.arange(n), np.full(n, c))
+    seats.outside[:] = 20
+    for k in range(120):
+        seats.sweep(np.full(n, p), rng)
+        if k >= 60:
+            seen += np.bincount(seats.t, minlength=c + 1)
+    want = tables_of(c, seats.strength + seats.discount * 20, p, seats.discount)
+    assert np.abs(np.cumsum(seen[1:] / seen.sum()) - np.cumsum(want)).max() < 0.02
+    assert (np.bincount(seats.owner, minlength=n) + 1 == seats.t).all() and (seats.after < c).all()
+
+
 def tables_of(c, room, p, discount):
     """Exact distribution of the tables of a dish: generalised Stirling numbers times the weights of its tables."""
     s = np.full((c + 1, c + 2), -np.inf)
