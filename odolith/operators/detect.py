@@ -2,16 +2,23 @@
 
 Statistics of all kinds run in one pass of mergeable folds; their values, one row for each event and rule, meet the rule
 table and are latched once; codes are swept; which alerts are open at a snapshot is a running sum of one bit for each rule.
+Merged sums differ from the recursion in their last bits, so a value that lies on a threshold could fall on either side:
+vehicles that have such a value are counted again one row after another.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odolith.functions import catalog
 from odolith.operators import folds, windows
-from odolith.session import cut
+from odolith.session import cut, ship
 
 # Warm-up, windows, weights and reference lines of the detector.
 WARM_S, CODE_WINDOW_S, REPEATS, SNAPSHOT_S, TREND_S = 900.0, 600.0, 3, 15.0, 3600.0
@@ -28,6 +35,10 @@ CODES = tuple((f"DTC_{code}", severity, mode, 1 if severity == "critical" else R
 BITS = {name: i for i, name in enumerate([*(r[0] for r in catalog.RULES), *(c[0] for c in CODES)])}
 SEVERITY = {r[0]: r[2] for r in catalog.RULES} | {c[0]: c[1] for c in CODES}
 ROW = ["vehicle_id", "order", "ts", "seq"]
+#: What the folds take, besides the tyres' `gaps`.
+INPUTS = ["drift_x", "rpm_x", "lv_x", "cell_x"]
+#: A value this close to a threshold, as a share of it (1 at least), may lie on either side of it by rounding.
+NEAR = 1e-6
 
 
 def readings(events: DataFrame, order: str) -> DataFrame:
@@ -52,7 +63,7 @@ def signals(rows: DataFrame) -> DataFrame:
         "drift_x": F.when(F.col("warm"), F.col("coolant_temp_c") - (88 + 0.03 * speed)), "rpm_x": F.when(on & (F.col("engine_rpm") != 0) & (speed > 5), F.col("engine_rpm") - (750 + 28 * speed)),
         "lv_x": F.when(~on, F.col("lv_battery_v")), "cell_x": F.col("hv_cell_delta_mv"),
     }
-    wide = rows.select(*ROW, "latest", "in_order", "event_type", "speed_kmh", "coolant_temp_c", "dtc_codes", *[F.when(F.col("in_order"), c).cast("double").alias(n) for n, c in inputs.items()], F.when(F.col("in_order"), gaps).alias("gaps"))
+    wide = rows.select(*ROW, "latest", "in_order", "event_type", "speed_kmh", "coolant_temp_c", "dtc_codes", *[F.when(F.col("in_order"), inputs[n]).cast("double").alias(n) for n in INPUTS], F.when(F.col("in_order"), gaps).alias("gaps"))
     wheels, fields = [], {n: F.col(n) for n in inputs}
     for i in range(4):
         wheels += [folds.where_given(f"mean{i}", folds.mean_fold(TYRE_ALPHA)), folds.where_given(f"line{i}", folds.line_fold(TREND_S))]
@@ -64,11 +75,89 @@ def signals(rows: DataFrame) -> DataFrame:
         results[name] = lambda s, name=name, value=said[f.parts[-1]], least=least: F.when(F.col(f"{name}_x").isNotNull() & (s[f"{name}_n"] >= least), value(folds.given(s, name)))
     worst = lambda s: F.array_max(F.array(*[F.struct(folds.mean_of(folds.given(s, f"mean{i}")).alias("mean"), F.lit(-i).alias("i"), folds.slope_of(folds.given(s, f"line{i}")).alias("slope")) for i in range(4)]))
     results["tyre"] = lambda s: F.when(F.col("gaps").isNotNull() & (s["mean0_n"] >= TYRE_LEAST), worst(s))
-    found = folds.folded(wide, ["vehicle_id"], "order", fields, fold, results, keep=("ts", "seq", "latest", "event_type", "speed_kmh", "coolant_temp_c", "dtc_codes", "in_order", "gaps", *inputs))
+    found = folds.folded(wide, ["vehicle_id"], "order", fields, fold, results, keep=("ts", "seq", "latest", "event_type", "speed_kmh", "coolant_temp_c", "dtc_codes", "in_order", "gaps", *INPUTS))
     # a stop keeps the latch of a breakdown as it is
     broken = F.when(F.col("event_type") == "BREAKDOWN", 1.0).when(F.col("speed_kmh") < 1, F.lit(None)).otherwise(0.0)
     rules = {rule: F.col(name) for name, _, _, own in TRACKS for rule in own} | {rule: F.col("tyre.mean") for rule in TYRE_RULES} | {"COOLANT_OVERHEAT": F.col("coolant_temp_c"), "VEHICLE_BREAKDOWN": broken}
-    return found.select(*ROW, "latest", "in_order", "dtc_codes", "tyre", *[rules[r[0]].cast("double").alias(r[0]) for r in catalog.RULES])
+    return found.select(*ROW, "latest", "in_order", "dtc_codes", "tyre", *[rules[r[0]].cast("double").alias(r[0]) for r in catalog.RULES], *INPUTS, "gaps")
+
+
+def followed(held: list[float], x: np.ndarray, alpha: float, part: str) -> np.ndarray:
+    """The mean or standard deviation after each value, one after another; held = [n, mean, variance] moves on."""
+    n, mean, variance = held
+    out = np.empty(len(x))
+    for i, v in enumerate(x.tolist()):
+        weight = alpha if n else 1.0
+        gap = v - mean
+        mean, variance, n = mean + weight * gap, (1 - weight) * (variance + weight * gap * gap), n + 1
+        out[i] = mean if part == "mean" else math.sqrt(variance)
+    held[:] = [n, mean, variance]
+    return out
+
+
+def in_turn(rows: DataFrame) -> DataFrame:
+    """rows with the values of statistics as the recursion gives them, one row after another. A vehicle is in one task, which holds a batch of its rows and its state."""
+    ship(rows.sparkSession)
+    tracks = {"rpm": (0.02, "sd"), "lv": (0.05, "mean"), "cell": (0.05, "mean")}
+    said = {name: (least, rules) for name, _, least, rules in TRACKS}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key: list = []
+        s: dict[str, list[float]] = {}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in INPUTS}
+            gaps = batch.column("gaps")
+            given = gaps.is_valid().to_numpy(zero_copy_only=False)
+            wheels = np.full((n, len(TYRES)), np.nan)
+            wheels[given] = gaps.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(TYRES))
+            out = {rule: np.full(n, np.nan) for _, rules in said.values() for rule in rules} | {rule: np.full(n, np.nan) for rule in TYRE_RULES}
+            begins = [0, *np.flatnonzero(folds.stretches(batch, ["vehicle_id"])).tolist(), n]
+            for lo, hi in zip(begins, begins[1:]):
+                key = [batch.column("vehicle_id")[lo].as_py()]
+                if key != held_key:
+                    held_key, s = key, {"drift": [0.0], **{k: [0, 0.0, 0.0] for k in (*tracks, *TYRES)}}
+                for name, (least, rules) in said.items():
+                    own = lo + np.flatnonzero(~np.isnan(x[f"{name}_x"][lo:hi]))
+                    if name == "drift":
+                        value, total = np.empty(len(own)), s["drift"][0]
+                        for i, v in enumerate(x["drift_x"][own].tolist()):
+                            total = max(0.0, total + (v - DRIFT_SLACK))
+                            value[i] = total
+                        s["drift"][0] = total
+                    else:
+                        before = s[name][0]
+                        value = followed(s[name], x[f"{name}_x"][own], *tracks[name])
+                        value[: max(0, least - 1 - before)] = np.nan
+                    for rule in rules:
+                        out[rule][own] = value
+                own = lo + np.flatnonzero(given[lo:hi])
+                before = s[TYRES[0]][0]
+                worst = np.max([followed(s[t], wheels[own, i], TYRE_ALPHA, "mean") for i, t in enumerate(TYRES)], axis=0)
+                worst[: max(0, TYRE_LEAST - 1 - before)] = np.nan
+                for rule in TYRE_RULES:
+                    out[rule][own] = worst
+            new = {rule: pa.array(v, mask=np.isnan(v)) for rule, v in out.items()}
+            yield pa.RecordBatch.from_pydict({c: new.get(c, batch.column(c)) for c in batch.schema.names})
+
+    return rows.repartition("vehicle_id").sortWithinPartitions("vehicle_id", "order").mapInArrow(run, rows.schema)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """rows with the vehicles in turn that have a statistic on a threshold."""
+    near = F.lit(False)
+    for rule, _, _, _, *ends in catalog.RULES:
+        if rule not in ("COOLANT_OVERHEAT", "VEHICLE_BREAKDOWN"):  # these are read off the row
+            for end in ends:
+                near = near | F.coalesce(F.abs(F.col(rule) - end) <= NEAR * max(1.0, end), F.lit(False))
+    doubtful = cut(rows.filter(near).select(F.col("vehicle_id").alias("_id")).distinct(), "doubtful")
+    if doubtful.isEmpty():
+        return rows
+    same = rows.vehicle_id.eqNullSafe(doubtful["_id"])
+    again = cut(in_turn(rows.join(doubtful, same, "left_semi")), "in-turn")
+    return rows.join(doubtful, same, "left_anti").unionByName(again)
 
 
 def judged(rule: tuple) -> Column:
@@ -119,7 +208,7 @@ def detections(events: DataFrame, order: str = "arrival") -> DataFrame:
 
     Rows without a vehicle are one vehicle; a null reading feeds nothing; rows are taken in the order of `order`.
     """
-    rows = cut(signals(cut(readings(events, order), "readings")), "signals")
+    rows = settled(cut(signals(cut(readings(events, order), "readings")), "signals"))
     alerts = cut(transitions(rows), "transitions")
     return alerts.withColumns({"kind": F.lit("alert"), "value": F.round("value", 3)}).unionByName(snapshots(rows, alerts).withColumn("kind", F.lit("state")), allowMissingColumns=True)
 

@@ -377,3 +377,17 @@ def test_relational_detector_equals_the_stream_processor(spark):
         elif details:
             mine = {"occurrences": r.occurrences} if "occurrences" in details else {k: r[f"d_{k}"] for k in details}
             assert all((mine[k] is None) == (x is None) and (x is None or abs(mine[k] - x) <= 0.011 + 0.01 * abs(x)) for k, x in details.items())
+
+
+def test_a_value_on_a_threshold_falls_as_the_recursion_says(spark):
+    """The drift ends four units of the last bit above 60 if summed in turn, and at 60 if the sums before it are merged."""
+    low = [67.644, 63.24, 60.492, 60.198, 69.762, 70.956, 67.278, 68.754, 66.522, 71.22, 69.792, 60.03, 70.29, 60.402, 68.754, 62.106, 70.356, 66.498, 63.594, 65.07, 60.342, 61.494, 68.046, 67.764, 67.386, 64.602, 71.964, 71.772, 68.226, 67.806]
+    high = [100.506, 99.066, 97.848, 100.662, 99.72, 98.688, 99.534, 102.376]
+    changes = [{"coolant_temp_c": t, "speed_kmh": 10.0} for t in [80.0] * 15 + low + high]
+    df = events(spark, changes, step=60.0).unionByName(events(spark, changes[:-1], step=60.0, vehicle="truck-18"))
+    total = 0.0
+    for t in low + high:
+        total = max(0.0, total + (t - (88 + 0.03 * 10.0) - 4))
+    assert total > 60
+    found = detect.detections(df).filter("rule_code = 'COOLANT_DRIFT'").collect()
+    assert [(r.vehicle_id, r.seq, r.status) for r in found] == [("truck-17", len(changes) - 1, "open")]
