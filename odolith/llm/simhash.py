@@ -123,7 +123,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     keyed = distinct.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", F.xxhash64("t", F.col("mask").bitwiseAND(F.col("fp"))).alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     tiles = F.ceil(F.col("n") / tile).cast("int")
-    member = keyed.join(shared, "bucket").select("fp", "bucket", tiles.alias("k"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("tile"))
+    # both sides hold a row for each mask, which Spark's estimate leaves out: left alone it broadcasts millions of rows that look like few
+    member = keyed.join(shared.hint("merge"), "bucket").select("fp", "bucket", tiles.alias("k"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("tile"))
     # tile i meets tile j in the group (i, j), i <= j; with more than one tile, a tile's own pairs are in (i, i)
     dealt = member.select("fp", "bucket", "tile", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     groups = dealt.groupBy("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).agg(

@@ -597,3 +597,10 @@ def test_far_texts_are_rejected(spark):
     assert np.mean(left_out) > 0.95
     clean = [got[i] for i, _, lang in rows if lang != "cc" and zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(clean) > 80 and np.mean([r.rejected for r in clean]) < 0.03
+
+
+def test_simhash_broadcasts_no_exploded_table(spark):
+    """A table of 31 rows for each fingerprint looks to Spark as small as that of the fingerprints."""
+    distinct = spark.range(500).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(distinct)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
