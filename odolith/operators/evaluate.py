@@ -142,19 +142,21 @@ def poisson_steps() -> list[float]:
 def resampled_precision(rows: DataFrame, score: str, label: str, n: int, seed: int) -> DataFrame:
     """r, ap, neg: average precision and negatives of each of n resamples of whole vehicles.
 
-    Weights are a row's array of n numbers, made where they are summed: rows are dealt by ranges of the score, a range
-    passes on its n totals, and then adds up its bins (equal scores) behind the totals of the ranges above it. Nothing is
-    multiplied by n, and the driver sees n numbers for each range.
+    Equal rows of a vehicle are counted, then weights are arrays of n numbers, made where they are summed: rows are dealt by
+    ranges of score and vehicle, a range passes on its n totals, and then adds up its bins (equal scores) behind the totals
+    of the ranges above it, batch by batch. A bin may lie in several ranges, so each range leaves its first and last one open.
+    Nothing is multiplied by n, no task holds a range, and the driver sees some n numbers for each range.
     """
     ship(rows.sparkSession)
     base = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("vehicle_id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
     thin = rows.select(F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score"), F.col(label).cast("double").alias("label"), base.alias("base"))
-    dealt = cut(thin.repartitionByRange(F.desc("score")).withColumn("_range", F.spark_partition_id()), "scored")
+    thin = thin.groupBy("score", "label", "base").agg(F.count("*").cast("double").alias("times"))
+    dealt = cut(thin.repartitionByRange(F.desc("score"), "base").withColumn("_range", F.spark_partition_id()), "scored")
 
-    def chunk_sums(table: pa.Table | pa.RecordBatch, new: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of positives and negatives of each bin in rows at .. at + CHUNK; new: where bins begin."""
-        base, y = (table.column(c)[at : at + CHUNK].to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c)[at : at + CHUNK].to_numpy() for c in ("base", "label"))
-        w = resample_weights(base, n)
+    def chunk_sums(batch: pa.RecordBatch, new: np.ndarray, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of positives and negatives of each bin in rows at .. to; new: where bins begin."""
+        base, y, times = (batch.column(c)[at:to].to_numpy(zero_copy_only=False) for c in ("base", "label", "times"))
+        w = resample_weights(base, n) * times[:, None]
         return np.add.reduceat(w * y[:, None], new), np.add.reduceat(w * (1 - y)[:, None], new)
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +167,7 @@ def resampled_precision(rows: DataFrame, score: str, label: str, n: int, seed: i
             for at in range(0, len(own), CHUNK):
                 part = own[at : at + CHUNK]
                 new = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                for k, pos, neg in zip(part[new].tolist(), *chunk_sums(batch, new, at)):
+                for k, pos, neg in zip(part[new].tolist(), *chunk_sums(batch, new, at, at + CHUNK)):
                     found[k] = found.get(k, 0.0) + np.stack([pos, neg])
         yield pa.RecordBatch.from_pydict({"_range": pa.array(list(found), pa.int32()), "sums": pa.array([v.ravel().tolist() for v in found.values()], pa.list_(pa.float64()))})
 
@@ -176,33 +178,79 @@ def resampled_precision(rows: DataFrame, score: str, label: str, n: int, seed: i
     for k in sorted(parts):
         above[k], so_far = so_far, so_far + parts[k]
 
-    def precision(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("score", "descending")])
-        s, seen, out, held = table.column("score").to_numpy(), above[table.column("_range")[0].as_py()].copy(), np.zeros(n), None
-
-        def closed(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
-            """What finished bins add; `seen` moves on."""
-            tp, fp = seen[0] + np.cumsum(pos, axis=0), seen[1] + np.cumsum(neg, axis=0)
-            seen[:] = tp[-1], fp[-1]
-            return np.divide(pos * tp, tp + fp, out=np.zeros(pos.shape), where=tp + fp > 0).sum(axis=0)
-
-        for at in range(0, len(s), CHUNK):
-            part = s[at : at + CHUNK]
-            new = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            pos, neg = chunk_sums(table, new, at)
-            if held is not None and held[0] == part[0]:
-                pos[0], neg[0] = pos[0] + held[1], neg[0] + held[2]
-            elif held is not None:
-                out += closed(held[1][None], held[2][None])
-            if len(new) > 1:
-                out += closed(pos[:-1], neg[:-1])
-            held = (part[-1], pos[-1], neg[-1])
-        out += closed(held[1][None], held[2][None])
-        return pa.table({"r": pa.array(range(n), pa.int32()), "part": out})
-
-    sums = dealt.groupBy("_range").applyInArrow(precision, "r int, part double").groupBy("r").agg(F.sum("part").alias("part"))
-    all_ = rows.sparkSession.createDataFrame([(i, float(so_far[0][i]), float(so_far[1][i])) for i in range(n)], "r int, pos double, neg double")
-    return all_.join(sums, "r", "left").select("r", (F.col("part") / F.nullif(F.col("pos"), F.lit(0.0))).alias("ap"), "neg")
+    def precision(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each range, in order: its first and its last bin, and what the bins between them add."""
+        k, first, held, seen, out = None, None, None, None, None
+
+        def closed(scores: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+            nonlocal first, out
+            if first is None:
+                first, pos, neg = (float(scores[0]), np.stack([pos[0], neg[0]])), pos[1:], neg[1:]
+                seen[:] += first[1]
+            if len(pos):
+                tp, fp = seen[0] + np.cumsum(pos, axis=0), seen[1] + np.cumsum(neg, axis=0)
+                seen[:] = tp[-1], fp[-1]
+                out = out + ratios(pos, tp, fp).sum(axis=0)
+
+        def told() -> pa.RecordBatch:
+            one, last = (first, held) if first else (held, None)
+            ends = [pa.array([None if x is None else x[0]], pa.float64()) for x in (one, last)] + [pa.array([None if x is None else np.stack(x[1:]).ravel().tolist()], pa.list_(pa.float64())) for x in (one, last)]
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *ends, pa.array([out.tolist()], pa.list_(pa.float64()))], names=["_range", "first_score", "last_score", "first", "last", "inner"])
+
+        for batch in batches:
+            own, s = batch.column("_range").to_numpy(), batch.column("score").to_numpy()
+            begins = [0, *(1 + np.flatnonzero(own[1:] != own[:-1])).tolist(), len(own)] if len(own) else [0]
+            for lo, hi in zip(begins, begins[1:]):
+                if own[lo] != k:
+                    if k is not None:
+                        yield told()
+                    k = int(own[lo])
+                    first, held, seen, out = None, None, above[k].copy(), np.zeros(n)
+                for at in range(lo, hi, CHUNK):
+                    to = min(at + CHUNK, hi)
+                    part = s[at:to]
+                    new = np.flatnonzero(np.append(True, ~same(part[1:], part[:-1])))
+                    pos, neg = chunk_sums(batch, new, at, to)
+                    if held is not None and same(held[0], part[0]):
+                        pos[0], neg[0] = pos[0] + held[1], neg[0] + held[2]
+                    elif held is not None:
+                        closed(np.array([held[0]]), held[1][None], held[2][None])
+                    if len(new) > 1:
+                        closed(part[new], pos[:-1], neg[:-1])
+                    held = (float(part[-1]), pos[-1], neg[-1])
+        if k is not None:
+            yield told()
+
+    ordered = dealt.repartition("_range").sortWithinPartitions("_range", F.desc("score"))
+    told = ordered.mapInArrow(precision, "_range int, first_score double, last_score double, first array<double>, last array<double>, inner array<double>").collect()  # one row for each range
+    ap, begun = np.zeros(n), None
+    for r in sorted(told, key=lambda r: r["_range"]):
+        ap = ap + np.array(r.inner)
+        one = np.array(r["first"]).reshape(2, n)
+        if begun is not None and same(begun[0], r.first_score):
+            begun[2] += one
+        else:
+            ap, begun = ap + bin_share(begun), [r.first_score, above[r["_range"]], one]
+        if r["last"] is not None:
+            last = np.array(r["last"]).reshape(2, n)
+            ap, begun = ap + bin_share(begun), [r.last_score, above[r["_range"]] + parts[r["_range"]] - last, last]
+    ap = ap + bin_share(begun)
+    found = [(i, float(ap[i] / so_far[0][i]) if so_far[0][i] else None, float(so_far[1][i])) for i in range(n)]
+    return rows.sparkSession.createDataFrame(found, "r int, ap double, neg double")
+
+
+def same(a, b):
+    """Whether scores are equal; NaN is equal to NaN."""
+    return (a == b) | ((a != a) & (b != b))
+
+
+def ratios(pos: np.ndarray, tp: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    return np.divide(pos * tp, tp + fp, out=np.zeros(pos.shape), where=tp + fp > 0)
+
+
+def bin_share(whole: list | None) -> np.ndarray | float:
+    """What a bin (score, sums of all above it, its own sums) adds to the average precision."""
+    return 0.0 if whole is None else ratios(whole[2][0], *(whole[1] + whole[2]))
 
 
 def bootstrap(rows: DataFrame, a: str, b: str, label: str = "label", n: int = 200, seed: int = 11) -> DataFrame:

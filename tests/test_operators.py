@@ -391,3 +391,26 @@ def test_a_value_on_a_threshold_falls_as_the_recursion_says(spark):
     assert total > 60
     found = detect.detections(df).filter("rule_code = 'COOLANT_DRIFT'").collect()
     assert [(r.vehicle_id, r.seq, r.status) for r in found] == [("truck-17", len(changes) - 1, "open")]
+
+
+def test_resampled_precision_deals_equal_scores_over_ranges(spark, monkeypatch):
+    """Three scores of 600 vehicles: no range holds a score's rows, and the sums of a score that lies in several ranges are whole."""
+    rng = np.random.default_rng(8)
+    rows = [(f"v{i % 600}", float(rng.integers(3)), int(rng.random() < 0.3)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vehicle_id string, score double, label int")
+    ap = lambda: {r.r: (r.ap, r.neg) for r in evaluate.resampled_precision(df, "score", "label", 20, 11).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    written, write = [], evaluate.cut
+    monkeypatch.setattr(evaluate, "cut", lambda x, name: written.append(write(x, name)) or written[-1])
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        one = ap()
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        nine = ap()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(abs(one[k][0] - nine[k][0]) < 1e-12 and one[k][1] == nine[k][1] for k in one) and len(one) == 20
+    sizes = [r["count"] for r in written[1].groupBy("_range").count().collect()]
+    assert len(sizes) > 3 and max(sizes) < sum(sizes) / 3
+    assert sum(sizes) < len(rows)  # equal rows of a vehicle are one
