@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odolith.functions import catalog, vehicle
@@ -74,16 +74,118 @@ def located(rows: DataFrame, live: DataFrame, homes: DataFrame) -> DataFrame:
     return joined.withColumn("latitude", F.col("_p.latitude")).withColumn("longitude", F.col("_p.longitude")).drop("_live", "_home", "_p")
 
 
-def nearest_list(rows: DataFrame, workshops: DataFrame, k: int = 3) -> DataFrame:
-    """rows (whose tenant has a workshop) with `shops`, the k workshops of their tenant by distance, ties by workshop_id; by id where the row has no position."""
-    w = workshops.select(F.col("tenant_id"), "workshop_id", F.col("latitude").alias("w_lat"), F.col("longitude").alias("w_lon"), "daily_capacity")
-    # one list of workshops for each tenant, so a row meets them without being multiplied
-    lists = w.groupBy("tenant_id").agg(F.collect_list(F.struct("workshop_id", "w_lat", "w_lon", "daily_capacity")).alias("_all"))
+#: Places, and workshops of a tenant, that a task holds at a time; rows of a leaf of either.
+PLACES, SHOPS, LEAF = 20_000, 100_000, 32
+#: Squared half chords (of the unit sphere) that differ by less are told apart by the exact formula.
+CHORD = 1e-13
+
+
+def sphere(latitude: np.ndarray, longitude: np.ndarray) -> np.ndarray:
+    """Points on the unit sphere; the haversine's argument is a quarter of the square of their chord."""
+    lat, lon = np.radians(latitude), np.radians(longitude)
+    return np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
+
+
+def leaves(points: np.ndarray, size: int = LEAF) -> list[np.ndarray]:
+    """Row numbers in groups of neighbours, of `size` at most: halved at the median of the widest side."""
+    out, todo = [], [np.arange(len(points))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= size:
+            out.append(own)
+            continue
+        p = points[own]
+        order = own[np.argpartition(p[:, np.ptp(p, axis=0).argmax()], len(own) // 2)]
+        todo += [order[: len(own) // 2], order[len(own) // 2 :]]
+    return [x for x in out if len(x)]
+
+
+def nearest_of(places: np.ndarray, shops: np.ndarray, k: int, leaf: int = LEAF) -> list[np.ndarray]:
+    """For each place (a point) the numbers of the k nearest shops, and of all that are as near as the k-th to within CHORD.
+
+    Places go leaf by leaf against the leaves of shops in the order of the least distance between their boxes, until no
+    leaf that is left can hold a nearer one.
+    """
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(places)
+    if not len(shops):
+        return found
+    of = leaves(shops, leaf)
+    low, high = np.array([shops[x].min(axis=0) for x in of]), np.array([shops[x].max(axis=0) for x in of])
+    for own in leaves(places, leaf):
+        p = places[own]
+        apart = np.maximum(0.0, np.maximum(low - p.max(axis=0), p.min(axis=0) - high))
+        least = (apart**2).sum(axis=1) / 4
+        order = np.argsort(least, kind="stable")
+        least, at, ids, d = least[order], 0, np.zeros(0, np.int64), np.zeros((len(own), 0))
+        worst, step = np.inf, max(1, -(-k // leaf)) * 2
+        while at < len(order) and least[at] <= worst + CHORD:
+            more = np.concatenate([of[i] for i in order[at : at + step]])
+            ids = np.append(ids, more)
+            d = np.concatenate([d, ((p[:, None] - shops[more][None]) ** 2).sum(axis=2) / 4], axis=1)
+            at += step
+            if len(ids) >= k:
+                limit = np.partition(d, k - 1, axis=1)[:, k - 1]
+                worst = limit.max()
+                near = (d <= limit[:, None] + CHORD).any(axis=0)  # what no place can need goes
+                ids, d = ids[near], d[:, near]
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1] if len(ids) >= k else np.full(len(own), np.inf)
+        for i, row in zip(own.tolist(), d <= limit[:, None] + CHORD):
+            found[i] = ids[row]
+    return found
+
+
+def nearest_list(rows: DataFrame, workshops: DataFrame, k: int = 3, places: int = PLACES, shops: int = SHOPS) -> DataFrame:
+    """rows (whose tenant has a workshop) with `shops`, the k workshops of their tenant by distance, ties by workshop_id; by id where the row has no position, and last of all workshops without one.
+
+    Distinct places are dealt in groups of about `places` of a tenant, its workshops in tiles of about `shops`; each group
+    meets each tile in a task, which finds the nearest by leaves. The exact formula ranks the few that it returns. Of
+    workshops at one position only the k with the lowest ids can be among the nearest.
+    """
+    ship(rows.sparkSession)
+    where = ["tenant_id", "latitude", "longitude"]
+    spot = rows.select(*where).distinct()
+    site = Window.partitionBy("tenant_id", "latitude", "longitude").orderBy("workshop_id")
+    able = workshops.select(*where, "workshop_id", "daily_capacity").withColumn("_r", F.row_number().over(site)).filter(F.col("_r") <= k).drop("_r")
+    able = cut(able.select("tenant_id", "workshop_id", F.col("latitude").cast("double").alias("w_lat"), F.col("longitude").cast("double").alias("w_lon"), "daily_capacity"), "workshops")
+    spot = cut(spot, "places")
+    share = lambda df, most, name: df.groupBy("tenant_id").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    # one row for each tenant
+    dealt = share(spot, places, "_groups").join(share(able, shops, "_tiles"), "tenant_id")
+    part = lambda columns, n: F.pmod(F.xxhash64(*columns), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = spot.join(dealt, "tenant_id").select(*where, part(where, "_groups").alias("_group"), every("_tiles").alias("_tile"))
+    right = able.join(dealt, "tenant_id").select(*able.columns, part(["workshop_id"], "_tiles").alias("_tile"), every("_groups").alias("_group"))
+
+    def found(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        theirs = theirs.sort_by("workshop_id")
+        number = lambda t, c: t.column(c).cast(pa.float64()).combine_chunks()
+        plain = lambda a: a.to_numpy(zero_copy_only=False).astype(float)
+        lat, lon, w_lat, w_lon = (number(t, c) for t, c in ((mine, "latitude"), (mine, "longitude"), (theirs, "w_lat"), (theirs, "w_lon")))
+        given, absent = np.isfinite(plain(lat)) & np.isfinite(plain(lon)), pc.or_(pc.is_null(w_lat), pc.is_null(w_lon)).to_numpy(zero_copy_only=False)
+        sound = np.isfinite(plain(w_lat)) & np.isfinite(plain(w_lon))
+        # by id where no distance tells: workshops without a position, those with one that is no number, and for places like that any
+        odd = np.concatenate([np.flatnonzero(absent)[:k], np.flatnonzero(~absent & ~sound)[:k]])
+        any_ = np.unique(np.concatenate([odd, np.flatnonzero(~absent)[:k], np.arange(min(k, len(absent)))]))
+        chosen, at = [any_] * len(given), np.flatnonzero(sound)
+        own = np.flatnonzero(given)
+        for i, near in zip(own.tolist(), nearest_of(sphere(plain(lat)[own], plain(lon)[own]), sphere(plain(w_lat)[at], plain(w_lon)[at]), k)):
+            chosen[i] = np.concatenate([at[near], odd])
+        sizes = np.array([len(x) for x in chosen], np.int64)
+        mine = mine.select(where).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        take = theirs.select(["workshop_id", "w_lat", "w_lon", "daily_capacity"]).take(pa.array(np.concatenate(chosen).astype(np.int64) if len(chosen) else np.zeros(0, np.int64)))
+        return pa.table({**{c: mine.column(c) for c in where}, **{c: take.column(c) for c in take.column_names}})
+
+    kind = {f.name: f.dataType.simpleString() for f in (*spot.schema, *able.schema)}
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in (*where, "workshop_id", "w_lat", "w_lon", "daily_capacity"))
+    keys = ["tenant_id", "_group", "_tile"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(found, schema)
     there = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    dist = lambda s: F.when(there, vehicle.haversine_km(F.col("latitude"), F.col("longitude"), s["w_lat"], s["w_lon"]))
-    # without a position all distances are null, and the id decides
-    ranked = F.array_sort(F.transform("_all", lambda s: F.struct(dist(s).alias("distance_km"), s["workshop_id"].alias("workshop_id"), s["daily_capacity"].alias("daily_capacity"))))
-    return rows.join(lists, "tenant_id").select(*rows.columns, F.slice(ranked, 1, k).alias("shops"))
+    km = F.when(there, vehicle.haversine_km(F.col("latitude"), F.col("longitude"), F.col("w_lat"), F.col("w_lon")))
+    ranked = F.array_sort(F.collect_list(F.struct(F.col("_km").isNull().alias("_none"), F.col("_km").alias("distance_km"), "workshop_id", "daily_capacity")))
+    lists = met.withColumn("_km", km).groupBy(*where).agg(F.slice(ranked, 1, k).alias("_near"))
+    lists = cut(lists.select(*where, F.transform("_near", lambda s: F.struct(s["distance_km"].alias("distance_km"), s["workshop_id"].alias("workshop_id"), s["daily_capacity"].alias("daily_capacity"))).alias("shops")), "near").alias("p")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in where]
+    return rows.alias("r").join(lists, same).select("r.*", "p.shops")
 
 
 def nearest_workshops(rows: DataFrame, workshops: DataFrame, k: int = 3, key: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:
@@ -133,11 +235,7 @@ def schedule(cands: DataFrame, workshops: DataFrame, booked: DataFrame, horizon_
     ship(cands.sparkSession)
     prio = ["p_value", "p_hours", "vehicle_id", "failure_mode"]
     rows = cands.withColumn("p_value", -F.col("value")).withColumn("p_hours", F.coalesce("hours_remaining", F.lit(float("inf"))))
-    # distances to the workshops of the tenant are taken once for each place
-    places = rows.select("tenant_id", "latitude", "longitude").distinct()
-    near = cut(nearest_list(places, workshops, k), "near").alias("p")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("tenant_id", "latitude", "longitude")]
-    near = rows.alias("r").join(near, same).select("r.tenant_id", *prio, "shops").select("tenant_id", *prio, F.col("shops.workshop_id").alias("shops"), F.col("shops.distance_km").alias("km"), F.lit(1).alias("one"))
+    near = nearest_list(rows, workshops, k).select("tenant_id", *prio, "shops").select("tenant_id", *prio, F.col("shops.workshop_id").alias("shops"), F.col("shops.distance_km").alias("km"), F.lit(1).alias("one"))
     ranked = running_sums(near, ["tenant_id"], [F.col(c) for c in prio], {"rank": "one"})
     ranked = cut(ranked.withColumn("block", F.floor((F.col("rank") - 1) / block)), "ranked")
     days = workshops.select("tenant_id", "workshop_id", "daily_capacity", F.explode(F.sequence(F.lit(0), F.lit(horizon_days - 1))).alias("day"))

@@ -414,3 +414,35 @@ def test_resampled_precision_deals_equal_scores_over_ranges(spark, monkeypatch):
     sizes = [r["count"] for r in written[1].groupBy("_range").count().collect()]
     assert len(sizes) > 3 and max(sizes) < sum(sizes) / 3
     assert sum(sizes) < len(rows)  # equal rows of a vehicle are one
+
+
+def test_nearest_workshops_of_many_equal_brute_force(spark):
+    """Positions that repeat, poles, places and workshops without a position, one tenant with fewer workshops than asked for; in several groups and tiles."""
+    import math
+
+    rng = random.Random(21)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(30)] + [(90.0, 0.0), (-90.0, 10.0), (0.0, 180.0)]
+    shops = [("a", i, *(rng.choice(spots) if i % 11 else (None, 5.0)), i % 3) for i in range(120)] + [("b", 500, 1.0, 1.0, 1), ("b", 501, None, None, 1)]
+    cars = [(rng.choice("ab"), i, *(rng.choice(spots) if rng.random() < 0.3 else (rng.uniform(-90, 90), rng.uniform(-180, 180)))) for i in range(150)] + [("a", 900, None, 3.0), ("b", 901, None, None), ("c", 902, 1.0, 1.0)]
+    w = spark.createDataFrame(shops, "tenant_id string, workshop_id long, latitude double, longitude double, daily_capacity int")
+    c = spark.createDataFrame(cars, "tenant_id string, vehicle_id long, latitude double, longitude double")
+
+    def km(a, b, x, y):
+        if None in (a, b, x, y):
+            return None
+        a, b, x, y = map(math.radians, (a, b, x, y))
+        return 2 * 6371.0088 * math.asin(math.sqrt(math.sin((x - a) / 2) ** 2 + math.cos(a) * math.cos(x) * math.sin((y - b) / 2) ** 2))
+
+    got = {r.vehicle_id: r.shops for r in plan.nearest_list(c, w, 3, places=20, shops=50).collect()}
+    assert set(got) == {v for t, v, _, _ in cars if t != "c"}
+    for t, v, lat, lon in cars[:-1]:
+        far = [(km(lat, lon, x, y), i) for own, i, x, y, _ in shops if own == t]
+        want = sorted(far, key=lambda p: (p[0] is None, p[0] or 0.0, p[1]))[:3]
+        assert [s.workshop_id for s in got[v]] == [i for _, i in want]
+        assert all(s.distance_km == d or abs(s.distance_km - d) < 1e-6 for s, (d, _) in zip(got[v], want))
+    # leaves are left out: far fewer than all shops are looked at
+    points = plan.sphere(np.array([rng.uniform(-60, 60) for _ in range(3000)]), np.array([rng.uniform(-180, 180) for _ in range(3000)]))
+    near = plan.nearest_of(points[:500], points, 3)
+    for i in range(0, 500, 25):
+        d = ((points - points[i]) ** 2).sum(axis=1)
+        assert sorted(d[near[i]].tolist())[:3] == sorted(d.tolist())[:3] and len(near[i]) < 6
