@@ -42,6 +42,9 @@ CANDIDATES = 1 << 20
 WINDOW = 10
 GAP = 1
 
+#: A row is a segment of some MB. Parquet looks at the size of pages and row groups after 100 rows at first, so a task's whole input would be one page, in memory when written and when read.
+ROW_BY_ROW = {"compression": "zstd", "parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
 POSTINGS = "segment long, n_words array<bigint>, terms array<string>, counts array<int>, positions binary"
 
 
@@ -103,7 +106,7 @@ def build_index(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",),
             ], names=["segment", "n_words", "terms", "counts", "positions", "rows"])
 
     kept = columns.schema["kept"].dataType.simpleString()
-    columns.mapInArrow(segments, f"{POSTINGS}, rows array<{kept}>").write.option("compression", "zstd").parquet(path)
+    columns.mapInArrow(segments, f"{POSTINGS}, rows array<{kept}>").write.options(**ROW_BY_ROW).parquet(path)
 
 
 def term_counts(index: DataFrame, terms: pa.Array) -> np.ndarray:

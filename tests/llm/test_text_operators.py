@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -604,3 +605,17 @@ def test_simhash_broadcasts_no_exploded_table(spark):
     distinct = spark.range(500).select(F.xxhash64("id").alias("fp"))
     plan = simhash.links(distinct)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_index_is_written_segment_by_segment(spark):
+    """Few large rows: pages and row groups end by size from the first row on, so neither writer nor reader holds a task's whole input."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(2)
+    docs = spark.createDataFrame([(i, " ".join(map(str, rng.integers(0, 5000, 200_000).tolist()))) for i in range(12)], "doc_id long, text string").coalesce(1)
+    path = scratch_path(spark, "postings")
+    decontam.build_index(docs, path, segment_bytes=1 << 20)
+    files = list(Path(path.removeprefix("file://")).glob("*.parquet"))
+    held = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(m.num_rows for m in held) == 12
+    assert max(m.row_group(i).num_rows for m in held for i in range(m.num_row_groups)) <= 8
